@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -22,7 +23,7 @@ def charset(content_type: Column) -> Column:
     return F.when(F.coalesce(named, F.lit("")) != "", named).otherwise("utf-8")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_other(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
     def decode(body, name):
         if body is None:

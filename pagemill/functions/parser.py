@@ -15,6 +15,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill import schemas
 from pagemill.functions.html import HIDDEN_CLEAN, HIDDEN_SPACED, HIDDEN_TEXT, META_NAMES, META_PREFIXES
@@ -29,13 +30,15 @@ NOT_TEXT = ["script", "style", "template", "rt", "rp"]
 
 
 class _Tokens(HTMLParser):
-    """(kind, name or data, attributes) triples; kind is `open`, `close`, `data` or `comment`."""
+    """(kind, name or data, attributes) triples; kind is `open`, `close`, `data`, `cdata` or `break`."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, to_the_end: bool = False):
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, str, dict]] = []
         try:
             self.feed(page)
+            if to_the_end:  # otherwise a tag or reference cut off at the end is held back for ever
+                self.close()
         except Exception:  # a page the parser gives up on keeps what was read so far
             pass
 
@@ -49,7 +52,13 @@ class _Tokens(HTMLParser):
         self.found.append(("data", data, {}))
 
     def handle_comment(self, data):
-        self.found.append(("comment", "", {}))
+        self.found.append(("break", "", {}))
+
+    handle_decl = handle_pi = handle_comment
+
+    def unknown_decl(self, data):
+        is_cdata = data.upper().startswith("CDATA[")
+        self.found.append(("cdata" if is_cdata else "break", data[6:] if is_cdata else "", {}))
 
 
 def _squeeze(text: str) -> str:
@@ -74,13 +83,15 @@ def _nodes(tokens: list) -> Iterator[tuple[str, list[tuple[int, str]], dict]]:
     """
     chain: list[tuple[int, str]] = []
     text = ""
-    for i, (kind, value, attrs) in enumerate([*tokens, ("comment", "", {})]):
+    for i, (kind, value, attrs) in enumerate([*tokens, ("break", "", {})]):
         if kind == "data":
             text += value
             continue
         if text:
             yield text, chain, {}
             text = ""
+        if kind == "cdata":
+            yield value, chain, {}
         if kind == "open":
             chain = [*chain, (i, value)]
             yield None, chain, attrs
@@ -122,16 +133,16 @@ def _record(tokens: list) -> dict:
 
 
 def parse_title(page: str) -> str:
-    found = _record(_Tokens(page).found)
+    found = _record(_Tokens(page, to_the_end=True).found)
     return _squeeze(found["title"] or "".join(found["h1"])).replace(",", " ")
 
 
 def parse_h1(page: str) -> str:
-    return _squeeze("".join(_record(_Tokens(page).found)["h1"])).replace(",", " ")
+    return _squeeze("".join(_record(_Tokens(page, to_the_end=True).found)["h1"])).replace(",", " ")
 
 
 def parse_record(page: str) -> dict:
-    found = _record(_Tokens(page).found)
+    found = _record(_Tokens(page, to_the_end=True).found)
     return found | {"title": found["title"].strip(), "h1": " ".join(found["h1"])}
 
 
@@ -190,10 +201,10 @@ def _record_udf() -> Callable:
     return F.pandas_udf(run, returnType=schemas.RECORD)
 
 
-title = _udf(parse_title, "string")
-h1 = _udf(parse_h1, "string")
+title = _udf(parse_title, T.StringType())
+h1 = _udf(parse_h1, T.StringType())
 links = _udf(parse_links, schemas.LINK)
 meta = _udf(parse_meta, schemas.META)
-text = _udf(parse_text, "string")
-spaced_text = _udf(parse_spaced_text, "string")
+text = _udf(parse_text, T.StringType())
+spaced_text = _udf(parse_spaced_text, T.StringType())
 record = _record_udf()

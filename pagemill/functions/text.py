@@ -18,9 +18,9 @@ WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Fixed value: the line ends str.splitlines() breaks at.
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
-# References decoded in the JVM: the HTML 4 names and `apos`, taken from the standard library, and numbers
-# of ordinary characters.
-ENTITIES = {"apos": "'"} | {name: chr(cp) for name, cp in html.entities.name2codepoint.items()}
+# References decoded in the JVM: the names of HTML 4 and `apos` with what HTML 5 makes of them, taken from the
+# standard library, and numbers of ordinary characters.
+ENTITIES = {name: html.entities.html5[f"{name};"] for name in ["apos", *html.entities.name2codepoint]}
 _DECIMAL = r"#(?:3[2-9]|[4-9]\d|1[01]\d|12[0-6]|1[6-9]\d|[2-9]\d\d|[1-9]\d{3}|[1-4]\d{4}|5[0-4]\d{3})"
 _HEX = (
     r"#[xX](?:[2-6][0-9A-Fa-f]|7[0-9A-Ea-e]|[A-Fa-f][0-9A-Fa-f]|[1-9A-Fa-f][0-9A-Fa-f]{2}"
@@ -30,7 +30,7 @@ _PLAIN = rf"(?:{'|'.join(ENTITIES)}|{_DECIMAL}|{_HEX});"
 # Everything else that html.unescape might change: unknown names, names without a semicolon, odd numbers;
 # and a reference cut off at the end, which the parser would hold back with the text around it.
 _LOOSE_NAMES = "|".join(n for n in html.entities.html5 if not n.endswith(";"))
-ODD_REFERENCE = rf"&(?!{_PLAIN})(?:#[0-9xX]|[A-Za-z][A-Za-z0-9]*+;|{_LOOSE_NAMES}|[^\s;<>]{{0,40}}+\z)"
+ODD_REFERENCE = rf"&(?!{_PLAIN})(?:#[0-9xX]|[A-Za-z][A-Za-z0-9]*+;|{_LOOSE_NAMES}|[^\s;<]{{0,40}}+\z)"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -55,7 +55,7 @@ def read_urls(
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """`file` and whole `text` of small text files, byte-order marks removed."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return whole.select(
         F.col("_metadata.file_name").alias("file"), strip_bom(F.make_valid_utf8("value")).alias("text")
     )
