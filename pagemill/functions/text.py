@@ -78,8 +78,11 @@ def strip_bom(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines as str.splitlines() gives them: no empty last element after a final line end."""
-    lines = F.split(c, LINE_END)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+
+    def without_end(lines: Column) -> Column:
+        return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+
+    return let(F.split(c, LINE_END), without_end)
 
 
 def output_lines(c: Column) -> Column:

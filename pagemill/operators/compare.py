@@ -56,18 +56,17 @@ def line_sets_equal(expected: DataFrame, got: DataFrame, files: DataFrame | None
 
 def first_difference(expected: DataFrame, got: DataFrame) -> DataFrame:
     """Per file with any difference: the first differing `line_no` (from 1) and both texts, or NULLs if one
-    side only ends earlier; and the number of lines of both sides."""
-    pairs = paired(expected, got)
-    both = F.col("expected").isNotNull() & F.col("got").isNotNull()
-    differs = both & (F.col("expected") != F.col("got"))
-    found = pairs.groupBy("file").agg(
-        F.min_by(
-            F.when(differs, F.struct((F.col("pos") + 1).alias("line_no"), "expected", "got")),
-            F.when(differs, F.col("pos")),
-        ).alias("_diff"),
-        F.count("expected").alias("n_expected"),
-        F.count("got").alias("n_got"),
+    side only ends earlier; and the number of lines of both sides.
+
+    The texts of differing lines alone are grouped; the counts are taken without texts.
+    """
+    differing = paired(expected, got).filter(F.col("expected") != F.col("got"))
+    first = differing.groupBy("file").agg(
+        F.min_by(F.struct((F.col("pos") + 1).alias("line_no"), "expected", "got"), "pos").alias("_diff")
     )
+    n = expected.groupBy("file").agg(F.count("*").alias("n_expected"))
+    n = n.join(got.groupBy("file").agg(F.count("*").alias("n_got")), "file", "full_outer").fillna(0)
+    found = n.join(first, "file", "left")
     unequal = F.col("_diff").isNotNull() | (F.col("n_expected") != F.col("n_got"))
     return found.filter(unequal).select("file", "_diff.line_no", "_diff.expected", "_diff.got", "n_expected", "n_got")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.charset import decode
 from pagemill.functions.urls import EXAMPLE_STATUS, is_example, url_key
-from pagemill.operators.lookup import HOT_ROWS, lookup
+from pagemill.operators.lookup import HOT_ROWS, lookup, newest_rows
 
 # Answers worth another try, number of tries after the first, base of the waiting time.
 RETRY_STATUSES = [429, 500, 502, 503, 504]
@@ -16,22 +16,17 @@ BACKOFF_S = 0.3
 
 
 def latest(pages: DataFrame, version: str) -> DataFrame:
-    """One row per URL, the one with the highest `version`.
-
-    Rows are cut down to one per URL and map task before the shuffle. Call it on extracted columns, not on
-    page bodies: then only those are moved.
-    """
-    rest = [c for c in pages.columns if c != "url"]
-    newest = pages.groupBy("url").agg(F.max_by(F.struct(*rest), version).alias("_page"))
-    return newest.select("url", *[F.col(f"_page.{c}") for c in rest])
+    """One row per URL, the one with the highest `version`."""
+    return newest_rows(pages, ["url"], version)
 
 
 def fetch(urls: DataFrame, pages: DataFrame, version: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of a URL list (`pos`, `url`; order and duplicates kept) with the columns of the latest page.
 
-    Missing pages leave NULLs. Sort by `pos` at the sink if order matters.
+    Missing pages leave NULLs. Sort by `pos` at the sink if order matters. Call it with extracted columns,
+    not with page bodies: then only those are moved.
     """
-    return lookup(urls, latest(pages, version), ["url"], spread="pos", hot_rows=hot_rows)
+    return lookup(urls, pages, ["url"], spread="pos", newest=version, hot_rows=hot_rows)
 
 
 def with_body_only(fetched: DataFrame, body: str = "html") -> DataFrame:

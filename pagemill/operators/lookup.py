@@ -13,15 +13,18 @@ def lookup(
     right: DataFrame,
     on: list[str],
     spread: str | Column,
-    how: str = "left",
+    newest: str | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """`left` joined to `right`, which has at most one row per value of `on`.
+    """`left` with the columns of the one row of `right` that has the same `on`, NULLs where there is none.
 
     Keys with at least `hot_rows` rows on the left are cut into salted pieces of about that many rows, and
-    the one right row of each is copied to every piece. At most rows(left) / hot_rows keys can be hot,
-    which bounds the broadcast: 100,000 keys for 10^11 rows. `spread` is a column whose values differ
-    among the rows of a key. Without hot keys the broadcasts are empty and adaptive execution drops them.
+    their right row is copied to every piece. At most rows(left) / hot_rows keys can be hot, which bounds
+    the broadcast: 100,000 keys for 10^11 rows. `spread` is a column whose values differ among the rows of
+    a key. Without hot keys the broadcasts are empty and adaptive execution drops them.
+
+    `right` has one row per key, or several of which the one with the highest `newest` counts. Those are
+    cut down to one per map task, then by the very shuffle that the join needs anyway.
     """
     spread = F.col(spread) if isinstance(spread, str) else spread
     counts = left.groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= hot_rows)
@@ -30,4 +33,13 @@ def lookup(
     pieces = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
     salted = left.join(hot, on, "left").withColumn("_piece", piece.cast("int")).drop("_pieces")
     copied = right.join(hot, on, "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
-    return salted.join(copied, [*on, "_piece"], how).drop("_piece")
+    if newest:
+        copied = newest_rows(copied, [*on, "_piece"], newest)
+    return salted.join(copied, [*on, "_piece"], "left").drop("_piece")
+
+
+def newest_rows(df: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """One row per key, the one with the highest `version`."""
+    rest = [c for c in df.columns if c not in keys]
+    newest = df.groupBy(keys).agg(F.max_by(F.struct(*rest), version).alias("_row"))
+    return newest.select(*keys, *[F.col(f"_row.{c}") for c in rest])

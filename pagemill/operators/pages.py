@@ -86,6 +86,13 @@ def h1s(pages: DataFrame, mode: str = "auto") -> DataFrame:
     return _field(pages, "h1", H1, mode)
 
 
+def _exploded(found: DataFrame, column: str, item: str) -> DataFrame:
+    """One row per element. An inner explode would have Spark infer a size filter, push it below the
+    extraction and so work the extraction out twice; this one filters above."""
+    kept = [c for c in found.columns if c != column]
+    return found.select(*kept, F.posexplode_outer(column).alias("ord", item)).filter(F.col("ord").isNotNull())
+
+
 def links(pages: DataFrame, mode: str = "auto") -> DataFrame:
     """One row per closed anchor with a href: `ord`, `text` and the absolute `href`."""
     return link_rows(extract(pages, "links", LINKS, mode))
@@ -93,7 +100,7 @@ def links(pages: DataFrame, mode: str = "auto") -> DataFrame:
 
 def link_rows(found: DataFrame) -> DataFrame:
     """Rows of an extracted `links` column."""
-    rows = found.select(*[c for c in found.columns if c != "links"], F.posexplode("links").alias("ord", "_link"))
+    rows = _exploded(found, "links", "_link")
     href = resolve(F.col("url"), F.col("_link.href"))
     return rows.select("*", "_link.text", href.alias("href")).drop("_link")
 
@@ -105,7 +112,7 @@ def metas(pages: DataFrame, mode: str = "auto") -> DataFrame:
 
 def meta_rows(found: DataFrame) -> DataFrame:
     """Rows of an extracted `metas` column."""
-    rows = found.select(*[c for c in found.columns if c != "metas"], F.posexplode("metas").alias("ord", "_meta"))
+    rows = _exploded(found, "metas", "_meta")
     key, value = F.col("_meta.key"), F.col("_meta.value")
     absolute = F.when(F.lower(key).isin(REFERENCE_KEYS), resolve(F.col("url"), value)).otherwise(value)
     return rows.select("*", key.alias("key"), absolute.alias("value")).drop("_meta")

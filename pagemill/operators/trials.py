@@ -20,14 +20,13 @@ CHUNK_ROWS = 1_000_000
 
 def with_baseline(trials: DataFrame, hot_rows: int = lookups.HOT_ROWS) -> DataFrame:
     """`base_time_s` and `base_peak_mb` of the task's first trial on every trial."""
-    base = trials.groupBy("task").agg(F.min_by(F.struct("time_s", "peak_mb"), "seq").alias("_base"))
-    named = base.select(
-        "task",
-        F.col("_base.time_s").alias("base_time_s"),
+    base = trials.groupBy("task").agg(
+        # One column each: with a struct Spark could not aggregate by hash.
+        F.min_by("time_s", "seq").alias("base_time_s"),
         # Memory that was not measured is recorded as 0 and gives no gain.
-        F.when(F.col("_base.peak_mb") > 0, F.col("_base.peak_mb")).alias("base_peak_mb"),
+        F.nullif(F.min_by("peak_mb", "seq"), F.lit(0.0)).alias("base_peak_mb"),
     )
-    return lookups.lookup(trials, named, ["task"], spread="seq", hot_rows=hot_rows)
+    return lookups.lookup(trials, base, ["task"], spread="seq", hot_rows=hot_rows)
 
 
 def scored(trials: DataFrame, hot_rows: int = lookups.HOT_ROWS) -> DataFrame:
@@ -48,10 +47,10 @@ def aggregate_repeats(
     With `candidates` (task, candidate) those that were never run are there too, with NO_TRIALS.
     """
     keys = ["task", "candidate"]
-    last = F.max_by(F.struct("peak_mb", "rc"), "seq")
     plain = trials.groupBy(keys).agg(
         F.min("correct").alias("correct"),
-        last.alias("_last"),
+        F.max_by("peak_mb", "seq").alias("_last_peak_mb"),
+        F.max_by("rc", "seq").alias("rc"),
         F.min("seq").alias("seq"),
         F.count("*").alias("trials"),
     )
@@ -65,9 +64,9 @@ def aggregate_repeats(
         "trials",
         "correct",
         "time_s",
-        F.coalesce("peak_mb", "_last.peak_mb", F.lit(0.0)).alias("peak_mb"),
+        F.coalesce("peak_mb", "_last_peak_mb", F.lit(0.0)).alias("peak_mb"),
         "score",
-        F.col("_last.rc").alias("rc"),
+        "rc",
     )
     if candidates is None:
         return found

@@ -77,8 +77,8 @@ def prompt_results(prompts: DataFrame, crawled: DataFrame, prefs: DataFrame, ver
     cut to the domain's limit, else to the prompt's."""
     wanted = plan_of(prompts).filter(F.col("skill") == requests.CLEAN_JOB)
     urls = wanted.select("prompt_id", "limit", F.posexplode("urls").alias("ord", "url"))
-    records = crawl.latest(pages.clean_records(crawled, mode=mode), version)
-    fetched = _errors_told(lookup(urls, records, ["url"], spread=F.struct("prompt_id", "ord")))
+    records = pages.clean_records(crawled, mode=mode)
+    fetched = _errors_told(lookup(urls, records, ["url"], F.struct("prompt_id", "ord"), newest=version))
     rows = results.five_columns(fetched, "prompt_id", "ord", "limit")
     return results.limited(rows, prefs, default=F.col("limit")).drop("limit")
 

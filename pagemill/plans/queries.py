@@ -186,7 +186,8 @@ def _crawl_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawled = _pages(spark, sf_dir)
     own = crawled.select((F.col("page_id") * 1_000_000).alias("pos"), "url")
     found = pages.links(crawled).select((F.col("page_id") * 1_000_000 + F.col("ord") + 1).alias("pos"), F.col("href").alias("url"))
-    return own.unionByName(found)
+    # A list is read more than once in a lookup: through one shuffle, so that pages are read for it once.
+    return own.unionByName(found).repartition("pos")
 
 
 def _crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +225,7 @@ def crawl_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def crawl_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.clean_job(_crawl_list(spark, sf_dir), _crawl_log(spark, sf_dir), "page_id", limit=500)
+    return jobs.clean_job(_crawl_list(spark, sf_dir), _crawl_log(spark, sf_dir), "page_id")
 
 
 @query
@@ -391,7 +392,8 @@ def _result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 1, F.array(F.lit(" url,texto "), short, F.lit("  ")))
         .otherwise(F.array(full, full))
     )
-    return rows.select(F.col("page_id").alias("file"), F.posexplode(lines).alias("pos", "line"))
+    files = rows.select(F.col("page_id").alias("file"), F.posexplode(lines).alias("pos", "line"))
+    return files.repartition("file", "pos")  # read more than once, like a crawl list
 
 
 @query
