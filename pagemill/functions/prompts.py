@@ -74,6 +74,17 @@ def route_all(prompt: Column) -> Column:
     return F.when(asks_clean_text(prompt), CLEAN_JOB).otherwise(route(prompt))
 
 
+def route_json(prompt: Column) -> Column:
+    """The answer of the router as JSON: `{"skill": ...}`."""
+    return F.to_json(F.struct(route(prompt).alias("skill")))
+
+
+def routed_job(answer: Column) -> Column:
+    """Job named by a router's JSON answer; the default where it is unreadable or names none."""
+    skill = F.from_json(answer, "skill STRING")["skill"]
+    return F.when(skill != "", skill).otherwise(DEFAULT_JOB)
+
+
 def limit(prompt: Column) -> Column:
     """Number of characters asked for (`300 caracteres`), else NULL."""
     return F.regexp_extract(prompt, r"(?iU)([0-9]+)\s*caracter", 1).try_cast("int")

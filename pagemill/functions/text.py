@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 # Exactly what str.strip(), str.split() and the class \s of str patterns take for white space.
 WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-# Fixed value: the line ends str.splitlines() breaks at.
-LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+# Fixed value: the line ends str.splitlines() breaks at; visible ASCII is ruled out first.
+LINE_END = r"[[^ -~]&&[\n-\r\x1c-\x1e\x85\u2028\u2029]](?:(?<=\r)\n)?+"
 
 # References decoded in the JVM: the names of HTML 4 and `apos` with what HTML 5 makes of them, taken from the
 # standard library, and numbers of ordinary characters.
@@ -87,7 +87,8 @@ def split_lines(c: Column) -> Column:
 
 def output_lines(c: Column) -> Column:
     """Lines of captured output: empty ones are dropped before each line is right-trimmed."""
-    kept = F.filter(F.split(c, r"\r\n|\r|\n"), lambda line: line != "")
+    unix = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    kept = F.filter(F.split(unix, "\n"), lambda line: line != "")
     return F.transform(kept, rstrip)
 
 

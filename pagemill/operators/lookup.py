@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+KEYLESS_PIECES = 4096
 
 
 def lookup(
@@ -29,7 +32,9 @@ def lookup(
     spread = F.col(spread) if isinstance(spread, str) else spread
     counts = left.groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= hot_rows)
     hot = F.broadcast(counts.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_pieces")))
-    piece = F.pmod(F.xxhash64(spread), F.coalesce("_pieces", F.lit(1)))
+    # Rows without a key match nothing: they may go anywhere.
+    keyless = reduce(Column.__or__, [F.col(k).isNull() for k in on])
+    piece = F.pmod(F.xxhash64(spread), F.when(keyless, KEYLESS_PIECES).otherwise(F.coalesce("_pieces", F.lit(1))))
     pieces = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
     salted = left.join(hot, on, "left").withColumn("_piece", piece.cast("int")).drop("_pieces")
     copied = right.join(hot, on, "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")

@@ -12,6 +12,7 @@ from pagemill.operators.lookup import HOT_ROWS, lookup
 
 HEADER = ",".join(schemas.CLEAN_COLUMNS)
 SHORT_HEADER = "url,texto"
+MAX_BROADCAST_PREFS = 100_000
 
 
 def normalised(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -73,15 +74,23 @@ def domain_limit(prefs: Column, domain: Column, default: Column) -> Column:
 
 
 def limited(
-    results: DataFrame, prefs: DataFrame, default: Column | int | None = None, compat: bool = False
+    results: DataFrame,
+    prefs: DataFrame,
+    default: Column | int | None = None,
+    compat: bool = False,
+    max_prefs: int = MAX_BROADCAST_PREFS,
 ) -> DataFrame:
     """`texto` cut to the limit of the URL's domain, else to `default`.
 
-    Preferences are a configuration table; Spark broadcasts it while it is under the session's threshold
-    and otherwise splits a hot domain as any skewed join.
+    Up to `max_prefs` preferences are broadcast, which one bounded count makes sure of; the results then
+    stay where they are. A larger table is joined by domain, hot domains in pieces.
     """
     limits = prefs.select(F.col("domain").alias("_domain"), F.col("limit").alias("_limit"))
     keyed = results.withColumn("_domain", domain_key(strip(F.col("url")), compat))
-    own = F.col("_limit") if default is None else F.coalesce("_limit", default if isinstance(default, Column) else F.lit(default))
-    found = keyed.join(limits, "_domain", "left").withColumn("texto", truncate(F.col("texto"), own))
-    return found.drop("_domain", "_limit")
+    if limits.limit(max_prefs + 1).count() <= max_prefs:
+        found = keyed.join(F.broadcast(limits), "_domain", "left")
+    else:
+        found = lookup(keyed, limits, ["_domain"], spread="url")
+    default = F.lit(default) if isinstance(default, int) else default
+    own = F.col("_limit") if default is None else F.coalesce("_limit", default)
+    return found.withColumn("texto", truncate(F.col("texto"), own)).drop("_domain", "_limit")

@@ -298,6 +298,8 @@ def prompt_route(spark: SparkSession, sf_dir: str) -> DataFrame:
         P.route(prompt).alias("skill"),
         P.route_clean(prompt).alias("skill_clean"),
         P.route_all(prompt).alias("skill_all"),
+        P.route_json(prompt).alias("answer"),
+        P.routed_job(P.route_json(prompt)).alias("skill_read"),
     )
 
 

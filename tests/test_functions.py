@@ -149,6 +149,12 @@ def test_routes(spark):
     assert apply(spark, prompts.route_all, asks[5:]) == [prompts.CLEAN_JOB, "web_links"]
 
 
+def test_router_answers(spark):
+    assert apply(spark, prompts.route_json, ["enlaces"]) == ['{"skill":"web_links"}']
+    answers = ['{"skill":"web_links"}', '{"skill":""}', "{}", "no json", None]
+    assert apply(spark, prompts.routed_job, answers) == ["web_links"] + [prompts.DEFAULT_JOB] * 4
+
+
 def test_limits(spark):
     values = ["300 caracteres", "a 20CARACTER", "caracteres 5", "9 9 caracteres", "99999999999 caracteres", ""]
     assert apply(spark, prompts.limit, values) == [300, 20, None, 9, None, None]

@@ -131,8 +131,9 @@ def test_results_get_five_columns(spark, hot_rows):
 def test_limits_by_domain(spark):
     table = spark.createDataFrame([("http://www.ogp.me/x", "a😀cdef"), ("http://OGP.me", "abcdef"), ("http://none", "abcdef"), ("http://zero.x", "abcdef")], "url STRING, texto STRING")
     prefs = spark.createDataFrame([("ogp.me", 3), ("zero.x", 0)], "domain STRING, limit INT")
-    assert rows(results.limited(table, prefs, 5), "url", "texto") == [
-        ("http://OGP.me", "abc"), ("http://none", "abcde"), ("http://www.ogp.me/x", "a😀c"), ("http://zero.x", "abcdef")]
+    for max_prefs in (1, 100):  # joined by domain, broadcast
+        assert rows(results.limited(table, prefs, 5, max_prefs=max_prefs), "url", "texto") == [
+            ("http://OGP.me", "abc"), ("http://none", "abcde"), ("http://www.ogp.me/x", "a😀c"), ("http://zero.x", "abcdef")]
     assert ("http://none", "abcdef") in rows(results.limited(table, prefs), "url", "texto")
 
 
