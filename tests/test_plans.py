@@ -55,7 +55,7 @@ def test_bodies_are_never_shuffled(spark, name):
     while pending:
         node = pending.pop()
         if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-            pending.append(node.inputPlan())
+            pending.append(node.initialPlan())
         if "ShuffleExchange" in node.getClass().getSimpleName():
             shuffled.append(node.output().mkString(","))
         pending += [node.children().apply(i) for i in range(node.children().size())]
