@@ -8,6 +8,8 @@ The tests are strict on purpose: a wrong "no" costs time, a wrong "yes" would co
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,31 +99,25 @@ def _heading(bare: Column, between: str) -> Column:
     return F.array_join(F.filter(pieces, lambda p: p != ""), between)
 
 
-def _has_plain_headings(page: Column, bare: Column) -> Column:
-    return bare.rlike(_PLAIN_H1) & ~page.rlike(_HIDDEN_HEADING)
+def _with_headings(page: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(bare page)` where the headings are plain; a page is only cut down once it is known to be regular."""
+    plain = lambda bare: F.when(bare.rlike(_PLAIN_H1), use(bare))
+    return F.when(is_regular(page) & ~page.rlike(_HIDDEN_HEADING) & ~page.rlike(_RUBY), let(_bare(page), plain))
 
 
 def title(page: Column) -> Column:
     """Text of `<title>`, or of the first `<h1>` where that is empty; no commas."""
-    return let(
-        _bare(page),
-        lambda bare: F.when(
-            is_regular(page) & _has_plain_headings(page, bare),
-            clean_field(
-                let(unescape(_first(bare, "title")), lambda t: F.when(t != "", t).otherwise(_heading(bare, "")))
-            ),
-        ),
-    )
+
+    def chosen(bare: Column) -> Column:
+        own = unescape(_first(bare, "title"))
+        return clean_field(let(own, lambda t: F.when(t != "", t).otherwise(_heading(bare, ""))))
+
+    return _with_headings(page, chosen)
 
 
 def h1(page: Column) -> Column:
     """Text of the first `<h1>`, its pieces joined without blanks; no commas."""
-    return let(
-        _bare(page),
-        lambda bare: F.when(
-            is_regular(page) & _has_plain_headings(page, bare), clean_field(_heading(bare, ""))
-        ),
-    )
+    return _with_headings(page, lambda bare: clean_field(_heading(bare, "")))
 
 
 def links(page: Column) -> Column:
@@ -137,8 +133,8 @@ def links(page: Column) -> Column:
         )
         return F.filter(found, lambda a: a["href"] != "")
 
-    certain = is_regular(page) & ~page.rlike(_TWICE)
-    return let(_bare(page), lambda bare: F.when(certain & ~bare.rlike(_NESTED_ANCHOR), anchors(bare)))
+    plain = lambda bare: F.when(~bare.rlike(_NESTED_ANCHOR), anchors(bare))
+    return F.when(is_regular(page) & ~page.rlike(_TWICE), let(_bare(page), plain))
 
 
 def _meta_pair(tag: Column) -> Column:
@@ -197,5 +193,4 @@ def record(page: Column) -> Column:
             collapse(_visible(page, HIDDEN_CLEAN, " ")).alias("texto"),
         )
 
-    certain = is_regular(page) & ~page.rlike(_TWICE) & ~page.rlike(_RUBY)
-    return let(_bare(page), lambda bare: F.when(certain & _has_plain_headings(page, bare), fields(bare)))
+    return F.when(~page.rlike(_TWICE), _with_headings(page, fields))

@@ -8,6 +8,7 @@ The module is pickled by value, so executors need not have this package installe
 from __future__ import annotations
 
 import sys
+from collections import defaultdict
 from html import unescape
 from html.parser import HTMLParser
 from typing import Callable, Iterator
@@ -37,7 +38,9 @@ class _Tokens(HTMLParser):
         self.found: list[tuple[str, str, dict]] = []
         try:
             self.feed(page)
-            if to_the_end:  # otherwise a tag or reference cut off at the end is held back for ever
+            # Text cut off inside a reference is held back until `close`. A tag or comment cut off is no
+            # text in the HTML standard; the library tries it over and over, in quadratic time.
+            if to_the_end and not self.rawdata.startswith("<"):
                 self.close()
         except Exception:  # a page the parser gives up on keeps what was read so far
             pass
@@ -76,57 +79,67 @@ def _outside(tokens: list, hidden: list[str]) -> Iterator[str]:
             depth = max(0, depth - 1)
 
 
-def _nodes(tokens: list) -> Iterator[tuple[str, list[tuple[int, str]], dict]]:
-    """(string, chain of open elements, attributes) for every string and every element start (string NULL).
+def _nodes(tokens: list) -> Iterator[tuple[str | None, list, dict, dict]]:
+    """(string, open elements, their places by name, {}) for every string, and (NULL, ..., attributes) for
+    every element start.
 
-    Elements are (number, name); an end tag closes the nearest open element of its name and all inside it.
+    Open elements are (number, name), outermost first. An end tag closes the nearest open element of its
+    name and all inside it. The lists are live: use them before asking for the next node.
     """
     chain: list[tuple[int, str]] = []
-    text = ""
+    places: dict[str, list[int]] = defaultdict(list)
+    text: list[str] = []
     for i, (kind, value, attrs) in enumerate([*tokens, ("break", "", {})]):
         if kind == "data":
-            text += value
+            text.append(value)
             continue
         if text:
-            yield text, chain, {}
-            text = ""
+            yield "".join(text), chain, places, {}
+            text = []
         if kind == "cdata":
-            yield value, chain, {}
+            yield value, chain, places, {}
         if kind == "open":
-            chain = [*chain, (i, value)]
-            yield None, chain, attrs
-        if kind == "close" or (kind == "open" and value in VOID):
-            at = max((n for n, (_, name) in enumerate(chain) if name == value), default=None)
-            chain = chain if at is None else chain[:at]
+            places[value].append(len(chain))
+            chain.append((i, value))
+            yield None, chain, places, attrs
+        if places[value] and (kind == "close" or (kind == "open" and value in VOID)):
+            closed = chain[places[value][-1] :]
+            del chain[places[value][-1] :]
+            for _, name in closed:
+                places[name].pop()
 
 
 def _record(tokens: list) -> dict:
     """First title and h1, first description, and the strings of the clean-text job."""
-    first: dict[str, tuple[int, str]] = {}
-    strings: dict[str, list[str]] = {"title": [], "h1": []}
-    children = 0
+    first: dict[str, tuple[int, tuple[int, str]]] = {}
+
+    def inside(name: str, chain: list) -> bool:
+        place, element = first.get(name, (len(chain), None))
+        return place < len(chain) and chain[place] == element
+
+    titles: list[str] = []
+    headings: list[str] = []
+    shown: list[str] = []
+    title_has_children = False
     description = None
-    shown = []
-    for string, chain, attrs in _nodes(tokens):
+    for string, chain, places, attrs in _nodes(tokens):
         if string is None:
-            element = chain[-1]
-            children += first.get("title") in chain[:-1]
-            first.setdefault(element[1], element)
-            if element[1] == "meta" and description is None and (attrs.get("name") or "").lower() == "description":
+            tag = chain[-1][1]
+            title_has_children |= inside("title", chain)
+            first.setdefault(tag, (len(chain) - 1, chain[-1]))
+            if tag == "meta" and description is None and (attrs.get("name") or "").lower() == "description":
                 description = (attrs.get("content") or "").strip()
             continue
-        names = [name for _, name in chain]
-        for wanted, found in strings.items():
-            if first.get(wanted) in chain:
-                inside = names[chain.index(first[wanted]) + 1 :]
-                if not set(inside) & set(NOT_TEXT):
-                    found.append(string)
-        if not set(names) & {*HIDDEN_CLEAN, *NOT_TEXT}:
-            shown.append(string)
-    whole = strings["title"][0] if len(strings["title"]) == 1 and not children else ""
+        if inside("title", chain):
+            titles.append(string)
+        if not any(places[name] for name in NOT_TEXT):
+            if inside("h1", chain):
+                headings.append(string.strip())
+            if not any(places[name] for name in HIDDEN_CLEAN):
+                shown.append(string)
     return {
-        "title": whole,
-        "h1": [s.strip() for s in strings["h1"] if s.strip()],
+        "title": titles[0] if len(titles) == 1 and not title_has_children else "",
+        "h1": [s for s in headings if s],
         "meta_description": description or "",
         "texto": _squeeze(" ".join(shown)),
     }
@@ -149,15 +162,15 @@ def parse_record(page: str) -> dict:
 def parse_links(page: str) -> list[dict]:
     """An end tag closes the latest open anchor; strings since the last closed one are its text."""
     out: list[dict] = []
-    href, text = None, ""
+    href, text = None, []
     for kind, value, attrs in _Tokens(page).found:
         if kind == "data" and href is not None:
-            text += value
+            text.append(value)
         elif value == "a" and kind == "open":
             href = (attrs.get("href") or "").strip()
         elif value == "a" and kind == "close" and href is not None:
-            out += [{"text": text.strip(), "href": href}] if href else []
-            href, text = None, ""
+            out += [{"text": "".join(text).strip(), "href": href}] if href else []
+            href, text = None, []
     return out
 
 

@@ -1,5 +1,7 @@
 """Page extraction on hand-made pages, both ways of doing it, and the error policy of every job."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,12 +93,13 @@ def test_parser_keeps_the_rules_of_the_clean_record(spark):
         "<h1>a<script>s</script><template>t</template>b<br>c",
         "<meta name=description><meta name=description content=later>",  # only the first counts
         "<noscript>n<p>m</noscript>a<![CDATA[b]]>",
+        "<template><title>tt</title><h1>th</h1></template><h1>later</h1>",  # a template's strings are no text
     ]
     found = pages.clean_records(crawl(spark, *bodies), mode="parser").orderBy("page_id").collect()
-    assert [r.title for r in found] == [""] * 5
-    assert [r.h1 for r in found] == ["x", "in", "a b c", "", ""]
-    assert [r.meta_description for r in found] == [""] * 5
-    assert [r.texto for r in found] == ["a b x", "in out", "a b c", "", "a b"]
+    assert [r.title for r in found] == [""] * 5 + ["tt"]
+    assert [r.h1 for r in found] == ["x", "in", "a b c", "", "", ""]
+    assert [r.meta_description for r in found] == [""] * 6
+    assert [r.texto for r in found] == ["a b x", "in out", "a b c", "", "a b", "later"]
 
 
 def test_error_policy(spark):
@@ -118,6 +121,22 @@ def test_example_hosts(spark):
     assert column(pages.h1s(crawled), "h1") == ["Example Domain", "Example Domain", ""]
 
 
+HOSTILE = {
+    "unclosed comments": "<!--" * 50_000, "unclosed scripts": "<script>" * 50_000, "open anchors": "<a href=/x>" * 50_000,
+    "deep": "<b>" * 100_000 + "x", "deep strings": "<b>x" * 50_000, "ampersands": "&" * 200_000, "loose": "&copy" * 100_000,
+    "blanks": " \n" * 200_000, "quotes": "<p title='" * 20_000, "angles": "<" * 20_000, "stray ends": "</b>" * 100_000,
+    "one long tag": "<a " + "href=x " * 20_000 + ">x</a>", "templates": "<template>" * 50_000, "h1s": "<h1>" * 30_000,
+}
+
+
+def test_hostile_pages_take_time_in_proportion(spark):
+    crawled = crawl(spark, *HOSTILE.values()).repartition(8, "page_id")
+    for job in (pages.titles, pages.metas, pages.texts, pages.clean_records, pages.links):
+        start = time.monotonic()
+        job(crawled).write.format("noop").mode("overwrite").save()
+        assert time.monotonic() - start < 30, job
+
+
 def test_long_pages_do_not_overflow(spark):
     body = "<p>" + "word <b>x</b> &amp; " * 200_000 + "<a href=/x>" + "y" * 1_000_000 + "</a><!--" + "z" * 500_000 + "-->"
     crawled = crawl(spark, body)
