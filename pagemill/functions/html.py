@@ -87,11 +87,11 @@ def _all(bare: Column, pattern: str) -> Column:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """Decoded value of an attribute; empty if it is missing or has no value."""
+    """Value of an attribute, references not decoded; empty if it is missing or has no value."""
     value = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"']++)"""
     others = rf"(?:\s++(?!{name}[\s=/>])[^\s/>\"'=]++(?:\s*+=\s*+{value})?+)*+"
     raw = F.regexp_extract(tag, rf"(?i)^<[a-z][\w:.-]*+{others}\s++{name}\s*+=\s*+({value})", 1)
-    return unescape(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1\z""", "$2"))
+    return F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1\z""", "$2")
 
 
 def _heading(bare: Column, between: str) -> Column:
@@ -128,7 +128,7 @@ def links(page: Column) -> Column:
             _all(bare, rf"<a{_END}[^>]*+>.*?</a\s*+>"),
             lambda a: F.struct(
                 strip(unescape(F.regexp_replace(a, r"<[^>]*+>", ""))).alias("text"),
-                strip(_attribute(a, "href")).alias("href"),
+                strip(unescape(_attribute(a, "href"))).alias("href"),
             ),
         )
         return F.filter(found, lambda a: a["href"] != "")
@@ -138,17 +138,14 @@ def links(page: Column) -> Column:
 
 
 def _meta_pair(tag: Column) -> Column:
-    name, prop = _attribute(tag, "name"), _attribute(tag, "property")
-    key = strip(F.when(name != "", name).otherwise(prop))
-    low = F.lower(key)
-    wanted = low.isin(META_NAMES)
-    for prefix in META_PREFIXES:
-        wanted = wanted | low.startswith(prefix)
     is_link = tag.rlike("(?i)^<link")
-    is_icon = F.lower(_attribute(tag, "rel")).contains("icon")
+    name = _attribute(tag, "name")
+    key = strip(unescape(F.when(name != "", name).otherwise(_attribute(tag, "property"))))
+    wanted = F.lower(key).rlike(f"^(?:{'|'.join(META_PREFIXES)})|^(?:{'|'.join(META_NAMES)})\\z")
+    is_icon = F.lower(unescape(_attribute(tag, "rel"))).contains("icon")
+    value = F.when(is_link, _attribute(tag, "href")).otherwise(_attribute(tag, "content"))
     return F.struct(
-        F.when(is_link, F.when(is_icon, "icon")).when(wanted, key).alias("key"),
-        strip(F.when(is_link, _attribute(tag, "href")).otherwise(_attribute(tag, "content"))).alias("value"),
+        F.when(is_link, F.when(is_icon, "icon")).when(wanted, key).alias("key"), strip(unescape(value)).alias("value")
     )
 
 
@@ -183,9 +180,9 @@ def record(page: Column) -> Column:
 
     def fields(bare: Column) -> Column:
         described = F.filter(
-            _all(bare, rf"<meta{_END}[^>]*+>"), lambda m: F.lower(_attribute(m, "name")) == "description"
+            _all(bare, rf"<meta{_END}[^>]*+>"), lambda m: F.lower(unescape(_attribute(m, "name"))) == "description"
         )
-        description = strip(_attribute(F.try_element_at(described, F.lit(1)), "content"))
+        description = strip(unescape(_attribute(F.try_element_at(described, F.lit(1)), "content")))
         return F.struct(
             strip(unescape(_first(bare, "title"))).alias("title"),
             _heading(bare, " ").alias("h1"),

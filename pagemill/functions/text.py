@@ -95,19 +95,20 @@ def output_lines(c: Column) -> Column:
 def _decode(piece: Column) -> Column:
     """Text that followed an ampersand, with the reference it starts with (if any) replaced."""
     name = F.substring_index(piece, ";", 1)
-    tail = F.substring(piece, F.length(name) + 2, F.length(piece))
-    code = F.when(name.rlike(rf"^{_HEX}\z"), F.substring(name, 3, 8)).when(
-        name.rlike(rf"^{_DECIMAL}\z"), F.conv(F.substring(name, 2, 8), 10, 16)
-    )
+    tail = F.substr(piece, F.length(name) + 2)
+    digits = F.regexp_replace(name, "^#[xX]?", "")
+    code = F.when(name.rlike(rf"^{_DECIMAL}\z"), F.conv(digits, 10, 16)).when(name.rlike(rf"^{_HEX}\z"), digits)
     names = F.str_to_map(
         F.lit("\n".join(f"{name}\t{char}" for name, char in ENTITIES.items())), F.lit("\n"), F.lit("\t")
     )
-    char = F.when(name.startswith("#"), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).when(
-        piece.contains(";"), F.try_element_at(names, name)
+    char = F.when(name.startswith("#"), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(
+        F.try_element_at(names, name)
     )
+    ampersand = F.lit("&")
     return (
-        F.when(piece.startswith("amp;"), F.concat(F.lit("&"), F.substring(piece, F.lit(5), F.length(piece))))
-        .otherwise(F.coalesce(F.concat(char, tail), F.concat(F.lit("&"), piece)))
+        F.when(piece.startswith("amp;"), F.concat(ampersand, F.substr(piece, F.lit(5))))
+        .when(piece.contains(";"), F.coalesce(F.concat(char, tail), F.concat(ampersand, piece)))
+        .otherwise(F.concat(ampersand, piece))
     )
 
 

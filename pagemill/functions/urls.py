@@ -66,20 +66,19 @@ def _parts(url: Column) -> Column:
 
 
 def _resolve(base: Column, href: Column, b: Column, h: Column) -> Column:
-    no_path = (h["path"] == "") & (h["params"] == "")
-    same_page = F.when(h["query"] != "", h["query"]).otherwise(b["query"])
-    return (
-        F.when(href == "", base)
-        .when(base == "", href)
-        .when((h["scheme"] != "") & (h["scheme"] != b["scheme"]), href)
-        .when(h["netloc"] != "", _unsplit(b["scheme"], h["netloc"], h["path"], h["params"], h["query"], h["fragment"]))
-        .when(no_path, _unsplit(b["scheme"], b["netloc"], b["path"], b["params"], same_page, h["fragment"]))
-        .otherwise(
-            _unsplit(
-                b["scheme"], b["netloc"], _merge_paths(b["path"], h["path"]), h["params"], h["query"], h["fragment"]
-            )
-        )
+    has_host = h["netloc"] != ""
+    same_page = ~has_host & (h["path"] == "") & (h["params"] == "")
+    path = F.when(has_host, h["path"]).when(same_page, b["path"]).otherwise(_merge_paths(b["path"], h["path"]))
+    joined = _unsplit(
+        b["scheme"],
+        F.when(has_host, h["netloc"]).otherwise(b["netloc"]),
+        path,
+        F.when(same_page, b["params"]).otherwise(h["params"]),
+        F.when(same_page & (h["query"] == ""), b["query"]).otherwise(h["query"]),
+        h["fragment"],
     )
+    other_scheme = (h["scheme"] != "") & (h["scheme"] != b["scheme"])
+    return F.when(href == "", base).when((base == "") | other_scheme, href).otherwise(joined)
 
 
 def _merge_paths(base: Column, path: Column) -> Column:
@@ -112,14 +111,13 @@ def _drop_dots(segments: Column) -> Column:
 def _unsplit(
     scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column
 ) -> Column:
-    def part(mark: str, value: Column) -> Column:
-        return F.when(value != "", F.concat(F.lit(mark), value)).otherwise("")
+    """Parts put together, absent ones without their mark; a path next to a host starts with a slash."""
 
-    # A path next to a network location starts with a slash.
-    rooted = F.regexp_replace(F.concat(path, part(";", params)), r"^(?=[^/])", "/")
+    def marked(before: str, part: Column, after: str = "") -> Column:
+        return F.regexp_replace(part, r"(?s)^(.+)\z", f"{before}$1{after}")
+
+    whole_path = F.concat(path, marked(";", params))
+    rooted = F.when(netloc == "", whole_path).otherwise(F.regexp_replace(whole_path, r"^(?=[^/])", "/"))
     return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted)).otherwise(F.concat(path, part(";", params))),
-        part("?", query),
-        part("#", fragment),
+        marked("", scheme, ":"), marked("//", netloc), rooted, marked("?", query), marked("#", fragment)
     )
