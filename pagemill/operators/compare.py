@@ -58,15 +58,20 @@ def first_difference(expected: DataFrame, got: DataFrame) -> DataFrame:
     """Per file with any difference: the first differing `line_no` (from 1) and both texts, or NULLs if one
     side only ends earlier; and the number of lines of both sides.
 
-    The texts of differing lines alone are grouped; the counts are taken without texts.
+    Equal lines lose their texts before they are grouped.
     """
-    differing = paired(expected, got).filter(F.col("expected") != F.col("got"))
-    first = differing.groupBy("file").agg(
-        F.min_by(F.struct((F.col("pos") + 1).alias("line_no"), "expected", "got"), "pos").alias("_diff")
+    differs = F.col("expected") != F.col("got")
+    pairs = paired(expected, got).select(
+        "file",
+        F.when(differs, F.struct((F.col("pos") + 1).alias("line_no"), "expected", "got")).alias("_diff"),
+        F.col("expected").isNotNull().alias("_expected"),
+        F.col("got").isNotNull().alias("_got"),
+    )
+    found = pairs.groupBy("file").agg(
+        F.min_by("_diff", "_diff.line_no").alias("_diff"),
+        F.count_if("_expected").alias("n_expected"),
+        F.count_if("_got").alias("n_got"),
     )
-    n = expected.groupBy("file").agg(F.count("*").alias("n_expected"))
-    n = n.join(got.groupBy("file").agg(F.count("*").alias("n_got")), "file", "full_outer").fillna(0)
-    found = n.join(first, "file", "left")
     unequal = F.col("_diff").isNotNull() | (F.col("n_expected") != F.col("n_got"))
     return found.filter(unequal).select("file", "_diff.line_no", "_diff.expected", "_diff.got", "n_expected", "n_got")
 
