@@ -25,9 +25,8 @@ HIDDEN_SPACED = ["script", "style"]
 HIDDEN_CLEAN = ["script", "style", "noscript", "template"]
 
 _END = r"(?=[\s/>])"  # after a tag name
-_VALUE = r"""(?:"[^">]*+"|'[^'>]*+'|[!-~&&[^"'=<>`]]++)"""
+_VALUE = r"""(?:"[^"<>]*+"|'[^'<>]*+'|[!-~&&[^"'=<>`]]++)"""
 _ATTRIBUTES = rf"(?:\s++[A-Za-z_:@*#.-][\w:.@*#-]*+(?:\s*+=\s*+{_VALUE})?+)*+\s*+"
-_COMMENT = r"<!--(?!-?>)(?:[^-]++|-(?!-))*+-->"
 _ONLY_TEXT = "title|textarea|iframe|noembed|noframes|xmp"
 _SPECIAL = f"script|style|noscript|template|plaintext|{_ONLY_TEXT}"
 _INLINE = "a|b|i|u|s|em|strong|span|small|sup|sub|code|mark|font|abbr|time"
@@ -38,19 +37,24 @@ def _closed(names: str, body: str) -> str:
     return "|".join(rf"<{n}{_END}{_ATTRIBUTES}>{body}</{n}\s*+>" for n in names.split("|"))
 
 
-_MARKUP = "|".join(
-    [
-        r"[^<]++",
-        _COMMENT,
-        r"<!doctype\s[^<>]*+>",
-        rf"<(?!(?:{_SPECIAL}){_END})[a-z][\w:.-]*+{_ATTRIBUTES}/?+>",
-        rf"</(?!(?:{_SPECIAL}){_END})[a-z][\w:.-]*+\s*+>",
-        _closed("script", r"(?:[^<]++|<(?!/script))*+"),
-        _closed("style", r"(?:[^<]++|<(?!/style))*+"),
-        _closed(_ONLY_TEXT, "[^<]*+"),
-    ]
-)
-_PAGE = rf"(?i)\A(?:{_MARKUP}|{_closed('noscript|template', f'(?:{_MARKUP})*+')})*+\z"
+def _markup(around: str = "-") -> str:
+    """Text, comments and tags; comments and raw text must not seem to end an element `around` them."""
+    return "|".join(
+        [
+            r"[^<]++",
+            rf"<!--(?!-?>)(?:[^<-]++|-(?!-)|<(?!/(?:{around})))*+-->",
+            r"<!doctype\s[^<>]*+>",
+            rf"<(?!(?:{_SPECIAL}){_END})[a-z][\w:.-]*+{_ATTRIBUTES}/?+>",
+            rf"</(?!(?:{_SPECIAL}){_END})[a-z][\w:.-]*+\s*+>",
+            _closed("script", rf"(?:[^<]++|<(?!/(?:script|{around})))*+"),
+            _closed("style", rf"(?:[^<]++|<(?!/(?:style|{around})))*+"),
+            _closed(_ONLY_TEXT, "[^<]*+"),
+        ]
+    )
+
+
+_BLOCKS = _closed("noscript|template", f"(?:{_markup(around='noscript|template')})*+")
+_PAGE = rf"(?i)\A(?:{_markup()}|{_BLOCKS})*+\z"
 
 _TWICE = r"(?i)<(?:a|meta|link)(?=\s)[^>]*?\s(href|name|property|content|rel)\s*+=[^>]*?\s\1\s*+="
 _NESTED_ANCHOR = rf"(?i)<a{_END}[^>]*+>(?:[^<]++|<(?!/?a{_END}|!s))*+<(?:a{_END}|!s)"
@@ -95,7 +99,9 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _heading(bare: Column, between: str) -> Column:
-    pieces = F.transform(F.split(_first(bare, "h1"), "<"), lambda p: strip(unescape(F.regexp_replace(p, "^[^<>]*+>", ""))))
+    # After each "<" comes the rest of a tag, then text.
+    texts = F.transform(F.split(_first(bare, "h1"), "<"), lambda p: F.regexp_replace(p, "^[^>]*+>", ""))
+    pieces = F.transform(texts, lambda t: strip(unescape(t)))
     return F.array_join(F.filter(pieces, lambda p: p != ""), between)
 
 

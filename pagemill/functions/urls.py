@@ -105,7 +105,8 @@ def _drop_dots(segments: Column) -> Column:
 
     done = F.aggregate(segments, F.array().cast("array<string>"), step)
     ends_in_dots = F.element_at(segments, -1).isin(".", "..")
-    return F.array_join(F.concat(done, F.when(ends_in_dots, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+    empty_end = F.when(ends_in_dots, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(done, empty_end), "/")
 
 
 def _unsplit(

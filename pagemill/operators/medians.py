@@ -18,8 +18,8 @@ def grouped_median(df: DataFrame, keys: list[str], values: list[str], hot_rows:
     the window of such a group is about 0.2 % of it. Hot groups number at most rows / hot_rows, which
     bounds the broadcasts.
     """
-    pairs = F.array(*[F.struct(F.lit(i).alias("metric"), F.col(v).cast("double").alias("x")) for i, v in enumerate(values)])
-    long = df.select(*keys, F.inline(pairs)).filter(F.col("x").isNotNull())
+    pairs = [F.struct(F.lit(i).alias("metric"), F.col(v).cast("double").alias("x")) for i, v in enumerate(values)]
+    long = df.select(*keys, F.inline(F.array(*pairs))).filter(F.col("x").isNotNull())
     group = [*keys, "metric"]
 
     sizes = long.groupBy(group).agg(F.count("*").alias("_rows"))

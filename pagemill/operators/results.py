@@ -35,7 +35,11 @@ def normalised(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     widened = F.regexp_replace(line, r"(?s)^([^,]*+),?+(.*)\z", "$1,,,,$2")
     short = F.when(first, F.array(header)).when(strip(line) != "", F.array(moved(widened, 0)))
     bare = F.when(first, F.array(header, moved(line, 1))).otherwise(F.array(moved(line, 1)))
-    out = F.when(F.col("_shape") == "full", F.array(moved(line, 0))).when(F.col("_shape") == "short", short).otherwise(bare)
+    out = (
+        F.when(F.col("_shape") == "full", F.array(moved(line, 0)))
+        .when(F.col("_shape") == "short", short)
+        .otherwise(bare)
+    )
     return known.select("file", F.inline(out))
 
 

@@ -72,7 +72,9 @@ def plan_of(prompts: DataFrame) -> DataFrame:
     return asked.select("*", "_request.urls", "_request.limit").drop("_request").filter(F.size("urls") > 0)
 
 
-def prompt_results(prompts: DataFrame, crawled: DataFrame, prefs: DataFrame, version: str, mode: str = "auto") -> DataFrame:
+def prompt_results(
+    prompts: DataFrame, crawled: DataFrame, prefs: DataFrame, version: str, mode: str = "auto"
+) -> DataFrame:
     """Five-column results of all prompts (`prompt_id`, `prompt`) that ask for clean text, by `ord`; `texto`
     cut to the domain's limit, else to the prompt's."""
     wanted = plan_of(prompts).filter(F.col("skill") == requests.CLEAN_JOB)

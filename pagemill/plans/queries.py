@@ -168,7 +168,8 @@ def page_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("UTF-8")
     )
     encoded = [F.when(F.col("charset") == c, F.encode("html", c)) for c in ("ISO-8859-1", "UTF-16BE", "UTF-8")]
-    header = F.when(F.col("charset") != "UTF-8", F.concat(F.lit("text/html; Charset="), "charset")).otherwise("text/html")
+    named = F.concat(F.lit("text/html; Charset="), "charset")
+    header = F.when(F.col("charset") != "UTF-8", named).otherwise("text/html")
     served = (
         _pages(spark, sf_dir)
         .withColumn("charset", charset)
@@ -185,7 +186,8 @@ def _crawl_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page followed by its links: most link targets were never crawled, many are listed twice."""
     crawled = _pages(spark, sf_dir)
     own = crawled.select((F.col("page_id") * 1_000_000).alias("pos"), "url")
-    found = pages.links(crawled).select((F.col("page_id") * 1_000_000 + F.col("ord") + 1).alias("pos"), F.col("href").alias("url"))
+    place = F.col("page_id") * 1_000_000 + F.col("ord") + 1
+    found = pages.links(crawled).select(place.alias("pos"), F.col("href").alias("url"))
     # A list is read more than once in a lookup: through one shuffle, so that pages are read for it once.
     return own.unionByName(found).repartition("pos")
 
@@ -193,8 +195,8 @@ def _crawl_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with an answer code and a try number."""
     codes = [200, 301, 404, 429, 500, 503]
-    code = F.element_at(F.array(*map(F.lit, codes)), (F.pmod("page_id", F.lit(len(codes))) + 1).cast("int"))
-    attempt = F.pmod(F.length("url"), F.lit(4)) + 1
+    code = F.element_at(F.array(*map(F.lit, codes)), (F.col("page_id") % len(codes) + 1).cast("int"))
+    attempt = F.length("url") % 4 + 1
     return _pages(spark, sf_dir).withColumn("status", code).withColumn("attempt", attempt)
 
 
@@ -282,12 +284,12 @@ PHRASES = [
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per page: a phrase, the page's URL, sometimes a second URL and a limit."""
     crawled = _pages(spark, sf_dir)
-    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod("page_id", F.lit(len(PHRASES))) + 1).cast("int"))
-    second = F.when(F.pmod("page_id", F.lit(5)) == 0, F.concat(F.lit("; HTTPS://example.org/"), "page_id")).otherwise("")
-    limit = F.when(F.pmod("page_id", F.lit(4)) != 0, F.concat(F.lit(", a "), F.pmod("page_id", F.lit(900)), F.lit("  Caracteres"))).otherwise("")
-    return crawled.select(
-        F.col("page_id").alias("prompt_id"), F.concat(F.lit(" "), phrase, F.lit(" "), "url", second, limit).alias("prompt")
-    )
+    n = F.col("page_id")
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (n % len(PHRASES) + 1).cast("int"))
+    second = F.when(n % 5 == 0, F.concat(F.lit("; HTTPS://example.org/"), n)).otherwise("")
+    limit = F.when(n % 4 != 0, F.concat(F.lit(", a "), n % 900, F.lit("  Caracteres"))).otherwise("")
+    prompt = F.concat(F.lit(" "), phrase, F.lit(" "), "url", second, limit)
+    return crawled.select(n.alias("prompt_id"), prompt.alias("prompt"))
 
 
 @query
@@ -455,7 +457,8 @@ def _leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def leaderboard_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = trials.latest_runs(_leaderboard(spark, sf_dir))
-    return runs.select("task_root", "day", "ts", F.array_join("recipes", ",").alias("recipes"), "best.score", "best.time_s")
+    recipes = F.array_join("recipes", ",").alias("recipes")
+    return runs.select("task_root", "day", "ts", recipes, "best.score", "best.time_s")
 
 
 @query

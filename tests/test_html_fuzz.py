@@ -21,6 +21,8 @@ VOID = ["<br>", "<br/>", "<img src=a.png alt=\"x\">", "<meta name=\"description\
         "<a href=one href=two>"]
 BLOCKS = ["<script>var a = '<p>x</p>';</script>", "<SCRIPT src=x></SCRIPT>", "<style>p{}</style>", "<!-- c -->", "<!---->",
           "<!-- <h1>no</h1> -->", "<script>// <!-- \n</script>", "<noscript>off <b>on</b></noscript>",
+          "<noscript><script>'</noscript>'</script>on</noscript>", "<noscript><!-- </noscript> -->on</noscript>",
+          "<template><style></template></style>t</template>", "<p title=\"<!-- \">", "<a title='<script>' href=q>l</a>",
           "<template><h1>t</h1></template>", "<textarea>t</textarea>", "<!DOCTYPE html>", "<title>Tt, &quot;q&quot;</title>",
           "<h1>One <b>two</b>,\n three</h1>", "<h1> &nbsp;x<!-- y --> z<br>w</h1>", "<a href='/k'> k &lt;l&gt; </a>"]
 TEXT = ["word ", " ", "\n\t", "a,b ", "&amp;", "&amp;lt; ", "&copy;", "&copy 2020 ", "&nbsp;", "&#8212;", "&#x1F600;", "&#0;",
