@@ -14,6 +14,9 @@ EXAMPLE_STATUS = "200"
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*+):"
 _OPTIONAL_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.-]*+:)?+"
+_SUFFIX = r"(?:\?[^#\x00-\x20]++)?+(?:#[^\x00-\x20]++)?+\z"
+_ABSOLUTE = rf"^[a-z][a-z0-9+.-]*+://[^/?#;\x00-\x20]++(?:/[^;?#\x00-\x20]*+)?+{_SUFFIX}"
+_ROOTED = rf"^(?:/(?![/.])[^/;?#\x00-\x20]*+)++{_SUFFIX}"
 _BEFORE_PATH = rf"{_OPTIONAL_SCHEME}(?://[^/?#]*+)?+"
 
 
@@ -46,7 +49,13 @@ def url_key(url: Column) -> Column:
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of `href` found on the page `base` (an http(s) URL), as urllib's urljoin gives it."""
-    return let(_parts(base), lambda b: let(_parts(href), lambda h: _resolve(base, href, b, h)))
+    origin = F.regexp_extract(base, r"^[a-z][a-z0-9+.-]*+://[^/?#\x00-\x20]++", 0)
+    # Nearly all references are absolute already or start at the root: those need no taking apart.
+    return (
+        F.when(href.rlike(_ABSOLUTE), href)
+        .when((origin != "") & href.rlike(_ROOTED), F.concat(origin, href))
+        .otherwise(let(_parts(base), lambda b: let(_parts(href), lambda h: _resolve(base, href, b, h))))
+    )
 
 
 def _parts(url: Column) -> Column:
@@ -92,10 +101,7 @@ def _merge_paths(base: Column, path: Column) -> Column:
     segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(
         let(F.concat(folder, F.split(path, "/")), relative)
     )
-    resolved = let(segments, _drop_dots)
-    # Most links are rooted and hold no dot segment: those skip the array work.
-    plain = path.startswith("/") & ~path.contains("/.")
-    return F.when(plain, path).otherwise(F.regexp_replace(resolved, r"^\z", "/"))
+    return F.regexp_replace(let(segments, _drop_dots), r"^\z", "/")
 
 
 def _drop_dots(segments: Column) -> Column:

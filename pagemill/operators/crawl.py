@@ -65,9 +65,10 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def cache_update(cache: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Cache with the fetched pages (`url`, `html`) it did not hold yet."""
-    new = fetched.select(url_key(F.col("url")).alias("key"), "html").filter(F.col("html").isNotNull())
-    return cache.unionByName(new.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"]))
+    """Cache with the fetched pages (`pos`, `url`, `html`) it did not hold yet, the first of each URL."""
+    new = fetched.select(url_key(F.col("url")).alias("key"), "pos", "html").filter(F.col("html").isNotNull())
+    first = new.groupBy("key").agg(F.min_by("html", "pos").alias("html"))
+    return cache.unionByName(first.join(cache.select("key"), "key", "left_anti"))
 
 
 def decoded(crawl: DataFrame) -> DataFrame:

@@ -259,7 +259,7 @@ def cache_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of the pages served over http gets those served over https."""
     crawled = _pages(spark, sf_dir)
     cache = crawled.filter(F.col("url").startswith("http:")).select(U.url_key(F.col("url")).alias("key"), "html")
-    updated = crawl.cache_update(cache, crawled.select("url", "html"))
+    updated = crawl.cache_update(cache, crawled.select(F.col("page_id").alias("pos"), "url", "html"))
     return updated.select("key", F.length("html").alias("n_chars"))
 
 

@@ -71,7 +71,8 @@ def test_cache(spark, urls):
     split = crawl.cache_split(urls, cache, hot_rows=2)
     assert rows(split, "pos", "cached") == [(p, u == "http://b") for p, u in LIST]
     assert rows(crawl.cache_misses(urls, cache), "url") == sorted({(u,) for _, u in LIST if u != "http://b"})
-    fetched = spark.createDataFrame([("http://a", "A"), ("http://a", "A"), ("http://b", "new"), ("http://x", None)], "url STRING, html STRING")
+    pages_ = [(2, "http://a", "later"), (1, "http://a", "A"), (3, "http://b", "new"), (4, "http://x", None)]
+    fetched = spark.createDataFrame(pages_, "pos INT, url STRING, html STRING")
     updated = crawl.cache_update(cache, fetched)
     assert rows(updated, "html") == [("A",), ("old",)]
 
