@@ -46,9 +46,11 @@ ROUTES = {
 }
 DEFAULT_JOB = "web_titles_hard"
 
-# Defaults of a task.
+# What a task states, and what a CSV listing task states besides.
 METRIC = "correctness"
 TIMEOUT_S = 30
+LISTING_INPUT = "ruta"
+LISTING_OUTPUT = "lista_csv_ordenados"
 
 
 def route(prompt: Column) -> Column:
@@ -104,13 +106,13 @@ def task_spec(prompt: Column) -> Column:
     nothing = F.create_map().cast("map<string,string>")
     return F.struct(
         strip(prompt).alias("goal"),
-        F.when(is_csv, F.array(F.lit("ruta"))).otherwise(F.array().cast("array<string>")).alias("inputs"),
+        F.when(is_csv, F.array(F.lit(LISTING_INPUT))).otherwise(F.array().cast("array<string>")).alias("inputs"),
         F.when(is_csv, F.create_map(F.lit("sort_by"), sort_by, F.lit("order"), order))
         .otherwise(nothing)
         .alias("constraints"),
         F.lit(METRIC).alias("metric"),
         F.lit(TIMEOUT_S).alias("timeout_s"),
-        F.when(is_csv, F.create_map(F.lit("stdout"), F.lit("lista_csv_ordenados")))
+        F.when(is_csv, F.create_map(F.lit("stdout"), F.lit(LISTING_OUTPUT)))
         .otherwise(nothing)
         .alias("io_contract"),
     ).cast(schemas.TASK_SPEC)

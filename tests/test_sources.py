@@ -38,8 +38,8 @@ def test_listing_reads_no_content(spark, tmp_path):
 
 def test_scored_csv(spark, tmp_path):
     text = "name,score,date\nAna,91,2024-10-11\nLuis,77,2023-07-05\nMar,85,2025-01-10\nShort\n\"Pau, P\",80,2024-12-31\n"
-    (tmp_path / "datos.csv").write_text("﻿" + text, encoding="utf-8")
-    df = files.read_scored_csv(spark, str(tmp_path / "datos.csv")).withColumn("pos", F.monotonically_increasing_id())
+    (tmp_path / "scores.csv").write_text("﻿" + text, encoding="utf-8")
+    df = files.read_scored_csv(spark, str(tmp_path / "scores.csv")).withColumn("pos", F.monotonically_increasing_id())
     found = records.newest_records(df, "pos")
     assert [tuple(r) for r in found.collect()] == [("Mar", 85), ("Pau, P", 80), ("Ana", 91)]
 
@@ -80,10 +80,10 @@ def test_failed_pages_golden(spark, tmp_path):
 
 
 def test_document_golden(spark, tmp_path):
-    (tmp_path / "html.txt").write_text("﻿<p>Hola <b>mundo</b></p>", encoding="utf-8")
-    document = files.read_documents(spark, str(tmp_path), "html.txt").withColumnRenamed("text", "html")
+    (tmp_path / "page.html").write_text("﻿<p>Hola <b>mundo</b></p>", encoding="utf-8")
+    document = files.read_documents(spark, str(tmp_path), "page.html").withColumnRenamed("text", "html")
     for mode in ("auto", "native", "parser"):
-        assert [tuple(r) for r in pages.spaced_texts(document, mode).collect()] == [("html.txt", "Hola mundo")]
+        assert [tuple(r) for r in pages.spaced_texts(document, mode).collect()] == [("page.html", "Hola mundo")]
 
 
 def test_numbered_lines(spark, tmp_path):
