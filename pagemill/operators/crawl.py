@@ -1,4 +1,4 @@
-"""Crawl tables: latest page per URL, URL list to page, cache, status, retries."""
+"""Crawl tables: URL list to latest page, cache, status, retries."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.charset import decode
 from pagemill.functions.urls import EXAMPLE_STATUS, is_example, url_key
-from pagemill.operators.lookup import HOT_ROWS, lookup, newest_rows
+from pagemill.operators.lookup import HOT_ROWS, lookup
 
 # Answers worth another try, number of tries after the first, base of the waiting time.
 RETRY_STATUSES = [429, 500, 502, 503, 504]
@@ -15,11 +15,6 @@ RETRY_TOTAL = 2
 BACKOFF_S = 0.3
 
 
-def latest(pages: DataFrame, version: str) -> DataFrame:
-    """One row per URL, the one with the highest `version`."""
-    return newest_rows(pages, ["url"], version)
-
-
 def fetch(urls: DataFrame, pages: DataFrame, version: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of a URL list (`pos`, `url`; order and duplicates kept) with the columns of the latest page.
 
