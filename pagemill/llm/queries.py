@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat_format, decontaminate, warc
+from pagemill.llm import bpe, chat_format, decontaminate, token_store, warc
 from pagemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = public_tokenizers.path("byte_bpe_50k.json")
+    return token_store.ids_crc32(token_store.round_trip(table(spark, sf_dir, "documents"), tokens, end_id=2))
