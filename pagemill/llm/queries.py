@@ -5,10 +5,10 @@ from __future__ import annotations
 from typing import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat_format, decontaminate, token_store, warc
+from pagemill.llm import bpe, chat_format, decontaminate, language_id, quality, token_store, warc
 from pagemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,26 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = public_tokenizers.path("byte_bpe_50k.json")
     return token_store.ids_crc32(token_store.round_trip(table(spark, sf_dir, "documents"), tokens, end_id=2))
+
+
+def held_out() -> Column:
+    """Documents that nothing is learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(documents.filter(~held_out()))
+    found = language_id.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(documents, labels.filter(~held_out()))
+    found = quality.score(documents, model)
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return found.select("doc_id", held_out().alias("held_out"), "score", predicted)
