@@ -18,10 +18,12 @@ import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
+from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,14 @@ REMEMBERED = 1 << 18
 NONE = 1 << 40
 
 
+class Numbers(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class Vocabulary:
     """Token bytes by rank, and the ids of pieces met so far."""
 
@@ -45,7 +55,7 @@ class Vocabulary:
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
         if (self.of_byte < 0).any():
             raise ValueError("a byte-level vocabulary has a token for each byte")
-        self.met: dict[str, tuple[int, ...]] = {}
+        self.forget()
         # All pairs of tokens that make a token, not only the pair it was first made of.
         pairs = []
         for token, rank in ranks.items():
@@ -65,14 +75,14 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where(self.codes[at] == code, self.makes[at], NONE)
 
-    def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of all pieces, by applying every merge in rank order to all of them."""
+    def replay(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of all pieces (32-bit integers), by applying every merge in rank order to all of them."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(sizes)
         token = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         n = len(token)
         if not n:
-            return [()] * len(pieces)
+            return [b""] * len(pieces)
         piece = np.repeat(np.arange(len(pieces)), sizes)
         # Neighbours of a place in its piece; -1 stands before the first and after the last.
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -126,33 +136,41 @@ class Vocabulary:
             left = before[places]
             look(np.concatenate([places, left[left >= 0]]))
         alive = token >= 0
-        flat = token[alive].tolist()
-        upto = np.cumsum(alive)
+        flat = token[alive].astype(np.int32).tobytes()
+        upto = 4 * np.cumsum(alive)
         bounds = [0, *np.where(ends > 0, upto[ends - 1], 0).tolist()]
-        return [tuple(flat[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-
-    def meet(self, pieces: Iterable[str]) -> None:
-        """Remembers the ids of pieces; a piece that is a token needs no merge."""
-        unknown = [p for p in set(pieces) if p not in self.met]
-        if len(self.met) + len(unknown) > REMEMBERED:
-            self.met.clear()
-            unknown = list(set(pieces))
-        raw = [p.encode() for p in unknown]
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.flat, self.upto = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def meet(self) -> None:
+        """Learns the ids of the pieces that were numbered since; a piece that is a token needs no merge."""
+        raw = [p.encode() for p in islice(self.number, len(self.upto) - 1, None)]
         whole = [self.ranks.get(b, -1) for b in raw]
-        self.met.update((p, (t,)) for p, t in zip(unknown, whole, strict=True) if t >= 0)
-        rest = [k for k, t in enumerate(whole) if t < 0]
-        self.met.update(zip((unknown[k] for k in rest), self.replay([raw[k] for k in rest]), strict=True))
-
-    def encode(self, texts: list[str | None], split: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and where each text's begin (one more for the end)."""
-        found = [split.findall(t) if t else [] for t in texts]
-        everything = list(chain.from_iterable(found))
-        self.meet(everything)
-        ids = list(map(self.met.__getitem__, everything))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        return flat, upto[np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])]
+        merged = iter(self.replay([b for b, t in zip(raw, whole, strict=True) if t < 0]))
+        ids = [next(merged) if t < 0 else t.to_bytes(4, byteorder) for t in whole]
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.int32)])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(sizes)])
+
+    def encode(self, texts: Iterable[list[str | None]], split: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin (one more for the end). The texts come in
+        blocks, of which the pieces' numbers are kept."""
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        pieces, counts = [], [0]
+        for block in texts:
+            found = [split.findall(t) if t else [] for t in block]
+            counts += map(len, found)
+            pieces.append(np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int32, sum(map(len, found))))
+        self.meet()
+        piece = np.concatenate([*pieces, np.zeros(0, np.int32)])
+        sizes = (self.upto[1:] - self.upto[:-1])[piece]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.flat[np.repeat(self.upto[piece] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return flat, ends[np.cumsum(counts)]
 
 
 @lru_cache(maxsize=4)
@@ -162,15 +180,6 @@ def vocabulary(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())})
 
 
-def _list_array(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    flat = np.concatenate([f for f, _ in parts]) if parts else np.zeros(0, np.int32)
-    starts, base = [np.zeros(1, np.int64)], 0
-    for part, bounds in parts:
-        starts.append(bounds[1:] + base)
-        base += len(part)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(starts).astype(np.int32)), pa.array(flat, pa.int32()))
-
-
 def encode(documents: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Documents with their token `ids`. `ranks` is a rank file that every executor can open."""
 
@@ -178,8 +187,9 @@ def encode(documents: DataFrame, ranks: str, pattern: str, text: str = "text", i
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, split = vocabulary(ranks), regex.compile(pattern)
         for batch in batches:
-            sizes = np.array([len(t) if t else 0 for t in (x.as_py() for x in batch)])
-            yield _list_array([words.encode(batch.slice(a, b - a).to_pylist(), split) for a, b in slices(sizes, BLOCK_BYTES)])
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+            flat, bounds = words.encode((batch.slice(a, b - a).to_pylist() for a, b in slices(sizes, BLOCK_BYTES)), split)
+            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
 
     return documents.withColumn(ids, encoded(F.col(text)))
 
@@ -191,6 +201,9 @@ def decode(documents: DataFrame, ranks: str, ids: str = "ids", out: str = "decod
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = vocabulary(ranks).bytes_of.__getitem__
         for batch in batches:
-            yield pa.array([b"".join(map(token, row.as_py() or ())) for row in batch], pa.binary())
+            batch = batch.fill_null([])
+            tokens = list(map(token, batch.flatten().to_numpy().tolist()))
+            bounds = (batch.offsets.to_numpy() - batch.offsets[0].as_py()).tolist()
+            yield pa.array([b"".join(tokens[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
 
     return documents.withColumn(out, decoded(F.col(ids)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat_format, decontaminate, language_id, quality, token_store, warc
+from pagemill.llm import ann_vptree, bpe, chat_format, decontaminate, language_id, quality, token_store, warc
 from pagemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(documents, model)
     predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     return found.select("doc_id", held_out().alias("held_out"), "score", predicted)
+
+
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
