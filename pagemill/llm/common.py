@@ -72,3 +72,74 @@ def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     if first < len(sizes):
         out.append((first, len(sizes)))
     return out
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_POWER_OF = 0x9E3779B97F4A7C15 | 1
+PIECE_BYTES = 1 << 20
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values over all bits."""
+    hashes = hashes ^ (hashes >> np.uint64(30))
+    hashes = hashes * np.uint64(0xBF58476D1CE4E5B9)
+    hashes = hashes ^ (hashes >> np.uint64(27))
+    hashes = hashes * np.uint64(0x94D049BB133111EB)
+    return hashes ^ (hashes >> np.uint64(31))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    pair = []
+    for factor in (_POWER_OF, pow(_POWER_OF, -1, 1 << 64)):
+        powers = np.full(n, factor, np.uint64)
+        powers[:1] = 1
+        pair.append(np.cumprod(powers, dtype=np.uint64))
+    return pair[0], pair[1]
+
+
+_UP, _DOWN = _powers(PIECE_BYTES + 1)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, of_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts laid end to end, and where each text's begin (one more for the end).
+
+    `of_byte` has a value for each byte that stands in words, 0 for those between words. Long data are taken in pieces
+    that end between words.
+    """
+    hashes, counts = [], np.zeros(len(starts), np.int64)
+    values = of_byte[data]
+    inside = values != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = starts[:-1][np.diff(starts) > 0]
+    begins[edges] = inside[edges]  # a text's first byte starts a word of its own
+    first = 0
+    while first < len(data):
+        last = min(len(data), first + PIECE_BYTES)
+        if last < len(data):  # a piece ends before a word or a gap
+            cuts = np.flatnonzero(begins[first + 1 : last + 1] | ~inside[first + 1 : last + 1])
+            if len(cuts):
+                last = first + 1 + int(cuts[-1])
+            else:
+                beyond = np.flatnonzero(begins[last:] | ~inside[last:])
+                last = last + int(beyond[0]) if len(beyond) else len(data)
+        begin = np.flatnonzero(begins[first:last])
+        if len(begin):
+            n = last - first
+            up, down = (_UP, _DOWN) if n <= PIECE_BYTES else _powers(n + 1)
+            # Gaps add nothing, so a word's sum reaches up to the next word.
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[first:last] * up[:n], dtype=np.uint64)])
+            end = np.concatenate([begin[1:], [n]])
+            hashes.append(mixed((sums[end] - sums[begin]) * down[begin]))
+            np.add.at(counts, np.searchsorted(starts, first + begin, side="right"), 1)
+        first = last
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.cumsum(counts)
+
+
+def byte_values(between: set[int], lower: bool = True, seed: int = 1) -> np.ndarray:
+    """Values for `word_hashes`: odd random ones, 0 for the bytes `between` words, equal for A-Z and a-z if `lower`."""
+    values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    if lower:
+        values[65:91] = values[97:123]
+    values[sorted(between)] = 0
+    return values

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann_vptree, bpe, chat_format, decontaminate, language_id, quality, token_store, warc
+from pagemill.llm import ann_vptree, bpe, chat_format, decontaminate, language_id, ngram_join, quality, token_store, warc
 from pagemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
