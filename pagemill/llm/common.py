@@ -88,7 +88,7 @@ def mixed(hashes: np.ndarray) -> np.ndarray:
     return hashes ^ (hashes >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     pair = []
     for factor in (_POWER_OF, pow(_POWER_OF, -1, 1 << 64)):
         powers = np.full(n, factor, np.uint64)
@@ -97,7 +97,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return pair[0], pair[1]
 
 
-_UP, _DOWN = _powers(PIECE_BYTES + 1)
+_UP, _DOWN = _new_powers(PIECE_BYTES + 4097)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first `n` powers of an odd factor and of its inverse: what a place weighs in running sums of bytes."""
+    return (_UP, _DOWN) if n <= len(_UP) else _new_powers(n)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, of_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +131,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, of_byte: np.ndarray) -> tu
         begin = np.flatnonzero(begins[first:last])
         if len(begin):
             n = last - first
-            up, down = (_UP, _DOWN) if n <= PIECE_BYTES else _powers(n + 1)
+            up, down = powers(n + 1)
             # Gaps add nothing, so a word's sum reaches up to the next word.
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[first:last] * up[:n], dtype=np.uint64)])
             end = np.concatenate([begin[1:], [n]])
