@@ -4,22 +4,59 @@ from __future__ import annotations
 
 from typing import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate
+from pagemill.llm import bpe, decontaminate, language_id, ngram_join, suffix_dedup
 from pagemill.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Strings that stand in the corpus once: the bytes of some 40 words.
+REPEATED_BYTES = 256
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; those without a letter or far from all languages go."""
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.filter(~F.col("rejected")).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
+def first_of_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the long strings that an earlier place has; the documents themselves all stay."""
+    cut = suffix_dedup.without_repeats(docs, REPEATED_BYTES, keep="first")
+    return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("bigint")).select(*docs.columns)
+
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with words of a benchmark window go."""
+    """Documents without a word in a benchmark window."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES: list[tuple[str, Stage]] = [("decontamination", benchmark_free)]
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """`doc_id`, `lang`, `source`, the text's token `ids`, `n_tokens`, and the digest of what the ids decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    n_tokens = F.size("ids").cast("bigint").alias("n_tokens")
+    return both.select("doc_id", "lang", "source", "ids", n_tokens, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", known_language),
+    ("near_copies", one_of_near_copies),
+    ("repeats", first_of_repeats),
+    ("benchmark", benchmark_free),
+    ("token_ids", token_ids),
+]
 
-#: Training, suffix arrays, link components and byte pair merges are beyond SQL.
+#: Training, components of links, suffix order and byte pair merges are beyond SQL; tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
