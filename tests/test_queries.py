@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pagemill.plans.oracles import ORACLES
+from pagemill.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 UNCHECKED = {"file_listing", "file_listing_by_name"}  # file metadata, not table contents
@@ -26,14 +28,16 @@ def canonical(columns, rows):
 
 
 def test_all_are_checked():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == UNCHECKED
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == UNCHECKED
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    result = duck.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    result = duck.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
     expected = canonical(columns, result.fetchall())
@@ -42,7 +46,7 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(UNCHECKED))
 def test_listings(spark, name):
-    found = [tuple(r) for r in entry.queries()[name](spark, SF_DIR).collect()]
+    found = [tuple(r) for r in QUERIES[name](spark, SF_DIR).collect()]
     files = [(os.path.basename(p), os.path.getsize(p)) for p in glob.glob(f"{SF_DIR}/*.parquet")]
     assert found == sorted(files, key=lambda f: (-f[1], f[0]) if name == "file_listing" else f[0])
 
