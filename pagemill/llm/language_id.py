@@ -2,7 +2,8 @@
 
 A text is the TF-IDF vector of its hashed byte n-grams (two and three bytes, lower case, everything but letters a gap),
 of length one. Each language has several centroids, found by clustering its sample by cosine. A text has the language
-of the nearest centroid; one that is farther from it than nearly all of the sample was, less a margin, is rejected.
+of the nearest centroid. One that is farther from it than all of the sample was, less a margin, is rejected, unless it
+is too short to tell.
 
 `fit` draws a bounded sample for each language by the hash of doc_id and counts n-grams in Spark; the driver gets a
 vector of `DIMS` floats for each sampled text. The model has a fixed size for each language. `identify` looks at whole
@@ -35,6 +36,8 @@ ROUNDS = 12
 #: Of a language's sample, the share that may be farther than the bound, and the part of that bound that is enough.
 STRAYS = 0.0
 MARGIN = 0.5
+#: N-grams that a text needs to be rejected for its distance: a few words are far from every centroid.
+ENOUGH = 40
 CHUNK_BYTES = 1 << 20
 #: Rows of a chunk: a vector each.
 CHUNK_ROWS = 512
@@ -146,7 +149,7 @@ def nearest(model: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     near = vectors(counts, model.idf) @ model.centroids.T
     best = near.argmax(axis=1)
     cosine = near[np.arange(len(near)), best].astype(np.float64)
-    return best, np.clip(cosine, 0, 1), cosine < model.bounds[best]
+    return best, np.clip(cosine, 0, 1), (cosine < model.bounds[best]) & (counts.sum(axis=1) >= ENOUGH)
 
 
 PREDICTED = "struct<lang_pred: string, score: double, rejected: boolean>"
