@@ -15,12 +15,12 @@ def to_int(c: Column) -> Column:
 
 
 def to_date(c: Column) -> Column:
-    """`year-month-day` in exactly three numeric parts, zero padding optional, else NULL."""
-    parts = F.transform(F.split(c, "-"), strip)
+    """`year-month-day` in exactly three numeric parts, leading zeros at will, year 1 to 9999, else NULL."""
+    parts = F.transform(F.split(c, "-"), lambda p: F.regexp_replace(strip(p), r"^0++(?=\d)", ""))
     widths = F.array(F.lit(4), F.lit(2), F.lit(2))
     padded = F.zip_with(parts, widths, lambda p, w: F.when(F.length(p) > 0, F.lpad(p, F.greatest(w, F.length(p)), "0")))
     shape = F.array_join(padded, "-")
-    return F.when(shape.rlike(r"^\d{4}-\d{2}-\d{2}\z"), shape.try_cast("date"))
+    return F.when(shape.rlike(r"^(?!0000)\d{4}-\d{2}-\d{2}\z"), shape.try_cast("date"))
 
 
 def clamp01(c: Column) -> Column:

@@ -32,8 +32,8 @@ def paired(expected: DataFrame, got: DataFrame) -> DataFrame:
 def _per_file(verdicts: DataFrame, files: DataFrame | None) -> DataFrame:
     if files is None:
         return verdicts
-    # A file without lines on either side has nothing to differ in.
-    return files.select("file").distinct().join(verdicts, "file", "left").fillna(1.0, ["correct"])
+    # A file without lines on either side has nothing to differ in; lines of a file that is not expected count as wrong.
+    return files.select("file").distinct().join(verdicts, "file", "full_outer").fillna(1.0, ["correct"])
 
 
 def lines_equal(expected: DataFrame, got: DataFrame, files: DataFrame | None = None) -> DataFrame:

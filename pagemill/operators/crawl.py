@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.charset import decode
 from pagemill.functions.urls import EXAMPLE_STATUS, is_example, url_key
 from pagemill.operators.lookup import HOT_ROWS, lookup
+from pagemill.operators.prefilter import bit_set, may_hold
 
 # Answers worth another try, number of tries after the first, base of the waiting time.
 RETRY_STATUSES = [429, 500, 502, 503, 504]
@@ -24,6 +25,18 @@ def fetch(urls: DataFrame, pages: DataFrame, version: str, hot_rows: int = HOT_R
     return lookup(urls, pages, ["url"], spread="pos", newest=version, hot_rows=hot_rows)
 
 
+def wanted(urls: DataFrame, pages: DataFrame, version: str) -> DataFrame:
+    """Pages that a URL list asks for, the newest of each URL, and by chance a few others: to extract from.
+
+    Told on narrow columns; the pages themselves pass a bit set of fixed size where they are read, so none is
+    shuffled, and what an extraction costs goes by the list.
+    """
+    asked = pages.select("url", version).join(urls.select("url").distinct(), "url", "left_semi")
+    newest = asked.groupBy("url").agg(F.max(version).alias(version))
+    found = bit_set(newest.select(F.xxhash64("url", version).alias("hash")))
+    return pages.filter(may_hold(found, F.xxhash64("url", version)))
+
+
 def with_body_only(fetched: DataFrame, body: str = "html") -> DataFrame:
     """Fetched rows with a non-empty body: what the link and meta jobs look at."""
     return fetched.filter(F.col(body) != "")
@@ -54,16 +67,20 @@ def cache_split(requests: DataFrame, cache: DataFrame, hot_rows: int = HOT_ROWS)
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Each URL still to be fetched, once."""
-    missing = requests.select("url").distinct().withColumn("key", url_key(F.col("url")))
-    return missing.join(cache.select("key"), "key", "left_anti")
+    """Each URL still to be fetched, once. Copies of a request meet, and then the cache, by one key."""
+    keyed = requests.select(url_key(F.col("url")).alias("key"), "url")
+    first = keyed.groupBy("key").agg(F.min("url").alias("url"))
+    return first.join(cache.select("key"), "key", "left_anti")
 
 
 def cache_update(cache: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Cache with the fetched pages (`pos`, `url`, `html`) it did not hold yet, the first of each URL."""
-    new = fetched.select(url_key(F.col("url")).alias("key"), "pos", "html").filter(F.col("html").isNotNull())
-    first = new.groupBy("key").agg(F.min_by("html", "pos").alias("html"))
-    return cache.unionByName(first.join(cache.select("key"), "key", "left_anti"))
+    """Cache with the fetched pages (`pos`, `url`, `html`) it did not hold yet, the first of each URL.
+
+    Bodies of pages that it holds are dropped before the first of a URL is chosen.
+    """
+    keyed = fetched.select(url_key(F.col("url")).alias("key"), "pos", "html").filter(F.col("html").isNotNull())
+    new = keyed.join(cache.select("key"), "key", "left_anti")
+    return cache.unionByName(new.groupBy("key").agg(F.min_by("html", "pos").alias("html")))
 
 
 def decoded(crawl: DataFrame) -> DataFrame:

@@ -22,29 +22,29 @@ def lookup(
     """`left` with the columns of the one row of `right` that has the same `on`, NULLs where there is none.
 
     Keys with at least `hot_rows` rows on the left are cut into salted pieces of about that many rows, and
-    their right row is copied to every piece. At most rows(left) / hot_rows keys can be hot, which bounds
-    the broadcast: 100,000 keys for 10^11 rows. `spread` is a column whose values differ among the rows of
-    a key. Without hot keys the broadcasts are empty and adaptive execution drops them.
+    their right row is copied to every piece. At most rows(left) / hot_rows keys can be hot; how that list
+    travels is left to adaptive execution. `spread` is a column whose values differ among the rows of a key.
 
     `right` has one row per key, or several of which the one with the highest `newest` counts. Those are
-    cut down to one per map task, then by the very shuffle that the join needs anyway.
+    cut down to one before any copy is made.
     """
     spread = F.col(spread) if isinstance(spread, str) else spread
     counts = left.groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= hot_rows)
-    hot = F.broadcast(counts.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_pieces")))
+    hot = counts.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_pieces"))
     # Rows without a key match nothing: they may go anywhere.
     keyless = reduce(Column.__or__, [F.col(k).isNull() for k in on])
     piece = F.pmod(F.xxhash64(spread), F.when(keyless, KEYLESS_PIECES).otherwise(F.coalesce("_pieces", F.lit(1))))
     pieces = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
     salted = left.join(hot, on, "left").withColumn("_piece", piece.cast("int")).drop("_pieces")
-    copied = right.join(hot, on, "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
-    if newest:
-        copied = newest_rows(copied, [*on, "_piece"], newest)
+    single = newest_rows(right, on, newest) if newest else right
+    copied = single.join(hot, on, "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
     return salted.join(copied, [*on, "_piece"], "left").drop("_piece")
 
 
 def newest_rows(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """One row per key, the one with the highest `version`."""
+    """One row per key, the one with the highest `version`; rows without one are older than all others, and
+    among equal versions the hash of the rows decides."""
     rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(keys).agg(F.max_by(F.struct(*rest), version).alias("_row"))
+    order = F.struct(F.col(version).isNotNull(), F.col(version), F.xxhash64(*rest))
+    newest = df.groupBy(keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     return newest.select(*keys, *[F.col(f"_row.{c}") for c in rest])

@@ -15,15 +15,14 @@ def grouped_median(df: DataFrame, keys: list[str], values: list[str], hot_rows:
     (group, value) first, which spreads a group over all tasks, and a window then finds the middle ranks.
     In groups of at least `hot_rows` rows the values surely below and surely above the median, by an
     approximate percentile with a margin ten times its error, are folded into one count each: what reaches
-    the window of such a group is about 0.2 % of it. Hot groups number at most rows / hot_rows, which
-    bounds the broadcasts.
+    the window of such a group is about 0.2 % of it.
     """
     pairs = [F.struct(F.lit(i).alias("metric"), F.col(v).cast("double").alias("x")) for i, v in enumerate(values)]
     long = df.select(*keys, F.inline(F.array(*pairs))).filter(F.col("x").isNotNull())
     group = [*keys, "metric"]
 
     sizes = long.groupBy(group).agg(F.count("*").alias("_rows"))
-    hot = F.broadcast(sizes.filter(F.col("_rows") >= hot_rows).drop("_rows"))
+    hot = sizes.filter(F.col("_rows") >= hot_rows).drop("_rows")
     around = F.percentile_approx("x", [0.499, 0.501], 10_000)
     bounds = long.join(hot, group, "left_semi").groupBy(group).agg(around.alias("_around"))
     low, high = F.col("_around")[0], F.col("_around")[1]
@@ -31,7 +30,7 @@ def grouped_median(df: DataFrame, keys: list[str], values: list[str], hot_rows:
         F.when(F.col("x") < low, float("-inf")).when(F.col("x") > high, float("inf")).otherwise(F.col("x"))
     )
     counted = (
-        long.join(F.broadcast(bounds), group, "left")
+        long.join(bounds, group, "left")
         .groupBy(*group, folded.alias("x"))
         .agg(F.count("*").alias("_count"))
     )

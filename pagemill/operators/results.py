@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill import schemas
 from pagemill.functions.text import strip, truncate
 from pagemill.functions.urls import domain_key
-from pagemill.operators.lookup import HOT_ROWS, lookup
+from pagemill.operators.lookup import lookup
 
 HEADER = ",".join(schemas.CLEAN_COLUMNS)
 SHORT_HEADER = "url,texto"
-MAX_BROADCAST_PREFS = 100_000
 
 
-def normalised(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Result lines (`file`, `pos`, `line`) under the five-column header.
+def records_of(lines: DataFrame) -> DataFrame:
+    """Records of lines (`file`, `pos`, `line`): a record goes on as long as a quote is open, and has the position
+    of its first line. The lines of a file pass a running sum; only those of one record are put together."""
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2 == 1
+    upto = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = lines.withColumn("_first", F.when(~inside, F.col("pos")))
+    marked = marked.withColumn("_record", F.max("_first").over(upto))
+    parts = marked.groupBy("file", F.col("_record").alias("pos")).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_parts"))
+    return parts.select("file", "pos", F.array_join(F.transform("_parts", lambda p: p["line"]), "\n").alias("line"))
 
-    Told by the first line of each file: five columns stay, `url,texto` lines get three empty columns in
-    between, and a file without header gets one.
+
+def normalised(lines: DataFrame) -> DataFrame:
+    """Result records (`file`, `pos`, `line`) under the five-column header; texts are moved once, by their file.
+
+    Told by the first line of each file: five columns stay, `url,texto` records get three empty columns in
+    between and lose blank lines, and a file without header gets one.
     """
+    records = records_of(lines)
     start = F.lower(strip(F.col("line")))
     shape = F.when(start.startswith(HEADER), "full").when(start.startswith(SHORT_HEADER), "short").otherwise("bare")
-    heads = lines.filter(F.col("pos") == 0).select("file", shape.alias("_shape"))
-    known = lookup(lines, heads, ["file"], spread="pos", hot_rows=hot_rows)
+    known = records.withColumn("_shape", F.first(shape).over(Window.partitionBy("file").orderBy("pos")))
 
     header = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(HEADER).alias("line"))
 
@@ -44,10 +56,10 @@ def normalised(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def rows(lines: DataFrame) -> DataFrame:
-    """Records of normalised lines: `file`, `pos` and the five columns, absent ones empty."""
+    """The five columns of normalised records: `file`, `pos` and the columns, absent ones empty."""
     schema = ", ".join(f"{c} STRING" for c in schemas.CLEAN_COLUMNS)
     data = lines.filter((F.col("pos") > 0) & (F.col("line") != ""))
-    record = F.from_csv("line", schema, {"escape": '"'})
+    record = F.from_csv("line", schema, {"escape": '"', "multiLine": "true"})
     return five_columns(data.select("file", "pos", record.alias("_r")).select("file", "pos", "_r.*"), "file", "pos")
 
 
@@ -82,19 +94,15 @@ def limited(
     prefs: DataFrame,
     default: Column | int | None = None,
     compat: bool = False,
-    max_prefs: int = MAX_BROADCAST_PREFS,
+    spread: Column | str = "url",
 ) -> DataFrame:
-    """`texto` cut to the limit of the URL's domain, else to `default`.
+    """`texto` cut to the limit of the URL's domain (the highest, if it has several), else to `default`.
 
-    Up to `max_prefs` preferences are broadcast, which one bounded count makes sure of; the results then
-    stay where they are. A larger table is joined by domain, hot domains in pieces.
+    `spread` differs among the rows of a domain. Adaptive execution broadcasts preferences that turn out small.
     """
-    limits = prefs.select(F.col("domain").alias("_domain"), F.col("limit").alias("_limit"))
+    limits = prefs.groupBy(F.col("domain").alias("_domain")).agg(F.max("limit").alias("_limit"))
     keyed = results.withColumn("_domain", domain_key(strip(F.col("url")), compat))
-    if limits.limit(max_prefs + 1).count() <= max_prefs:
-        found = keyed.join(F.broadcast(limits), "_domain", "left")
-    else:
-        found = lookup(keyed, limits, ["_domain"], spread="url")
+    found = lookup(keyed, limits, ["_domain"], spread=spread)
     default = F.lit(default) if isinstance(default, int) else default
     own = F.col("_limit") if default is None else F.coalesce("_limit", default)
     return found.withColumn("texto", truncate(F.col("texto"), own)).drop("_domain", "_limit")

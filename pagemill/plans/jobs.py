@@ -1,11 +1,14 @@
 """Whole jobs: URL list to table, prompts to results, trials to leaderboard.
 
-Pages are extracted before anything is shuffled, so joins move titles or texts and never page bodies.
+Pages that a list does not ask for, and older versions, are left out before extraction; the others are
+extracted before anything is shuffled, so joins move titles or texts and never page bodies.
 `version` names the column of the crawl that tells a URL's newer page from its older one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ from pagemill.operators.lookup import lookup
 NOT_FETCHED = "(error) page not fetched"
 
 
+def _fetched(urls: DataFrame, crawled: DataFrame, version: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return crawl.fetch(urls, extract(crawl.wanted(urls, crawled, version)), version)
+
+
 def _filled(fetched: DataFrame, name: str, example: str | None = None) -> DataFrame:
     value = F.coalesce(name, F.lit(""))
     if example is not None:
@@ -26,15 +33,15 @@ def _filled(fetched: DataFrame, name: str, example: str | None = None) -> DataFr
 
 
 def title_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    return _filled(crawl.fetch(urls, pages.titles(crawled, mode), version), "title", EXAMPLE_TITLE)
+    return _filled(_fetched(urls, crawled, version, lambda c: pages.titles(c, mode)), "title", EXAMPLE_TITLE)
 
 
 def h1_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    return _filled(crawl.fetch(urls, pages.h1s(crawled, mode), version), "h1", EXAMPLE_TITLE)
+    return _filled(_fetched(urls, crawled, version, lambda c: pages.h1s(c, mode)), "h1", EXAMPLE_TITLE)
 
 
 def text_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    return _filled(crawl.fetch(urls, pages.texts(crawled, mode), version), "texto")
+    return _filled(_fetched(urls, crawled, version, lambda c: pages.texts(c, mode)), "texto")
 
 
 def status_job(urls: DataFrame, crawled: DataFrame, version: str) -> DataFrame:
@@ -43,12 +50,12 @@ def status_job(urls: DataFrame, crawled: DataFrame, version: str) -> DataFrame:
 
 
 def link_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    found = crawl.fetch(urls, pages.extract(crawled, "links", pages.LINKS, mode), version)
+    found = _fetched(urls, crawled, version, lambda c: pages.extract(c, "links", pages.LINKS, mode))
     return pages.link_rows(found.select("pos", "url", "links"))
 
 
 def meta_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    found = crawl.fetch(urls, pages.extract(crawled, "metas", pages.META, mode), version)
+    found = _fetched(urls, crawled, version, lambda c: pages.extract(c, "metas", pages.META, mode))
     return pages.meta_rows(found.select("pos", "url", "metas"))
 
 
@@ -60,7 +67,7 @@ def _errors_told(fetched: DataFrame) -> DataFrame:
 def clean_job(
     urls: DataFrame, crawled: DataFrame, version: str, limit: Column | int | None = None, mode: str = "auto"
 ) -> DataFrame:
-    fetched = _errors_told(crawl.fetch(urls, pages.clean_records(crawled, limit, mode), version))
+    fetched = _errors_told(_fetched(urls, crawled, version, lambda c: pages.clean_records(c, limit, mode)))
     return results.five_columns(fetched, "pos")
 
 
@@ -79,10 +86,10 @@ def prompt_results(
     cut to the domain's limit, else to the prompt's."""
     wanted = plan_of(prompts).filter(F.col("skill") == requests.CLEAN_JOB)
     urls = wanted.select("prompt_id", "limit", F.posexplode("urls").alias("ord", "url"))
-    records = pages.clean_records(crawled, mode=mode)
+    records = pages.clean_records(crawl.wanted(urls, crawled, version), mode=mode)
     fetched = _errors_told(lookup(urls, records, ["url"], F.struct("prompt_id", "ord"), newest=version))
     rows = results.five_columns(fetched, "prompt_id", "ord", "limit")
-    return results.limited(rows, prefs, default=F.col("limit")).drop("limit")
+    return results.limited(rows, prefs, default=F.col("limit"), spread=F.struct("prompt_id", "ord")).drop("limit")
 
 
 def best_runs(trial_table: DataFrame, strict: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import prompts as P
@@ -12,7 +12,8 @@ from pagemill.functions import urls as U
 from pagemill.functions.text import output_lines
 from pagemill.operators import compare, crawl, pages, records, results, trials
 from pagemill.plans import jobs
-from pagemill.sources.files import list_files
+from pagemill.sources.files import url_rows
+from pagemill.sources.sinks import preview
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,19 +60,36 @@ def csv_filter_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.newest_records(_records(spark, sf_dir), tie="o_orderkey")
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the id as name, the text's bytes as size."""
+    documents = _table(spark, sf_dir, "documents")
+    return documents.select(F.col("doc_id").cast("string").alias("name"), F.octet_length("text").cast("bigint").alias("size"))
+
+
 @query
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.sorted_files(list_files(spark, sf_dir, "*.parquet", recursive=True))
+    return records.sorted_files(_files(spark, sf_dir))
 
 
 @query
 def file_listing_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.sorted_files(list_files(spark, sf_dir, "*.parquet", recursive=True), "name", "asc")
+    return records.sorted_files(_files(spark, sf_dir), "name", "asc")
 
 
 # --- page extraction ----------------------------------------------------------------------------------
 
 
+def _without_title(crawled: DataFrame) -> DataFrame:
+    """Every third page loses its title, so that its heading takes the place."""
+    bare = F.regexp_replace("html", r"(?is)<title[^>]*>.*?</title>", "")
+    return crawled.withColumn("html", F.when(F.col("page_id") % 3 == 0, bare).otherwise(F.col("html")))
+
+
+@query
+def page_title_or_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.titles(_without_title(_pages(spark, sf_dir)))
+
+
 @query
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.titles(_pages(spark, sf_dir))
@@ -183,13 +201,20 @@ def page_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crawl_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page followed by its links: most link targets were never crawled, many are listed twice."""
+    """Every page followed by its links: most link targets were never crawled, many are listed twice. Every third
+    page is asked for again, every tenth brings a URL of an example host, and every other one the first page's."""
     crawled = _pages(spark, sf_dir)
     own = crawled.select((F.col("page_id") * 1_000_000).alias("pos"), "url")
     place = F.col("page_id") * 1_000_000 + F.col("ord") + 1
     found = pages.links(crawled).select(place.alias("pos"), F.col("href").alias("url"))
     # A list is read more than once in a lookup: through one shuffle, so that pages are read for it once.
-    return own.unionByName(found).repartition("pos")
+    n = F.col("page_id")
+    first = crawled.agg(F.min_by("url", "page_id").alias("first_url"))
+    more = {900_000: (n % 3 == 0, F.col("url")), 900_001: (n % 10 == 0, F.concat(F.lit("https://Example.com/"), n))}
+    again = [F.when(asked, F.struct((n * 1_000_000 + at).alias("pos"), url.alias("url"))) for at, (asked, url) in more.items()]
+    extra = crawled.select(F.inline(F.array_compact(F.array(*again))))
+    hot = crawled.filter(n % 2 == 0).select((n * 1_000_000 + 900_002).alias("pos"), first.scalar().alias("url"))
+    return own.unionByName(found).unionByName(extra).unionByName(hot).repartition("pos")
 
 
 def _crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,9 +225,17 @@ def _crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).withColumn("status", code).withColumn("attempt", attempt)
 
 
+def _versions(crawled: DataFrame) -> DataFrame:
+    """Every page with an older version, and one of unknown age."""
+    old = F.lit("<title>old</title><h1>old</h1>").alias("html")
+    known = crawled.select((-F.col("page_id") - 1).alias("page_id"), "url", old)
+    unknown = crawled.select(F.lit(None).cast("bigint").alias("page_id"), "url", old)
+    return crawled.unionByName(known).unionByName(unknown)
+
+
 @query
 def crawl_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.title_job(_crawl_list(spark, sf_dir), _pages(spark, sf_dir), "page_id")
+    return jobs.title_job(_crawl_list(spark, sf_dir), _versions(_pages(spark, sf_dir)), "page_id")
 
 
 @query
@@ -282,13 +315,14 @@ PHRASES = [
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per page: a phrase, the page's URL, sometimes a second URL and a limit."""
+    """One request per page: a phrase, mostly the page's URL, sometimes a second URL and a limit."""
     crawled = _pages(spark, sf_dir)
     n = F.col("page_id")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (n % len(PHRASES) + 1).cast("int"))
     second = F.when(n % 5 == 0, F.concat(F.lit("; HTTPS://example.org/"), n)).otherwise("")
     limit = F.when(n % 4 != 0, F.concat(F.lit(", a "), n % 900, F.lit("  Caracteres"))).otherwise("")
-    prompt = F.concat(F.lit(" "), phrase, F.lit(" "), "url", second, limit)
+    url = F.when(n % 11 == 3, "the page").otherwise(F.concat("url", second))
+    prompt = F.concat(F.lit(" "), phrase, F.lit(" "), url, limit)
     return crawled.select(n.alias("prompt_id"), prompt.alias("prompt"))
 
 
@@ -386,23 +420,45 @@ def _quoted(c: Column) -> Column:
 
 
 def _result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One result file per page, in one of the three shapes they come in."""
+    """One result file per page, in one of the three shapes they come in; titles and texts hold line breaks, blank
+    lines and quotes."""
     rows = pages.clean_records(_pages(spark, sf_dir))
+    rows = rows.withColumn("title", F.concat("title", F.lit('\n\n"x", y'))).withColumn("texto", F.concat("texto", F.lit("\nurl,texto")))
     full = F.concat_ws(",", *[_quoted(F.col(c)) for c in ("url", "title", "h1", "meta_description", "texto")])
     short = F.concat_ws(",", F.col("url"), _quoted(F.col("texto")))
     shape = F.pmod("page_id", F.lit(3))
     lines = (
         F.when(shape == 0, F.array(F.lit("URL,title,h1,meta_description,texto"), full))
-        .when(shape == 1, F.array(F.lit(" url,texto "), short, F.lit("  ")))
+        .when(shape == 1, F.array(F.lit(" url,texto "), short, F.lit("  "), short))
         .otherwise(F.array(full, full))
     )
-    files = rows.select(F.col("page_id").alias("file"), F.posexplode(lines).alias("pos", "line"))
-    return files.repartition("file", "pos")  # read more than once, like a crawl list
+    physical = F.split(F.array_join(lines, "\n"), "\n")
+    return rows.select(F.col("page_id").alias("file"), F.posexplode(physical).alias("pos", "line"))
 
 
 @query
 def result_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.rows(results.normalised(_result_lines(spark, sf_dir)))
+    found = results.rows(results.normalised(_result_lines(spark, sf_dir)))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("pos")).cast("bigint")
+    return found.withColumn("pos", place)
+
+
+@query
+def result_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three lines of each file, where positions have gaps."""
+    return preview(_result_lines(spark, sf_dir).filter(F.col("pos") % 3 != 1), 3)
+
+
+# --- URL lists ----------------------------------------------------------------------------------------
+
+
+@query
+def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs as lines of a list, with blanks, byte-order marks and blank lines, read as the URL reader does."""
+    n = F.col("page_id")
+    line = F.when(n % 4 == 0, F.concat(F.lit("\ufeff "), "url", F.lit("\t"))).when(n % 4 == 1, F.lit(" \r")).otherwise(F.col("url"))
+    lines = _pages(spark, sf_dir).select(n.alias("pos"), line.alias("url"))
+    return url_rows(lines, every_bom=True)
 
 
 # --- trials -------------------------------------------------------------------------------------------
@@ -432,15 +488,29 @@ def trial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trials.scored(_trials(spark, sf_dir)).drop("k"), "score")
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are read more than once: through one shuffle, so that they are worked out once."""
+    return trials.scored(_trials(spark, sf_dir)).repartition("task", "candidate")
+
+
 @query
 def trial_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trials.aggregate_repeats(trials.scored(_trials(spark, sf_dir)))
+    found = trials.aggregate_repeats(_scored(spark, sf_dir))
+    return _rounded(found, "time_s", "score", "peak_mb")
+
+
+@query
+def trial_aggregate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With candidates that were never run: each task's, under negative numbers."""
+    known = _scored(spark, sf_dir).select("task", "candidate")
+    never = known.withColumn("candidate", -F.col("candidate") - 1)
+    found = trials.aggregate_repeats(_scored(spark, sf_dir), known.unionByName(never))
     return _rounded(found, "time_s", "score", "peak_mb")
 
 
 @query
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trials.aggregate_repeats(trials.scored(_trials(spark, sf_dir)))
+    found = trials.aggregate_repeats(_scored(spark, sf_dir))
     return trials.best(_rounded(found, "time_s", "score", "peak_mb"))
 
 

@@ -30,6 +30,13 @@ def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def url_rows(lines: DataFrame, every_bom: bool = False) -> DataFrame:
+    """`pos` and `url` of the lines of a URL list, blank ones dropped; byte-order marks go from every line or only
+    where the reader took them."""
+    url = strip(strip_bom(F.col("url"))) if every_bom else strip(F.col("url"))
+    return lines.select("pos", url.alias("url")).filter(F.col("url") != "")
+
+
 def read_urls(
     spark: SparkSession, path: str, invalid: str = "replace", every_bom: bool = False, missing_ok: bool = False
 ) -> DataFrame:
@@ -49,8 +56,7 @@ def read_urls(
     if invalid == "ignore":
         valid = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(valid, F.lit("\ufffd"), F.lit("")))
     numbered = lines.select(F.monotonically_increasing_id().alias("pos"), valid.alias("url"))
-    url = strip(strip_bom(F.col("url"))) if every_bom else strip(F.col("url"))
-    return numbered.select("pos", url.alias("url")).filter(F.col("url") != "")
+    return url_rows(numbered, every_bom)
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -65,8 +71,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """`file`, `pos` (0, 1, ... within the file) and `line` of text files of any size.
 
     Files are read in splits. Ids increase within a split, so a line's position is its distance from the
-    first id of the split plus the lines of the splits before. That table has one row per split, 800,000
-    for 100 TB, and is broadcast, so the lines themselves are never shuffled.
+    first id of the split plus the lines of the splits before. That table has one row per split. Both scans
+    have to cut files alike; a line whose split is not in the table is an error, not a loss.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -80,8 +86,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
         .select("file", "_block", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
     )
-    pos = F.col("_before") + F.col("_id") - F.col("_first")
-    return lines.join(F.broadcast(blocks), ["file", "_block"]).select("file", pos.alias("pos"), "line")
+    known = F.coalesce("_first", F.raise_error(F.concat(F.lit("lines were read in other splits: "), "file")).cast("bigint"))
+    pos = F.col("_before") + F.col("_id") - known
+    return lines.join(blocks, ["file", "_block"], "left").select("file", pos.alias("pos"), "line")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

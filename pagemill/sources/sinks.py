@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill import schemas
@@ -37,8 +37,10 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def preview(lines: DataFrame, k: int = 3) -> DataFrame:
-    """First `k` lines of every file (`file`, `pos`, `line`): a filter, since lines are numbered."""
-    return lines.filter(F.col("pos") < k)
+    """First `k` lines of every file (`file`, `pos`, `line`), whatever their positions; each task passes on at most
+    `k` lines of a file."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy("pos"))
+    return lines.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
 def preferred_preview(results: DataFrame, output: DataFrame, k: int = 3) -> DataFrame:

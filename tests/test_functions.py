@@ -71,11 +71,11 @@ def test_integers(spark):
 
 def test_dates(spark):
     values = ["2024-10-11", "2024-1-5", " 2024 - 1 - 5 ", "2024-13-01", "2024-02-30", "2024-01", "2024-01-01-01", "", None,
-              "20245-1-1", "24-1-1", "2024-001-01", "a-b-c", "2024--1"]
+              "20245-1-1", "24-1-1", "2024-001-01", "02024-1-5", "0000-01-01", "a-b-c", "2024--1"]
     found = apply(spark, numbers.to_date, values)
     day = datetime.date
     assert found[:3] == [day(2024, 10, 11), day(2024, 1, 5), day(2024, 1, 5)]
-    assert found[3:] == [None] * 7 + [day(24, 1, 1), None, None, None]
+    assert found[3:] == [None] * 7 + [day(24, 1, 1), day(2024, 1, 1), day(2024, 1, 5), None, None, None]
 
 
 def test_score(spark):

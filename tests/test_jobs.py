@@ -112,10 +112,9 @@ RESULT_FILES = {
 }
 
 
-@pytest.mark.parametrize("hot_rows", [2, 10**6])
-def test_results_get_five_columns(spark, hot_rows):
+def test_results_get_five_columns(spark):
     lines = [(f, i, line) for f, ls in RESULT_FILES.items() for i, line in enumerate(ls)]
-    normal = results.normalised(spark.createDataFrame(lines, "file STRING, pos INT, line STRING"), hot_rows)
+    normal = results.normalised(spark.createDataFrame(lines, "file STRING, pos INT, line STRING"))
     by_file = {}
     for f, _, line in rows(normal, "file", "pos", "line"):
         by_file.setdefault(f, []).append(line)
@@ -129,11 +128,44 @@ def test_results_get_five_columns(spark, hot_rows):
                      ("u5", "", "", "", ""), ("u6", "t", "", "", ""), ("u7", "t", "h", "m", "x")]
 
 
+def test_results_of_several_lines(spark):
+    title, text = 'Line one\n\n"two", url,texto', "x\n  \ny"
+    quoted = lambda s: '"' + s.replace('"', '""') + '"'
+    shapes = {
+        "full": ["url,title,h1,meta_description,texto", f"u1,{quoted(title)},h,m,{quoted(text)}", "u2,t,h,m,x"],
+        "short": ["url,texto", f"u3,{quoted(text)}", "  ", "u4,z"],
+        "bare": [f"u5,{quoted(title)},h,m,{quoted(text)}", "u6,t"],
+    }
+    lines = [(f, i, line) for f, ls in shapes.items() for i, line in enumerate("\n".join(ls).split("\n"))]
+    normal = results.normalised(spark.createDataFrame(lines, "file STRING, pos INT, line STRING"))
+    found = rows(results.rows(normal), "url", "title", "texto")
+    assert found == [("u1", title, text), ("u2", "t", "x"), ("u3", "", text), ("u4", "", "z"), ("u5", title, text), ("u6", "t", "")]
+
+
+def test_versions_that_are_unknown_or_equal(spark):
+    urls = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "pos INT, url STRING")
+    data = [("a", "T", None), ("b", "old", None), ("b", "new", 3), ("b", "older", 2), ("c", "x", 1), ("c", "y", 1), ("d", "z", 9)]
+    crawled = spark.createDataFrame(data, "url STRING, title STRING, version INT")
+    asked = crawl.wanted(urls, crawled, "version")
+    assert {r.title for r in asked.collect()} >= {"T", "new", "x", "y"} and "old" not in {r.title for r in asked.collect()}
+    found = rows(crawl.fetch(urls, asked, "version"), "url", "title")
+    assert found[:2] == [("a", "T"), ("b", "new")] and len(found) == 3
+    assert found == rows(crawl.fetch(urls, crawled.orderBy("title"), "version"), "url", "title")
+
+
+def test_outputs_of_unknown_files_count_as_wrong(spark):
+    side = lambda *rows: spark.createDataFrame(rows, "file STRING, text STRING")
+    expected, got = side(("x", "a")), side(("x", "a"), ("y", "b"))
+    found = compare.lines_equal(compare.normalised_lines(expected), compare.normalised_lines(got), expected)
+    assert rows(found, "file", "correct") == [("x", 1.0), ("y", 0.0)]
+
+
 def test_limits_by_domain(spark):
     table = spark.createDataFrame([("http://www.ogp.me/x", "a😀cdef"), ("http://OGP.me", "abcdef"), ("http://none", "abcdef"), ("http://zero.x", "abcdef")], "url STRING, texto STRING")
     prefs = spark.createDataFrame([("ogp.me", 3), ("zero.x", 0)], "domain STRING, limit INT")
-    for max_prefs in (1, 100):  # joined by domain, broadcast
-        assert rows(results.limited(table, prefs, 5, max_prefs=max_prefs), "url", "texto") == [
+    again = prefs.unionByName(spark.createDataFrame([("ogp.me", 2)], prefs.schema))  # the highest counts
+    for own in (prefs, again):
+        assert rows(results.limited(table, own, 5), "url", "texto") == [
             ("http://OGP.me", "abc"), ("http://none", "abcde"), ("http://www.ogp.me/x", "a😀c"), ("http://zero.x", "abcdef")]
     assert ("http://none", "abcdef") in rows(results.limited(table, prefs), "url", "texto")
 

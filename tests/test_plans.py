@@ -3,8 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
-from pagemill.operators import crawl, pages, results, trials
+from pagemill.operators import crawl, pages, trials
 from pagemill.plans import jobs, queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -21,16 +20,16 @@ def lines(df, word):
 @pytest.mark.parametrize("name", ["page_titles", "page_h1", "page_links", "page_meta", "page_text", "page_text_spaced", "page_clean",
                                   "csv_kept", "url_parts", "retry_queue", "prompt_route", "prompt_request", "prompt_spec"])
 def test_row_jobs_do_not_shuffle(spark, name):
-    assert lines(entry.queries()[name](spark, SF_DIR), "Exchange") == []
+    assert lines(queries.QUERIES[name](spark, SF_DIR), "Exchange") == []
 
 
 def test_top_records_are_not_sorted_whole(spark):
-    df = entry.queries()["csv_filter_top"](spark, SF_DIR)
+    df = queries.QUERIES["csv_filter_top"](spark, SF_DIR)
     assert lines(df, "TakeOrderedAndProject") and not lines(df, "Exchange range")
 
 
 def test_only_odd_bodies_cross_into_python(spark):
-    df = entry.queries()["page_titles"](spark, SF_DIR)
+    df = queries.QUERIES["page_titles"](spark, SF_DIR)
     (udf,) = lines(df, "ArrowEvalPython")
     assert "_odd" in udf
     below = plan(df).split("ArrowEvalPython")[1].splitlines()[1]
@@ -39,7 +38,7 @@ def test_only_odd_bodies_cross_into_python(spark):
 
 def test_extraction_is_planned_once(spark):
     """No size filter with a copy of the extraction below the explode."""
-    text = plan(entry.queries()["page_links"](spark, SF_DIR))
+    text = plan(queries.QUERIES["page_links"](spark, SF_DIR))
     assert text.count("Generate posexplode(links") == 1 and "size(" not in text.split("Generate")[1].split("ArrowEvalPython")[0]
 
 
@@ -47,7 +46,7 @@ def test_extraction_is_planned_once(spark):
 def test_bodies_are_never_shuffled(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if nothing were small
     try:
-        df = entry.queries()[name](spark, SF_DIR)
+        df = queries.QUERIES[name](spark, SF_DIR)
         pending = [df._jdf.queryExecution().executedPlan()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -64,22 +63,36 @@ def test_bodies_are_never_shuffled(spark, name):
 
 
 def test_status_job_reads_no_bodies(spark):
-    df = entry.queries()["page_status"](spark, SF_DIR)
+    df = queries.QUERIES["page_status"](spark, SF_DIR)
     scans = [line for line in plan(df).splitlines() if "ReadSchema" in line]
     assert any("html" not in scan for scan in scans)
-    assert lines(entry.queries()["retry_queue"](spark, SF_DIR), "ReadSchema")[0].count("html") == 0
+    assert lines(queries.QUERIES["retry_queue"](spark, SF_DIR), "ReadSchema")[0].count("html") == 0
 
 
-def test_small_preferences_are_broadcast(spark):
-    """Also where Spark does not know how small they are."""
-    rows = pages.clean_records(queries._pages(spark, SF_DIR))
-    prefs = spark.createDataFrame([("ogp.me", 400)], "domain STRING, limit INT")
-    df = results.limited(rows, prefs)
-    assert lines(df, "BroadcastHashJoin") and not lines(df, "Exchange hashpartitioning")
+def test_no_job_runs_while_a_query_is_built(spark):
+    sc, seen = spark.sparkContext, []
+    for name in ("page_clean_limited", "prompt_results", "crawl_titles", "trial_aggregate"):
+        queries.QUERIES[name](spark, SF_DIR)  # file footers are read once
+        sc.setJobGroup(f"built-{name}", name)
+        queries.QUERIES[name](spark, SF_DIR)
+        seen += [j for j in sc.statusTracker().getJobIdsForGroup(f"built-{name}") if "parquet" not in str(sc.statusTracker().getJobInfo(j))]
+    sc.setJobGroup("tests", "tests")
+    assert len(seen) <= 12  # schema reads only
+
+
+def test_only_wanted_pages_are_extracted(spark):
+    """The restriction stands below the extraction, whatever the size of the list."""
+    crawled = queries._pages(spark, SF_DIR)
+    one = crawled.limit(1).select(F.col("page_id").alias("pos"), "url")
+    text = plan(jobs.title_job(one, crawled, "page_id"))
+    below = text[text.index("ArrowEvalPython") :]
+    assert "ubquery" in below[: below.index("FileScan")]
+    found = crawl.wanted(one, crawled, "page_id")
+    assert found.count() < 5
 
 
 def test_record_scan_reads_needed_columns_only(spark):
-    (scan,) = lines(entry.queries()["csv_kept"](spark, SF_DIR), "FileScan")
+    (scan,) = lines(queries.QUERIES["csv_kept"](spark, SF_DIR), "FileScan")
     assert "o_totalprice" in scan and "o_custkey" not in scan
 
 
@@ -89,7 +102,7 @@ def test_baselines_aggregate_by_hash(spark):
 
 
 def test_no_cartesian_products(spark):
-    for name, build in entry.queries().items():
+    for name, build in queries.QUERIES.items():
         text = plan(build(spark, SF_DIR))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 

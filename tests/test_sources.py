@@ -140,6 +140,8 @@ def test_preview(spark):
     raw = df(*[(f, i, f"o{i}") for f in "ab" for i in range(4)])
     assert sorted((r.file, r.line) for r in sinks.preferred_preview(made, raw).collect()) == [
         ("a", "r0"), ("a", "r1"), ("a", "r2"), ("b", "o0"), ("b", "o1"), ("b", "o2")]
+    gaps = df(*[("a", i, f"g{i}") for i in (0, 1, 3, 7, 9)])
+    assert sorted(r.line for r in sinks.preview(gaps, 3).collect()) == ["g0", "g1", "g3"]
 
 
 def test_outputs_from_files(spark, tmp_path):
