@@ -38,8 +38,9 @@ from pyspark.sql import Window
 from pagemill.llm.common import PIECE_BYTES, byte_values, mixed, powers, slices, string_bytes, written
 
 MIN_BYTES = 400
-#: Contexts of one anchor that are sorted together, and bytes of contexts (of several anchors) of one suffix array.
-CONTEXTS = 1024
+#: Contexts of one anchor that are sorted together (10 MB, with 400 MB to work in), and bytes of contexts of several
+#: anchors of one suffix array.
+CONTEXTS = 16_384
 SORTED_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 20
 _OF_BYTE = byte_values(set(), lower=False, seed=5)
@@ -168,13 +169,14 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     words = np.zeros(n, np.uint64)
     for k in range(8):
         words = words << np.uint64(8) | padded[k : k + n]
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(words, return_inverse=True)[1]
     width = 8
 
     def joined(by: int) -> np.ndarray:
         other = np.zeros(n, np.int64)
         other[: max(0, n - by)] = rank[by:] + 1
-        return np.unique(rank * (n + 1) + other, return_inverse=True)[1].astype(np.int64)
+        other += rank * (n + 1)
+        return np.unique(other, return_inverse=True)[1]
 
     while 2 * width <= depth:
         rank = joined(width)
