@@ -16,6 +16,7 @@ from pagemill.operators import medians
 # Metrics of a candidate that was never run.
 NO_TRIALS = {"correct": 0.0, "time_s": 9e9, "peak_mb": 0.0, "score": 0.0}
 CHUNK_ROWS = 1_000_000
+CHUNKS = 256
 
 
 def with_baseline(trials: DataFrame, hot_rows: int = lookups.HOT_ROWS) -> DataFrame:
@@ -84,13 +85,18 @@ def best(
     one beats in either number. (A candidate standing at the end beats or equals all later ones in both.
     Of the candidates that do, the first is let in, since whatever stood before it and kept it out would
     be an earlier one of them.) So the running maxima from the end decide, and those are taken over chunks
-    of at most `chunk_rows` candidates first: no task is held in one place.
+    first. Tasks of at least `chunk_rows` candidates are cut at approximate quantiles of `seq`, whatever its
+    values, into pieces of a few thousandths; any cut gives the same survivor.
 
     `strict` counts the score of a candidate that is not fully correct as 0.
     """
     if strict:
         candidates = candidates.withColumn("score", F.when(F.col("correct") >= 1.0, F.col("score")).otherwise(0.0))
-    chunked = candidates.withColumn("_chunk", F.floor(F.col("seq") / chunk_rows))
+    hot = candidates.groupBy("task").agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= chunk_rows).select("task")
+    shares = [k / CHUNKS for k in range(1, CHUNKS)]
+    bounds = candidates.join(hot, "task", "left_semi").groupBy("task").agg(F.percentile_approx("seq", shares).alias("_bounds"))
+    piece = F.size(F.filter("_bounds", lambda b: b < F.col("seq")))
+    chunked = candidates.join(bounds, "task", "left").withColumn("_chunk", F.when(F.col("_bounds").isNull(), 0).otherwise(piece)).drop("_bounds")
     tops = chunked.groupBy("task", "_chunk").agg(F.max("correct").alias("_c"), F.max("score").alias("_s"))
     later_chunks = (
         Window.partitionBy("task").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
