@@ -114,7 +114,11 @@ def _decode(piece: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """One round of HTML reference decoding, for text without ODD_REFERENCE (that needs `functions.parser`)."""
-    # A one-character separator keeps `split` off the regex engine, which it would start anew for each row.
-    pieces = F.split(c, "&")
-    decoded = F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_decode(piece)))
-    return F.array_join(decoded, "")
+
+    def decoded(text: Column) -> Column:
+        # A one-character separator keeps `split` off the regex engine, which it would start anew for each row.
+        pieces = F.split(text, "&")
+        return F.array_join(F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_decode(piece))), "")
+
+    # Most texts, and nearly all of a second round, have no reference.
+    return let(c, lambda text: F.when(text.contains("&"), decoded(text)).otherwise(text))
