@@ -8,9 +8,11 @@ there, in the next. Small sets, which may have too few such segments, get more f
 segment that is also matched with one element less counts for two.
 
 What a set has to look up is chosen by cost. Keys that no other set has cost nothing, and most keys are such; a set that
-has more than H of them has no larger-or-equal partner to find. Otherwise it looks up its rarest other keys until there
-are H + 1. Within a bucket, sets are first compared with its most typical one only; groups that this links are then
-compared across, so copies of one text never become all pairs of them, and no link between groups is lost. Sets that
+has more than H of them has no larger-or-equal partner to find, and one that has still more has no partner at all.
+Otherwise it looks up its rarest other keys until there are H + 1. Within a bucket, sets are first compared with its
+most typical one only. Then those that look it up are compared with the sets that this did not bring into their group,
+if sketches of fixed size (the parity of elements by hash, which differ in no more bits than the sets in elements) let
+them be near enough. So copies of one text never become all pairs of them, and no link between groups is lost. Sets that
 even so have too few segments (the check for it is exact) are looked up by single shingles.
 
 Every candidate is verified on whole sets. Sets are of 64-bit shingle hashes and are named by a 64-bit hash of all of
@@ -28,7 +30,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -85,7 +87,7 @@ class Partition:
         is a row to shuffle. By the odds of empty segments, six standard deviations from the need for large sets."""
         most = 1 << band
         share = 2 * (100 - self.percent) / (100 + self.percent)
-        load = 1.0 if most <= 32 else 1.6 if most <= 64 else 2.0 if most <= 256 else 2.4
+        load = 1.0 if most <= 32 else 3.1
         while load > 0.05:
             need, full = most * share + 1, most * (1 - np.exp(-load)) / load
             spread = np.sqrt(most / load * max(1e-9, np.exp(-load) - (1 + load) * np.exp(-2 * load)))
@@ -100,8 +102,11 @@ class Partition:
         return 1 << band <= 256
 
 
-#: What a key row is for: looked up by others only, looked up if it is among the rarest, or always.
-INDEXED, CHOSEN, ALWAYS, SHORT = range(4)
+#: What a key row is for: a segment less one element, for others to look up; a segment to look up if it is among the
+#: rarest, or always; a mark of sets with too few segments; a segment in the next band, for others to look up.
+INDEXED, CHOSEN, ALWAYS, SHORT, NEXT = range(5)
+SKETCH_BITS = 512
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 KEYS = "key bigint, name bigint, size int, spare int, use int"
 
 
@@ -122,7 +127,7 @@ def set_keys(hashes: np.ndarray, plan: Partition) -> list[tuple[np.ndarray, int,
         sizes = np.diff(np.concatenate([first, [size]]))
         # A set with too few segments looks up everything, and those with two elements or more count twice.
         short = band == own and spare < 0
-        out.append((keys, max(0, spare), INDEXED if band != own else ALWAYS if short else CHOSEN))
+        out.append((keys, spare, NEXT if band != own else ALWAYS if short else CHOSEN))
         if plan.deletions(band):
             which = np.repeat(np.arange(len(first)), sizes)
             less = (sums[which] - element) * _FACTOR + place[which]
@@ -185,53 +190,74 @@ def _shared(keys: DataFrame) -> DataFrame:
     return spread.filter((F.col("low") != F.col("high")) | (F.col("use") == SHORT)).drop("low", "high").dropDuplicates(["key", "name", "use"])
 
 
-def _buckets(shared: DataFrame) -> DataFrame:
+def _buckets(shared: DataFrame, plan: Partition) -> DataFrame:
     """Rows of keys that some set looks up, with `asks`, whether this one does, and the bucket's most typical set."""
     own = Window.partitionBy("name")
     rarest = Window.partitionBy("name", "use").orderBy("n", "key")
-    with_rank = shared.filter(F.col("use") != SHORT).select(
+    use, size = F.col("use"), F.col("size")
+    counted = shared.filter(use != SHORT).select(
         "*",
         F.row_number().over(rarest).alias("rank"),
-        F.sum((F.col("use") == CHOSEN).cast("int")).over(own).alias("common"),
+        F.sum((use == CHOSEN).cast("int")).over(own).alias("common"),
+        F.sum((use == NEXT).cast("int")).over(own).alias("common_next"),
     )
+    # Every segment that no other set has is a difference from any of them.
+    need = F.floor(2 * size * (100 - plan.percent) / (100 + plan.percent)) + 1
+    alone = F.col("spare") + need - F.when(use == NEXT, F.col("common_next")).otherwise(F.col("common"))
+    near = F.when(use.isin(CHOSEN, NEXT), alone * plan.percent <= size * (100 - plan.percent)).when(use == ALWAYS, True)
+    hopeful = counted.withColumn("near", near)
+    hopeful = hopeful.withColumn("near", F.coalesce("near", F.max("near").over(own), F.lit(True))).filter("near")
     # `spare` segments need not be looked up; keys that no other set has are the first of those that are.
-    asks = (F.col("use") == ALWAYS) | ((F.col("use") == CHOSEN) & (F.col("rank") <= F.col("common") - F.col("spare")))
-    typical = F.struct((F.col("common") / F.col("size")).alias("common"), F.col("name").alias("name"))
-    rows = with_rank.select("key", "name", "size", asks.alias("asks"), typical.alias("typical"))
+    asks = (use == ALWAYS) | ((use == CHOSEN) & (F.col("rank") <= F.col("common") - F.col("spare")))
+    typical = F.struct((F.col("common") / size).alias("common"), F.col("name").alias("name"))
+    rows = hopeful.select("key", "name", "size", asks.alias("asks"), typical.alias("typical"))
     bucket = Window.partitionBy("key")
-    found = rows.select("key", "name", "size", "asks", F.max("typical").over(bucket)["name"].alias("typical"), F.max("asks").over(bucket).alias("asked"))
+    sets = F.min("name").over(bucket) != F.max("name").over(bucket)
+    found = rows.select("key", "name", "size", "asks", F.max("typical").over(bucket)["name"].alias("typical"), (F.max("asks").over(bucket) & sets).alias("asked"))
     return found.filter("asked").drop("asked")
 
 
-def _alike(one: str, other: str, percent: int):
+def _alike(one: str, other: str, percent: int) -> Column:
     """Whether sizes allow it."""
     return (100 * F.least(one, other)) >= (percent * F.greatest(one, other))
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (`u`, `v` names) that are alike, on their whole sets."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each remainder of hashes whether their number is odd, as 64-bit words."""
+    odd = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _whole(documents: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """The sets of `names`: `name`, `hashes` and the words of their sketch."""
     first = sets.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(needed, "name").select("doc_id").distinct()
+    wanted = first.join(names, "name").select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(set_name(s), s.tobytes()) for s in shingle_sets(batch["text"]) if len(s)]
-            names, hashes = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(hashes, pa.binary())], ["name", "hashes"])
+            found = [s for s in shingle_sets(batch["text"]) if len(s)]
+            words = np.array([sketch(s) for s in found], np.int64).reshape(-1, len(SKETCH))
+            columns = [pa.array([set_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, words.T)], ["name", "hashes", *SKETCH])
+
+    known = documents.select(F.col("doc_id").cast("bigint"), "text")
+    # A set whose documents have no id is found among those.
+    texts = known.join(wanted, known["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
+    schema = "name bigint, hashes binary, " + ", ".join(f"{c} bigint" for c in SKETCH)
+    return texts.mapInArrow(run, schema).dropDuplicates(["name"])
 
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text").join(wanted, "doc_id", "left_semi").select("text")
-    whole = texts.mapInArrow(run, "name bigint, hashes binary").dropDuplicates(["name"])
-    whole = written(whole, "sets")
+
+def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs (`u`, `v` names) that are alike, on their whole sets."""
 
     @F.arrow_udf("boolean")
-    def alike(one: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in one:
+    def alike(both: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in both:
             out = []
             for a, b in zip(left, right, strict=True):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(100 * both >= percent * (len(a) + len(b) - both))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.array(out, pa.bool_())
 
     left = whole.select(F.col("name").alias("u"), F.col("hashes").alias("one"))
@@ -239,6 +265,19 @@ def _verified(pairs: DataFrame, documents: DataFrame, sets: DataFrame, percent:
     return pairs.join(left, "u").join(right, "v").filter(alike("one", "other")).select("u", "v")
 
 
+def _across(buckets: DataFrame, linked: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket from different groups, one of which looks the bucket up, as far as sizes and sketches allow."""
+    grouped = buckets.join(linked.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    mixed_keys = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    rows = grouped.join(mixed_keys, "key", "left_semi").select("key", "name", "size", "asks", "root")
+    rows = rows.join(whole.drop("hashes"), "name")
+    asking = rows.filter("asks").select("key", F.col("root").alias("own_root"), F.col("name").alias("u"), F.col("size").alias("own"), *[F.col(c).alias(f"own_{c}") for c in SKETCH])
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"own_{c}"))) for c in SKETCH), F.lit(0))
+    near = (100 + percent) * differing <= (100 - percent) * (F.col("own") + F.col("size"))
+    pairs = asking.join(rows, (asking["key"] == rows["key"]) & (F.col("own_root") != F.col("root")) & _alike("own", "size", percent) & near)
+    return pairs.select(F.least("u", "name").alias("u"), F.greatest("u", "name").alias("v")).distinct()
+
+
 def _by_shingles(documents: DataFrame, shared: DataFrame, plan: Partition) -> DataFrame:
     """Candidates of sets that have too few segments: whatever shares one of enough of their shingles."""
     short = shared.filter(F.col("use") == SHORT).select("name").distinct()
@@ -260,29 +299,22 @@ def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
     plan = Partition(percent)
     sets = written(_sets(documents), "shingle-sets")
     shared = written(_shared(_keys(documents, plan)), "shared-keys")
-    buckets = written(_buckets(shared), "buckets")
+    buckets = written(_buckets(shared, plan), "buckets")
+    more = _by_shingles(documents, shared, plan) if not shared.filter(F.col("use") == SHORT).isEmpty() else None
+    names = buckets.select("name") if more is None else buckets.select("name").union(more.select("u")).union(more.select("v"))
+    whole = written(_whole(documents, sets, names.distinct()), "sets")
 
     sizes = buckets.select(F.col("name").alias("typical"), F.col("size").alias("other")).distinct()
     stars = buckets.filter("name <> typical").select("name", "size", "typical").distinct().join(sizes, "typical")
-    stars = written(stars.filter(_alike("size", "other", percent)).select(F.col("name").alias("u"), F.col("typical").alias("v")), "stars")
-    more = _by_shingles(documents, shared, plan) if not shared.filter(F.col("use") == SHORT).isEmpty() else None
-    links = written(_verified(stars if more is None else stars.unionByName(more), documents, sets, percent), "links")
-    linked = components(links)
+    stars = stars.filter(_alike("size", "other", percent)).select(F.col("name").alias("u"), F.col("typical").alias("v"))
+    stars = written(stars if more is None else stars.unionByName(more), "stars")
+    linked = written(components(_verified(stars, whole, percent)), "linked")
 
-    # Across the groups of a bucket: each set that asks with the sets of other groups, those not compared so far.
-    grouped = buckets.join(linked.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    roots = grouped.select("key", "root").distinct()
-    mixed_keys = roots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = written(grouped.join(mixed_keys, "key", "left_semi"), "mixed-buckets")
-    pairs_of_roots = _root_pairs(rows)
-    asking = rows.filter("asks").select("key", F.col("root"), F.col("name").alias("u"), F.col("size").alias("mine"))
-    others = rows.select("key", F.col("root").alias("other_root"), F.col("name").alias("v"), "size")
-    across = asking.join(pairs_of_roots, ["key", "root"]).join(others, ["key", "other_root"]).filter(_alike("mine", "size", percent))
-    across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rest = written(across.join(tested, ["u", "v"], "left_anti"), "across")
-    if not rest.isEmpty():
-        linked = components(links.unionByName(_verified(rest, documents, sets, percent)))
+    rest = _across(buckets, linked, whole, percent).join(tested, ["u", "v"], "left_anti")
+    links = written(_verified(rest, whole, percent), "links")
+    if not links.isEmpty():
+        linked = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
 
     # Documents without a set are groups of their own.
     own = F.when(F.col("size") == 0, F.xxhash64("doc_id")).otherwise(F.col("name"))
@@ -293,13 +325,6 @@ def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
     return named.join(least, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
-def _root_pairs(rows: DataFrame) -> DataFrame:
-    """Per key, the pairs of a group with a set that asks and another group."""
-    asking = rows.filter("asks").select("key", "root").distinct()
-    every = rows.select("key", F.col("root").alias("other_root")).distinct()
-    return asking.join(every, "key").filter("root <> other_root")
-
-
 def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
     """Documents, all columns kept, without those that links lead from to a smaller doc_id; of rows that share an id,
     one (the least text). Rows with null ids all stay."""
