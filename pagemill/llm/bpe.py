@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import slices
 
-#: Text of a block, and how many pieces a task remembers.
-BLOCK_BYTES = 4 << 20
-REMEMBERED = 1 << 18
+#: Text whose pieces are looked up together, and of a block of it that is split at a time.
+GROUP_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: How many pieces a task remembers from one group to the next.
+REMEMBERED = 1 << 16
+#: Pieces that are replayed together: some 100 MB of index.
+REPLAY_BYTES = 1 << 20
 NONE = 1 << 40
 
 
@@ -44,8 +48,50 @@ class Numbers(dict):
         return number
 
 
-class Vocabulary:
-    """Token bytes by rank, and the ids of pieces met so far."""
+class PieceIds:
+    """The ids of texts by those of their pieces, of which each is looked up once."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, as 32-bit integers."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.flat, self.upto = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def meet(self) -> None:
+        """Learns the ids of the pieces that were numbered since."""
+        ids = self.ids_of(list(islice(self.number, len(self.upto) - 1, None)))
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.int32)])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(sizes)])
+
+    def encode(self, texts: Iterable[list[str | None]], split: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin (one more for the end). The texts come in
+        blocks, of which the pieces' numbers are kept."""
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        numbered = []  # the pieces' numbers and how many each text has
+        for block in texts:
+            found = [split.findall(t) if t else [] for t in block]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            numbered.append((np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int32, int(counts.sum())), counts))
+        self.meet()
+        flat, bounds, upto = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        for piece, counts in numbered:
+            sizes = (self.upto[1:] - self.upto[:-1])[piece]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            flat.append(self.flat[np.repeat(self.upto[piece] - ends[:-1], sizes) + np.arange(ends[-1])])
+            bounds.append(upto + ends[np.cumsum(counts)])
+            upto += int(ends[-1])
+        return np.concatenate(flat), np.concatenate(bounds)
+
+
+class Vocabulary(PieceIds):
+    """Token bytes by rank, and the merges they are made by."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -55,7 +101,7 @@ class Vocabulary:
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
         if (self.of_byte < 0).any():
             raise ValueError("a byte-level vocabulary has a token for each byte")
-        self.forget()
+        super().__init__()
         # All pairs of tokens that make a token, not only the pair it was first made of.
         pairs = []
         for token, rank in ranks.items():
@@ -141,36 +187,14 @@ class Vocabulary:
         bounds = [0, *np.where(ends > 0, upto[ends - 1], 0).tolist()]
         return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def forget(self) -> None:
-        self.number = Numbers()
-        self.flat, self.upto = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def meet(self) -> None:
-        """Learns the ids of the pieces that were numbered since; a piece that is a token needs no merge."""
-        raw = [p.encode() for p in islice(self.number, len(self.upto) - 1, None)]
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """By merge replay; a piece that is a token needs none."""
+        raw = [p.encode() for p in pieces]
         whole = [self.ranks.get(b, -1) for b in raw]
-        merged = iter(self.replay([b for b, t in zip(raw, whole, strict=True) if t < 0]))
-        ids = [next(merged) if t < 0 else t.to_bytes(4, byteorder) for t in whole]
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.int32)])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(sizes)])
-
-    def encode(self, texts: Iterable[list[str | None]], split: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and where each text's begin (one more for the end). The texts come in
-        blocks, of which the pieces' numbers are kept."""
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        pieces, counts = [], [0]
-        for block in texts:
-            found = [split.findall(t) if t else [] for t in block]
-            counts += map(len, found)
-            pieces.append(np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int32, sum(map(len, found))))
-        self.meet()
-        piece = np.concatenate([*pieces, np.zeros(0, np.int32)])
-        sizes = (self.upto[1:] - self.upto[:-1])[piece]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.flat[np.repeat(self.upto[piece] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return flat, ends[np.cumsum(counts)]
+        rest = [b for b, t in zip(raw, whole, strict=True) if t < 0]
+        parts = slices(np.fromiter(map(len, rest), np.int64, len(rest)), REPLAY_BYTES)
+        merged = chain.from_iterable(self.replay(rest[a:b]) for a, b in parts)
+        return [next(merged) if t < 0 else t.to_bytes(4, byteorder) for t in whole]
 
 
 @lru_cache(maxsize=4)
@@ -188,8 +212,13 @@ def encode(documents: DataFrame, ranks: str, pattern: str, text: str = "text", i
         words, split = vocabulary(ranks), regex.compile(pattern)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
-            flat, bounds = words.encode((batch.slice(a, b - a).to_pylist() for a, b in slices(sizes, BLOCK_BYTES)), split)
-            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+            lists = [pa.array([], pa.list_(pa.int32()))]
+            for first, last in slices(sizes, GROUP_BYTES):
+                parts = slices(sizes[first:last], BLOCK_BYTES)
+                flat, bounds = words.encode((batch.slice(first + a, b - a).to_pylist() for a, b in parts), split)
+                lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())))
+            yield pa.concat_arrays(lists)
+            pa.default_memory_pool().release_unused()  # workers live on, for other batches and tasks
 
     return documents.withColumn(ids, encoded(F.col(text)))
 
@@ -202,8 +231,13 @@ def decode(documents: DataFrame, ranks: str, ids: str = "ids", out: str = "decod
         token = vocabulary(ranks).bytes_of.__getitem__
         for batch in batches:
             batch = batch.fill_null([])
-            tokens = list(map(token, batch.flatten().to_numpy().tolist()))
-            bounds = (batch.offsets.to_numpy() - batch.offsets[0].as_py()).tolist()
-            yield pa.array([b"".join(tokens[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+            starts = batch.offsets.to_numpy()
+            texts = []
+            for a, b in slices(np.diff(starts), BLOCK_BYTES // 4):
+                tokens = list(map(token, batch.values.slice(starts[a], starts[b] - starts[a]).to_numpy().tolist()))
+                bounds = (starts[a : b + 1] - starts[a]).tolist()
+                texts += [b"".join(tokens[c:d]) for c, d in zip(bounds, bounds[1:], strict=False)]
+            yield pa.array(texts, pa.binary())
+            pa.default_memory_pool().release_unused()
 
     return documents.withColumn(out, decoded(F.col(ids)))
