@@ -3,14 +3,14 @@
 A file holds the ids of some documents in ascending order of doc_id. They are cut into blocks of 2,048 ids; each block
 starts with fresh models, has a checksum, and can be read alone. An id is coded as an event and, if need be, its low
 bits: events 0 to 2 say that it is the id foreseen by the two ids before it, by the one before it, or by frequency in
-the block; the others give the number of bits of an id that was not foreseen. The odds of events mix their counts of
+the block; the others give the number of bits, in pairs, of an id that was not foreseen. The odds of events mix their counts of
 order 0, 1 and 2 (events before), so the models adapt together.
 
 All blocks of a group of a file are coded in step, one id of each at a time, so that every model operation is a numpy
 operation over blocks. A task holds one group of blocks, whatever the size of its file.
 
     file    MAGIC, groups, footer (zlib: ids, sizes of documents), footer size and checksum (u32, u32)
-    group   number of ids, blocks (u32, u32); per block its size in 16-bit words and crc32 (u32, u32); the words
+    group   number of ids, blocks (u32, u32); per block its size in 32-bit words and crc32 (u32, u32); the words
 
 Null and empty texts have the end id alone. Rows that share an id stand one after another, ordered by text; null ids
 come first. Columns beyond the named ones are not looked at. Every attempt of a task writes a file of its own, and only
@@ -19,6 +19,7 @@ the names in the table that Spark commits count.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,30 +28,36 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from pagemill.llm.bpe import BLOCK_BYTES, GROUP_BYTES, PieceIds
 from pagemill.llm.common import shared_folder, slices, written
 
 MAGIC = b"PMTOK1\0\0"
 BLOCK = 2048
 #: Blocks of a group: 4 million ids, about 60 MB of models and buffers.
 GROUP = 1024
-BATCH_BYTES = 4 << 20
+BATCH_PIECES = 10_000
 HITS = 3
-#: Events: three hits, and ids of 0 to 32 significant bits that were not foreseen.
-EVENTS = HITS + 33
-SLOTS = 1024
+#: Events: three hits, and ids of 0 to 16 pairs of significant bits that were not foreseen.
+EVENTS = HITS + 17
+SLOTS = 512
+PAIRS = 32
 NO_ID = -1
-TOP, BOTTOM = np.uint64(48), np.uint64(32)
+HALF = np.uint64(32)
 NO_DOC = -(1 << 63)
+#: Fixed value: how a byte-level tokenizer splits a text.
+BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _bit_length(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+def _bit_pairs(ids: np.ndarray) -> np.ndarray:
+    return (np.frexp(ids.astype(np.float64))[1] + 1) // 2
 
 
 class Models:
@@ -58,83 +65,94 @@ class Models:
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
+        # Counts weigh 1, 4 and 8 for the orders 0, 1 and 2; rows are lane by lane.
         self.counts0 = np.ones((lanes, EVENTS), np.int32)
-        self.counts1 = np.zeros((lanes, EVENTS, EVENTS), np.int16)
-        self.counts2 = np.zeros((lanes, 64, EVENTS), np.int16)
-        self.after1 = np.full((lanes, SLOTS), NO_ID, np.int32)
-        self.after2 = np.full((lanes, SLOTS), NO_ID, np.int32)
-        self.often = np.zeros((lanes, SLOTS), np.int32)
+        self.counts1 = np.zeros((lanes * EVENTS, EVENTS), np.int32)
+        self.counts2 = np.zeros((lanes * PAIRS, EVENTS), np.int32)
+        self.flat0, self.flat1, self.flat2 = self.counts0.reshape(-1), self.counts1.reshape(-1), self.counts2.reshape(-1)
+        self.row0 = self.lane * EVENTS
+        self.after1 = np.full(lanes * SLOTS, NO_ID, np.int64)
+        self.after2 = np.full(lanes * SLOTS, NO_ID, np.int64)
+        self.often = np.zeros(lanes * SLOTS, np.int32)
         self.most = np.zeros(lanes, np.int32)
         self.most_id = np.full(lanes, NO_ID, np.int64)
         self.last = np.zeros(lanes, np.int64)
-        self.slot1 = np.zeros(lanes, np.int64)
-        self.slot2 = np.zeros(lanes, np.int64)
+        self.slots = self.lane * SLOTS
+        self.slot1, self.slot2 = self.slots, self.slots
         self.event = np.zeros(lanes, np.int64)
-        self.events2 = np.zeros(lanes, np.int64)
+        self.row1, self.row2 = self.lane * EVENTS, self.lane * PAIRS
 
-    def foreseen(self) -> np.ndarray:
-        """A row of ids for each of the orders 2, 1 and 0."""
-        return np.stack([self.after2[self.lane, self.slot2], self.after1[self.lane, self.slot1], self.most_id])
+    def foreseen(self) -> tuple[np.ndarray, ...]:
+        """The ids foreseen by the orders 2, 1 and 0."""
+        return self.after2.take(self.slot2), self.after1.take(self.slot1), self.most_id
 
     def odds(self) -> np.ndarray:
         """Running sums of the mixed event counts, from 0 on."""
-        mixed = self.counts0 + 2 * self.counts1[self.lane, self.event] + 4 * self.counts2[self.lane, self.events2]
+        mixed = self.counts1.take(self.row1, axis=0)
+        mixed += self.counts2.take(self.row2, axis=0)
+        mixed += self.counts0
         out = np.zeros((len(self.lane), EVENTS + 1), np.int64)
         np.cumsum(mixed, axis=1, out=out[:, 1:])
         return out
 
     def learn(self, event: np.ndarray, ids: np.ndarray) -> None:
-        lane = self.lane
-        self.counts0[lane, event] += 1
-        self.counts1[lane, self.event, event] += 2
-        self.counts2[lane, self.events2, event] += 2
-        self.after1[lane, self.slot1] = ids
-        self.after2[lane, self.slot2] = ids
-        place = ids % SLOTS
-        self.often[lane, place] += 1
-        now = self.often[lane, place]
+        self.flat0[self.row0 + event] += 1
+        self.flat1[self.row1 * EVENTS + event] += 4
+        self.flat2[self.row2 * EVENTS + event] += 8
+        self.after1[self.slot1] = ids
+        self.after2[self.slot2] = ids
+        place = self.slots + ids % SLOTS
+        now = self.often.take(place) + 1
+        self.often[place] = now
         more = now > self.most
-        self.most = np.where(more, now, self.most)
-        self.most_id = np.where(more, ids, self.most_id)
-        self.events2 = (self.event * 7 + event) % 64
+        np.copyto(self.most, now, where=more)
+        np.copyto(self.most_id, ids, where=more)
+        self.row2 = self.lane * PAIRS + (self.event * 7 + event) % PAIRS
+        self.row1 = self.row0 + event
         self.event = event
-        self.slot1 = (ids * 0x9E3779B1 >> 12) % SLOTS
-        self.slot2 = ((ids * 0x9E3779B1 ^ self.last * 0x85EBCA77) >> 14) % SLOTS
+        hashed = ids * 0x9E3779B1
+        self.slot1 = self.slots + (hashed >> 12) % SLOTS
+        self.slot2 = self.slots + ((hashed ^ self.last * 0x85EBCA77) >> 14) % SLOTS
         self.last = ids
 
 
 class Coder:
-    """The intervals of `lanes` range coders: 64-bit, output in 16-bit words, no carry."""
+    """The intervals of `lanes` range coders: 64 bits, of which at least the lower 32 are in use; no carry."""
 
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.rows = np.arange(lanes) * (EVENTS + 1)
 
     def narrow(self, sums: np.ndarray, event: np.ndarray) -> None:
-        lane = np.arange(len(event))
-        part = self.range // sums[:, -1].astype(np.uint64)
-        first = sums[lane, event].astype(np.uint64)
+        at = self.rows + event
+        part = self.range // sums[:, -1].view(np.uint64)
+        first = sums.take(at).view(np.uint64)
         self.low = self.low + part * first
-        self.range = part * (sums[lane, event + 1].astype(np.uint64) - first)
+        self.range = part * (sums.take(at + 1).view(np.uint64) - first)
 
     def narrow_bits(self, bits: np.ndarray, value: np.ndarray) -> None:
         self.range = self.range >> bits.astype(np.uint64)
         self.low = self.low + self.range * value.astype(np.uint64)
 
-    def settled(self) -> Iterator[np.ndarray]:
-        """Lanes whose highest 16 bits are settled, as long as there are any; they move up afterwards."""
-        while True:
-            same = (self.low ^ (self.low + self.range)) >> TOP == 0
-            short = ~same & (self.range >> BOTTOM == 0)
-            if short.any():
-                rest = (~self.low[short] + np.uint64(1)) & np.uint64(0xFFFFFFFF)
-                self.range[short] = np.where(rest == 0, np.uint64(1) << BOTTOM, rest)
-            lanes = np.flatnonzero(same | short)
-            if not len(lanes):
-                return
-            yield lanes
-            self.low[lanes] <<= np.uint64(16)
-            self.range[lanes] <<= np.uint64(16)
+    def settled(self) -> np.ndarray:
+        """Lanes with so narrow an interval that their upper 32 bits go out; what lies beyond a change of those is cut
+        off first."""
+        lanes = np.flatnonzero(self.range >> HALF == 0)
+        if len(lanes):
+            low, width = self.low[lanes], self.range[lanes]
+            over = (low ^ (low + width - np.uint64(1))) >> HALF != 0
+            if over.any():
+                upto = np.uint64(1 << 32) - (low & np.uint64(0xFFFFFFFF))
+                # The larger part of the interval stays; the decoder does the same.
+                upper = over & (width - upto > upto)
+                self.low[lanes[upper]] += upto[upper]
+                self.range[lanes] = np.where(over, np.maximum(upto, width - upto), width)
+        return lanes
+
+    def shift(self, lanes: np.ndarray) -> None:
+        self.low[lanes] <<= HALF
+        self.range[lanes] <<= HALF
 
 
 def _steps(count: int) -> np.ndarray:
@@ -150,32 +168,38 @@ def encode_group(ids: np.ndarray) -> bytes:
     """A group: blocks of BLOCK ids, the last one shorter."""
     sizes = _steps(len(ids))
     lanes = len(sizes)
-    grid = np.zeros((lanes, BLOCK), np.int64)
-    grid.reshape(-1)[: len(ids)] = ids
+    padded = np.zeros(lanes * BLOCK, np.int64)
+    padded[: len(ids)] = ids
+    grid = padded.reshape(lanes, BLOCK).T.copy()  # step by step
+    bit_pairs = _bit_pairs(grid)
     models, coder = Models(lanes), Coder(lanes)
-    words = np.zeros((lanes, 3 * BLOCK + 8), np.uint16)
+    words = np.zeros((lanes, 2 * BLOCK + 8), np.uint32)
     used = np.zeros(lanes, np.int64)
 
     def put() -> None:
-        for out in coder.settled():
-            words[out, used[out]] = (coder.low[out] >> TOP).astype(np.uint16)
+        out = coder.settled()
+        if len(out):
+            words[out, used[out]] = (coder.low[out] >> HALF).astype(np.uint32)
             used[out] += 1
+            coder.shift(out)
 
     for step in range(int(sizes.max(initial=0))):
-        now = grid[:, step]
-        hit = models.foreseen() == now
-        bits = _bit_length(now)
-        event = np.where(hit.any(axis=0), hit.argmax(axis=0), HITS + bits)
+        now = grid[step]
+        pairs = bit_pairs[step]
+        event = HITS + pairs
+        for order, foreseen in reversed(list(enumerate(models.foreseen()))):
+            event[foreseen == now] = order
         coder.narrow(models.odds(), event)
-        below = np.where(event >= HITS, np.maximum(bits - 1, 0), 0)
-        coder.narrow_bits(below, now & ((1 << below) - 1))
+        put()
+        plain = event >= HITS
+        coder.narrow_bits(2 * pairs * plain, now * plain)
         put()
         models.learn(event, now)
-    for _ in range(4):  # the rest of `low`
-        words[np.arange(lanes), used] = (coder.low >> TOP).astype(np.uint16)
+    for _ in range(2):  # the rest of `low`
+        words[np.arange(lanes), used] = (coder.low >> HALF).astype(np.uint32)
         used += 1
-        coder.low <<= np.uint64(16)
-    packed = [words[k, : used[k]].astype("<u2").tobytes() for k in range(lanes)]
+        coder.low <<= HALF
+    packed = [words[k, : used[k]].astype("<u4").tobytes() for k in range(lanes)]
     head = struct.pack("<II", len(ids), lanes)
     table = np.array([[n, zlib.crc32(p)] for n, p in zip(used.tolist(), packed, strict=True)], "<u4").reshape(-1, 2)
     return head + table.tobytes() + b"".join(packed)
@@ -185,36 +209,42 @@ def decode_group(stream: BinaryIO) -> np.ndarray:
     count, lanes = struct.unpack("<II", stream.read(8))
     table = np.frombuffer(stream.read(8 * lanes), "<u4").reshape(lanes, 2)
     sizes = _steps(count)
-    words = np.zeros((lanes, int(table[:, 0].max(initial=0)) + 8), np.uint16)
+    words = np.zeros((lanes, int(table[:, 0].max(initial=0)) + 8), np.uint32)
     for k, (n, crc) in enumerate(table.tolist()):
-        packed = stream.read(2 * n)
+        packed = stream.read(4 * n)
         if zlib.crc32(packed) != crc:
             raise ValueError(f"block {k} of a group fails its checksum")
-        words[k, :n] = np.frombuffer(packed, "<u2")
-    lane = np.arange(lanes)
-    code, used = np.zeros(lanes, np.uint64), np.full(lanes, 4)
-    for k in range(4):
-        code = code << np.uint64(16) | words[:, k].astype(np.uint64)
+        words[k, :n] = np.frombuffer(packed, "<u4")
+    code = words[:, 0].astype(np.uint64) << HALF | words[:, 1].astype(np.uint64)
+    used = np.full(lanes, 2)
     models, coder = Models(lanes), Coder(lanes)
-    grid = np.zeros((lanes, BLOCK), np.int64)
+    grid = np.zeros((BLOCK, lanes), np.int64)
+
+    def take() -> None:
+        out = coder.settled()
+        if len(out):
+            code[out] = code[out] << HALF | words[out, np.minimum(used[out], words.shape[1] - 1)].astype(np.uint64)
+            used[out] += 1
+            coder.shift(out)
+
     for step in range(int(sizes.max(initial=0))):
         sums = models.odds()
         part = coder.range // sums[:, -1].astype(np.uint64)
         at = ((code - coder.low) // part).astype(np.int64)
         event = np.minimum((sums[:, 1:] <= at[:, None]).sum(axis=1), EVENTS - 1)
         coder.narrow(sums, event)
-        bits = event - HITS
-        below = np.maximum(bits - 1, 0)
-        value = ((code - coder.low) // (coder.range >> below.astype(np.uint64))).astype(np.int64)
-        coder.narrow_bits(below, value)
-        plain = np.where(bits <= 0, 0, (1 << below) | value)
-        now = np.where(event < HITS, models.foreseen()[np.minimum(event, HITS - 1), lane], plain)
-        grid[:, step] = now
-        for out in coder.settled():
-            code[out] = code[out] << np.uint64(16) | words[out, np.minimum(used[out], words.shape[1] - 1)].astype(np.uint64)
-            used[out] += 1
+        take()
+        plain = event >= HITS
+        bits = 2 * (event - HITS) * plain
+        value = ((code - coder.low) // (coder.range >> bits.astype(np.uint64))).astype(np.int64)
+        coder.narrow_bits(bits, value)
+        take()
+        now = value
+        for order, foreseen in enumerate(models.foreseen()):
+            np.copyto(now, foreseen, where=event == order)
+        grid[step] = now
         models.learn(event, now)
-    return grid.reshape(-1)[:count].astype(np.uint32)
+    return grid.T.reshape(-1)[:count].astype(np.uint32)
 
 
 def write_file(out: BinaryIO, documents: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[int, int]:
@@ -266,9 +296,34 @@ def read_file(source: BinaryIO, size: int) -> Iterator[tuple[int, np.ndarray]]:
         held = held[n:]
 
 
+class Library(PieceIds):
+    """Ids by the tokenizers library. A byte-level tokenizer takes the matches of its split pattern one by one, so each
+    distinct match is encoded once; texts with an added token, and other tokenizers' texts, are encoded whole."""
+
+    def __init__(self, path: str):
+        self.kind = Tokenizer.from_file(path)
+        parts = json.loads(self.kind.to_str())
+        before = parts.get("pre_tokenizer") or {}
+        by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        by_piece = by_piece and parts.get("normalizer") is None and parts.get("truncation") is None
+        added = "|".join(regex.escape(t["content"]) for t in parts.get("added_tokens", []))
+        self.split = regex.compile(BYTE_LEVEL_PIECES) if by_piece else regex.compile(r"(?s).+")
+        self.added = regex.compile(added) if added else None
+        super().__init__()
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        parts = (pieces[k : k + BATCH_PIECES] for k in range(0, len(pieces), BATCH_PIECES))
+        encoded = (x for part in parts for x in self.kind.encode_batch_fast(part, add_special_tokens=False))
+        return [np.array(x.ids, np.int32).tobytes() for x in encoded]
+
+    def findall(self, text: str) -> list[str]:
+        """The pieces of a text."""
+        return [text] if self.added and self.added.search(text) else self.split.findall(text)
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
+def library(path: str) -> Library:
+    return Library(path)
 
 
 FILES = "part int, path string, n_docs bigint, n_ids bigint"
@@ -281,21 +336,21 @@ def write_ids(documents: DataFrame, tokens: str, end_id: int, folder: str) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, kind = TaskContext.get(), tokenizer(tokens)
+        task, kind = TaskContext.get(), library(tokens)
 
         def encoded() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for batch in batches:
-                texts = batch["text"].to_pylist()
                 names = batch["doc_id"].fill_null(NO_DOC).to_numpy(zero_copy_only=False)
-                for a, b in slices(np.array([len(t or "") for t in texts]), BATCH_BYTES):
-                    found = [x.ids for x in kind.encode_batch_fast([t or "" for t in texts[a:b]], add_special_tokens=False)]
-                    sizes = np.array([len(x) + 1 for x in found])
-                    flat = np.full(int(sizes.sum()), end_id, np.uint32)
-                    upto = np.cumsum(sizes)
-                    keep = np.ones(len(flat), bool)
-                    keep[upto - 1] = False
-                    flat[keep] = np.concatenate([np.array(x, np.uint32) for x in found])
-                    yield names[a:b], sizes, flat
+                sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+                for first, last in slices(sizes, GROUP_BYTES):
+                    parts = slices(sizes[first:last], BLOCK_BYTES)
+                    found, bounds = kind.encode((batch["text"].slice(first + a, b - a).to_pylist() for a, b in parts), kind)
+                    ends = bounds[1:] + np.arange(last - first)  # each document's end id
+                    flat = np.full(len(found) + last - first, end_id, np.uint32)
+                    plain = np.ones(len(flat), bool)
+                    plain[ends] = False
+                    flat[plain] = found
+                    yield names[first:last], np.diff(bounds) + 1, flat
 
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
