@@ -35,9 +35,9 @@ CENTROIDS = 3
 ROUNDS = 12
 #: Of a language's sample, the share that may be farther than the bound, and the part of that bound that is enough.
 STRAYS = 0.0
-MARGIN = 0.5
+MARGIN = 0.25
 #: N-grams that a text needs to be rejected for its distance: a few words are far from every centroid.
-ENOUGH = 40
+ENOUGH = 60
 CHUNK_BYTES = 1 << 20
 #: Rows of a chunk: a vector each.
 CHUNK_ROWS = 512
