@@ -2,11 +2,13 @@
 
 A text is the TF-IDF vector of its hashed byte n-grams (two and three bytes, lower case, everything but letters a gap),
 of length one. Each language has several centroids, found by clustering its sample by cosine. A text has the language
-of the nearest centroid. One that is farther from it than all of the sample was, less a margin, is rejected, unless it
-is too short to tell.
+of the nearest centroid. One that is farther from it than nearly all texts of the sample, and cuts of them, that have
+about as many n-grams, less a margin, is rejected, unless it is too short to tell. So long texts have a tight bound, and
+short ones, which are far from every centroid, a loose one. No language has a tighter bound than all together: its own
+sample may lack odd texts.
 
 `fit` draws a bounded sample for each language by the hash of doc_id and counts n-grams in Spark; the driver gets a
-vector of `DIMS` floats for each sampled text. The model has a fixed size for each language. `identify` looks at whole
+vector of `DIMS` floats and a few short cuts of each sampled text. The model has a fixed size for each language. `identify` looks at whole
 texts, in pieces, and shuffles nothing.
 
 Null texts and texts without a letter are `und` with score 0 and rejected. Equally near languages: the first in order.
@@ -33,11 +35,18 @@ DIMS = 4096
 SAMPLE = 300
 CENTROIDS = 3
 ROUNDS = 12
-#: Of a language's sample, the share that may be farther than the bound, and the part of that bound that is enough.
-STRAYS = 0.0
-MARGIN = 0.25
-#: N-grams that a text needs to be rejected for its distance: a few words are far from every centroid.
-ENOUGH = 60
+#: Of a language's texts and cuts of one length, the share that may be farther than the bound, and the part of that
+#: bound that is enough. A bound is of so many of them that the share is at least one.
+STRAYS = 0.005
+MARGIN = 0.75
+LEAST = 200
+#: Bytes of the cuts, and how many places of a text they begin at.
+CUTS = (16, 32, 64, 128, 256, 512, 1024, 2048)
+PLACES = 4
+#: Bounds are at powers of two, up to so many n-grams.
+MOST_LOG = 24
+#: N-grams that a text needs to be rejected for its distance: those of the shortest cuts, about.
+ENOUGH = 32
 CHUNK_BYTES = 1 << 20
 #: Rows of a chunk: a vector each.
 CHUNK_ROWS = 512
@@ -79,7 +88,7 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model(NamedTuple):
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    bounds: np.ndarray  # least cosine to each centroid
+    bounds: np.ndarray  # least cosine to each centroid of texts of 1, 2, 4, ... n-grams
     idf: np.ndarray
 
 
@@ -100,21 +109,55 @@ def cluster(rows: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return centroids, (rows @ centroids.T).argmax(axis=1)
 
 
-def fit_rows(labels: list[str], counts: np.ndarray, k: int = CENTROIDS) -> Model:
-    """The model of sampled texts."""
+def pieces(text: bytes) -> list[bytes]:
+    """What the cuts of a text begin."""
+    return [text[at : at + CUTS[-1]] for at in (len(text) * place // PLACES for place in range(PLACES))]
+
+
+def cut_counts(parts: list[bytes]) -> Iterator[np.ndarray]:
+    """N-grams of all cuts of pieces, some rows at a time."""
+    cuts = [part[:size].decode(errors="ignore") for part in parts for size in CUTS if len(part) >= size]
+    for first in range(0, len(cuts), CHUNK_ROWS):
+        yield gram_counts(pa.array(cuts[first : first + CHUNK_ROWS], pa.string()))
+
+
+def bounds_by_length(sizes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The bounds for 1, 2, 4, ... n-grams from those of texts: a quantile for each doubling of length, or for some
+    together that have `LEAST` texts; between them a straight line."""
+    order = np.argsort(sizes, kind="stable")
+    logs, cosines = np.log2(np.maximum(sizes[order], 1)), cosines[order]
+    starts = np.searchsorted(np.floor(logs), np.arange(MOST_LOG + 1))
+    edges = [0]
+    for start in starts.tolist():
+        if start - edges[-1] >= LEAST and len(logs) - start >= LEAST:
+            edges.append(start)
+    groups = list(zip(edges, [*edges[1:], len(logs)], strict=True))
+    low = [MARGIN * np.quantile(cosines[a:b], STRAYS, method="lower") for a, b in groups]
+    return np.interp(np.arange(MOST_LOG + 1), [np.median(logs[a:b]) for a, b in groups], low)
+
+
+def fit_rows(labels: list[str], counts: np.ndarray, parts: list[list[bytes]], k: int = CENTROIDS) -> Model:
+    """The model of sampled texts, given by their n-grams and pieces."""
     if not labels:
-        return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), np.zeros(DIMS, np.float32))
+        return Model([], np.zeros((0, DIMS), np.float32), np.zeros((0, MOST_LOG + 1)), np.zeros(DIMS, np.float32))
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     rows, label = vectors(counts, idf), np.array(labels)
-    languages, centroids, bounds = [], [], []
+    languages, centroids, sizes, cosines, bounds = [], [], [], [], []
     for seed, language in enumerate(sorted(set(labels))):
         own_rows = rows[label == language]
         found, own = cluster(own_rows, k, seed)
-        bound = MARGIN * np.quantile((own_rows * found[own]).sum(axis=1), STRAYS)
+        own_sizes, own_cosines = [counts[label == language].sum(axis=1)], [(own_rows * found[own]).sum(axis=1)]
+        for cut in cut_counts([part for one, of in zip(parts, labels, strict=True) if of == language for part in one]):
+            seen = cut.any(axis=1)
+            own_sizes.append(cut[seen].sum(axis=1))
+            own_cosines.append((vectors(cut[seen], idf) @ found.T).max(axis=1))
         languages += [language] * len(found)
         centroids.append(found)
-        bounds += [bound] * len(found)
-    return Model(languages, np.concatenate(centroids).astype(np.float32), np.array(bounds), idf)
+        sizes.append(np.concatenate(own_sizes))
+        cosines.append(np.concatenate(own_cosines))
+        bounds += [bounds_by_length(sizes[-1], cosines[-1])] * len(found)
+    together = bounds_by_length(np.concatenate(sizes), np.concatenate(cosines))
+    return Model(languages, np.concatenate(centroids).astype(np.float32), np.minimum(bounds, together), idf)
 
 
 def has_letter(text: Column) -> Column:
@@ -128,7 +171,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model
     # One row for each language comes back: the share of it that surely holds the sample.
     shares = {r["lang"]: min(1.0, 3 * sample / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not shares:
-        return fit_rows([], np.zeros((0, DIMS), np.float32), k)
+        return fit_rows([], np.zeros((0, DIMS), np.float32), [], k)
     share = F.coalesce(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")], F.lit(0.0))
     drawn = known.select("text", "lang", order.alias("_order")).filter(F.pmod("_order", F.lit(1 << 20)) < share * (1 << 20) + 1)
     first = Window.partitionBy("lang").orderBy("_order", "text")
@@ -137,11 +180,15 @@ def fit(documents: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                counts = gram_counts(batch["text"].slice(row, 1))[0]
-                yield pa.RecordBatch.from_arrays([batch["lang"].slice(row, 1), pa.array([counts.tobytes()])], ["lang", "counts"])
+                one = batch["text"].slice(row, 1)
+                parts = pa.array([pieces(string_bytes(one)[0].tobytes())], pa.list_(pa.binary()))
+                columns = [batch["lang"].slice(row, 1), pa.array([gram_counts(one)[0].tobytes()]), parts]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "counts", "parts"])
 
-    rows = sorted((r["lang"], bytes(r["counts"])) for r in drawn.mapInArrow(count, "lang string, counts binary").collect())
-    return fit_rows([lang for lang, _ in rows], np.stack([np.frombuffer(c, np.float32) for _, c in rows]), k)
+    found = drawn.mapInArrow(count, "lang string, counts binary, parts array<binary>").collect()
+    rows = sorted((r["lang"], bytes(r["counts"]), [bytes(part) for part in r["parts"]]) for r in found)
+    counts = np.stack([np.frombuffer(row, np.float32) for _, row, _ in rows])
+    return fit_rows([lang for lang, _, _ in rows], counts, [parts for _, _, parts in rows], k)
 
 
 def nearest(model: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +196,11 @@ def nearest(model: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     near = vectors(counts, model.idf) @ model.centroids.T
     best = near.argmax(axis=1)
     cosine = near[np.arange(len(near)), best].astype(np.float64)
-    return best, np.clip(cosine, 0, 1), (cosine < model.bounds[best]) & (counts.sum(axis=1) >= ENOUGH)
+    size = counts.sum(axis=1, dtype=np.float64)
+    log = np.clip(np.log2(np.maximum(size, 1)), 0, MOST_LOG)
+    low = np.minimum(log.astype(int), MOST_LOG - 1)
+    bound = model.bounds[best, low] + (log - low) * (model.bounds[best, low + 1] - model.bounds[best, low])
+    return best, np.clip(cosine, 0, 1), (cosine < bound) & (size >= ENOUGH)
 
 
 PREDICTED = "struct<lang_pred: string, score: double, rejected: boolean>"

@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -56,3 +57,39 @@ def test_pieces_count_like_wholes(monkeypatch):
     monkeypatch.setattr(L, "CHUNK_BYTES", 97)
     assert (L.gram_counts(texts) == whole).all()
     assert np.array_equal(L.gram_counts(texts.slice(3, 1))[0], whole[3])
+
+
+TURKISH = (
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı "
+    "kardeşlik zihniyeti ile hareket etmelidirler. Herkes, ırk, renk, cinsiyet, dil, din, siyasi veya diğer herhangi bir "
+    "akide farkı gözetilmeksizin bu haklardan istifade edebilir. "
+)
+FINNISH = (
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja "
+    "heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa "
+    "esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista erotusta. "
+)
+
+
+def test_bounds_by_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    learned = L.fit(docs.filter("doc_id % 4 <> 2"))
+    rng = random.Random(9)
+    strange = []
+    for size in (600, 4000, 30_000):
+        strange += [(TURKISH * 120)[:size], (FINNISH * 120)[:size], base64.b64encode(rng.randbytes(size)).decode()[:size]]
+        strange.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(size)))
+    strange += [base64.b64encode(rng.randbytes(30)).decode() for _ in range(20)]  # short ones too
+    found = L.identify(spark.createDataFrame(list(enumerate(strange)), "doc_id bigint, text string"), learned)
+    kept = {r.doc_id for r in found.filter("not rejected").collect()}
+    assert not kept & set(range(12)) and len(kept) <= 2
+    # Short or long, no document of a language is lost, nor the first words of one.
+    held = docs.filter("doc_id % 4 = 2 and text rlike '[a-zA-Z]'")
+    assert L.identify(held, learned).filter("rejected").count() == 0
+    cut = held.filter("length(text) > 200").selectExpr("doc_id", "substring(text, 1, 20 + doc_id % 100) as text")
+    assert L.identify(cut, learned).filter("rejected").count() <= 0.01 * cut.count()
+
+
+def test_few_texts_have_one_bound():
+    sizes, cosines = np.array([40.0, 900.0, 7.0]), np.array([0.4, 0.8, 0.2])
+    assert np.allclose(L.bounds_by_length(sizes, cosines), L.MARGIN * 0.2)
