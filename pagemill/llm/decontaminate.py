@@ -101,8 +101,8 @@ def _candidates(documents: DataFrame, windows: DataFrame, window: int) -> DataFr
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document (`doc_id`, `text`) against items (`item_id`, `text`): `doc_id`, `_text` (a hash that tells
-    documents of one id apart), `n_words`, `hits` (sorted arrays [start, length], words counted from 1) and
-    `items` (sorted ids as strings)."""
+    documents of one id apart), `n_words`, `hits` (sorted arrays [start, length], words counted from 1),
+    `items` (sorted ids as strings) and `n_rows`, how many rows the document has."""
     windows = item_windows(items, window)
     known = windows.select("key", F.col("item_id").cast("string").alias("item"), F.lit(True).alias("known"))
     # A key with many rows on the left is split by adaptive execution; the right side has a row for each item.
@@ -112,9 +112,15 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW)
         F.max("n_words").alias("n_words"),
         F.sort_array(F.collect_set(hit)).alias("hits"),
         F.sort_array(F.collect_set("item")).alias("items"),
+        F.count_if(F.col("length") == 0).alias("n_rows"),
     )
 
 
+def of_each_row(found: DataFrame) -> DataFrame:
+    """`contamination` with a row for each row of the documents."""
+    return found.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows")))).drop("_row", "n_rows")
+
+
 def hit_count(hits: Column) -> Column:
     """Words under sorted spans, each once."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))

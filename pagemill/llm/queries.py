@@ -22,7 +22,7 @@ def query(build: Query) -> Query:
 
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.of_each_row(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     n_hit = decontaminate.hit_count(F.col("hits"))
     return found.select(
         "doc_id",

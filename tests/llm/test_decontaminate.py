@@ -3,6 +3,7 @@ import re
 import pytest
 
 from pagemill.llm import decontaminate as D
+from pagemill.llm.queries import QUERIES
 
 ITEMS = [
     (1, "three FOUR five, six seven eight nine ten eleven twelve and so on"),
@@ -64,3 +65,13 @@ def test_empty(awkward, empty, items):
     assert D.contamination(empty, items).count() == 0
     assert D.contamination(awkward, items.limit(0)).filter("size(hits) > 0").count() == 0
     assert D.decontaminated(awkward, items.limit(0)).count() == awkward.count()
+
+
+def test_a_row_for_each_row(spark, awkward, items, tmp_path):
+    rows = [(r.doc_id, r.text) for r in awkward.collect()] * 2 + [(7, "été über año")] * 3
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["op9_decontamination"](spark, str(tmp_path)).select("doc_id", "n_words", "n_hit").collect()
+    expected = [(i, *brute(text, ITEMS)[:2]) for i, text in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
