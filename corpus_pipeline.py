@@ -24,8 +24,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies."""
-    return ngram_join.one_of_each(docs)
+    """The document of the least id of each group of near copies; an id may have several texts."""
+    return ngram_join.one_of_each_group(docs)
 
 
 def first_of_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

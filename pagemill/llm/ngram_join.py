@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pagemill.llm.common import byte_values, mixed, slices, string_bytes, word_hashes, written
+from pagemill.llm.common import byte_values, mixed, slices, string_bytes, text_hash, word_hashes, written
 from pagemill.llm.components import components
 
 SHINGLE = 5
@@ -137,16 +137,18 @@ def set_keys(hashes: np.ndarray, plan: Partition) -> list[tuple[np.ndarray, int,
     return out
 
 
-def _sets(documents: DataFrame) -> DataFrame:
-    """`doc_id`, `name` of its set and `size`."""
+def _sets(documents: DataFrame, *extra: str) -> DataFrame:
+    """`doc_id`, `name` of its set, `size` and bigint columns `extra`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(set_name(s), len(s)) for s in shingle_sets(batch["text"])]
             names, sizes = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "name", "size"])
+            columns = [batch["doc_id"], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *[batch[c] for c in extra]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "size", *extra])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, name bigint, size bigint")
+    schema = "doc_id bigint, name bigint, size bigint" + "".join(f", {c} bigint" for c in extra)
+    return documents.select(F.col("doc_id").cast("bigint"), "text", *extra).mapInArrow(run, schema)
 
 
 SEEN = 1 << 18
@@ -294,10 +296,10 @@ def _by_shingles(documents: DataFrame, shared: DataFrame, plan: Partition) -> Da
     return asked.join(every, "key").filter((F.col("u") != F.col("name")) & _alike("mine", "size", plan.percent)).select("u", F.col("name").alias("v")).distinct()
 
 
-def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
-    """Per document (`doc_id`, `text`): `doc_id`, `n_shingles` and `component_id`, the least doc_id that links lead to."""
+def _rooted(documents: DataFrame, percent: int, *extra: str) -> DataFrame:
+    """Per document: `doc_id`, `size` of its set, columns `extra`, and the `root` that links lead to."""
     plan = Partition(percent)
-    sets = written(_sets(documents), "shingle-sets")
+    sets = written(_sets(documents, *extra), "shingle-sets")
     shared = written(_shared(_keys(documents, plan)), "shared-keys")
     buckets = written(_buckets(shared, plan), "buckets")
     more = _by_shingles(documents, shared, plan) if not shared.filter(F.col("use") == SHORT).isEmpty() else None
@@ -318,8 +320,13 @@ def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     # Documents without a set are groups of their own.
     own = F.when(F.col("size") == 0, F.xxhash64("doc_id")).otherwise(F.col("name"))
-    named = sets.select("doc_id", "size", own.alias("node")).join(linked, "node", "left")
-    named = named.select("doc_id", "size", F.coalesce("root", "node").alias("root"))
+    named = sets.select("doc_id", "size", *extra, own.alias("node")).join(linked, "node", "left")
+    return named.select("doc_id", "size", *extra, F.coalesce("root", "node").alias("root"))
+
+
+def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """Per document (`doc_id`, `text`): `doc_id`, `n_shingles` and `component_id`, the least doc_id that links lead to."""
+    named = _rooted(documents, percent)
     least = named.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return named.join(least, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
@@ -335,3 +342,19 @@ def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
     own = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     own = own.withColumn("_n", F.row_number().over(least)).filter("_n = 1").drop("_n")
     return own.unionByName(documents.filter(F.col("doc_id").isNull()))
+
+
+def one_of_each_group(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """Documents, all columns kept, one row of each group: of the least doc_id that has a text in it. Different texts of
+    one id are documents of their own. Of exactly repeated rows (id and text) one stays, also of those without words.
+    Rows with null ids all stay."""
+    found = _rooted(documents.select("doc_id", "text", text_hash(F.col("text")).alias("_text")), percent, "_text")
+    found = found.filter(F.col("doc_id").isNotNull())
+    least = found.filter("size > 0").groupBy("root").agg(F.min(F.struct("doc_id", "_text")).alias("least")).select("least.*")
+    kept = least.unionByName(found.filter("size = 0").select("doc_id", "_text").distinct())
+    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("_text").alias("_kept_text"))
+    hashed = documents.withColumn("_hash", text_hash(F.col("text")))
+    own = hashed.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("_hash") == F.col("_kept_text")), "left_semi")
+    repeated = Window.partitionBy("doc_id", "_hash").orderBy(F.col("text").asc_nulls_last())
+    own = own.withColumn("_n", F.row_number().over(repeated)).filter("_n = 1").drop("_n", "_hash")
+    return own.unionByName(documents.filter(F.col("doc_id").isNull()))

@@ -119,3 +119,17 @@ def test_components(spark):
         for u, v in edges:
             parent[u] = parent[v] = min(parent[u], parent[v])
     assert got == {k: p for k, p in parent.items() if k != p}
+
+
+def test_one_of_each_group(spark, awkward, empty):
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long), (2, long + " more"), (2, "another text of two"), (3, long.upper()), (3, "a third text, linked with nothing"), (4, "a third text, linked with nothing")]
+    rows += [(5, None), (5, ""), (5, ""), (6, "same same"), (6, "same same"), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [tuple(r) for r in N.one_of_each_group(docs).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [rows[k] for k in (0, 2, 4, 6, 7, 9, 11)]))
+    kept = N.one_of_each_group(awkward)
+    assert kept.columns == awkward.columns
+    ids = [1, 3, 4, 5, 6, 7, 8, 9, 9, None, None]
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, ids))
+    assert N.one_of_each_group(empty).count() == 0

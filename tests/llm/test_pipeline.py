@@ -30,3 +30,11 @@ def test_awkward(spark, awkward, empty):
         for name, stage in P.STAGES:
             docs = written(stage(spark, docs, SF_DIR), name)
         docs.collect()
+
+
+def test_texts_that_share_an_id_stay(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, text), (2, text + " more"), (2, "another text of the same id"), (3, "x y z"), (3, "one text of id three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = dict(P.STAGES)["near_copies"](spark, docs, SF_DIR).collect()
+    assert sorted(map(tuple, kept)) == sorted(rows[k] for k in (0, 2, 3, 4))
