@@ -14,29 +14,80 @@ HEADER = ",".join(schemas.CLEAN_COLUMNS)
 SHORT_HEADER = "url,texto"
 
 
+#: Positions of a file that one task puts in order.
+BLOCK = 1 << 16
+
+
+def _block() -> Column:
+    """File and block as one value that is never null: windows, aggregates and joins by it share one shuffle."""
+    return F.struct(F.col("file").alias("file"), F.expr(f"pos div {BLOCK}").alias("n"))
+
+
+def _records(lines: DataFrame, shape: Column) -> DataFrame:
+    """`records_of` with `_shape`, that of the first line of the file."""
+    odd = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    own = Window.partitionBy("_block").orderBy("pos")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.select("file", "pos", "line", _block().alias("_block"), (F.coalesce(odd, F.lit(0)) % 2).alias("_odd"))
+    marked = marked.withColumn("_before", F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2)
+    # A block's last line that begins a record, as no quote is open where the block begins, or as one is.
+    blocks = marked.groupBy("_block").agg(
+        F.sum("_odd").alias("_odds"),
+        F.max(F.when(F.col("_before") == 0, F.col("pos"))).alias("_closed"),
+        F.max(F.when(F.col("_before") == 1, F.col("pos"))).alias("_opened"),
+        F.min_by(shape, "pos").alias("_shape"),
+    )
+    whole = Window.partitionBy("_block.file")
+    file = whole.orderBy("_block.n")
+    earlier = file.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_open", F.coalesce(F.sum("_odds").over(earlier), F.lit(0)) % 2)
+    blocks = blocks.withColumn("_last", F.when(F.col("_open") == 0, F.col("_closed")).otherwise(F.col("_opened")))
+    blocks = blocks.select(
+        "_block",
+        "_open",
+        F.max("_last").over(earlier).alias("_carried"),
+        F.when(F.sum("_odds").over(whole) % 2 == 1, F.max("_last").over(whole)).alias("_never"),
+        F.first("_shape").over(file).alias("_shape"),
+    )
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.when((F.col("_before") + F.col("_open")) % 2 == 0, F.col("pos"))
+    known = marked.join(blocks, "_block").withColumn("_first", first)
+    known = known.withColumn("_record", F.coalesce(F.max("_first").over(upto), F.col("_carried")))
+    record = F.when(F.col("_record") == F.col("_never"), F.col("pos")).otherwise(F.col("_record"))
+    parts = known.groupBy("file", record.alias("pos")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_parts"), F.any_value("_shape").alias("_shape")
+    )
+    return parts.select("file", "pos", F.array_join(F.transform("_parts", lambda p: p["line"]), "\n").alias("line"), "_shape")
+
+
 def records_of(lines: DataFrame) -> DataFrame:
     """Records of lines (`file`, `pos`, `line`): a record goes on as long as a quote is open, and has the position
-    of its first line. The lines of a file pass a running sum; only those of one record are put together."""
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2 == 1
-    upto = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumn("_first", F.when(~inside, F.col("pos")))
-    marked = marked.withColumn("_record", F.max("_first").over(upto))
-    parts = marked.groupBy("file", F.col("_record").alias("pos")).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_parts"))
-    return parts.select("file", "pos", F.array_join(F.transform("_parts", lambda p: p["line"]), "\n").alias("line"))
+    of its first line. Lines of a record that never closes are a record each.
+
+    A task passes blocks of lines; over a whole file go a few values of each block. Only the lines of one record are put
+    together."""
+    return _records(lines, F.lit(None)).drop("_shape")
+
+
+def places(df: DataFrame) -> DataFrame:
+    """Rows with `pos` counted from 1 in each `file`."""
+    rows = df.withColumn("_block", _block())
+    file = Window.partitionBy("_block.file").orderBy("_block.n").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_block").agg(F.count("*").alias("_rows"))
+    counts = counts.select("_block", F.coalesce(F.sum("_rows").over(file), F.lit(0)).alias("_earlier"))
+    place = F.col("_earlier") + F.row_number().over(Window.partitionBy("_block").orderBy("pos"))
+    return rows.join(counts, "_block").withColumn("pos", place.cast("bigint")).select(*df.columns)
 
 
 def normalised(lines: DataFrame) -> DataFrame:
-    """Result records (`file`, `pos`, `line`) under the five-column header; texts are moved once, by their file.
+    """Result records (`file`, `pos`, `line`) under the five-column header; texts are moved by blocks of their file.
 
     Told by the first line of each file: five columns stay, `url,texto` records get three empty columns in
     between and lose blank lines, and a file without header gets one.
     """
-    records = records_of(lines)
     start = F.lower(strip(F.col("line")))
     shape = F.when(start.startswith(HEADER), "full").when(start.startswith(SHORT_HEADER), "short").otherwise("bare")
-    known = records.withColumn("_shape", F.first(shape).over(Window.partitionBy("file").orderBy("pos")))
+    known = _records(lines, shape)
 
     header = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(HEADER).alias("line"))
 

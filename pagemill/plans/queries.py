@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import prompts as P
@@ -438,9 +438,7 @@ def _result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def result_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = results.rows(results.normalised(_result_lines(spark, sf_dir)))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("pos")).cast("bigint")
-    return found.withColumn("pos", place)
+    return results.places(results.rows(results.normalised(_result_lines(spark, sf_dir))))
 
 
 @query

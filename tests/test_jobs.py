@@ -317,3 +317,17 @@ def test_leaderboard(spark):
 def test_extraction_keeps_other_columns(spark, crawled):
     assert pages.titles(crawled).columns == ["page_id", "url", "status", "title"]
     assert pages.links(crawled).columns == ["page_id", "url", "status", "ord", "text", "href"]
+
+
+def test_records_go_on_over_blocks(spark, monkeypatch):
+    text = ['a,"b', 'c', 'd"', 'e', 'f,"g"', '"h', 'i', 'j', 'k', '"', 'l', '"never closed', 'm,"n"', 'o']
+    lines = [(f, k, line) for f in ("x", "y", None) for k, line in enumerate(text if f == "x" else text[:-3])]
+    expected = [(0, 'a,"b\nc\nd"'), (3, 'e'), (4, 'f,"g"'), (5, '"h\ni\nj\nk\n"'), (10, 'l')]
+    never = [(11, '"never closed'), (12, 'm,"n"'), (13, 'o')]
+    table = spark.createDataFrame(lines, "file STRING, pos INT, line STRING")
+    for block in (2, 3, 1 << 16):
+        monkeypatch.setattr(results, "BLOCK", block)
+        found = sorted((str(r[0]), *r[1:]) for r in results.records_of(table).collect())
+        assert found == [("None", *r) for r in expected] + [("x", *r) for r in expected + never] + [("y", *r) for r in expected]
+        placed = results.places(results.records_of(table))
+        assert sorted(placed.filter("file = 'x'").toPandas()["pos"]) == list(range(1, 9))
