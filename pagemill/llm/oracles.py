@@ -91,3 +91,74 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id
 """
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"  # after A-Z became a-z
+
+ORACLES["op11_lexical_search"] = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {_TERMS}) AS w FROM documents
+), c AS (
+  SELECT count(*) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d WHERE len(w) > 0
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {_TERMS})) AS term FROM benchmark
+), t AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL
+), f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY term, big_n
+), p AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))) AS part FROM t JOIN f USING (term), c
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM p JOIN i USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLES["op12_exact_products"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 10
+"""
+
+# A checksum is a fold over the bytes, with a table that its polynomial gives.
+ORACLES["op13_importance_resampling"] = rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), w AS (
+  SELECT row_number() OVER () AS row, doc_id, FALSE AS target,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {_TERMS}) AS w FROM documents
+  UNION ALL
+  SELECT 0, NULL, TRUE, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {_TERMS}) FROM benchmark
+), g AS (
+  SELECT row, target, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+), n AS (
+  SELECT row, target, f, count(*) AS n FROM g GROUP BY ALL
+), h AS (
+  SELECT f, xor(list_reduce(list_transform(range(strlen(f)), lambda i: CAST('0x' || hex(encode(f))[2 * i + 1:2 * i + 2] AS BIGINT)),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM n), crc
+), b AS (
+  SELECT row, target, bucket, n FROM n JOIN h USING (f)
+), s AS (
+  SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM b GROUP BY bucket
+), k AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM s
+), m AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight
+  FROM b JOIN k USING (bucket) WHERE NOT target GROUP BY row
+), r AS (
+  SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN m USING (row) WHERE NOT target
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS all_able FROM r
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * all_able // 100 THEN place END AS rank FROM o
+"""

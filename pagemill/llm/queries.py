@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann_vptree, bpe, chat_format, decontaminate, language_id, ngram_join, quality, suffix_dedup, token_store, warc
+from pagemill.llm import (
+    ann_vptree,
+    bpe,
+    chat_format,
+    decontaminate,
+    language_id,
+    lexical_search,
+    ngram_join,
+    quality,
+    resample,
+    suffix_dedup,
+    token_store,
+    topk_products,
+    warc,
+)
 from pagemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +130,18 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("spans") / 2).cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query
+def op12_exact_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_products.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
