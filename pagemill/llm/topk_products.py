@@ -4,10 +4,9 @@ Vectors become whole numbers, floor(scale * x). Rows are grouped by length into
 asking vector comes first: its k-th best product with some of the longest rows. Divided by the vector's length it is the
 length that a row must have, so a vector is sent only to buckets whose longest row has it. There, runs of rows of falling
 length are gone through; the bound, divided by both lengths, is the cosine that a row of the run must reach (the local
-threshold). Above one, the run and all after it are left out. For each run the way of pruning is chosen by the
-thresholds of the vectors still asking: where they are high, by coordinates (a product is at most the part over some
-coordinates plus the product of the lengths over the others), else by length (a row shorter than the bound needs is left
-out). What is left is verified: products are exact, in doubles where the lengths show that no sum reaches 2^53, in
+threshold). Above one, the run and all after it are left out. The way of pruning a run is chosen by that threshold:
+where it is high, by coordinates (a product is at most the part over some coordinates plus the product of the lengths
+over the others), else by length (a row shorter than the bound needs is left out). What is left is verified: products are exact, in doubles where the lengths show that no sum reaches 2^53, in
 64-bit integers below 2^62, else in Python's integers; a score beyond 64 bits is given as the nearest that fits.
 
 A bucket's rows are dealt by hash into pieces of bounded size, and askers into blocks of bounded size, so a bucket that
@@ -151,24 +150,27 @@ def search(ids: np.ndarray, rows: np.ndarray, length: np.ndarray, asker_ids: np.
         open_ = np.flatnonzero(need <= length[first])
         if not len(open_):
             break  # rows only get shorter
-        for own in np.split(open_, range(ASKERS, len(open_), ASKERS)):
-            both = asker_length[own] * length[first]
-            local = np.where((best.bound[own] > 0) & (both > 0), best.bound[own] / np.where(both > 0, both, 1), -1.0) - SLACK
-            pairs = None
-            if asking.shape[1] > 1 and np.median(local) >= COORDINATE_COSINE:
-                units = [x / np.where(n > 0, n, 1)[:, None] for x, n in ((asking[own], asker_length[own]), (rows[first:last], length[first:last]))]
-                pairs = by_coordinates(*units, local)
-            if pairs is None:  # rows long enough for one of the askers
-                end = first + int(np.searchsorted(-length[first:last], -need[own].min(), side="right"))
-                found = products(asking[own], rows[first:end])
-                asker, row = np.nonzero(found >= best.bound[own][:, None])
-                found = found[asker, row]
-            else:
-                asker, row = pairs
-                found = products(asking[own[asker]], rows[first + row], pairs=True)
-            asker, row = own[asker], first + row
-            kept = (found >= best.bound[asker]) & (ids[row] != asker_ids[asker])
-            best.add(asker[kept], ids[row[kept]], found[kept])
+        both = asker_length[open_] * length[first]
+        local = np.where((best.bound[open_] > 0) & (both > 0), best.bound[open_] / np.where(both > 0, both, 1), -1.0) - SLACK
+        high = (local >= COORDINATE_COSINE) & (asking.shape[1] > 1)
+        run = rows[first:last]
+        units = run / np.where(length[first:last] > 0, length[first:last], 1)[:, None] if high.any() else run
+        for which in (high, ~high):
+            for part in np.split(at := np.flatnonzero(which), range(ASKERS, len(at), ASKERS)):
+                own, pairs = open_[part], None
+                if len(own) and which is high:
+                    pairs = by_coordinates(asking[own] / asker_length[own][:, None], units, local[part])
+                if pairs is None:  # rows long enough for one of the askers
+                    end = int(np.searchsorted(-length[first:last], -need[own].min(initial=np.inf), side="right"))
+                    found = products(asking[own], run[:end])
+                    asker, row = np.nonzero(found >= best.bound[own][:, None])
+                    found = found[asker, row]
+                else:
+                    asker, row = pairs
+                    found = products(asking[own[asker]], run[row], pairs=True)
+                asker, row = own[asker], first + row
+                kept = (found >= best.bound[asker]) & (ids[row] != asker_ids[asker])
+                best.add(asker[kept], ids[row[kept]], found[kept])
         best.settle()
     return best.settle()
 

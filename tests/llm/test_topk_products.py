@@ -64,6 +64,7 @@ def test_empty(spark):
 def test_coordinates_prune_and_lose_nothing(monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True) / 6
     rows = np.floor(1024 * (np.repeat(centres, 100, axis=0) + 0.05 * rng.normal(size=(2000, 32))))
     asking = rows[::50]
     length = np.linalg.norm(rows, axis=1)
