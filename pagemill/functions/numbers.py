@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import strip
 
 
-def to_int(c: Column) -> Column:
-    """Whole number with optional sign and surrounding white space, else NULL."""
+def whole(c: Column) -> Column:
+    """Whole number of any length with optional sign and surrounding white space, as its plain digits, else NULL."""
     t = strip(c)
-    return F.when(t.rlike(r"^[+-]?\d++\z"), t.try_cast("bigint"))
+    digits = F.regexp_replace(t, r"^[+-]?0*(?=\d)", "")
+    plain = F.when(t.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(t.rlike(r"^[+-]?\d++\z"), plain)
+
+
+def order_key(number: Column) -> Column:
+    """STRUCT that orders plain whole numbers of any length: by signed length, then by digits, or those that are missing
+    to nine for numbers below zero."""
+    negative = number.startswith("-")
+    digits = F.regexp_replace(number, "^-", "")
+    return F.struct(
+        F.when(negative, -F.length(digits)).otherwise(F.length(digits)).alias("size"),
+        F.when(negative, F.translate(digits, "0123456789", "9876543210")).otherwise(digits).alias("digits"),
+    )
 
 
 def to_date(c: Column) -> Column:

@@ -159,9 +159,8 @@ def parse_record(page: str) -> dict:
     return found | {"title": found["title"].strip(), "h1": " ".join(found["h1"])}
 
 
-def parse_links(page: str) -> list[dict]:
+def each_link(page: str) -> Iterator[tuple[str, str]]:
     """An end tag closes the latest open anchor; strings since the last closed one are its text."""
-    out: list[dict] = []
     href, text = None, []
     for kind, value, attrs in _Tokens(page).found:
         if kind == "data" and href is not None:
@@ -169,22 +168,31 @@ def parse_links(page: str) -> list[dict]:
         elif value == "a" and kind == "open":
             href = (attrs.get("href") or "").strip()
         elif value == "a" and kind == "close" and href is not None:
-            out += [{"text": "".join(text).strip(), "href": href}] if href else []
+            if href:
+                yield "".join(text).strip(), href
             href, text = None, []
-    return out
 
 
-def parse_meta(page: str) -> list[dict]:
-    pairs = []
+def each_meta(page: str) -> Iterator[tuple[str, str]]:
     for kind, tag, attrs in _Tokens(page).found:
         get = lambda name: attrs.get(name) or ""
+        key = value = ""
         if kind == "open" and tag == "meta":
-            key = (get("name") or get("property")).strip()
-            if key.lower() in META_NAMES or key.lower().startswith(tuple(META_PREFIXES)):
-                pairs.append({"key": key, "value": get("content").strip()})
+            key, value = (get("name") or get("property")).strip(), get("content").strip()
+            if key.lower() not in META_NAMES and not key.lower().startswith(tuple(META_PREFIXES)):
+                continue
         elif kind == "open" and tag == "link" and "icon" in get("rel").lower():
-            pairs.append({"key": "icon", "value": get("href").strip()})
-    return [p for p in pairs if p["value"]]
+            key, value = "icon", get("href").strip()
+        if value:
+            yield key, value
+
+
+def parse_links(page: str) -> list[dict]:
+    return [{"text": text, "href": href} for text, href in each_link(page)]
+
+
+def parse_meta(page: str) -> list[dict]:
+    return [{"key": key, "value": value} for key, value in each_meta(page)]
 
 
 def parse_text(page: str) -> str:
@@ -214,6 +222,28 @@ def _record_udf() -> Callable:
     return F.pandas_udf(run, returnType=schemas.RECORD)
 
 
+class _LinkRows:
+    def eval(self, page: str) -> Iterator[tuple[int | None, str | None, str | None]]:
+        if page is None:
+            yield None, None, None
+        else:
+            for place, pair in enumerate(each_link(page)):
+                yield place, *pair
+
+
+class _MetaRows:
+    def eval(self, page: str) -> Iterator[tuple[int | None, str | None, str | None]]:
+        if page is None:
+            yield None, None, None
+        else:
+            for place, pair in enumerate(each_meta(page)):
+                yield place, *pair
+
+
+#: Table functions: a row for each link or meta of a page, as the parser comes to it; for NULL one row of NULLs.
+link_rows = F.udtf(_LinkRows, returnType="_ord int, _one string, _other string", useArrow=True)
+meta_rows = F.udtf(_MetaRows, returnType="_ord int, _one string, _other string", useArrow=True)
+
 title = _udf(parse_title, T.StringType())
 h1 = _udf(parse_h1, T.StringType())
 links = _udf(parse_links, schemas.LINK)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.charset import decode
 from pagemill.functions.urls import EXAMPLE_STATUS, is_example, url_key
-from pagemill.operators.lookup import HOT_ROWS, lookup
+from pagemill.operators.lookup import lookup, newest_rows
 from pagemill.operators.prefilter import bit_set, may_hold
 
 # Answers worth another try, number of tries after the first, base of the waiting time.
@@ -16,8 +16,9 @@ RETRY_TOTAL = 2
 BACKOFF_S = 0.3
 
 
-def fetch(urls: DataFrame, pages: DataFrame, version: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows of a URL list (`pos`, `url`; order and duplicates kept) with the columns of the latest page.
+def fetch(urls: DataFrame, pages: DataFrame, version: str | None, hot_rows: int | None = None) -> DataFrame:
+    """Rows of a URL list (`pos`, `url`; order and duplicates kept) with the columns of the latest page; of the one
+    page there is of a URL, if there is no `version`.
 
     Missing pages leave NULLs. Sort by `pos` at the sink if order matters. Call it with extracted columns,
     not with page bodies: then only those are moved.
@@ -37,6 +38,16 @@ def wanted(urls: DataFrame, pages: DataFrame, version: str) -> DataFrame:
     return pages.filter(may_hold(found, F.xxhash64("url", version)))
 
 
+def wanted_of_store(urls: DataFrame, store: DataFrame, version: str) -> DataFrame:
+    """The newest page of each URL that a list asks for, of a crawl in buckets of `url` (`sources.store.write_crawl`).
+
+    The list is brought to the buckets, where its part of a bucket is hashed and the pages stream past it; pages are
+    neither moved nor sorted, and what is extracted from them is still dealt by URL.
+    """
+    asked = urls.select("url").filter(F.col("url").isNotNull()).distinct()
+    return newest_rows(store.join(asked.hint("shuffle_hash"), "url", "left_semi"), ["url"], version)
+
+
 def with_body_only(fetched: DataFrame, body: str = "html") -> DataFrame:
     """Fetched rows with a non-empty body: what the link and meta jobs look at."""
     return fetched.filter(F.col(body) != "")
@@ -58,7 +69,7 @@ def retry_queue(crawl: DataFrame) -> DataFrame:
     return crawl.filter(again).withColumn("wait_s", F.lit(BACKOFF_S) * F.pow(F.lit(2.0), F.col("attempt") - 1))
 
 
-def cache_split(requests: DataFrame, cache: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def cache_split(requests: DataFrame, cache: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Requests (`pos`, `url`) with their cache `key` and whether `cache` (by unique `key`) holds it."""
     keyed = requests.withColumn("key", url_key(F.col("url")))
     held = cache.select("key").withColumn("cached", F.lit(True))
@@ -73,14 +84,19 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return first.join(cache.select("key"), "key", "left_anti")
 
 
-def cache_update(cache: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Cache with the fetched pages (`pos`, `url`, `html`) it did not hold yet, the first of each URL.
+def new_pages(cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """`key` and `html` of the fetched pages (`pos`, `url`, `html`) that the cache does not hold, the first of each URL.
 
     Bodies of pages that it holds are dropped before the first of a URL is chosen.
     """
     keyed = fetched.select(url_key(F.col("url")).alias("key"), "pos", "html").filter(F.col("html").isNotNull())
     new = keyed.join(cache.select("key"), "key", "left_anti")
-    return cache.unionByName(new.groupBy("key").agg(F.min_by("html", "pos").alias("html")))
+    return new.groupBy("key").agg(F.min_by("html", "pos").alias("html"))
+
+
+def cache_update(cache: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Cache with the fetched pages (`pos`, `url`, `html`) that it did not hold yet."""
+    return cache.unionByName(new_pages(cache, fetched))
 
 
 def decoded(crawl: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Equi-join to a table with at most one row per key, exact and even under any skew of the keys."""
+"""Equi-join to a table with at most one row per key."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
 KEYLESS_PIECES = 4096
 
 
@@ -15,19 +14,22 @@ def lookup(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
-    spread: str | Column,
+    spread: str | Column | None = None,
     newest: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """`left` with the columns of the one row of `right` that has the same `on`, NULLs where there is none.
 
-    Keys with at least `hot_rows` rows on the left are cut into salted pieces of about that many rows, and
-    their right row is copied to every piece. At most rows(left) / hot_rows keys can be hot; how that list
-    travels is left to adaptive execution. `spread` is a column whose values differ among the rows of a key.
+    `right` has one row per key, or several of which the one with the highest `newest` counts.
 
-    `right` has one row per key, or several of which the one with the highest `newest` counts. Those are
-    cut down to one before any copy is made.
+    One left join: adaptive execution splits the partitions of hot keys and broadcasts a side that turns out small.
+    Where it is off, `hot_rows` has keys with at least that many rows on the left cut into salted pieces, their right
+    row copied to each; rows without a key are spread too. `spread` is a column whose values differ among the rows of
+    a key.
     """
+    single = newest_rows(right, on, newest) if newest else right
+    if hot_rows is None:
+        return left.join(single, on, "left")
     spread = F.col(spread) if isinstance(spread, str) else spread
     counts = left.groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= hot_rows)
     hot = counts.select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_pieces"))
@@ -36,7 +38,6 @@ def lookup(
     piece = F.pmod(F.xxhash64(spread), F.when(keyless, KEYLESS_PIECES).otherwise(F.coalesce("_pieces", F.lit(1))))
     pieces = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
     salted = left.join(hot, on, "left").withColumn("_piece", piece.cast("int")).drop("_pieces")
-    single = newest_rows(right, on, newest) if newest else right
     copied = single.join(hot, on, "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
     return salted.join(copied, [*on, "_piece"], "left").drop("_piece")
 

@@ -34,12 +34,13 @@ class Extraction:
 
     native: Callable[[Column], Column]
     parser: Callable[[Column], Column]
+    rows: Callable | None = None  # the parser's elements as a table function
 
 
 TITLE = Extraction(native.title, parser.title)
 H1 = Extraction(native.h1, parser.h1)
-LINKS = Extraction(native.links, parser.links)
-META = Extraction(native.meta, parser.meta)
+LINKS = Extraction(native.links, parser.links, parser.link_rows)
+META = Extraction(native.meta, parser.meta, parser.meta_rows)
 TEXT = Extraction(native.text, parser.text)
 SPACED_TEXT = Extraction(native.spaced_text, parser.spaced_text)
 RECORD = Extraction(native.record, parser.record)
@@ -58,10 +59,38 @@ def extract(pages: DataFrame, name: str, what: Extraction, mode: str = "auto") -
         return pages.select(*kept, what.native(body).alias(name))
     if mode == "parser":
         return pages.select(*kept, what.parser(body).alias(name))
-    sure = pages.select(*kept, what.native(body).alias("_sure"), body.alias("_body"))
-    split = sure.select(*kept, "_sure", F.when(F.col("_sure").isNull(), F.col("_body")).alias("_odd"))
     answer = F.when(F.col("_odd").isNull(), F.col("_sure")).otherwise(what.parser(F.col("_odd")))
-    return split.select(*kept, answer.alias(name))
+    return _split(pages, what).select(*kept, answer.alias(name))
+
+
+def _split(pages: DataFrame, what: Extraction) -> DataFrame:
+    """`html` replaced by `_sure`, the JVM form's answer, and `_odd`, the body where it has none."""
+    kept = [c for c in pages.columns if c != "html"]
+    body = F.coalesce("html", F.lit(""))
+    sure = pages.select(*kept, what.native(body).alias("_sure"), body.alias("_body"))
+    return sure.select(*kept, "_sure", F.when(F.col("_sure").isNull(), F.col("_body")).alias("_odd"))
+
+
+def _rows(pages: DataFrame, what: Extraction, item: str, fields: tuple[str, str], mode: str) -> DataFrame:
+    """One row per element of an extraction, in a struct `item` with its place `ord`.
+
+    Odd pages give their rows one by one through a table function, so no page becomes an array in Python; the others
+    pass it as NULL and are exploded in the JVM.
+    """
+    if mode == "native":
+        return _exploded(extract(pages, "_found", what, mode), "_found", item)
+    kept = [c for c in pages.columns if c != "html"]
+    if mode == "parser":
+        one_by_one = pages.select(*kept, F.coalesce("html", F.lit("")).alias("_odd")).lateralJoin(what.rows(F.col("_odd").outer()))
+        return one_by_one.select(*kept, F.col("_ord").alias("ord"), _element(F.col("_one"), F.col("_other"), fields).alias(item))
+    both = _split(pages, what).lateralJoin(what.rows(F.col("_odd").outer()))
+    each = both.select(*kept, "_ord", "_one", "_other", F.posexplode_outer("_sure").alias("_pos", "_item"))
+    own = F.when(F.col("_ord").isNotNull(), _element(F.col("_one"), F.col("_other"), fields)).otherwise(F.col("_item"))
+    return each.select(*kept, F.coalesce("_ord", "_pos").alias("ord"), own.alias(item)).filter(F.col("ord").isNotNull())
+
+
+def _element(one: Column, other: Column, fields: tuple[str, str]) -> Column:
+    return F.struct(one.alias(fields[0]), other.alias(fields[1]))
 
 
 def failed(pages: DataFrame) -> Column:
@@ -95,24 +124,30 @@ def _exploded(found: DataFrame, column: str, item: str) -> DataFrame:
 
 def links(pages: DataFrame, mode: str = "auto") -> DataFrame:
     """One row per closed anchor with a href: `ord`, `text` and the absolute `href`."""
-    return link_rows(extract(pages, "links", LINKS, mode))
+    return _resolved_links(_rows(pages, LINKS, "_link", ("text", "href"), mode))
 
 
 def link_rows(found: DataFrame) -> DataFrame:
     """Rows of an extracted `links` column."""
-    rows = _exploded(found, "links", "_link")
+    return _resolved_links(_exploded(found, "links", "_link"))
+
+
+def _resolved_links(rows: DataFrame) -> DataFrame:
     href = resolve(F.col("url"), F.col("_link.href"))
     return rows.select("*", "_link.text", href.alias("href")).drop("_link")
 
 
 def metas(pages: DataFrame, mode: str = "auto") -> DataFrame:
     """One row per wanted meta tag or icon: `ord`, `key`, `value`; references in values made absolute."""
-    return meta_rows(extract(pages, "metas", META, mode))
+    return _resolved_metas(_rows(pages, META, "_meta", ("key", "value"), mode))
 
 
 def meta_rows(found: DataFrame) -> DataFrame:
     """Rows of an extracted `metas` column."""
-    rows = _exploded(found, "metas", "_meta")
+    return _resolved_metas(_exploded(found, "metas", "_meta"))
+
+
+def _resolved_metas(rows: DataFrame) -> DataFrame:
     key, value = F.col("_meta.key"), F.col("_meta.value")
     absolute = F.when(F.lower(key).isin(REFERENCE_KEYS), resolve(F.col("url"), value)).otherwise(value)
     return rows.select("*", key.alias("key"), absolute.alias("value")).drop("_meta")

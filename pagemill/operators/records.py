@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.numbers import to_date, to_int
+from pagemill.functions.numbers import order_key, to_date, whole
 
 # What the report keeps.
 MIN_SCORE = 80
@@ -13,9 +13,11 @@ TOP = 5
 
 
 def kept_records(records: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
-    """Records with typed `score` and `date`; those with a low or unreadable one are dropped."""
-    typed = records.withColumn("score", to_int(F.col("score"))).withColumn("date", to_date(F.col("date")))
-    return typed.filter((F.col("score") >= min_score) & F.col("date").isNotNull() & F.col("name").isNotNull())
+    """Records with a plain whole `score`, of any length, and a typed `date`; those with a low or unreadable one are
+    dropped."""
+    typed = records.withColumn("score", whole(F.col("score"))).withColumn("date", to_date(F.col("date")))
+    enough = F.col("score").isNotNull() & (order_key(F.col("score")) >= order_key(F.lit(str(min_score))))
+    return typed.filter(enough & F.col("date").isNotNull() & F.col("name").isNotNull())
 
 
 def newest_records(records: DataFrame, tie: str, n: int = TOP, min_score: int = MIN_SCORE) -> DataFrame:

@@ -129,17 +129,6 @@ def merged_prefs(base: DataFrame, override: DataFrame) -> DataFrame:
     )
 
 
-def merged_pref_maps(base: Column, override: Column) -> Column:
-    """The same for MAP<domain, STRUCT<limit>> columns."""
-    merged = F.map_zip_with(base, override, lambda _, b, o: F.coalesce(o, b))
-    return F.coalesce(merged, override, base)
-
-
-def domain_limit(prefs: Column, domain: Column, default: Column) -> Column:
-    """Limit of a domain in a MAP<domain, STRUCT<limit>>, else the default."""
-    return F.coalesce(F.try_element_at(prefs, domain)["limit"], default)
-
-
 def limited(
     results: DataFrame,
     prefs: DataFrame,

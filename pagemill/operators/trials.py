@@ -6,7 +6,13 @@ A trial has `task`, `seq` (order of the trials of a task, unique there), `candid
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import score
@@ -15,11 +21,9 @@ from pagemill.operators import medians
 
 # Metrics of a candidate that was never run.
 NO_TRIALS = {"correct": 0.0, "time_s": 9e9, "peak_mb": 0.0, "score": 0.0}
-CHUNK_ROWS = 1_000_000
-CHUNKS = 256
 
 
-def with_baseline(trials: DataFrame, hot_rows: int = lookups.HOT_ROWS) -> DataFrame:
+def with_baseline(trials: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """`base_time_s` and `base_peak_mb` of the task's first trial on every trial."""
     base = trials.groupBy("task").agg(
         # One column each: with a struct Spark could not aggregate by hash.
@@ -30,7 +34,7 @@ def with_baseline(trials: DataFrame, hot_rows: int = lookups.HOT_ROWS) -> DataFr
     return lookups.lookup(trials, base, ["task"], spread="seq", hot_rows=hot_rows)
 
 
-def scored(trials: DataFrame, hot_rows: int = lookups.HOT_ROWS) -> DataFrame:
+def scored(trials: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """`score` of every trial; `correct` is 0 for a failed one. The baseline itself has nothing to gain on."""
     based = with_baseline(trials, hot_rows)
     points = score(*[F.col(c) for c in ("rc", "correct", "time_s", "peak_mb", "base_time_s", "base_peak_mb")])
@@ -75,49 +79,84 @@ def aggregate_repeats(
     return every.fillna({**NO_TRIALS, "trials": 0})
 
 
-def best(
-    candidates: DataFrame, strict: bool = False, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A metric to compare by: missing below all numbers, NaN above."""
+    found = pc.fill_null(batch[name].cast(pa.float64()), float("-inf")).to_numpy(zero_copy_only=False)
+    return np.where(np.isnan(found), np.inf, found)
+
+
+class _Staircase:
+    """The candidates of a run of a task that no later one of the run beats, falling in both numbers, and the highest
+    numbers of the run. Runs that follow one another add up, in any grouping."""
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[float, float, pa.RecordBatch]] = []
+        self.tops = (float("-inf"), float("-inf"))
+
+    def add(self, rows: pa.RecordBatch, correct: np.ndarray, score: np.ndarray) -> None:
+        """Another run, after those so far."""
+        tops = correct.max(), score.max()
+        while self.steps and (self.steps[-1][0] < tops[0] or self.steps[-1][1] < tops[1]):
+            self.steps.pop()
+        self.tops = tuple(map(max, self.tops, tops))
+        later = [np.append(np.maximum.accumulate(x[::-1])[::-1][1:], -np.inf) for x in (correct, score)]
+        for k in np.flatnonzero((correct >= later[0]) & (score >= later[1])).tolist():
+            if not self.steps or self.steps[-1][:2] != (correct[k], score[k]):  # of equals the first is enough
+                self.steps.append((correct[k], score[k], rows.slice(k, 1)))
+
+    def rows(self, piece: int) -> Iterator[pa.RecordBatch]:
+        for batch in pa.Table.from_batches([row for *_, row in self.steps]).combine_chunks().to_batches():
+            extra = [pa.repeat(x, batch.num_rows) for x in (piece, *map(float, self.tops))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "_piece", "_c", "_s"])
+
+
+def _staircases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The staircase of each task of a partition sorted by `task`, `seq`."""
+    piece, now, task = TaskContext.get().partitionId(), None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names, metrics = batch["task"], [_numbers(batch, c) for c in ("correct", "score")]
+        same = pc.equal(names.slice(1), names.slice(0, len(names) - 1))
+        both_null = pc.and_(pc.is_null(names.slice(1)), pc.is_null(names.slice(0, len(names) - 1)))
+        same = pc.or_(pc.fill_null(same, False), both_null).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(~same) + 1).tolist(), len(names)]
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            if now is None or names[first].as_py() != task:
+                if now is not None:
+                    yield from now.rows(piece)
+                now, task = _Staircase(), names[first].as_py()
+            now.add(batch.slice(first, last - first), *[m[first:last] for m in metrics])
+    if now is not None:
+        yield from now.rows(piece)
+
+
+def best(candidates: DataFrame, strict: bool = False) -> DataFrame:
     """The candidate of every task left standing when each one, in `seq` order, replaces the one before if
     its `correct` or its `score` is higher.
 
     The rule depends on the order, but not on history: the survivor is the first candidate that no later
     one beats in either number. (A candidate standing at the end beats or equals all later ones in both.
     Of the candidates that do, the first is let in, since whatever stood before it and kept it out would
-    be an earlier one of them.) So the running maxima from the end decide, and those are taken over chunks
-    first. Tasks of at least `chunk_rows` candidates are cut at approximate quantiles of `seq`, whatever its
-    values, into pieces of a few thousandths; any cut gives the same survivor.
+    be an earlier one of them.) So ranges of (task, seq), however they cut a task, are cut down to their
+    staircases where they are, and only those and the ranges' highest numbers go on to one place a task.
 
     `strict` counts the score of a candidate that is not fully correct as 0.
     """
     if strict:
         candidates = candidates.withColumn("score", F.when(F.col("correct") >= 1.0, F.col("score")).otherwise(0.0))
-    hot = candidates.groupBy("task").agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= chunk_rows).select("task")
-    shares = [k / CHUNKS for k in range(1, CHUNKS)]
-    bounds = candidates.join(hot, "task", "left_semi").groupBy("task").agg(F.percentile_approx("seq", shares).alias("_bounds"))
-    piece = F.size(F.filter("_bounds", lambda b: b < F.col("seq")))
-    chunked = candidates.join(bounds, "task", "left").withColumn("_chunk", F.when(F.col("_bounds").isNull(), 0).otherwise(piece)).drop("_bounds")
-    tops = chunked.groupBy("task", "_chunk").agg(F.max("correct").alias("_c"), F.max("score").alias("_s"))
-    later_chunks = (
-        Window.partitionBy("task").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    after = tops.select(
-        "task", "_chunk", F.max("_c").over(later_chunks).alias("_c"), F.max("_s").over(later_chunks).alias("_s")
-    )
-    later = (
-        Window.partitionBy("task", "_chunk").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    standing = chunked.join(after, ["task", "_chunk"]).select(
-        *candidates.columns,
-        F.greatest(F.max("correct").over(later), "_c").alias("_c"),
-        F.greatest(F.max("score").over(later), "_s").alias("_s"),
-    )
-    unbeaten = standing.filter(
-        (F.col("_c").isNull() | (F.col("correct") >= F.col("_c")))
-        & (F.col("_s").isNull() | (F.col("score") >= F.col("_s")))
-    )
+    ranges = candidates.repartitionByRange("task", "seq").sortWithinPartitions("task", "seq")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields]
+    steps = ranges.mapInArrow(_staircases, ", ".join([*fields, "_piece bigint", "_c double", "_s double"]))
+    later = Window.partitionBy("task").orderBy("_piece").rangeBetween(1, Window.unboundedFollowing)
+    standing = steps.withColumns({"_c": F.max("_c").over(later), "_s": F.max("_s").over(later)})
+
+    def unbeaten(own: str, after: str) -> Column:
+        return F.col(after).isNull() | (F.coalesce(own, F.lit(float("-inf"))) >= F.col(after))
+
     rest = [c for c in candidates.columns if c != "task"]
-    first = unbeaten.groupBy("task").agg(F.min_by(F.struct(*rest), "seq").alias("_best"))
+    kept = standing.filter(unbeaten("correct", "_c") & unbeaten("score", "_s"))
+    first = kept.groupBy("task").agg(F.min_by(F.struct(*rest), "seq").alias("_best"))
     return first.select("task", *[F.col(f"_best.{c}") for c in rest])
 
 

@@ -2,7 +2,8 @@
 
 Pages that a list does not ask for, and older versions, are left out before extraction; the others are
 extracted before anything is shuffled, so joins move titles or texts and never page bodies.
-`version` names the column of the crawl that tells a URL's newer page from its older one.
+`version` names the column of the crawl that tells a URL's newer page from its older one. `stored` says that the crawl
+is a table in buckets of `url`: then pages are found where they are, without a filter of the whole crawl.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ from pagemill.operators.lookup import lookup
 NOT_FETCHED = "(error) page not fetched"
 
 
-def _fetched(urls: DataFrame, crawled: DataFrame, version: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _fetched(
+    urls: DataFrame, crawled: DataFrame, version: str, extract: Callable[[DataFrame], DataFrame], stored: bool = False
+) -> DataFrame:
+    if stored:
+        return crawl.fetch(urls, extract(crawl.wanted_of_store(urls, crawled, version)), None)
     return crawl.fetch(urls, extract(crawl.wanted(urls, crawled, version)), version)
 
 
@@ -32,16 +37,16 @@ def _filled(fetched: DataFrame, name: str, example: str | None = None) -> DataFr
     return fetched.select("pos", "url", value.alias(name))
 
 
-def title_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    return _filled(_fetched(urls, crawled, version, lambda c: pages.titles(c, mode)), "title", EXAMPLE_TITLE)
+def title_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto", stored: bool = False) -> DataFrame:
+    return _filled(_fetched(urls, crawled, version, lambda c: pages.titles(c, mode), stored), "title", EXAMPLE_TITLE)
 
 
-def h1_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    return _filled(_fetched(urls, crawled, version, lambda c: pages.h1s(c, mode)), "h1", EXAMPLE_TITLE)
+def h1_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto", stored: bool = False) -> DataFrame:
+    return _filled(_fetched(urls, crawled, version, lambda c: pages.h1s(c, mode), stored), "h1", EXAMPLE_TITLE)
 
 
-def text_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    return _filled(_fetched(urls, crawled, version, lambda c: pages.texts(c, mode)), "texto")
+def text_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto", stored: bool = False) -> DataFrame:
+    return _filled(_fetched(urls, crawled, version, lambda c: pages.texts(c, mode), stored), "texto")
 
 
 def status_job(urls: DataFrame, crawled: DataFrame, version: str) -> DataFrame:
@@ -49,13 +54,13 @@ def status_job(urls: DataFrame, crawled: DataFrame, version: str) -> DataFrame:
     return crawl.statuses(crawl.fetch(urls, known, version)).select("pos", "url", "status")
 
 
-def link_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    found = _fetched(urls, crawled, version, lambda c: pages.extract(c, "links", pages.LINKS, mode))
+def link_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto", stored: bool = False) -> DataFrame:
+    found = _fetched(urls, crawled, version, lambda c: pages.extract(c, "links", pages.LINKS, mode), stored)
     return pages.link_rows(found.select("pos", "url", "links"))
 
 
-def meta_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto") -> DataFrame:
-    found = _fetched(urls, crawled, version, lambda c: pages.extract(c, "metas", pages.META, mode))
+def meta_job(urls: DataFrame, crawled: DataFrame, version: str, mode: str = "auto", stored: bool = False) -> DataFrame:
+    found = _fetched(urls, crawled, version, lambda c: pages.extract(c, "metas", pages.META, mode), stored)
     return pages.meta_rows(found.select("pos", "url", "metas"))
 
 
@@ -65,9 +70,14 @@ def _errors_told(fetched: DataFrame) -> DataFrame:
 
 
 def clean_job(
-    urls: DataFrame, crawled: DataFrame, version: str, limit: Column | int | None = None, mode: str = "auto"
+    urls: DataFrame,
+    crawled: DataFrame,
+    version: str,
+    limit: Column | int | None = None,
+    mode: str = "auto",
+    stored: bool = False,
 ) -> DataFrame:
-    fetched = _errors_told(_fetched(urls, crawled, version, lambda c: pages.clean_records(c, limit, mode)))
+    fetched = _errors_told(_fetched(urls, crawled, version, lambda c: pages.clean_records(c, limit, mode), stored))
     return results.five_columns(fetched, "pos")
 
 

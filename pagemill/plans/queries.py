@@ -36,9 +36,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as they would stand in a CSV: some scores unreadable, some dates without padding."""
+    """Orders as they would stand in a CSV: some scores unreadable or very long, some dates without padding."""
     orders = _table(spark, sf_dir, "orders")
-    points = F.floor(F.col("o_totalprice") / 5000).cast("string")
+    key = F.col("o_orderkey")
+    long = F.when(key % 11 == 0, F.concat(F.lit("-0"), F.lit("9" * 30))).when(key % 13 == 0, F.concat(F.lit("+00"), key, F.lit("0" * 25)))
+    points = F.coalesce(long, F.floor(F.col("o_totalprice") / 5000).cast("string"))
     padded = F.when(F.col("o_orderstatus") == "P", "yyyy-M-d").otherwise("yyyy-MM-dd")
     dates = [F.when(padded == f, F.date_format("o_orderdate", f)) for f in ("yyyy-M-d", "yyyy-MM-dd")]
     return orders.select(
@@ -228,9 +230,9 @@ def _crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _versions(crawled: DataFrame) -> DataFrame:
     """Every page with an older version, and one of unknown age."""
     old = F.lit("<title>old</title><h1>old</h1>").alias("html")
-    known = crawled.select((-F.col("page_id") - 1).alias("page_id"), "url", old)
-    unknown = crawled.select(F.lit(None).cast("bigint").alias("page_id"), "url", old)
-    return crawled.unionByName(known).unionByName(unknown)
+    ids = [F.col("page_id"), -F.col("page_id") - 1, F.lit(None).cast("bigint")]
+    rows = [F.struct(i.alias("page_id"), "url", "html" if n == 0 else old) for n, i in enumerate(ids)]
+    return crawled.select(F.inline(F.array(*rows)))
 
 
 @query

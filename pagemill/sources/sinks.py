@@ -9,6 +9,10 @@ from pagemill import schemas
 from pagemill.operators.results import five_columns
 
 
+#: Quotes doubled, empty values blank, and blanks at the ends of values kept.
+CSV = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_lines(df: DataFrame, path: str, columns: list[str], order: list[str] | None = None) -> None:
     """Unquoted `a,b` lines; the values must not hold commas."""
     rows = df.orderBy(*order) if order else df
@@ -20,15 +24,13 @@ def write_lines(df: DataFrame, path: str, columns: list[str], order: list[str] |
 def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str] | None = None) -> None:
     """CSV without header, quoted where needed, empty values left blank."""
     rows = df.orderBy(*order) if order else df
-    rows.select(*columns).write.mode("overwrite").option("escape", '"').option("emptyValue", "").csv(path)
+    rows.select(*columns).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_results(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Five-column CSV with header."""
     rows = df.orderBy(*order) if order else df
-    five_columns(rows).select(schemas.CLEAN_COLUMNS).write.mode("overwrite").option("header", True).option(
-        "escape", '"'
-    ).option("emptyValue", "").csv(path)
+    five_columns(rows).select(schemas.CLEAN_COLUMNS).write.mode("overwrite").options(header=True, **CSV).csv(path)
 
 
 def append_json(df: DataFrame, path: str) -> None:

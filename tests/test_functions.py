@@ -64,9 +64,17 @@ def test_odd_references_are_told(spark):
     assert sum(not o for o in odd) > 500
 
 
-def test_integers(spark):
-    values = ["91", " 91 ", "+5", "-5", "8.5", "x", "", None, "9" * 30, "1e3", f"{NBSP}7"]
-    assert apply(spark, numbers.to_int, values) == [91, 91, 5, -5, None, None, None, None, None, None, 7]
+def test_whole_numbers(spark):
+    values = ["91", " 91 ", "+5", "-5", "8.5", "x", "", None, "-000" + "9" * 30, "1e3", f"{NBSP}7", "-0", "000", "+", "+0012"]
+    assert apply(spark, numbers.whole, values) == ["91", "91", "5", "-5", None, None, None, None, "-" + "9" * 30, None, "7", "0", "0", None, "12"]
+
+
+def test_order_of_whole_numbers(spark):
+    rng = random.Random(5)
+    values = [str(rng.choice([1, -1]) * rng.randrange(10 ** rng.randint(0, 60))) for _ in range(500)] + ["0", "-1", "1"]
+    df = spark.createDataFrame([(v,) for v in values], "v STRING")
+    assert [r.v for r in df.orderBy(numbers.order_key(F.col("v")), "v").collect()] == sorted(values, key=lambda v: (int(v), v))
+    assert df.filter(numbers.order_key(F.col("v")) >= numbers.order_key(F.lit("80"))).count() == sum(int(v) >= 80 for v in values)
 
 
 def test_dates(spark):

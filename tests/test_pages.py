@@ -144,3 +144,24 @@ def test_long_pages_do_not_overflow(spark):
         assert job(crawled, mode="native").count() == 1 or job is pages.metas
     assert pages.texts(crawled, "native").select(F.length("texto")).first()[0] > 2_500_000
     assert pages.links(crawled, "native").count() == 1
+
+
+def test_many_anchors_in_one_odd_page(spark):
+    anchors = "".join(f"<a href=/{i}>t{i}</a>" for i in range(100_000))
+    odd = "<p <a>"
+    df = spark.createDataFrame([(1, "http://x.y/", odd + anchors), (2, "http://x.y/", None), (3, "http://x.y/", odd), (4, "http://x.y/", "<a href='/z'>z</a>")],
+                               "page_id INT, url STRING, html STRING")
+    found = pages.links(df)
+    assert found.count() == 100_001
+    assert found.filter("page_id = 1").agg({"ord": "max"}).first()[0] == 99_999
+    assert [tuple(r) for r in found.filter("page_id = 4").collect()] == [(4, "http://x.y/", 0, "z", "http://x.y/z")]
+
+
+@pytest.mark.parametrize("mode", ["auto", "parser"])
+def test_rows_are_those_of_the_arrays(spark, mode):
+    odd = ["", None, "<a href=x>1</a><a href='y'>2</a>", "<p <a><a href=q>&lt</a><meta name=og:x content=1><link rel=icon href=f>", "<meta name='Description' content=' d '>"]
+    df = spark.createDataFrame([(n, "http://h/", h) for n, h in enumerate(odd * 3)], "page_id INT, url STRING, html STRING")
+    for rows, arrays, name, what in ((pages.links, pages.link_rows, "links", pages.LINKS), (pages.metas, pages.meta_rows, "metas", pages.META)):
+        one, other = rows(df, mode), arrays(pages.extract(df, name, what, mode))
+        assert one.columns == other.columns
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))

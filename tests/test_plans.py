@@ -1,10 +1,13 @@
 """Plans that must hold at scale: what is read, what is shuffled, what runs in Python."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import crawl, pages, trials
-from pagemill.plans import jobs, queries
+from pagemill.plans import file_queries, jobs, queries  # noqa: F401
+from pagemill.sources import store
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -37,9 +40,10 @@ def test_only_odd_bodies_cross_into_python(spark):
 
 
 def test_extraction_is_planned_once(spark):
-    """No size filter with a copy of the extraction below the explode."""
+    """No size filter with a copy of the extraction below the explode, and odd pages come out of Python as rows."""
     text = plan(queries.QUERIES["page_links"](spark, SF_DIR))
-    assert text.count("Generate posexplode(links") == 1 and "size(" not in text.split("Generate")[1].split("ArrowEvalPython")[0]
+    assert text.count("ArrowEvalPythonUDTF") == 1 and "pythonUDF" not in text
+    assert text.count("Generate posexplode(_sure") == 1 and "size(" not in text.split("Generate")[1].split("ArrowEvalPython")[0]
 
 
 @pytest.mark.parametrize("name", ["crawl_titles", "crawl_h1", "crawl_text", "crawl_links", "crawl_clean", "prompt_results"])
@@ -70,14 +74,65 @@ def test_status_job_reads_no_bodies(spark):
 
 
 def test_no_job_runs_while_a_query_is_built(spark):
-    sc, seen = spark.sparkContext, []
-    for name in ("page_clean_limited", "prompt_results", "crawl_titles", "trial_aggregate"):
-        queries.QUERIES[name](spark, SF_DIR)  # file footers are read once
+    sc, seen = spark.sparkContext, {}
+    for name in ("page_clean_limited", "prompt_results", "crawl_titles", "trial_aggregate", "best_candidate", "prefs_nested"):
         sc.setJobGroup(f"built-{name}", name)
         queries.QUERIES[name](spark, SF_DIR)
-        seen += [j for j in sc.statusTracker().getJobIdsForGroup(f"built-{name}") if "parquet" not in str(sc.statusTracker().getJobInfo(j))]
+        seen[name] = len(sc.statusTracker().getJobIdsForGroup(f"built-{name}"))
+        sc.setJobGroup("footers", "footers")
+        reads = queries._pages(spark, SF_DIR)  # how many jobs the schema of a table takes
+        assert reads.columns
+    sc.setJobGroup("schema", "schema")
+    queries._table(spark, SF_DIR, "events")
+    one = len(sc.statusTracker().getJobIdsForGroup("schema"))
     sc.setJobGroup("tests", "tests")
-    assert len(seen) <= 12  # schema reads only
+    reads = {"page_clean_limited": 2, "prompt_results": 3, "crawl_titles": 4, "trial_aggregate": 1, "best_candidate": 1, "prefs_nested": 1}
+    assert all(seen[name] <= one * reads[name] for name in seen), (seen, one)
+
+
+def exchanges(df):
+    """What each exchange of the initial plan moves."""
+    pending, out = [df._jdf.queryExecution().executedPlan()], []
+    while pending:
+        node = pending.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            pending.append(node.initialPlan())
+        if "ShuffleExchange" in node.getClass().getSimpleName():
+            out.append(node.output().mkString(","))
+        pending += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_list_jobs_have_few_exchanges(spark):
+    for name in ("crawl_titles", "crawl_h1", "crawl_text", "crawl_links", "crawl_meta", "crawl_clean"):
+        assert len(lines(queries.QUERIES[name](spark, SF_DIR), "Exchange")) < 30, name
+
+
+def test_stored_crawls(spark, tmp_path):
+    """Lists that the driver knows read some buckets; the crawl side of a job has no exchange below the extraction."""
+    crawled = queries._versions(queries._pages(spark, SF_DIR))
+    kept = store.write_crawl(crawled, "crawl_of_test", str(tmp_path / "crawl"), buckets=16)
+    urls = [r.url for r in crawled.select("url").distinct().orderBy("url").limit(3).collect()]
+    listed = store.url_rows_of(spark, [*urls, "http://nowhere", urls[0]])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        asked = store.crawl_of(kept, urls)
+        (scan,) = lines(asked, "FileScan")
+        count = re.search(r"SelectedBucketsCount: (\d+) out of 16", scan)
+        assert count and int(count[1]) <= 3 and "PushedFilters: [In(url" in scan
+        job = jobs.title_job(listed, kept, "page_id", mode="native", stored=True)
+        moved = exchanges(job)
+        assert all("page_id" not in columns and "html" not in columns for columns in moved), moved
+        assert "SelectedBucketsCount: 16 out of 16" in plan(job)
+        assert not any("html" in columns or "_odd" in columns for columns in exchanges(jobs.title_job(listed, kept, "page_id", stored=True)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    plain = sorted(map(tuple, jobs.title_job(listed, crawled, "page_id").collect()))
+    for rows in (kept, asked):
+        assert sorted(map(tuple, jobs.title_job(listed, rows, "page_id", stored=True).collect())) == plain
+        assert sorted(map(tuple, jobs.title_job(listed, rows, "page_id").collect())) == plain
 
 
 def test_only_wanted_pages_are_extracted(spark):

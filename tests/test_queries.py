@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pagemill.plans import file_oracles, file_queries  # noqa: F401
 from pagemill.plans.oracles import ORACLES
 from pagemill.plans.queries import QUERIES
 

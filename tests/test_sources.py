@@ -1,5 +1,6 @@
 """Readers and writers on small files, including the inputs and outputs the jobs were first written for."""
 
+import hashlib
 import json
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import compare, pages, records, results, trials
 from pagemill.plans import jobs
-from pagemill.sources import files, sinks
+from pagemill.sources import files, sinks, store
 
 
 def lines_of(path):
@@ -41,7 +42,7 @@ def test_scored_csv(spark, tmp_path):
     (tmp_path / "scores.csv").write_text("﻿" + text, encoding="utf-8")
     df = files.read_scored_csv(spark, str(tmp_path / "scores.csv")).withColumn("pos", F.monotonically_increasing_id())
     found = records.newest_records(df, "pos")
-    assert [tuple(r) for r in found.collect()] == [("Mar", 85), ("Pau, P", 80), ("Ana", 91)]
+    assert [tuple(r) for r in found.collect()] == [("Mar", "85"), ("Pau, P", "80"), ("Ana", "91")]
 
 
 def test_url_list(spark, tmp_path):
@@ -104,7 +105,7 @@ def test_numbered_lines(spark, tmp_path):
 
 
 def test_results_round_trip(spark, tmp_path):
-    rows = [(0, "u", 'a "q", b', "", "d", "line\nbreak"), (1, "v", "", "", "", "")]
+    rows = [(0, "u", 'a "q", b', "", "d", "line\nbreak"), (1, "v", "", "", "", " blanks at the ends\t")]
     df = spark.createDataFrame(rows, "pos INT, url STRING, title STRING, h1 STRING, meta_description STRING, texto STRING")
     sinks.write_results(df, str(tmp_path / "out"), order=["pos"])
     back = results.five_columns(files.read_results(spark, str(tmp_path / "out")))
@@ -151,3 +152,28 @@ def test_outputs_from_files(spark, tmp_path):
     read = lambda side: files.read_documents(spark, str(tmp_path / side))
     found = compare.lines_equal(compare.normalised_lines(read("expected")), compare.normalised_lines(read("got")))
     assert [tuple(r) for r in found.collect()] == [("t.txt", 1.0)]
+
+
+def test_cache_update_writes_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    old = [(f"http://h/{n}", f"old {n}") for n in range(600)]
+    keyed = spark.createDataFrame(old, "url STRING, html STRING").select(F.sha1(F.encode("url", "utf-8")).alias("key"), "html")
+    store.write_cache(keyed, path)
+    stamps = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "cache").glob("*/*.parquet")}
+    before = stamps()
+    fetched = [(5, "http://h/3", "changed"), (4, "http://new/1", "second"), (1, "http://new/1", "first"), (2, "http://new/2", None), (3, "http://new/3", "x")]
+    update = spark.createDataFrame(fetched, "pos INT, url STRING, html STRING")
+    store.update_cache(spark, path, update)
+    touched = {hashlib.sha1(u.encode()).hexdigest()[:2] for u in ("http://new/1", "http://new/3")}
+    after = stamps()
+    changed = {f.parent.name for f in before.keys() ^ after.keys()} | {f.parent.name for f in before if f in after and before[f] != after[f]}
+    assert changed == {f"prefix={p}" for p in touched}
+    rows = {r.key: r.html for r in store.read_cache(spark, path).collect()}
+    expected = {hashlib.sha1(u.encode()).hexdigest(): h for u, h in [*old, ("http://new/1", "first"), ("http://new/3", "x")]}
+    assert rows == expected
+    again = stamps()
+    store.update_cache(spark, path, update)
+    assert stamps() == again
+    asked = spark.createDataFrame([(0, "http://new/1"), (1, "http://h/9"), (2, "http://none")], "pos INT, url STRING")
+    held = store.held_pages(store.read_cache(spark, path), asked)
+    assert sorted((r.pos, r.html) for r in held.collect()) == [(0, "first"), (1, "old 9")]
