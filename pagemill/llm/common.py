@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below `spark.checkpoint.dir`, which all executors and the driver see.
 
-    Where that is unset (tests on one machine) the session gets a checkpoint folder of its own.
+    Where that is unset (tests on one machine) the session gets a checkpoint folder of its own; with executors on other
+    machines, which would not see it, that is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not (place := spark.sparkContext.getCheckpointDir()):
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
             place = spark.sparkContext.getCheckpointDir()
     return f"{place.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -37,6 +40,11 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    """Rows as one struct `row`, so that no column of theirs has a name that an operator uses; `row.*` gives them back."""
+    return documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -105,6 +113,45 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (_UP, _DOWN) if n <= len(_UP) else _new_powers(n)
 
 
+#: Sums modulo 2^64 of powers of any odd factor meet on some pairs of long strings, whatever the bytes' values (those of
+#: Thue and Morse). So strings are told apart by sums modulo a prime too, of a factor whose order no power of two divides.
+_PRIME = (1 << 31) - 1
+_PRIME_FACTOR = 7**5
+_JOIN = np.uint64(0xD1342543DE82EF95)
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    pair = []
+    for factor in (_PRIME_FACTOR, pow(_PRIME_FACTOR, -1, _PRIME)):
+        held = np.ones(1, np.uint64)
+        while len(held) < n:
+            held = np.concatenate([held, held * np.uint64(pow(factor, len(held), _PRIME)) % np.uint64(_PRIME)])
+        pair.append(held[:n])
+    return pair[0], pair[1]
+
+
+_PRIME_UP, _PRIME_DOWN = _prime_powers(PIECE_BYTES + 4097)
+
+
+class Sums:
+    """Running sums over values of bytes, for hashes of any strings among them."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        up, self._down = powers(n + 1)
+        self.plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:n], dtype=np.uint64)])
+        prime_up, self._prime_down = (_PRIME_UP, _PRIME_DOWN) if n < len(_PRIME_UP) else _prime_powers(n + 1)
+        part = (values >> np.uint64(33)) * prime_up[:n]
+        part = (part & np.uint64(_PRIME)) + (part >> np.uint64(31))  # equal modulo the prime, and of 32 bits
+        self.prime = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the strings from `begin` to `end`."""
+        plain = (self.plain[end] - self.plain[begin]) * self._down[begin]
+        prime = (self.prime[end] - self.prime[begin]) % np.uint64(_PRIME) * self._prime_down[begin] % np.uint64(_PRIME)
+        return mixed(plain ^ mixed(prime * _JOIN))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, of_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts laid end to end, and where each text's begin (one more for the end).
 
@@ -130,12 +177,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, of_byte: np.ndarray) -> tu
                 last = last + int(beyond[0]) if len(beyond) else len(data)
         begin = np.flatnonzero(begins[first:last])
         if len(begin):
-            n = last - first
-            up, down = powers(n + 1)
             # Gaps add nothing, so a word's sum reaches up to the next word.
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[first:last] * up[:n], dtype=np.uint64)])
-            end = np.concatenate([begin[1:], [n]])
-            hashes.append(mixed((sums[end] - sums[begin]) * down[begin]))
+            end = np.concatenate([begin[1:], [last - first]])
+            hashes.append(Sums(values[first:last]).of(begin, end))
             np.add.at(counts, np.searchsorted(starts, first + begin, side="right"), 1)
         first = last
     return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.cumsum(counts)

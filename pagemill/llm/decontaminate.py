@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ascii_lower, text_hash
+from pagemill.llm.common import ascii_lower, packed, text_hash
 
 WINDOW = 10
 #: Bits of the set of each window length, 128 KB each.
@@ -139,18 +139,18 @@ def decontaminated(documents: DataFrame, items: DataFrame, remove: str = "docume
     remove="documents" drops each document with a hit. remove="spans" cuts the hit words, and what separates them from
     the word before, out of `text`. Repeated rows are all kept or all dropped.
     """
-    found = contamination(documents, items, window).filter(F.size("hits") > 0)
-    found = found.select(F.col("doc_id").alias("_hit_id"), F.col("_text").alias("_hit_text"), F.col("hits").alias("_hits"))
-    same = documents["doc_id"].eqNullSafe(F.col("_hit_id")) & (text_hash(documents["text"]) == F.col("_hit_text"))
+    found = contamination(documents, items, window).filter(F.size("hits") > 0).select("doc_id", "_text", "hits")
+    rows, row, hits = packed(documents), F.col("row"), F.col("hits")
+    same = row["doc_id"].eqNullSafe(F.col("doc_id")) & (text_hash(row["text"]) == F.col("_text"))
     if remove == "documents":
-        return documents.join(found, same, "left_anti")
+        return rows.join(found, same, "left_anti").select("row.*")
     if remove != "spans":
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    joined = documents.join(found, same, "left")
+    joined = rows.join(found, same, "left")
     # A piece is a word with the gap before it, or the gap at the end.
-    pieces = F.regexp_extract_all("text", F.lit(f"{GAP}*{WORD}|{GAP}+"), F.lit(0))
-    under = F.flatten(F.transform("_hits", lambda s: F.sequence(s[0], s[0] + s[1] - 1)))
+    pieces = F.regexp_extract_all(row["text"], F.lit(f"{GAP}*{WORD}|{GAP}+"), F.lit(0))
+    under = F.flatten(F.transform(hits, lambda s: F.sequence(s[0], s[0] + s[1] - 1)))
     kept = F.array_except(F.sequence(F.lit(1), F.size(pieces)), under)
     cut = F.array_join(F.transform(kept, lambda p: F.get(pieces, p - 1)), "")
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(cut)
-    return joined.select(*[text.alias(c) if c == "text" else documents[c] for c in documents.columns])
+    text = F.when(hits.isNull(), row["text"]).otherwise(cut)
+    return joined.select(*[(text if c == "text" else row[c]).alias(c) for c in documents.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pagemill.llm.common import slices, string_bytes
+from pagemill.llm.common import packed, slices, string_bytes
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -233,10 +233,14 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
                 [pa.array(names, pa.string()), pa.array(joined[0]), pa.array(joined[1])], ["lang_pred", "score", "rejected"]
             )
 
-    found = documents.withColumn("_found", predict(F.col(text)))
-    return found.select(
-        *[c for c in documents.columns if c not in ("lang_pred", "score", "rejected")],
-        "_found.lang_pred",
-        "_found.score",
-        "_found.rejected",
-    )
+    row = F.col("row")
+    found = packed(documents).select("row", predict(row[text]).alias("found"))
+    kept = [row[c].alias(c) for c in documents.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    return found.select(*kept, "found.lang_pred", "found.score", "found.rejected")
+
+
+def known(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Documents, all columns kept, that are not rejected."""
+    rows = packed(documents)
+    found = identify(rows.withColumn("sent", F.col("row")[text]), model, "sent")
+    return found.filter(~F.col("rejected")).select("row.*")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pagemill.llm.common import byte_values, mixed, slices, string_bytes, text_hash, word_hashes, written
+from pagemill.llm.common import byte_values, mixed, packed, slices, string_bytes, text_hash, word_hashes, written
 from pagemill.llm.components import components
 
 SHINGLE = 5
@@ -71,8 +71,9 @@ def set_name(hashes: np.ndarray) -> int:
 class Partition:
     """How sets of a size are cut, for a similarity of `percent` hundredths."""
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, most_segments: int = 1 << 62):
+        """With `most_segments` all sets beyond that take the way by shingles."""
+        self.percent, self.most_segments = percent, most_segments
 
     def differing(self, size: int) -> int:
         """Elements in which a set and one that is no larger can differ."""
@@ -94,7 +95,7 @@ class Partition:
             if full - (6 if most > 256 else 3) * spread >= need:
                 break
             load -= 0.1
-        return int(np.ceil(most / max(load, 0.05)))
+        return min(self.most_segments, int(np.ceil(most / max(load, 0.05))))
 
     @staticmethod
     def deletions(band: int) -> bool:
@@ -267,17 +268,74 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").filter(alike("one", "other")).select("u", "v")
 
 
+PAIRS = "u bigint, v bigint"
+#: Rows of a bucket that one task compares with all of it.
+BUCKET_ROWS = 4096
+#: Pairs of a place that are remembered, so that the next bucket does not give them again.
+REMEMBERED = 1 << 18
+
+
 def _across(buckets: DataFrame, linked: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket from different groups, one of which looks the bucket up, as far as sizes and sketches allow."""
+    """Pairs of a bucket from different groups, one of which looks the bucket up, as far as sizes and sketches allow.
+
+    Two sets of different groups that are much alike share many buckets, so buckets are brought together by the least
+    set in them: buckets of the same two sets are in one place, and buckets of the same many sets in few. A place gives
+    each pair once. Rows of a bucket that many sets have are compared with the others in parts.
+    """
     grouped = buckets.join(linked.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    mixed_keys = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    rows = grouped.join(mixed_keys, "key", "left_semi").select("key", "name", "size", "asks", "root")
-    rows = rows.join(whole.drop("hashes"), "name")
-    asking = rows.filter("asks").select("key", F.col("root").alias("own_root"), F.col("name").alias("u"), F.col("size").alias("own"), *[F.col(c).alias(f"own_{c}") for c in SKETCH])
-    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"own_{c}"))) for c in SKETCH), F.lit(0))
-    near = (100 + percent) * differing <= (100 - percent) * (F.col("own") + F.col("size"))
-    pairs = asking.join(rows, (asking["key"] == rows["key"]) & (F.col("own_root") != F.col("root")) & _alike("own", "size", percent) & near)
-    return pairs.select(F.least("u", "name").alias("u"), F.greatest("u", "name").alias("v")).distinct()
+    mixed_keys = grouped.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("name").alias("home"), F.ceil(F.count("*") / BUCKET_ROWS).alias("parts")
+    )
+    mixed_keys = mixed_keys.filter("low <> high").select("key", "parts", F.when(F.col("parts") == 1, F.col("home")).otherwise(F.col("key")).alias("place"))
+    rows = grouped.join(mixed_keys, "key").join(whole.drop("hashes"), "name")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    rows = rows.withColumn("asks", F.col("asks") & (F.pmod(F.xxhash64("name"), F.col("parts")) == F.col("part")))
+    rows = rows.select("place", "part", "key", "name", "size", "asks", "root", *SKETCH)
+    placed = rows.repartition("place", "part").sortWithinPartitions("place", "part", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        place, held = None, None
+        for batch in batches:
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            ids = np.stack([held[c].to_numpy() for c in ("place", "part", "key")])
+            edges = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+            if not len(edges):
+                continue
+            out, place = _told(held.slice(0, int(edges[-1])), [0, *edges.tolist()], percent, place, told)
+            held = held.slice(int(edges[-1]))
+            yield out
+        if held is not None:
+            yield _told(held, [0, len(held)], percent, place, told)[0]
+
+    return placed.mapInArrow(run, PAIRS).distinct()
+
+
+def _told(rows: pa.RecordBatch, bounds: list[int], percent: int, place: tuple | None, told: set) -> tuple[pa.RecordBatch, tuple | None]:
+    """New pairs of the buckets between `bounds`, and the place of the last; `told` are those of the place so far."""
+    places, name, size, asks, root = (rows[c].to_numpy(zero_copy_only=False) for c in ("place", "name", "size", "asks", "root"))
+    sketches = np.stack([rows[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64) if len(rows) else np.zeros((0, len(SKETCH)), np.uint64)
+    out: list[tuple[int, int]] = []
+    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+        if places[first] != place or len(told) > REMEMBERED:
+            place = places[first]
+            told.clear()
+        for asking in range(first, last, 256):  # some rows at a time against the bucket
+            own = asking + np.flatnonzero(asks[asking : min(last, asking + 256)])
+            if not len(own):
+                continue
+            both = slice(first, last)
+            one, other = size[own][:, None].astype(np.int64), size[None, both].astype(np.int64)
+            near = (root[own][:, None] != root[None, both]) & (100 * np.minimum(one, other) >= percent * np.maximum(one, other))
+            a, b = np.nonzero(near)
+            differing = np.bitwise_count(sketches[own[a]] ^ sketches[first + b]).sum(axis=1, dtype=np.int64)
+            close = (100 + percent) * differing <= (100 - percent) * (one[a, 0] + other[0, b])
+            a, b = name[own[a[close]]], name[first + b[close]]
+            pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - told
+            told |= pairs
+            out += pairs
+    u, v = zip(*out, strict=True) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"]), place
 
 
 def _by_shingles(documents: DataFrame, shared: DataFrame, plan: Partition) -> DataFrame:
@@ -296,9 +354,9 @@ def _by_shingles(documents: DataFrame, shared: DataFrame, plan: Partition) -> Da
     return asked.join(every, "key").filter((F.col("u") != F.col("name")) & _alike("mine", "size", plan.percent)).select("u", F.col("name").alias("v")).distinct()
 
 
-def _rooted(documents: DataFrame, percent: int, *extra: str) -> DataFrame:
+def _rooted(documents: DataFrame, plan: Partition, *extra: str) -> DataFrame:
     """Per document: `doc_id`, `size` of its set, columns `extra`, and the `root` that links lead to."""
-    plan = Partition(percent)
+    percent = plan.percent
     sets = written(_sets(documents, *extra), "shingle-sets")
     shared = written(_shared(_keys(documents, plan)), "shared-keys")
     buckets = written(_buckets(shared, plan), "buckets")
@@ -324,9 +382,9 @@ def _rooted(documents: DataFrame, percent: int, *extra: str) -> DataFrame:
     return named.select("doc_id", "size", *extra, F.coalesce("root", "node").alias("root"))
 
 
-def groups(documents: DataFrame, percent: int = 75) -> DataFrame:
+def groups(documents: DataFrame, percent: int = 75, plan: Partition | None = None) -> DataFrame:
     """Per document (`doc_id`, `text`): `doc_id`, `n_shingles` and `component_id`, the least doc_id that links lead to."""
-    named = _rooted(documents, percent)
+    named = _rooted(documents.select("doc_id", "text"), plan or Partition(percent))
     least = named.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return named.join(least, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
@@ -336,11 +394,11 @@ def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
     """Documents, all columns kept, without those that links lead from to a smaller doc_id; of rows that share an id,
     one (the least text). Rows with null ids all stay."""
     found = groups(documents, percent)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = documents.filter(F.col("doc_id").isNotNull())
-    least = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    own = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    own = own.withColumn("_n", F.row_number().over(least)).filter("_n = 1").drop("_n")
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    rows, row = packed(documents), F.col("row")
+    own = rows.join(kept, row["doc_id"] == F.col("doc_id"), "left_semi")
+    least = Window.partitionBy(row["doc_id"]).orderBy(row["text"].asc_nulls_last())
+    own = own.withColumn("n", F.row_number().over(least)).filter("n = 1").select("row.*")
     return own.unionByName(documents.filter(F.col("doc_id").isNull()))
 
 
@@ -348,13 +406,13 @@ def one_of_each_group(documents: DataFrame, percent: int = 75) -> DataFrame:
     """Documents, all columns kept, one row of each group: of the least doc_id that has a text in it. Different texts of
     one id are documents of their own. Of exactly repeated rows (id and text) one stays, also of those without words.
     Rows with null ids all stay."""
-    found = _rooted(documents.select("doc_id", "text", text_hash(F.col("text")).alias("_text")), percent, "_text")
-    found = found.filter(F.col("doc_id").isNotNull())
-    least = found.filter("size > 0").groupBy("root").agg(F.min(F.struct("doc_id", "_text")).alias("least")).select("least.*")
-    kept = least.unionByName(found.filter("size = 0").select("doc_id", "_text").distinct())
-    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("_text").alias("_kept_text"))
-    hashed = documents.withColumn("_hash", text_hash(F.col("text")))
-    own = hashed.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("_hash") == F.col("_kept_text")), "left_semi")
-    repeated = Window.partitionBy("doc_id", "_hash").orderBy(F.col("text").asc_nulls_last())
-    own = own.withColumn("_n", F.row_number().over(repeated)).filter("_n = 1").drop("_n", "_hash")
+    named = documents.select("doc_id", "text", text_hash(F.col("text")).alias("hash"))
+    found = _rooted(named, Partition(percent), "hash").filter(F.col("doc_id").isNotNull())
+    least = found.filter("size > 0").groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("least")).select("least.*")
+    kept = least.unionByName(found.filter("size = 0").select("doc_id", "hash").distinct())
+    row = F.col("row")
+    hashed = packed(documents).withColumn("own", text_hash(row["text"]))
+    own = hashed.join(kept, (row["doc_id"] == F.col("doc_id")) & (F.col("own") == F.col("hash")), "left_semi")
+    repeated = Window.partitionBy(row["doc_id"], "own").orderBy(row["text"].asc_nulls_last())
+    own = own.withColumn("n", F.row_number().over(repeated)).filter("n = 1").select("row.*")
     return own.unionByName(documents.filter(F.col("doc_id").isNull()))

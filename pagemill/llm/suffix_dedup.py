@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pagemill.llm.common import PIECE_BYTES, byte_values, mixed, powers, slices, string_bytes, written
+from pagemill.llm.common import PIECE_BYTES, Sums, byte_values, mixed, packed, powers, slices, string_bytes, written
 
 MIN_BYTES = 400
 #: Contexts of one anchor that are sorted together (10 MB, with 400 MB to work in), and bytes of contexts of several
@@ -69,12 +69,11 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: Sizes) -> Iterator[tupl
         low = max(0, first - sizes.before)  # contexts of the first anchors
         last = min(len(data), first + step + 2 * sizes.string)
         n = last - low
-        up, down = powers(n + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[data[low:last]] * up[:n], dtype=np.uint64)])
         grams = n - sizes.gram + 1
         if grams < sizes.window:
             continue
-        hashes = mixed((sums[sizes.gram :] - sums[:grams]) * down[:grams])
+        sums, down = Sums(_OF_BYTE[data[low:last]]), powers(n + 1)[1]
+        hashes = mixed((sums.plain[sizes.gram :] - sums.plain[:grams]) * down[:grams])  # these only bring places together
         least = hashes & ~_PLACE | np.arange(grams, dtype=np.uint64)
         width = 1
         while width < sizes.window:
@@ -90,7 +89,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: Sizes) -> Iterator[tupl
         row = np.searchsorted(starts, at + low, side="right") - 1
         left = np.maximum(starts[row], at + low - sizes.before) - low
         right = np.minimum(ends[row], at + low + sizes.string) - low
-        context = mixed((sums[right] - sums[left]) * down[left])
+        context = sums.of(left, right)
         context = mixed(context ^ ((at - left) * 65537 + (right - at)).astype(np.uint64))
         yield hashes[at], context, row, at + low - starts[row]
 
@@ -259,13 +258,11 @@ def _sorted(contexts: DataFrame, sizes: Sizes, earlier: bool) -> DataFrame:
             out[name] = [None] * len(rows)
         shared = np.array([r["kinds"] > sizes.contexts for r in rows])[own]
         if shared.any():
-            up, down = powers(len(data) + 1)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[data] * up[: len(data)], dtype=np.uint64)])
             at = base[own] + inner
             order = np.lexsort((order_of, rank))
             least = order[np.concatenate([[True], rank[order][1:] != rank[order][:-1]])]
             least = least[shared[least]]
-            out["string"] += mixed((sums[at[least] + sizes.string] - sums[at[least]]) * down[at[least]]).view(np.int64).tolist()
+            out["string"] += Sums(_OF_BYTE[data]).of(at[least], at[least] + sizes.string).view(np.int64).tolist()
             out["matched"] += found[least].tolist()
             out["at"] += start[least].tolist()
             for name in ("anchor", "context", "doc_id", "doc"):
@@ -364,7 +361,7 @@ def deduplicated(documents: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "
 def without_repeats(documents: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "first") -> DataFrame:
     """Documents, all columns kept, with `text` cut; characters of which a part went go whole. Texts that lose nothing,
     null ones too, stay as they are; documents that lose everything stay with an empty text."""
-    marks = removed_spans(documents, min_bytes, keep).withColumnRenamed("doc", "_marked")
+    marks = removed_spans(documents, min_bytes, keep).withColumnRenamed("doc", "marked")
 
     @F.arrow_udf("string")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -382,6 +379,8 @@ def without_repeats(documents: DataFrame, min_bytes: int = MIN_BYTES, keep: str
                 out.append(data[np.cumsum(gone)[:-1] == 0].tobytes().decode(errors="ignore"))
             yield pa.array(out, pa.string())
 
-    doc = F.xxhash64(documents["doc_id"].cast("bigint"), F.coalesce(documents["text"], F.lit("")))
-    joined = documents.withColumn("_doc", doc).join(marks, F.col("_doc") == F.col("_marked"), "left")
-    return joined.withColumn("text", cut("text", "marks")).select(*documents.columns)
+    row = F.col("row")
+    doc = F.xxhash64(row["doc_id"].cast("bigint"), F.coalesce(row["text"], F.lit("")))
+    joined = packed(documents).withColumn("doc", doc).join(marks, F.col("doc") == F.col("marked"), "left")
+    left = joined.select("row", cut(row["text"], F.col("marks")).alias("left"))
+    return left.select(*[F.col("left").alias(c) if c == "text" else row[c].alias(c) for c in documents.columns])

@@ -2,7 +2,12 @@
 
 import pytest
 
-EXTRA = "text_hash string, start int, ids string, name string, score string, node string"
+#: Names that the operators use inside, and used to; a table may have them all.
+NAMES = """text_hash start ids name score node row found hash own n kept _found _hash _n _kept _doc _marked marks marked left _hit_id
+_hit_text _hits hits doc rejected lang_pred part place key size asks root sent u v _text words hashes n_words n_rows items item known
+spans span n_bytes decoded pieces piece n_tokens end first last order rank least component_id n_shingles _left _row weight n_features
+_down _id _part _at able term terms tf n df bucket block label predicted held_out string""".split()
+EXTRA = ", ".join(f"{c} {'int' if c == 'start' else 'string'}" for c in dict.fromkeys(NAMES))
 AWKWARD = [
     (1, "one two three four five six seven eight nine ten eleven twelve"),
     (1, "one two three four five six seven eight nine ten eleven twelve"),
@@ -23,7 +28,8 @@ AWKWARD = [
 @pytest.fixture(scope="session")
 def awkward(spark):
     """`doc_id`, `text`, `lang` and columns that operators might want to name so."""
-    rows = [(i, t, "en" if k % 3 else None, "a", 7, "b", "c", "d", "e") for k, (i, t) in enumerate(AWKWARD)]
+    extra = [7 if c == "start" else f"own {c}" for c in dict.fromkeys(NAMES)]
+    rows = [(i, t, "en" if k % 3 else None, *extra) for k, (i, t) in enumerate(AWKWARD)]
     return spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, {EXTRA}")
 
 

@@ -42,7 +42,7 @@ def test_far_texts_are_rejected(spark, model):
 
 def test_awkward(awkward, empty, model):
     found = L.identify(awkward, model)
-    assert found.columns == [*[c for c in awkward.columns if c != "score"], "lang_pred", "score", "rejected"]
+    assert found.columns == [*[c for c in awkward.columns if c not in ("lang_pred", "score", "rejected")], "lang_pred", "score", "rejected"]
     assert found.count() == awkward.count()
     assert L.identify(empty, model).count() == 0
     L.fit(awkward)

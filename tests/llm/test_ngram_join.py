@@ -89,14 +89,79 @@ def test_other_similarity(spark):
     check(spark, near_copies(9, 25, (5, 120)), percent=60)
 
 
-def test_too_few_segments(spark, monkeypatch):
+def test_too_few_segments(spark):
     """With hardly any segments all sets take the way by single shingles."""
-    monkeypatch.setattr(N.Partition, "segments", lambda self, band: 1)
-    rows = near_copies(4, 12, (20, 90))
-    plan = N.Partition(75)
+    plan = N.Partition(75, most_segments=1)
     keys = [N.set_keys(np.sort(np.random.default_rng(k).integers(0, 2**64, 60, dtype=np.uint64)), plan) for k in range(3)]
     assert all(any(use == N.SHORT for _, _, use in k) for k in keys)
-    assert rows
+    rows = near_copies(4, 12, (20, 90))
+    got = N.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), plan=plan)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == brute(rows)
+
+
+def thue_morse(length):
+    one, other = "a", "b"
+    while len(one) < length:
+        one, other = one + other, other + one
+    return one, other
+
+
+@pytest.mark.parametrize("length", [1024, 4096])
+def test_words_that_fool_sums_modulo_powers_of_two(spark, length):
+    rows = [*enumerate(thue_morse(length)), (2, "c " + thue_morse(length)[0]), (3, thue_morse(length)[1])]
+    check(spark, rows)
+    assert len({r.component_id for r in N.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}) == 3
+
+
+def test_long_near_copies_are_compared_once(spark):
+    """Texts of 3,000 words in two groups, not near enough to each other: each pair across is given once; others that
+    share a passage only are not given at all."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    other = [w if rng.random() < 0.94 else f"o{k}" for k, w in enumerate(base)]  # some 0.6 alike
+    rows = []
+    for g, words in enumerate((base, other)):
+        for copy in range(6):
+            own = list(words)
+            for at in rng.sample(range(3000), 15):
+                own[at] = f"x{g}-{copy}-{at}"
+            rows.append((g * 100 + copy, " ".join(own)))
+    for k in range(5):
+        rows.append((1000 + k, " ".join(base[:400] + [f"f{k}-{n}" for n in range(2600)])))
+    check(spark, rows)
+
+
+def bucket_rows(sets, keys_of):
+    rows = []
+    for name, (hashes, root) in enumerate(sets):
+        rows += [(0, 0, int(k), name, len(hashes), True, root, *N.sketch(hashes).tolist()) for k in keys_of(name)]
+    rows.sort()
+    import pyarrow as pa
+
+    names = ["place", "part", "key", "name", "size", "asks", "root", *N.SKETCH]
+    return pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], pa.bool_() if n == "asks" else pa.int64()) for k, n in enumerate(names)})
+
+
+def test_a_place_gives_a_pair_once():
+    rng = np.random.default_rng(2)
+    one = np.sort(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    near = one.copy()
+    near[:100] = rng.integers(0, 2**64, 100, dtype=np.uint64)
+    batch = bucket_rows([(one, 1), (np.sort(near), 2), (one, 1)], lambda name: range(50))
+    told: set = set()
+    bounds = [*range(0, len(batch) + 1, 3)]
+    found, place = N._told(batch, bounds, 75, None, told)
+    assert sorted(zip(found["u"].to_pylist(), found["v"].to_pylist(), strict=True)) == [(0, 1), (1, 2)] and place == 0
+    assert len(N._told(batch, bounds, 75, place, told)[0]) == 0
+    small = np.sort(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    far = np.sort(np.concatenate([small[:150], rng.integers(0, 2**64, 150, dtype=np.uint64)]))
+    assert len(N._told(bucket_rows([(small, 1), (far, 2)], lambda name: range(5)), [0, 2, 4, 6, 8, 10], 75, None, set())[0]) == 0
+
+
+def test_hot_buckets_come_in_parts(spark, monkeypatch):
+    """A bucket's rows in parts: the same groups (parts are told on the driver)."""
+    monkeypatch.setattr(N, "BUCKET_ROWS", 3)
+    check(spark, near_copies(1, 30))
 
 
 def test_awkward(spark, awkward, empty):

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -5,6 +6,8 @@ import numpy as np
 import pytest
 
 from pagemill.llm import suffix_dedup as S
+from pagemill.llm.common import Sums, powers
+from pagemill.llm.queries import QUERIES
 
 LENGTH = 40
 
@@ -97,3 +100,32 @@ def test_pipeline_form(spark, awkward, empty):
     assert by_id[1] == ["", ""] and by_id[3] == [None]
     assert by_id[2][0].startswith("ONE") and by_id[7] == ["x"]
     assert S.without_repeats(empty, LENGTH).count() == 0 and S.deduplicated(empty, LENGTH).count() == 0
+
+
+def test_registered_query_against_brute_force(spark):
+    """Every string of 400 bytes of the smallest data set."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    expected = []
+    for i, n_bytes, edges, kept in map(eval, brute(rows, "none", 400)):
+        expected.append((i, n_bytes, sum(edges[1::2]) - sum(edges[::2]), len(edges) // 2, hashlib.sha256(kept).hexdigest()))
+    got = QUERIES["op1_suffix_dedup"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+@pytest.mark.parametrize("length", [1024, 4096])
+def test_strings_that_fool_sums_modulo_powers_of_two(spark, length):
+    """Two documents that share their first and last bytes but for the middle, which a plain sum cannot tell apart."""
+    one, other = "a", "b"
+    while len(one) < length:
+        one, other = one + other, other + one
+    rng = random.Random(1)
+    same = "".join(rng.choice("xyz") for _ in range(30))
+    rows = [(1, same + one + same), (2, same + other + same)]
+    for keep in ("none", "first"):
+        found = S.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), LENGTH, keep)
+        assert sorted(repr((r.doc_id, r.n_bytes, r.spans, bytes(r.kept))) for r in found.collect()) == brute(rows, keep)
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    sums = Sums(S._OF_BYTE[data])
+    halves = sums.of(np.array([0, length]), np.array([length, 2 * length]))
+    plain = sums.plain
+    assert halves[0] != halves[1] and plain[length] * powers(2 * length + 1)[0][length] == plain[2 * length] - plain[length]
