@@ -5,7 +5,7 @@ import pytest
 #: Names that the operators use inside, and used to; a table may have them all.
 NAMES = """text_hash start ids name score node row found hash own n kept _found _hash _n _kept _doc _marked marks marked left _hit_id
 _hit_text _hits hits doc rejected lang_pred part place key size asks root sent u v _text words hashes n_words n_rows items item known
-spans span n_bytes decoded pieces piece n_tokens end first last order rank least component_id n_shingles _left _row weight n_features
+spans span n_bytes pieces piece n_tokens end first last order rank least component_id n_shingles _left _row weight n_features
 _down _id _part _at able term terms tf n df bucket block label predicted held_out string""".split()
 EXTRA = ", ".join(f"{c} {'int' if c == 'start' else 'string'}" for c in dict.fromkeys(NAMES))
 AWKWARD = [
