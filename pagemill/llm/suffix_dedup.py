@@ -10,8 +10,9 @@ A suffix array of a corpus has no end, so suffixes are sorted where they can be
     context, all bytes of strings that hold the anchor. An anchor that no other place has is of no interest.
 2.  A context that occurs twice is whole: each string in it does too.
 3.  The other contexts of an anchor, one of each kind, are laid end to end and their suffixes sorted to a depth of
-    `min_bytes` (by prefix doubling). Where neighbours in that order agree to this depth, a suffix has an earlier match
-    if there is a smaller place before or after it in the run: its longest previous factor is long enough.
+    `min_bytes` (by joining ranks of shorter prefixes). Common prefixes of neighbours in that order are told to this
+    depth; the nearest smaller places before and after a suffix are its earlier matches, which give its longest previous
+    factor. What is as long as `min_bytes` goes.
 4.  Contexts of one anchor beyond `CONTEXTS` are cut into shares that are sorted apart; from each share one string of
     each kind, by its hash, then meets those of the other shares.
 
@@ -20,8 +21,9 @@ third of all documents share is split like any other. Texts move once, to their
 
 Null texts are empty. Texts shorter than `min_bytes` stay whole. Rows that repeat a document (same id and text) are
 documents of their own, so each one's text stands elsewhere too; with keep="first" they count as one place, and all
-stay. Null ids come first. Columns beyond the named ones are not looked at. Hashes are of 64 bits: a byte is wrongly
-removed with a chance below n^2 / 2^65 for n strings that share an anchor.
+stay. Null ids come first. Columns beyond the named ones are not looked at. Contexts are equal by hashes of 64 bits,
+made of sums modulo 2^64 and modulo a prime: a byte is wrongly removed with a chance below n^2 / 2^65 for n contexts of
+an anchor.
 """
 
 from __future__ import annotations
@@ -171,45 +173,75 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     rank = np.unique(words, return_inverse=True)[1]
     width = 8
 
-    def joined(by: int) -> np.ndarray:
-        other = np.zeros(n, np.int64)
-        other[: max(0, n - by)] = rank[by:] + 1
-        other += rank * (n + 1)
-        return np.unique(other, return_inverse=True)[1]
+    def joined(offsets: list[int]) -> np.ndarray:
+        every = np.zeros(n, np.int64)
+        for by in offsets:
+            every *= n + 1
+            every[: max(0, n - by)] += rank[by:] + 1
+        return np.unique(every, return_inverse=True)[1]
 
-    while 2 * width <= depth:
-        rank = joined(width)
-        width *= 2
-    return joined(depth - width) if width < depth else rank
+    parts = max(k for k in (2, 3, 4) if k == 2 or (n + 1) ** k < 1 << 63)  # as many ranks as a number holds
+    while width < depth:
+        upto = min(depth, parts * width)
+        rank = joined(sorted({min(k * width, upto - width) for k in range(parts)}))
+        width = upto
+    return rank
 
 
-def has_match(rank: np.ndarray, order_of: np.ndarray, earlier: bool) -> np.ndarray:
-    """Whether a string of the same rank starts at another place (`order_of`), an earlier one if asked.
+def smaller_before(place: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each entry the nearest one before it in its run whose place is smaller, or -1; `begins` marks first entries.
 
-    In suffix order, with the places of a run as they come, that is a smaller place before or after it in its run; any
-    other place will do where it need not be earlier.
+    Each looks at the one before it, and from one that is no smaller goes on to what that one has found, so all entries
+    that still look take a step together. In order of places the first step is the last.
+    """
+    found = np.arange(len(place)) - 1
+    found[begins] = -1
+    looking = np.flatnonzero((found >= 0) & (place[found] >= place))
+    while len(looking):
+        found[looking] = found[found[looking]]
+        looking = looking[(found[looking] >= 0) & (place[found[looking]] >= place[looking])]
+    return found
+
+
+def smaller_after(place: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The same behind it."""
+    ends = np.append(begins[1:], True)[: len(begins)]
+    found = smaller_before(place[::-1], ends[::-1])[::-1]
+    return np.where(found >= 0, len(place) - 1 - found, -1)
+
+
+def previous_factors(rank: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factors of strings of which `rank` is the suffix order to `depth` bytes: `depth` if the string
+    starts at a smaller place too, else 0 (what is shorter is not told apart), and an entry of that place, or -1.
+
+    Common prefixes (LCP) of neighbours in suffix order are `depth` within a run of equal ranks and less between runs, so
+    the nearest smaller places before and after in that order are matches if they are in the run.
     """
     order = np.argsort(rank, kind="stable")
-    place = order_of[order]
-    edge = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-    run = np.cumsum(edge) - 1
-    top = place.max(initial=0) + 1
-    # Least place so far in the run: runs go down from one to the next, so that a new run starts below the last.
-    shift = (run[-1] - run if len(run) else run) * top
-    before = np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(place + shift)[:-1]])
-    previous_smaller = ~edge & (before < place + shift)
-    back_shift = run * top
-    after = np.concatenate([np.minimum.accumulate((place + back_shift)[::-1])[::-1][1:], [np.iinfo(np.int64).max]])
-    last = np.concatenate([edge[1:], [True]])[: len(edge)]
-    next_smaller = ~last & (after < place + back_shift)
-    found = previous_smaller | next_smaller
-    if not earlier:  # one with a greater place, which is then matched by this one
-        least = np.minimum.reduceat(place, np.flatnonzero(edge)) if len(place) else place
-        most = np.maximum.reduceat(place, np.flatnonzero(edge)) if len(place) else place
-        found |= (least < most)[run]
-    out = np.zeros(len(rank), bool)
-    out[order] = found
-    return out
+    lcp = np.where(np.append(False, rank[order][1:] == rank[order][:-1])[: len(order)], depth, 0)
+    begins, sorted_place = lcp < depth, place[order]
+    before, after = smaller_before(sorted_place, begins), smaller_after(sorted_place, begins)
+    source = np.where(before >= 0, before, after)
+    factor, match = np.zeros(len(rank), np.int64), np.full(len(rank), -1)
+    factor[order] = np.where(source >= 0, depth, 0)
+    match[order] = np.where(source >= 0, order[source], -1)
+    return factor, match
+
+
+def has_match(rank: np.ndarray, place: np.ndarray, earlier: bool, depth: int = MIN_BYTES) -> np.ndarray:
+    """Whether a string of `depth` bytes starts at another place, an earlier one if asked: whether its previous factor is
+    long enough, or it is the earlier match of one."""
+    factor, match = previous_factors(rank, place, depth)
+    found = factor >= depth
+    if not earlier:
+        found[match[found]] = True
+        # An entry of the same place as a match has that one's later copy.
+        same = np.lexsort((place, rank))
+        equal = np.append(False, (rank[same][1:] == rank[same][:-1]) & (place[same][1:] == place[same][:-1]))[: len(same)]
+        group = np.cumsum(~equal) - 1
+        if len(same):
+            found[same] = np.maximum.reduceat(found[same], np.flatnonzero(~equal))[group]
+    return found
 
 
 def covered(starts: np.ndarray, length: int) -> list[int]:
@@ -230,6 +262,7 @@ def _sorted(contexts: DataFrame, sizes: Sizes, earlier: bool) -> DataFrame:
     `string` of each kind (its hash, whether it has a match, and where it starts)."""
 
     def block(rows: list[dict]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["doc"], r["place"]))
         data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
         length = np.array([len(r["bytes"]) for r in rows])
         base = np.concatenate([[0], np.cumsum(length)])
@@ -244,7 +277,7 @@ def _sorted(contexts: DataFrame, sizes: Sizes, earlier: bool) -> DataFrame:
         order_of = number[own] << 32 | start
         rank = rank[base[own] + inner]
         several = np.array([r["n"] > 1 for r in rows])
-        found = has_match(rank, order_of, earlier)
+        found = has_match(rank, order_of, earlier, sizes.string)
         if not earlier:
             found |= several[own]
         out: dict[str, list] = {f.split()[0]: [] for f in FOUND.split(", ")}
@@ -299,21 +332,17 @@ def removed_spans(documents: DataFrame, min_bytes: int = MIN_BYTES, keep: str =
     kinds = written(_kinds(places, sizes), "kinds")
     found = written(_sorted(_contexts(documents, kinds, sizes), sizes, earlier), "found")
 
-    whole = F.array(F.lit(-sizes.before), F.lit(sizes.string))
-    spans = found.filter(F.col("spans").isNotNull()).select("anchor", "context", "spans")
-    first = kinds.select("anchor", "context", "n", "first")
+    # Contexts that occur again are whole but for a first copy that stays; spans are those of a kind's first place.
+    whole = F.array(F.col("place") - sizes.before, F.col("place") + sizes.string).alias("span")
+    first = kinds.filter("n > 1").select("anchor", "context", "first")
+    again = places.join(first, ["anchor", "context"])
     if earlier:
-        # The first place of a kind goes by what stands before it; the others by that first place.
-        known = first.join(spans, ["anchor", "context"], "left")
-        is_first = F.struct("doc_id", "doc", "place").eqNullSafe(F.col("first"))
-        own = F.when(is_first, F.coalesce("spans", F.array().cast("array<int>"))).otherwise(whole)
-        marks = places.join(known, ["anchor", "context"]).withColumn("own", own)
-    else:
-        known = first.filter("n > 1").select("anchor", "context", whole.alias("own"))
-        single = spans.join(first.filter("n = 1"), ["anchor", "context"], "left_semi").withColumnRenamed("spans", "own")
-        marks = places.join(known.unionByName(single), ["anchor", "context"])
-    moved = F.transform("own", lambda x: x + F.col("place"))
-    marks = marks.filter(F.size("own") > 0).select("doc", moved.alias("span"))
+        again = again.filter(~F.struct("doc_id", "doc", "place").eqNullSafe(F.col("first")))
+    spans = found.filter(F.size("spans") > 0).select("anchor", "context", "spans")
+    own = kinds.select("anchor", "context", "n", "first").join(spans, ["anchor", "context"])
+    own = own if earlier else own.filter("n = 1")
+    moved = F.transform("spans", lambda x: x + F.col("first.place")).alias("span")
+    marks = again.select("doc", whole).unionByName(own.select("first.doc", moved))
 
     # Strings of anchors with several shares: those that other shares have too.
     strings = found.filter(F.col("string").isNotNull()).select("string", "matched", "doc_id", "doc", "at")

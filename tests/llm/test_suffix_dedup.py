@@ -74,6 +74,26 @@ def test_matches():
     assert S.has_match(rank, place, earlier=False).tolist() == [True, False, True, False, True, False]
 
 
+def test_previous_factors():
+    """Nearest smaller places and factors against plain searches, of places in any order and with ties."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 50, 400):
+        rank, place = rng.integers(0, 5, n), rng.integers(0, max(1, n // 2), n)
+        order = np.argsort(rank, kind="stable")
+        begins = np.append(True, rank[order][1:] != rank[order][:-1])[:n]
+        p, r = place[order], rank[order]
+        before = [max((j for j in range(i) if r[j] == r[i] and p[j] < p[i]), default=-1) for i in range(n)]
+        after = [min((j for j in range(i + 1, n) if r[j] == r[i] and p[j] < p[i]), default=-1) for i in range(n)]
+        assert S.smaller_before(p, begins).tolist() == before
+        assert S.smaller_after(p, begins).tolist() == after
+        factor, match = S.previous_factors(rank, place, 40)
+        least = [any(rank[j] == rank[i] and place[j] < place[i] for j in range(n)) for i in range(n)]
+        assert (factor == 40).tolist() == least and set(factor.tolist()) <= {0, 40}
+        assert all(rank[m] == rank[i] and place[m] < place[i] for i, m in enumerate(match.tolist()) if m >= 0)
+        other = [any(rank[j] == rank[i] and place[j] != place[i] for j in range(n)) for i in range(n)]
+        assert S.has_match(rank, place, earlier=True).tolist() == least and S.has_match(rank, place, earlier=False).tolist() == other
+
+
 def test_long_texts_come_in_pieces(monkeypatch):
     rng = np.random.default_rng(3)
     data = rng.integers(97, 100, 9000, dtype=np.uint8)
@@ -128,4 +148,4 @@ def test_strings_that_fool_sums_modulo_powers_of_two(spark, length):
     sums = Sums(S._OF_BYTE[data])
     halves = sums.of(np.array([0, length]), np.array([length, 2 * length]))
     plain = sums.plain
-    assert halves[0] != halves[1] and plain[length] * powers(2 * length + 1)[0][length] == plain[2 * length] - plain[length]
+    assert halves[0] != halves[1] and plain[length : length + 1] * powers(2 * length + 1)[0][length] == plain[2 * length :] - plain[length]
