@@ -56,3 +56,33 @@ def test_relaxed_recall_and_fewer_candidates(spark):
 def test_empty(spark):
     assert A.nearest(table(spark, vectors()).limit(0), F.lit(True)).count() == 0
     assert A.nearest(table(spark, vectors()), F.lit(False)).count() == 0
+
+
+def test_queries_are_sent_where_something_may_be_near(spark):
+    """Clustered vectors: most shards are left out, and the answers stay exact; more relaxed, recall is measured."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 24))
+    rows = [(int(i), (centres[i % 30] + 0.05 * rng.normal(size=24)).tolist()) for i in range(1500)]
+    found = A.nearest(table(spark, rows), F.col("vec_id") % 5 == 0, k=5, shard_rows=40)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 5)
+    known = A.pivots(A.usable(table(spark, rows)), 40)
+    units = A.unit(np.array([v for _, v in rows]))
+    numbers, far = known.distances(24, units)
+    home = far.argmin(axis=1)
+    radius = np.array([far[home == p, p].max(initial=0) for p in range(len(numbers))])
+    beat = np.sort(A.distances(units[:200], units), axis=1)[:, 6]
+    assert len(numbers) == 38 and (far[:200] - radius <= beat[:, None]).mean() < 0.3
+
+
+def test_recall_of_the_given_vectors(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    pairs = [{(r.query_id, r.vec_id) for r in A.nearest(given, F.col("vec_id") % 50 == 0, relax=x, shard_rows=250).collect()} for x in (1.0, 1.15)]
+    assert len(pairs[0]) == 200 and len(pairs[0] & pairs[1]) / 200 >= 0.9
+
+
+def test_a_hot_vector_has_several_shards(spark):
+    rng = np.random.default_rng(6)
+    same = rng.normal(size=6).tolist()
+    rows = [(i, same) for i in range(120)] + [(200 + i, rng.normal(size=6).tolist()) for i in range(100)]
+    got = A.nearest(table(spark, rows), F.col("vec_id") % 5 == 0, k=5, shard_rows=20)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5)
