@@ -185,3 +185,23 @@ def test_charsets(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i INT, body BINARY, ct STRING")
     found = df.select("i", charset.decode(F.col("body"), F.col("ct")).alias("t")).orderBy("i").collect()
     assert [r.t for r in found] == ["á€", "á", "a�b", "á€", "€", "á", "a�", "", None]
+
+
+def test_wide_charsets_stay_in_the_jvm(spark):
+    """What is well-formed is decoded without Python, to what Python makes of it; the rest is left to it."""
+    rng = random.Random(3)
+    rows = []
+    for name in ("utf-16", "UTF-16BE", "utf-16-le", "utf_32", "utf-32be", "UTF-32LE", "us-ascii"):
+        for _ in range(60):
+            text = "".join(rng.choice(["a", "é", "€", "😀", "\ufeff", "\ud7ff", "\ue000", "\n", "\U0010ffff"]) for _ in range(rng.randint(0, 8)))
+            body = text.encode(name, errors="ignore")
+            if rng.random() < 0.4:
+                body = bytes(rng.choice([0, 0xD8, 0xDC, 0xFE, 0xFF, 0x41]) for _ in range(rng.randint(0, 12)))
+            rows.append((body, f"text/html; charset={name}", body.decode(name, errors="replace")))
+            if name == "utf-16":
+                rows += [(text.encode("utf-16-be"), "x; charset=utf-16", text.encode("utf-16-be").decode("utf-16", errors="replace"))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i INT, body BINARY, ct STRING, expected STRING")
+    found = df.select("expected", charset.decode(F.col("body"), F.col("ct")).alias("t"), charset._wide(F.col("body"), charset.charset(F.col("ct"))).alias("sure")).collect()
+    assert [r.t for r in found] == [r.expected for r in found]
+    assert all(r.sure in (None, r.expected) for r in found)
+    assert sum(r.sure is not None for r in found) > len(found) / 2
