@@ -1,7 +1,7 @@
 """Benchmark decontamination: words of documents that stand in a window of a benchmark item.
 
-Only DataFrame and SQL functions. The hashes of all benchmark windows become a bit set of fixed size, which every
-task gets as the value of a scalar subquery; documents are scanned window by window against it inside one generated
+Only DataFrame and SQL functions. The hashes of all benchmark windows become a bit set, sized by their number within
+bounds, which every task gets as the value of a scalar subquery; documents are scanned window by window against it inside one generated
 loop. The few windows that pass are checked word for word by a join with the benchmark's windows, so the bit set
 decides nothing, and a benchmark of any size gives the same result: a full bit set only lets more windows through.
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import ascii_lower, packed, text_hash
 
 WINDOW = 10
-#: Bits of the set of each window length, 128 KB each.
-BITS = 1 << 20
+#: Bits of the set of a window length: so many a window, a power of two, from 512 bytes to 16 MB. Windows beyond the
+#: 8 million that this suits fill the set more, which then lets more pass, but drops none.
+WINDOW_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 12, 1 << 27
 #: Between words: everything of ASCII but digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 WORD = f"[^{GAP[1:]}+"
@@ -49,22 +50,25 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def _places(hashed: Column) -> list[Column]:
+def _places(hashed: Column, n_bits: Column) -> list[Column]:
     """The two bits of a window."""
-    return [F.pmod(hashed, F.lit(BITS)), F.pmod(F.shiftright(hashed, 32), F.lit(BITS))]
+    return [F.pmod(hashed, n_bits), F.pmod(F.shiftright(hashed, 32), n_bits)]
 
 
 def bit_sets(windows: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row, `sets`: the window `lengths` there are, and for each length the `bits` as an array of 64-bit words."""
     hashed = F.xxhash64(_word_hashes(F.split("key", " ")))
-    places = windows.select("length", F.explode(F.array(*_places(hashed))).alias("bit"))
+    wanted = F.pow(F.lit(2.0), F.ceil(F.log2(F.count("*") * WINDOW_BITS))).cast("bigint")
+    sizes = windows.groupBy("length").agg(F.greatest(F.lit(LEAST_BITS), F.least(F.lit(MOST_BITS), wanted)).alias("n_bits"))
+    # A row for each window length, `window` at most.
+    places = windows.select("length", hashed.alias("hash")).join(F.broadcast(sizes), "length")
+    places = places.select("length", F.explode(F.array(*_places(F.col("hash"), F.col("n_bits")))).alias("bit"))
     words = places.select(
         "length", F.shiftright("bit", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("value")
     )
-    # Every word of the set, so that its number is its place: BITS / 64 entries for a length.
-    empty = windows.select("length").distinct().select(
-        "length", F.explode(F.sequence(F.lit(0), F.lit(BITS // 64 - 1))).alias("word"), F.lit(0).cast("bigint").alias("value")
-    )
+    # Every word of the set, so that its number is its place.
+    every = F.explode(F.sequence(F.lit(0), (F.col("n_bits") / 64 - 1).cast("int"))).alias("word")
+    empty = sizes.select("length", every, F.lit(0).cast("bigint").alias("value"))
     full = words.unionByName(empty).groupBy("length", "word").agg(F.bit_or("value").alias("value"))
     dense = full.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("word", "value")))["value"].alias("bits"))
     own = [F.any_value(F.when(F.col("length") == n, F.col("bits")), True) for n in range(1, window + 1)]
@@ -91,7 +95,7 @@ def _candidates(documents: DataFrame, windows: DataFrame, window: int) -> DataFr
         word = F.get(bits, F.shiftright(bit, 6).cast("int"))
         return F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    one, two = _places(F.xxhash64(F.slice("hashes", start, length)))
+    one, two = _places(F.xxhash64(F.slice("hashes", start, length)), (F.size(bits) * 64).cast("bigint"))
     found = scanned.filter((length == 0) | (held(one) & held(two)))
     # No word holds a '#': a document's own row meets no window, and these rows spread evenly.
     own_key = F.concat(F.lit("#"), F.xxhash64("doc_id", "_text").cast("string"))
