@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -37,7 +39,24 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """`df` as a table in the shared folder: computed once, without its lineage, safe if executors are lost."""
     folder = shared_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.folder = folder
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Takes away tables of `written` of which all that was made is written too."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
+def give_back() -> None:
+    """At the end of a task: memory that Python and Arrow hold free goes back, since workers live on beside other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def packed(documents: DataFrame) -> DataFrame:

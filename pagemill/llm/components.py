@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import written
+from pagemill.llm.common import removed, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """`node` and `root`, the least node of its component, for all nodes of `edges` (`u`, `v`) but the roots.
 
-    Each round is written to the shared folder, so lineage stays short and a lost executor costs one round.
+    Each round is written to the shared folder, so lineage stays short and a lost executor costs one round; the table of
+    the round before goes then.
     """
     now = written(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
-        now = written(_small_star(_large_star(now)), "edges")
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.folder = now.folder
+            return out
+        seen, before = mark, now
+        now = written(_small_star(_large_star(before)), "edges")
+        removed(before)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pagemill.llm.common import byte_values, mixed, packed, slices, string_bytes, text_hash, word_hashes, written
+from pagemill.llm.common import byte_values, give_back, mixed, packed, removed, slices, string_bytes, text_hash, word_hashes, written
 from pagemill.llm.components import components
 
 SHINGLE = 5
@@ -147,6 +147,7 @@ def _sets(documents: DataFrame, *extra: str) -> DataFrame:
             names, sizes = zip(*found, strict=True) if found else ((), ())
             columns = [batch["doc_id"], pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *[batch[c] for c in extra]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "size", *extra])
+        give_back()
 
     schema = "doc_id bigint, name bigint, size bigint" + "".join(f", {c} bigint" for c in extra)
     return documents.select(F.col("doc_id").cast("bigint"), "text", *extra).mapInArrow(run, schema)
@@ -182,6 +183,7 @@ def _keys(documents: DataFrame, plan: Partition) -> DataFrame:
                     yield out(rows)
                     rows, held = [], 0
             yield out(rows)
+        give_back()
 
     return documents.select("text").mapInArrow(run, KEYS)
 
@@ -242,6 +244,7 @@ def _whole(documents: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame
             words = np.array([sketch(s) for s in found], np.int64).reshape(-1, len(SKETCH))
             columns = [pa.array([set_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, words.T)], ["name", "hashes", *SKETCH])
+        give_back()
 
     known = documents.select(F.col("doc_id").cast("bigint"), "text")
     # A set whose documents have no id is found among those.
@@ -262,6 +265,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 out.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.array(out, pa.bool_())
+        give_back()
 
     left = whole.select(F.col("name").alias("u"), F.col("hashes").alias("one"))
     right = whole.select(F.col("name").alias("v"), F.col("hashes").alias("other"))
@@ -368,11 +372,12 @@ def _rooted(documents: DataFrame, plan: Partition, *extra: str) -> DataFrame:
     stars = buckets.filter("name <> typical").select("name", "size", "typical").distinct().join(sizes, "typical")
     stars = stars.filter(_alike("size", "other", percent)).select(F.col("name").alias("u"), F.col("typical").alias("v"))
     stars = written(stars if more is None else stars.unionByName(more), "stars")
-    linked = written(components(_verified(stars, whole, percent)), "linked")
+    linked = components(_verified(stars, whole, percent))
 
     tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     rest = _across(buckets, linked, whole, percent).join(tested, ["u", "v"], "left_anti")
     links = written(_verified(rest, whole, percent), "links")
+    removed(shared, buckets, whole, stars)
     if not links.isEmpty():
         linked = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pagemill.llm.common import PIECE_BYTES, Sums, byte_values, mixed, packed, powers, slices, string_bytes, written
+from pagemill.llm.common import PIECE_BYTES, Sums, byte_values, give_back, mixed, packed, powers, removed, slices, string_bytes, written
 
 MIN_BYTES = 400
 #: Contexts of one anchor that are sorted together (10 MB, with 400 MB to work in), and bytes of contexts of several
@@ -122,6 +122,7 @@ def _places(documents: DataFrame, sizes: Sizes) -> DataFrame:
                     rows = pa.array(row)
                     columns = [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), part["doc_id"].take(rows), part["doc"].take(rows)]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(place.astype(np.int32))], [f.split()[0] for f in PLACES.split(", ")])
+        give_back()
 
     return _identified(documents).mapInArrow(run, PLACES)
 
@@ -158,6 +159,7 @@ def _contexts(documents: DataFrame, kinds: DataFrame, sizes: Sizes) -> DataFrame
                 columns += [pa.array([batch[c][row].as_py()] * len(cut), pa.int64()) for c in ("doc_id", "doc")]
                 columns += [ones.field("place"), pa.array(start.astype(np.int32)), pa.array(cut, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     joined = _identified(documents).join(asked, F.col("doc") == F.col("asked"))
     return joined.select("doc_id", "doc", "text", "ones").mapInArrow(run, CONTEXT)
@@ -194,7 +196,7 @@ def smaller_before(place: np.ndarray, begins: np.ndarray) -> np.ndarray:
     Each looks at the one before it, and from one that is no smaller goes on to what that one has found, so all entries
     that still look take a step together. In order of places the first step is the last.
     """
-    found = np.arange(len(place)) - 1
+    found = np.arange(-1, len(place) - 1, dtype=np.int32)
     found[begins] = -1
     looking = np.flatnonzero((found >= 0) & (place[found] >= place))
     while len(looking):
@@ -222,7 +224,8 @@ def previous_factors(rank: np.ndarray, place: np.ndarray, depth: int) -> tuple[n
     begins, sorted_place = lcp < depth, place[order]
     before, after = smaller_before(sorted_place, begins), smaller_after(sorted_place, begins)
     source = np.where(before >= 0, before, after)
-    factor, match = np.zeros(len(rank), np.int64), np.full(len(rank), -1)
+    del before, after, sorted_place, begins, lcp
+    factor, match = np.zeros(len(rank), np.int32), np.full(len(rank), -1, np.int32)
     factor[order] = np.where(source >= 0, depth, 0)
     match[order] = np.where(source >= 0, order[source], -1)
     return factor, match
@@ -317,6 +320,7 @@ def _sorted(contexts: DataFrame, sizes: Sizes, earlier: bool) -> DataFrame:
                 held += len(row["bytes"])
         if rows:
             yield block(rows)
+        give_back()
 
     ordered = contexts.repartition("anchor", "share").sortWithinPartitions("anchor", "share", "context")
     return ordered.mapInArrow(run, FOUND)
@@ -352,7 +356,9 @@ def removed_spans(documents: DataFrame, min_bytes: int = MIN_BYTES, keep: str =
     late = late.filter(~order.eqNullSafe(F.col("least"))) if earlier else late
     late = late.select("doc", F.array(F.col("at"), F.col("at") + sizes.string).alias("span"))
     every = marks.unionByName(late)
-    return every.groupBy("doc").agg(F.flatten(F.collect_set("span")).alias("marks"))  # at most a document's anchors
+    out = written(every.groupBy("doc").agg(F.flatten(F.collect_set("span")).alias("marks")), "marks")  # at most a document's anchors
+    removed(places, kinds, found)
+    return out
 
 
 CLEAN = "doc_id bigint, doc bigint, n_bytes bigint, spans array<int>, kept binary"
@@ -382,6 +388,7 @@ def deduplicated(documents: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "
                 kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
             columns = [batch["doc_id"], batch["doc"], pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc", "n_bytes", "spans", "kept"])
+        give_back()
 
     joined = _identified(documents).join(marks, F.col("doc") == F.col("marked"), "left")
     return joined.select("doc_id", "doc", "text", "marks").mapInArrow(run, CLEAN)
@@ -407,6 +414,7 @@ def without_repeats(documents: DataFrame, min_bytes: int = MIN_BYTES, keep: str
                 np.add.at(gone, pairs[:, 1], -1)
                 out.append(data[np.cumsum(gone)[:-1] == 0].tobytes().decode(errors="ignore"))
             yield pa.array(out, pa.string())
+        give_back()
 
     row = F.col("row")
     doc = F.xxhash64(row["doc_id"].cast("bigint"), F.coalesce(row["text"], F.lit("")))
