@@ -275,6 +275,8 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 PAIRS = "u bigint, v bigint"
 #: Rows of a bucket that one task compares with all of it.
 BUCKET_ROWS = 4096
+#: Rows of buckets of one least set that are kept together.
+PLACE_ROWS = 8192
 #: Pairs of a place that are remembered, so that the next bucket does not give them again.
 REMEMBERED = 1 << 18
 
@@ -284,13 +286,18 @@ def _across(buckets: DataFrame, linked: DataFrame, whole: DataFrame, percent: in
 
     Two sets of different groups that are much alike share many buckets, so buckets are brought together by the least
     set in them: buckets of the same two sets are in one place, and buckets of the same many sets in few. A place gives
-    each pair once. Rows of a bucket that many sets have are compared with the others in parts.
+    each pair once. A set that is the least of very many rows has several places, its buckets dealt by key, and rows of a
+    bucket that many sets have are compared with the others in parts.
     """
     grouped = buckets.join(linked.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     mixed_keys = grouped.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.min("name").alias("home"), F.ceil(F.count("*") / BUCKET_ROWS).alias("parts")
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("name").alias("home"), F.count("*").alias("n")
     )
-    mixed_keys = mixed_keys.filter("low <> high").select("key", "parts", F.when(F.col("parts") == 1, F.col("home")).otherwise(F.col("key")).alias("place"))
+    mixed_keys = mixed_keys.filter("low <> high").select("key", "home", "n")
+    homes = mixed_keys.groupBy("home").agg(F.ceil(F.sum("n") / PLACE_ROWS).alias("places"))
+    place = F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("places")))
+    parts = F.ceil(F.col("n") / BUCKET_ROWS).alias("parts")
+    mixed_keys = mixed_keys.join(homes, "home").select("key", parts, F.when(F.col("n") <= BUCKET_ROWS, place).otherwise(F.col("key")).alias("place"))
     rows = grouped.join(mixed_keys, "key").join(whole.drop("hashes"), "name")
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     rows = rows.withColumn("asks", F.col("asks") & (F.pmod(F.xxhash64("name"), F.col("parts")) == F.col("part")))

@@ -159,8 +159,9 @@ def test_a_place_gives_a_pair_once():
 
 
 def test_hot_buckets_come_in_parts(spark, monkeypatch):
-    """A bucket's rows in parts: the same groups (parts are told on the driver)."""
+    """A bucket's rows in parts, a set's buckets in several places: the same groups (both are told on the driver)."""
     monkeypatch.setattr(N, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(N, "PLACE_ROWS", 7)
     check(spark, near_copies(1, 30))
 
 
