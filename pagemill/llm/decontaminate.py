@@ -87,15 +87,16 @@ def _candidates(documents: DataFrame, windows: DataFrame, window: int) -> DataFr
     asked = F.explode(F.concat(F.array(F.lit(0)), sets["lengths"])).alias("length")
     last = F.when(length == 0, 1).otherwise(n_words - length + 1)
     scanned = lists.select("*", asked).filter((length == 0) | (n_words >= length))
-    scanned = scanned.select("*", F.explode(F.sequence(F.lit(1), last)).alias("start"))
-
     bits = F.get(sets["bits"], length - 1)
+    # The set's size is told once a document and length, not once a window.
+    scanned = scanned.select("*", (F.size(bits) * 64).cast("bigint").alias("n_bits"))
+    scanned = scanned.select("*", F.explode(F.sequence(F.lit(1), last)).alias("start"))
 
     def held(bit: Column) -> Column:
         word = F.get(bits, F.shiftright(bit, 6).cast("int"))
         return F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    one, two = _places(F.xxhash64(F.slice("hashes", start, length)), (F.size(bits) * 64).cast("bigint"))
+    one, two = _places(F.xxhash64(F.slice("hashes", start, length)), F.col("n_bits"))
     found = scanned.filter((length == 0) | (held(one) & held(two)))
     # No word holds a '#': a document's own row meets no window, and these rows spread evenly.
     own_key = F.concat(F.lit("#"), F.xxhash64("doc_id", "_text").cast("string"))
