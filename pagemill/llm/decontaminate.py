@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ascii_lower, packed, text_hash
+from pagemill.llm.common import ascii_lower, packed, text_hash, written
 
 WINDOW = 10
 #: Bits of the set of a window length: so many a window, a power of two, from 512 bytes to 16 MB. Windows beyond the
@@ -55,20 +55,30 @@ def _places(hashed: Column, n_bits: Column) -> list[Column]:
     return [F.pmod(hashed, n_bits), F.pmod(F.shiftright(hashed, 32), n_bits)]
 
 
-def bit_sets(windows: DataFrame, window: int = WINDOW) -> DataFrame:
+def set_sizes(windows: DataFrame) -> dict[int, int]:
+    """How many bits the set of each window length there is has: a row for each length."""
+    out = {}
+    for length, n in windows.groupBy("length").count().collect():
+        out[length] = min(MOST_BITS, max(LEAST_BITS, 1 << (n * WINDOW_BITS - 1).bit_length()))
+    return out
+
+
+def _bits_of(sizes: dict[int, int]) -> Column:
+    """The size of the set of a row's `length`."""
+    own = [F.when(F.col("length") == length, F.lit(n).cast("bigint")) for length, n in sizes.items()]
+    return F.coalesce(*own, F.lit(LEAST_BITS).cast("bigint"))
+
+
+def bit_sets(windows: DataFrame, sizes: dict[int, int], window: int = WINDOW) -> DataFrame:
     """One row, `sets`: the window `lengths` there are, and for each length the `bits` as an array of 64-bit words."""
     hashed = F.xxhash64(_word_hashes(F.split("key", " ")))
-    wanted = F.pow(F.lit(2.0), F.ceil(F.log2(F.count("*") * WINDOW_BITS))).cast("bigint")
-    sizes = windows.groupBy("length").agg(F.greatest(F.lit(LEAST_BITS), F.least(F.lit(MOST_BITS), wanted)).alias("n_bits"))
-    # A row for each window length, `window` at most.
-    places = windows.select("length", hashed.alias("hash")).join(F.broadcast(sizes), "length")
-    places = places.select("length", F.explode(F.array(*_places(F.col("hash"), F.col("n_bits")))).alias("bit"))
+    places = windows.select("length", F.explode(F.array(*_places(hashed, _bits_of(sizes)))).alias("bit"))
     words = places.select(
         "length", F.shiftright("bit", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("value")
     )
     # Every word of the set, so that its number is its place.
-    every = F.explode(F.sequence(F.lit(0), (F.col("n_bits") / 64 - 1).cast("int"))).alias("word")
-    empty = sizes.select("length", every, F.lit(0).cast("bigint").alias("value"))
+    every = F.explode(F.sequence(F.lit(0), (_bits_of(sizes) / 64 - 1).cast("int"))).alias("word")
+    empty = windows.select("length").distinct().select("length", every, F.lit(0).cast("bigint").alias("value"))
     full = words.unionByName(empty).groupBy("length", "word").agg(F.bit_or("value").alias("value"))
     dense = full.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("word", "value")))["value"].alias("bits"))
     own = [F.any_value(F.when(F.col("length") == n, F.col("bits")), True) for n in range(1, window + 1)]
@@ -83,14 +93,14 @@ def _candidates(documents: DataFrame, windows: DataFrame, window: int) -> DataFr
     text, start, length, n_words = (F.col(c) for c in ("text", "start", "length", "n_words"))
     lists = documents.select("doc_id", text_hash(text).alias("_text"), word_list(text).alias("words"))
     lists = lists.select("*", _word_hashes(F.col("words")).alias("hashes"), F.size("words").alias("n_words"))
-    sets = bit_sets(windows, window).scalar()
+    sizes = set_sizes(windows)
+    sets = bit_sets(windows, sizes, window).scalar()
     asked = F.explode(F.concat(F.array(F.lit(0)), sets["lengths"])).alias("length")
     last = F.when(length == 0, 1).otherwise(n_words - length + 1)
     scanned = lists.select("*", asked).filter((length == 0) | (n_words >= length))
     bits = F.get(sets["bits"], length - 1)
     # The set's size is told once a document and length, not once a window.
-    scanned = scanned.select("*", (F.size(bits) * 64).cast("bigint").alias("n_bits"))
-    scanned = scanned.select("*", F.explode(F.sequence(F.lit(1), last)).alias("start"))
+    scanned = scanned.select("*", _bits_of(sizes).alias("n_bits")).select("*", F.explode(F.sequence(F.lit(1), last)).alias("start"))
 
     def held(bit: Column) -> Column:
         word = F.get(bits, F.shiftright(bit, 6).cast("int"))
@@ -108,7 +118,7 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW)
     """Per document (`doc_id`, `text`) against items (`item_id`, `text`): `doc_id`, `_text` (a hash that tells
     documents of one id apart), `n_words`, `hits` (sorted arrays [start, length], words counted from 1),
     `items` (sorted ids as strings) and `n_rows`, how many rows the document has."""
-    windows = item_windows(items, window)
+    windows = written(item_windows(items, window), "windows")
     known = windows.select("key", F.col("item_id").cast("string").alias("item"), F.lit(True).alias("known"))
     # A key with many rows on the left is split by adaptive execution; the right side has a row for each item.
     checked = _candidates(documents, windows, window).join(known, "key", "left")
