@@ -1,16 +1,18 @@
 """Token ids in a compressed binary format: adaptive context mixing before a range coder, in checksummed blocks.
 
-A file holds the ids of some documents in ascending order of doc_id. They are cut into blocks of 2,048 ids; each block
-starts with fresh models, has a checksum, and can be read alone. An id is coded as an event and, if need be, its low
-bits: events 0 to 2 say that it is the id foreseen by the two ids before it, by the one before it, or by frequency in
-the block; the others give the number of bits, in pairs, of an id that was not foreseen. The odds of events mix their counts of
-order 0, 1 and 2 (events before), so the models adapt together.
+A file holds the ids of some documents in ascending order of doc_id. They are cut into blocks of up to four million ids;
+each starts with fresh models, has a checksum, and can be read alone. An id is coded by its share of a mixture of three
+predictions: how often it occurred in the block (order 0), after the id before it (order 1), and after the two before it
+(order 2). The weights of the mixture are learned for each kind of context. Shares are whole numbers, and what is computed
+in floating point is computed number by number, so that every machine reads what another one wrote.
 
-All blocks of a group of a file are coded in step, one id of each at a time, so that every model operation is a numpy
-operation over blocks. A task holds one group of blocks, whatever the size of its file.
+The ids of a block run in lanes, one after another in each, that are coded in step and share the models, so every model
+operation is a numpy operation over lanes, and all lanes learn from each other. A task holds one block, whatever the size
+of its file.
 
-    file    MAGIC, groups, footer (zlib: ids, sizes of documents), footer size and checksum (u32, u32)
-    group   number of ids, blocks (u32, u32); per block its size in 32-bit words and crc32 (u32, u32); the words
+    file    MAGIC, blocks, footer (zlib: ids, sizes of documents), footer size and checksum (u32, u32)
+    block   numbers of ids and of different ids, sizes of head and words, checksum of both (five u32); head (zlib: gaps
+            between the different ids, words of each lane); the lanes' 32-bit words
 
 Null and empty texts have the end id alone. Rows that share an id stand one after another, ordered by text; null ids
 come first. Columns beyond the named ones are not looked at. Every attempt of a task writes a file of its own, and only
@@ -20,8 +22,10 @@ the names in the table that Spark commits count.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import BinaryIO
@@ -39,81 +43,144 @@ from tokenizers import Tokenizer
 from pagemill.llm.bpe import BLOCK_BYTES, GROUP_BYTES, PieceIds
 from pagemill.llm.common import shared_folder, slices, written
 
-MAGIC = b"PMTOK1\0\0"
-BLOCK = 2048
-#: Blocks of a group: 4 million ids, about 60 MB of models and buffers.
-GROUP = 1024
+MAGIC = b"PMTOK2\0\0"
+#: Lanes of a block, and the ids of a lane; smaller blocks have fewer lanes.
+LANES, LANE = 4096, 1024
+BLOCK = LANES * LANE
+BLOCK_HEAD = struct.Struct("<IIIII")
 BATCH_PIECES = 10_000
-HITS = 3
-#: Events: three hits, and ids of 0 to 16 pairs of significant bits that were not foreseen.
-EVENTS = HITS + 17
-SLOTS = 512
-PAIRS = 32
-NO_ID = -1
 HALF = np.uint64(32)
+#: The sum of all shares of a step is 2 ** SHARE_BITS.
+SHARE_BITS = 30
+WHOLE = 1 << SHARE_BITS
+#: Ids remembered after one id and after two, with counts of so many bits.
+WAYS1, WAYS2 = 4, 2
+WAYS = WAYS1 + WAYS2
+COUNT_BITS = 8
+MOST = (1 << COUNT_BITS) - 1
+#: Rows of ids after two ids, at most.
+PAIR_ROWS = 1 << 20
+#: How much is known after some ids: the number of bits of the sum of counts.
+LEVELS = 10
+LEVEL = np.minimum(np.frexp(np.arange(WAYS1 * (MOST + 1), dtype=np.float64))[1], LEVELS - 1).astype(np.int64)
+KINDS = (2 * LEVELS) ** 2
+#: Ids below this are numbered by a table, others by sorting.
+TABLE_IDS = 1 << 22
 NO_DOC = -(1 << 63)
 #: Fixed value: how a byte-level tokenizer splits a text.
 BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _bit_pairs(ids: np.ndarray) -> np.ndarray:
-    return (np.frexp(ids.astype(np.float64))[1] + 1) // 2
+#: The same in the classes of the quicker module, and the characters of which that one may think otherwise: controls,
+#: numbers that are no digits, and all after Latin.
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+NOT_PLAIN = re.compile(r"[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
 
 class Models:
-    """The adaptive state of `lanes` blocks that are coded in step."""
+    """The adaptive state of a block, shared by its lanes. Ids are numbered by their place among the block's ids.
 
-    def __init__(self, lanes: int):
+    Order 0 counts all ids so far. The orders 1 and 2 hold the ids seen after the last id and after the last two, with
+    counts; a miss takes one from the least count, and at the end its place. The mass of an id is the sum of its shares of
+    the three, weighed by how well each has foretold ids after contexts of the same kind: how much they have seen after
+    such ids and whether it was always the same.
+    """
+
+    def __init__(self, lanes: int, names: int, count: int):
         self.lane = np.arange(lanes)
-        # Counts weigh 1, 4 and 8 for the orders 0, 1 and 2; rows are lane by lane.
-        self.counts0 = np.ones((lanes, EVENTS), np.int32)
-        self.counts1 = np.zeros((lanes * EVENTS, EVENTS), np.int32)
-        self.counts2 = np.zeros((lanes * PAIRS, EVENTS), np.int32)
-        self.flat0, self.flat1, self.flat2 = self.counts0.reshape(-1), self.counts1.reshape(-1), self.counts2.reshape(-1)
-        self.row0 = self.lane * EVENTS
-        self.after1 = np.full(lanes * SLOTS, NO_ID, np.int64)
-        self.after2 = np.full(lanes * SLOTS, NO_ID, np.int64)
-        self.often = np.zeros(lanes * SLOTS, np.int32)
-        self.most = np.zeros(lanes, np.int32)
-        self.most_id = np.full(lanes, NO_ID, np.int64)
-        self.last = np.zeros(lanes, np.int64)
-        self.slots = self.lane * SLOTS
-        self.slot1, self.slot2 = self.slots, self.slots
-        self.event = np.zeros(lanes, np.int64)
-        self.row1, self.row2 = self.lane * EVENTS, self.lane * PAIRS
-
-    def foreseen(self) -> tuple[np.ndarray, ...]:
-        """The ids foreseen by the orders 2, 1 and 0."""
-        return self.after2.take(self.slot2), self.after1.take(self.slot1), self.most_id
-
-    def odds(self) -> np.ndarray:
-        """Running sums of the mixed event counts, from 0 on."""
-        mixed = self.counts1.take(self.row1, axis=0)
-        mixed += self.counts2.take(self.row2, axis=0)
-        mixed += self.counts0
-        out = np.zeros((len(self.lane), EVENTS + 1), np.int64)
-        np.cumsum(mixed, axis=1, out=out[:, 1:])
-        return out
-
-    def learn(self, event: np.ndarray, ids: np.ndarray) -> None:
-        self.flat0[self.row0 + event] += 1
-        self.flat1[self.row1 * EVENTS + event] += 4
-        self.flat2[self.row2 * EVENTS + event] += 8
-        self.after1[self.slot1] = ids
-        self.after2[self.slot2] = ids
-        place = self.slots + ids % SLOTS
-        now = self.often.take(place) + 1
-        self.often[place] = now
-        more = now > self.most
-        np.copyto(self.most, now, where=more)
-        np.copyto(self.most_id, ids, where=more)
-        self.row2 = self.lane * PAIRS + (self.event * 7 + event) % PAIRS
-        self.row1 = self.row0 + event
-        self.event = event
-        hashed = ids * 0x9E3779B1
-        self.slot1 = self.slots + (hashed >> 12) % SLOTS
-        self.slot2 = self.slots + ((hashed ^ self.last * 0x85EBCA77) >> 14) % SLOTS
-        self.last = ids
+        self.names = names
+        self.bits = max(20, names.bit_length() + 2)
+        self.seen = np.zeros(names, np.int64)
+        self.new: list[np.ndarray] = []
+        self.n_seen = self.n_new = 0
+        self.table1 = np.zeros((names + 1, WAYS1), np.int32)
+        rows = 1 << min(max(count.bit_length(), 4), PAIR_ROWS.bit_length() - 1)
+        self.table2 = np.zeros((rows, WAYS2), np.int32)
+        self.row1 = np.full(lanes, names)
+        self.row2 = np.zeros(lanes, np.int64)
+        self.last = np.full(lanes, names)
+        self.places = np.arange(WAYS, dtype=np.int32)[:, None]
+        # Expected hits of the orders by kind of context.
+        self.hits1, self.hits2, self.trials = np.full(KINDS, 0.4), np.full(KINDS, 0.4), np.ones(KINDS)
+        self.per = np.zeros(len(LEVEL))
+        self.per[1:] = 1 / np.arange(1, len(LEVEL))
+        self.most = WHOLE * (1 - 2.0 ** (self.bits + 1 - SHARE_BITS))
+        self._count()
+
+    def _count(self) -> None:
+        """Masses of order 0, from all ids so far."""
+        if self.new:
+            self.seen += np.bincount(np.concatenate(self.new), minlength=self.names)
+        self.n_seen, self.n_new, self.new = self.n_seen + self.n_new, 0, []
+        self.mass = 1 + (2 * self.seen + 1) * ((1 << self.bits) - self.names) // (2 * self.n_seen + self.names)
+        self.first = np.cumsum(self.mass) - self.mass
+
+    def foresee(self) -> None:
+        self.rows = np.concatenate([self.table1.take(self.row1, axis=0), self.table2.take(self.row2, axis=0)], axis=1)
+        self.entries = np.ascontiguousarray(self.rows.T)
+        self.ids = (self.entries >> COUNT_BITS) - 1
+        counts = self.entries & MOST
+        self.counts = counts
+        n1, n2 = counts[:WAYS1].sum(axis=0, dtype=np.int32), counts[WAYS1:].sum(axis=0, dtype=np.int32)
+        kind = LEVEL.take(n1) * 2 + (counts[:WAYS1].max(axis=0) == n1)
+        self.kind = kind * (2 * LEVELS) + LEVEL.take(n2) * 2 + (counts[WAYS1:].max(axis=0) == n2)
+        weigh = self.most / self.trials
+        shares = np.empty(counts.shape)
+        np.multiply(counts[:WAYS1], (weigh * self.hits1).take(self.kind) * self.per.take(n1), out=shares[:WAYS1])
+        np.multiply(counts[WAYS1:], (weigh * self.hits2).take(self.kind) * self.per.take(n2), out=shares[WAYS1:])
+        self.shares = shares.astype(np.int64)
+        self.weight0 = (WHOLE - self.shares.sum(axis=0)) >> self.bits
+
+    def interval(self, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the mass of `now` begins, and its size; `learn` follows."""
+        self.same = self.ids == now
+        first = self.weight0 * self.first.take(now)
+        first += (self.shares * (self.ids < now)).sum(axis=0)
+        found = self.shares * self.same
+        self.found1, self.found2 = found[:WAYS1].sum(axis=0), found[WAYS1:].sum(axis=0)
+        self.size = self.weight0 * self.mass.take(now) + self.found1 + self.found2
+        return first, self.size
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose masses hold these places."""
+        # The foreseen ids in order, each with its place among them in the lowest bits.
+        order = np.sort((self.rows >> COUNT_BITS << 3) + self.places.T, axis=1).T
+        ids = (order >> 3) - 1
+        shares = self.shares.reshape(-1).take((order & 7) * np.int64(len(place)) + self.lane)
+        named = np.maximum(ids, 0)
+        before = np.cumsum(shares, axis=0)
+        last = self.weight0 * (self.first + self.mass).take(named) + before
+        first = self.weight0 * self.first.take(named) + before - shares
+        # One foreseen by both orders has two overlapping intervals; what it has is what either of them has.
+        passed = last <= place
+        rest = place - (shares * passed).sum(axis=0)
+        now = np.searchsorted(self.first, rest // self.weight0, side="right") - 1
+        held = (first <= place) & ~passed & (ids >= 0)
+        return np.where(held.any(axis=0), (ids * held).max(axis=0), now)
+
+    def _remember(self, table: np.ndarray, rows: np.ndarray, part: slice, now: np.ndarray) -> None:
+        same, entries = self.same[part], self.entries[part]
+        ways = len(same)
+        # The place of the id, else that of the least count.
+        order = (self.counts[part] << 3) + self.places[:ways]
+        np.copyto(order, self.places[:ways] - 8, where=same)
+        order = order.min(axis=0)
+        found, place = order < 0, order & 7
+        held = entries.reshape(-1).take(place * len(now) + self.lane)
+        count = held & MOST
+        fresh = np.where(count > 1, held - 1, ((now + 1) << COUNT_BITS) + 2)
+        table.reshape(-1)[rows * ways + place] = np.where(found, held + 2 * (count < MOST - 1), fresh)
+
+    def learn(self, now: np.ndarray) -> None:
+        self.hits1 += np.bincount(self.kind, self.found1 / self.size, KINDS)
+        self.hits2 += np.bincount(self.kind, self.found2 / self.size, KINDS)
+        self.trials += np.bincount(self.kind, minlength=KINDS)
+        self._remember(self.table1, self.row1, slice(0, WAYS1), now)
+        self._remember(self.table2, self.row2, slice(WAYS1, WAYS), now)
+        self.row2 = ((self.last * 0x9E3779B1 + now) * 0x85EBCA77 >> 16) & (len(self.table2) - 1)
+        self.last = self.row1 = now
+        self.new.append(now)
+        self.n_new += len(now)
+        if self.n_new * 16 >= self.n_seen:
+            self._count()
 
 
 class Coder:
@@ -122,18 +189,11 @@ class Coder:
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.rows = np.arange(lanes) * (EVENTS + 1)
 
-    def narrow(self, sums: np.ndarray, event: np.ndarray) -> None:
-        at = self.rows + event
-        part = self.range // sums[:, -1].view(np.uint64)
-        first = sums.take(at).view(np.uint64)
-        self.low = self.low + part * first
-        self.range = part * (sums.take(at + 1).view(np.uint64) - first)
-
-    def narrow_bits(self, bits: np.ndarray, value: np.ndarray) -> None:
-        self.range = self.range >> bits.astype(np.uint64)
-        self.low = self.low + self.range * value.astype(np.uint64)
+    def narrow(self, first: np.ndarray, size: np.ndarray) -> None:
+        part = self.range >> np.uint64(SHARE_BITS)
+        self.low += part * first.view(np.uint64)
+        self.range = part * size.view(np.uint64)
 
     def settled(self) -> np.ndarray:
         """Lanes with so narrow an interval that their upper 32 bits go out; what lies beyond a change of those is cut
@@ -155,117 +215,101 @@ class Coder:
         self.range[lanes] <<= HALF
 
 
-def _steps(count: int) -> np.ndarray:
-    """Block sizes of a group of `count` ids."""
-    blocks = -(-count // BLOCK)
-    sizes = np.full(blocks, BLOCK)
-    if blocks:
-        sizes[-1] = count - BLOCK * (blocks - 1)
-    return sizes
-
-
-def encode_group(ids: np.ndarray) -> bytes:
-    """A group: blocks of BLOCK ids, the last one shorter."""
-    sizes = _steps(len(ids))
-    lanes = len(sizes)
-    padded = np.zeros(lanes * BLOCK, np.int64)
-    padded[: len(ids)] = ids
-    grid = padded.reshape(lanes, BLOCK).T.copy()  # step by step
-    bit_pairs = _bit_pairs(grid)
-    models, coder = Models(lanes), Coder(lanes)
-    words = np.zeros((lanes, 2 * BLOCK + 8), np.uint32)
+def _lanes(count: int) -> tuple[int, int]:
+    """Lanes of a block of `count` ids, and the steps they take."""
+    lanes = min(LANES, -(-count // LANE))
+    return lanes, -(-count // max(lanes, 1))
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, ascending, and the place of each id among them."""
+    if int(ids.max()) >= TABLE_IDS:
+        return np.unique(ids, return_inverse=True)
+    place = np.zeros(int(ids.max()) + 1, np.int32)
+    place[ids] = 1
+    names = np.flatnonzero(place)
+    place[names] = np.arange(len(names))
+    return names, place[ids]
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """A block of one id or more."""
+    lanes, steps = _lanes(len(ids))
+    names, numbers = _numbered(ids)
+    padded = np.zeros(lanes * steps, np.int32)
+    padded[: len(ids)] = numbers
+    grid = padded.reshape(lanes, steps).T.copy()  # step by step
+    models, coder = Models(lanes, len(names), len(ids)), Coder(lanes)
+    words = np.zeros((lanes, steps + 2), np.uint32)
     used = np.zeros(lanes, np.int64)
-
-    def put() -> None:
+    for numbers in grid:
+        now = numbers.astype(np.int64)
+        models.foresee()
+        coder.narrow(*models.interval(now))
         out = coder.settled()
         if len(out):
             words[out, used[out]] = (coder.low[out] >> HALF).astype(np.uint32)
             used[out] += 1
             coder.shift(out)
-
-    for step in range(int(sizes.max(initial=0))):
-        now = grid[step]
-        pairs = bit_pairs[step]
-        event = HITS + pairs
-        for order, foreseen in reversed(list(enumerate(models.foreseen()))):
-            event[foreseen == now] = order
-        coder.narrow(models.odds(), event)
-        put()
-        plain = event >= HITS
-        coder.narrow_bits(2 * pairs * plain, now * plain)
-        put()
-        models.learn(event, now)
-    for _ in range(2):  # the rest of `low`
-        words[np.arange(lanes), used] = (coder.low >> HALF).astype(np.uint32)
-        used += 1
-        coder.low <<= HALF
-    packed = [words[k, : used[k]].astype("<u4").tobytes() for k in range(lanes)]
-    head = struct.pack("<II", len(ids), lanes)
-    table = np.array([[n, zlib.crc32(p)] for n, p in zip(used.tolist(), packed, strict=True)], "<u4").reshape(-1, 2)
-    return head + table.tobytes() + b"".join(packed)
-
-
-def decode_group(stream: BinaryIO) -> np.ndarray:
-    count, lanes = struct.unpack("<II", stream.read(8))
-    table = np.frombuffer(stream.read(8 * lanes), "<u4").reshape(lanes, 2)
-    sizes = _steps(count)
-    words = np.zeros((lanes, int(table[:, 0].max(initial=0)) + 8), np.uint32)
-    for k, (n, crc) in enumerate(table.tolist()):
-        packed = stream.read(4 * n)
-        if zlib.crc32(packed) != crc:
-            raise ValueError(f"block {k} of a group fails its checksum")
-        words[k, :n] = np.frombuffer(packed, "<u4")
-    code = words[:, 0].astype(np.uint64) << HALF | words[:, 1].astype(np.uint64)
-    used = np.full(lanes, 2)
-    models, coder = Models(lanes), Coder(lanes)
-    grid = np.zeros((BLOCK, lanes), np.int64)
-
-    def take() -> None:
+        models.learn(now)
+    # A number within the interval whose lower bits are zeros ends a lane.
+    words[models.lane, used] = ((coder.low + np.uint64(0xFFFFFFFF)) >> HALF).astype(np.uint32)
+    used += 1
+    gaps = np.diff(names.astype(np.int64), prepend=0).astype("<u4")
+    held = words[np.arange(steps + 2) < used[:, None]].astype("<u4").tobytes()
+    head = zlib.compress(gaps.tobytes() + used.astype("<u4").tobytes())
+    return BLOCK_HEAD.pack(len(ids), len(names), len(head), len(held), zlib.crc32(held, zlib.crc32(head))) + head + held
+
+
+def decode_block(stream: BinaryIO) -> np.ndarray:
+    count, n_names, n_head, n_held, crc = BLOCK_HEAD.unpack(stream.read(BLOCK_HEAD.size))
+    head, held = stream.read(n_head), stream.read(n_held)
+    if zlib.crc32(held, zlib.crc32(head)) != crc:
+        raise ValueError("a block fails its checksum")
+    head = np.frombuffer(zlib.decompress(head), "<u4").astype(np.int64)
+    names, used = np.cumsum(head[:n_names]).astype(np.uint32), head[n_names:]
+    lanes, steps = _lanes(count)
+    # Zeros follow the words of a lane.
+    words = np.zeros((lanes, int(used.max(initial=0)) + 2), np.uint64)
+    words[np.arange(words.shape[1]) < used[:, None]] = np.frombuffer(held, "<u4")
+    models, coder = Models(lanes, n_names, count), Coder(lanes)
+    code = words[:, 0] << HALF | words[:, 1]
+    read = np.full(lanes, 2)
+    grid = np.zeros((steps, lanes), np.int32)
+    for step in range(steps):
+        models.foresee()
+        place = (code - coder.low) // (coder.range >> np.uint64(SHARE_BITS))
+        now = models.at(np.minimum(place, np.uint64(WHOLE - 1)).view(np.int64))
+        coder.narrow(*models.interval(now))
         out = coder.settled()
         if len(out):
-            code[out] = code[out] << HALF | words[out, np.minimum(used[out], words.shape[1] - 1)].astype(np.uint64)
-            used[out] += 1
+            code[out] = code[out] << HALF | words[out, read[out]]
+            read[out] += 1
             coder.shift(out)
-
-    for step in range(int(sizes.max(initial=0))):
-        sums = models.odds()
-        part = coder.range // sums[:, -1].astype(np.uint64)
-        at = ((code - coder.low) // part).astype(np.int64)
-        event = np.minimum((sums[:, 1:] <= at[:, None]).sum(axis=1), EVENTS - 1)
-        coder.narrow(sums, event)
-        take()
-        plain = event >= HITS
-        bits = 2 * (event - HITS) * plain
-        value = ((code - coder.low) // (coder.range >> bits.astype(np.uint64))).astype(np.int64)
-        coder.narrow_bits(bits, value)
-        take()
-        now = value
-        for order, foreseen in enumerate(models.foreseen()):
-            np.copyto(now, foreseen, where=event == order)
         grid[step] = now
-        models.learn(event, now)
-    return grid.T.reshape(-1)[:count].astype(np.uint32)
+        models.learn(now)
+    return names[grid.T.reshape(-1)[:count]]
 
 
 def write_file(out: BinaryIO, documents: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[int, int]:
     """Writes batches of doc ids, sizes and ids end to end; gives the numbers of documents and ids."""
     out.write(MAGIC)
     held: list[np.ndarray] = []
-    waiting, most = 0, BLOCK * GROUP
+    waiting = 0
     names, lengths = [], []
     for doc_ids, sizes, ids in documents:
         names.append(doc_ids)
         lengths.append(sizes)
         held.append(ids)
         waiting += len(ids)
-        if waiting >= most:
+        if waiting >= BLOCK:
             everything = np.concatenate(held)
-            whole = waiting // most * most
-            for first in range(0, whole, most):
-                out.write(encode_group(everything[first : first + most]))
+            whole = waiting // BLOCK * BLOCK
+            for first in range(0, whole, BLOCK):
+                out.write(encode_block(everything[first : first + BLOCK]))
             held, waiting = [everything[whole:].copy()], waiting - whole
     if waiting:
-        out.write(encode_group(np.concatenate(held)))
+        out.write(encode_block(np.concatenate(held)))
     names, lengths = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, lengths))
     footer = zlib.compress(names.astype("<i8").tobytes() + lengths.astype("<i8").tobytes())
     out.write(footer + struct.pack("<II", len(footer), zlib.crc32(footer)))
@@ -289,7 +333,7 @@ def read_file(source: BinaryIO, size: int) -> Iterator[tuple[int, np.ndarray]]:
         parts = [held]
         have = len(held)
         while have < n:
-            parts.append(decode_group(source))
+            parts.append(decode_block(source))
             have += len(parts[-1])
         held = np.concatenate(parts) if len(parts) > 1 else held
         yield name, held[:n]
@@ -307,6 +351,7 @@ class Library(PieceIds):
         by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         by_piece = by_piece and parts.get("normalizer") is None and parts.get("truncation") is None
         added = "|".join(regex.escape(t["content"]) for t in parts.get("added_tokens", []))
+        self.by_piece = by_piece
         self.split = regex.compile(BYTE_LEVEL_PIECES) if by_piece else regex.compile(r"(?s).+")
         self.added = regex.compile(added) if added else None
         super().__init__()
@@ -314,11 +359,13 @@ class Library(PieceIds):
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         parts = (pieces[k : k + BATCH_PIECES] for k in range(0, len(pieces), BATCH_PIECES))
         encoded = (x for part in parts for x in self.kind.encode_batch_fast(part, add_special_tokens=False))
-        return [np.array(x.ids, np.int32).tobytes() for x in encoded]
+        return [array("i", x.ids).tobytes() for x in encoded]
 
     def findall(self, text: str) -> list[str]:
         """The pieces of a text."""
-        return [text] if self.added and self.added.search(text) else self.split.findall(text)
+        if self.added and self.added.search(text):
+            return [text]
+        return (PLAIN_PIECES if self.by_piece and not NOT_PLAIN.search(text) else self.split).findall(text)
 
 
 @lru_cache(maxsize=2)

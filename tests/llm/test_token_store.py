@@ -1,7 +1,9 @@
 import io
+import itertools
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -27,28 +29,66 @@ def test_empty(empty):
     assert S.round_trip(empty, TOKENS, 2).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, S.BLOCK - 1, S.BLOCK, S.BLOCK + 1, 3 * S.BLOCK + 5])
+@pytest.mark.parametrize("n", [1, 2, S.LANE - 1, S.LANE, S.LANE + 1, 6 * S.LANE + 5])
 @pytest.mark.parametrize("most", [0, 1, 50_000, 2**32 - 1])
-def test_groups(n, most):
+def test_blocks(n, most):
     rng = np.random.default_rng(n)
     ids = rng.integers(0, most, n, dtype=np.uint64, endpoint=True).astype(np.uint32)
     ids[n // 2 :] = np.resize(ids[:7], n - n // 2)
-    packed = S.encode_group(ids)
-    assert (S.decode_group(io.BytesIO(packed)) == ids).all()
+    packed = S.encode_block(ids)
+    assert (S.decode_block(io.BytesIO(packed)) == ids).all()
 
 
 def test_repeated_text_is_small():
-    assert len(S.encode_group(np.tile(np.arange(300, dtype=np.uint32), 50))) < 15_000 * 4 / 8
+    assert len(S.encode_block(np.tile(np.arange(300, dtype=np.uint32), 50))) < 15_000 * 4 / 8
 
 
 def test_damage_is_found():
-    packed = bytearray(S.encode_group(np.arange(5000, dtype=np.uint32)))
+    packed = bytearray(S.encode_block(np.arange(5000, dtype=np.uint32)))
     packed[-3] ^= 1
     with pytest.raises(ValueError, match="checksum"):
-        S.decode_group(io.BytesIO(bytes(packed)))
+        S.decode_block(io.BytesIO(bytes(packed)))
     out = io.BytesIO()
     S.write_file(out, [(np.array([1]), np.array([3]), np.array([5, 6, 7], np.uint32))])
     damaged = bytearray(out.getvalue())
     damaged[-9] ^= 1
     with pytest.raises(ValueError, match="footer"):
         list(S.read_file(io.BytesIO(bytes(damaged)), len(damaged)))
+
+
+def test_files_of_several_blocks(monkeypatch):
+    monkeypatch.setattr(S, "LANES", 3)
+    monkeypatch.setattr(S, "BLOCK", 3 * S.LANE)
+    rng = np.random.default_rng(1)
+    sizes = [1, 3 * S.LANE, 0, 7 * S.LANE + 1, 5]
+    documents = [rng.zipf(1.3, n).clip(max=70_000).astype(np.uint32) for n in sizes]
+    out = io.BytesIO()
+    batches = [(np.array([k]), np.array([n]), ids) for k, (n, ids) in enumerate(zip(sizes, documents, strict=True))]
+    assert S.write_file(out, batches) == (len(sizes), sum(sizes))
+    got = list(S.read_file(out, len(out.getvalue())))
+    assert [k for k, _ in got] == list(range(len(sizes)))
+    assert all((a == b).all() and len(a) == len(b) for (_, a), b in zip(got, documents, strict=True))
+
+
+def test_as_many_different_ids_as_a_block_may_hold():
+    ids = np.random.default_rng(2).permutation(S.BLOCK).astype(np.uint32)[: S.BLOCK]
+    assert (S.decode_block(io.BytesIO(S.encode_block(ids))) == ids).all()
+
+
+def test_texts_take_fewer_bits_than_their_entropy():
+    kind = Tokenizer.from_file(TOKENS)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = np.array([i for t in texts for i in [*kind.encode(t or "", add_special_tokens=False).ids, 2]], np.uint32)
+    odds = np.unique(ids, return_counts=True)[1] / len(ids)
+    packed = S.encode_block(ids)
+    assert 8 * len(packed) / len(ids) < -(odds * np.log2(odds)).sum()
+    assert len(packed) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    assert (S.decode_block(io.BytesIO(packed)) == ids).all()
+
+
+def test_quick_split_is_the_same():
+    plain = [chr(c) for c in range(0x250) if not S.NOT_PLAIN.search(chr(c))]
+    split = S.library(TOKENS).split
+    for a, b in itertools.product(plain, repeat=2):
+        text = f"{a}{b} {a} {b}{a}  {b}"
+        assert S.PLAIN_PIECES.findall(text) == split.findall(text), text
