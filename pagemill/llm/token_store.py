@@ -1,6 +1,6 @@
 """Token ids in a compressed binary format: adaptive context mixing before a range coder, in checksummed blocks.
 
-A file holds the ids of some documents in ascending order of doc_id. They are cut into blocks of up to four million ids;
+A file holds the ids of some documents in ascending order of doc_id. They are cut into blocks of up to two million ids;
 each starts with fresh models, has a checksum, and can be read alone. An id is coded by its share of a mixture of three
 predictions: how often it occurred in the block (order 0), after the id before it (order 1), and after the two before it
 (order 2). The weights of the mixture are learned for each kind of context. Shares are whole numbers, and what is computed
@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagemill.llm.bpe import BLOCK_BYTES, GROUP_BYTES, PieceIds
-from pagemill.llm.common import shared_folder, slices, written
+from pagemill.llm.common import give_back, shared_folder, slices, written
 
 MAGIC = b"PMTOK2\0\0"
 #: Lanes of a block, and the ids of a lane; smaller blocks have fewer lanes.
-LANES, LANE = 4096, 1024
+LANES, LANE = 2048, 1024
 BLOCK = LANES * LANE
 BLOCK_HEAD = struct.Struct("<IIIII")
 BATCH_PIECES = 10_000
@@ -270,10 +270,10 @@ def decode_block(stream: BinaryIO) -> np.ndarray:
     names, used = np.cumsum(head[:n_names]).astype(np.uint32), head[n_names:]
     lanes, steps = _lanes(count)
     # Zeros follow the words of a lane.
-    words = np.zeros((lanes, int(used.max(initial=0)) + 2), np.uint64)
+    words = np.zeros((lanes, int(used.max(initial=0)) + 2), np.uint32)
     words[np.arange(words.shape[1]) < used[:, None]] = np.frombuffer(held, "<u4")
     models, coder = Models(lanes, n_names, count), Coder(lanes)
-    code = words[:, 0] << HALF | words[:, 1]
+    code = words[:, 0].astype(np.uint64) << HALF | words[:, 1].astype(np.uint64)
     read = np.full(lanes, 2)
     grid = np.zeros((steps, lanes), np.int32)
     for step in range(steps):
@@ -283,7 +283,7 @@ def decode_block(stream: BinaryIO) -> np.ndarray:
         coder.narrow(*models.interval(now))
         out = coder.settled()
         if len(out):
-            code[out] = code[out] << HALF | words[out, read[out]]
+            code[out] = code[out] << HALF | words[out, read[out]].astype(np.uint64)
             read[out] += 1
             coder.shift(out)
         grid[step] = now
@@ -404,6 +404,7 @@ def write_ids(documents: DataFrame, tokens: str, end_id: int, folder: str) -> Da
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         with system.open_output_stream(f"{root}/{name}", compression=None) as out:
             n_docs, n_ids = write_file(out, encoded())
+        give_back()
         columns = {"part": pa.array([task.partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids]}
         yield pa.RecordBatch.from_pydict(columns)
 
@@ -439,6 +440,8 @@ def read_ids(files: DataFrame, batch_rows: int = 256) -> DataFrame:
                         yield out(rows)
                         rows = []
             yield out(rows)
+            rows = []
+            give_back()
 
     return placed.repartition(max(1, files.count())).mapInArrow(run, READ)
 
