@@ -62,8 +62,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = Q._table(spark, sf_dir, "supplier")
     mark = F.when(F.col("s_suppkey") % 3 == 0, "﻿").otherwise("")
     text = F.concat(mark, F.concat_ws("\n", F.col("s_suppkey").cast("string"), "s_name", F.col("s_acctbal").cast("decimal(12,2)")))
-    suppliers.select(text).write.option("maxRecordsPerFile", 1).text(folder)
-    return files.read_documents(spark, folder, "*.txt").select("text")
+    return files.read_documents(spark, sinks.write_documents(suppliers.select(text), folder), "*.txt").select("text")
 
 
 @query

@@ -59,8 +59,8 @@ def read_urls(
     return url_rows(numbered, every_bom)
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """`file` and whole `text` of small text files, byte-order marks removed."""
+def read_documents(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """`file` and whole `text` of small text files of one folder or many, byte-order marks removed."""
     whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return whole.select(
         F.col("_metadata.file_name").alias("file"), strip_bom(F.make_valid_utf8("value")).alias("text")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import compare, pages, records, results, trials
 from pagemill.plans import jobs
+from pagemill.plans.file_queries import document_files
 from pagemill.sources import files, sinks, store
 
 
@@ -177,3 +179,25 @@ def test_cache_update_writes_touched_partitions_only(spark, tmp_path):
     asked = spark.createDataFrame([(0, "http://new/1"), (1, "http://h/9"), (2, "http://none")], "pos INT, url STRING")
     held = store.held_pages(store.read_cache(spark, path), asked)
     assert sorted((r.pos, r.html) for r in held.collect()) == [(0, "first"), (1, "old 9")]
+
+
+def test_documents_a_file_each_are_written_by_many_tasks(spark, tmp_path):
+    keys = spark.range(sinks.FILES_A_TASK + 300, numPartitions=1)
+    rows = keys.select(F.col("id").alias("s_suppkey"), F.lit("n").alias("s_name"), F.lit(1.5).alias("s_acctbal"))
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    found = document_files(spark, str(tmp_path))
+    assert sorted(r.text for r in found.collect()) == sorted(f"{k}\nn\n1.50\n" for k in range(keys.count()))
+    names = [name.rsplit("/", 1)[1] for name in found.inputFiles()]
+    assert len(names) == keys.count()
+    assert len({re.search(r"\d{5,}", name)[0] for name in names}) > 1
+
+
+def test_documents_of_any_text_are_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILES_A_TASK", 2)
+    texts = ["same", "same", "", None, "é\nsecond\r\n", " "]
+    folders = sinks.write_documents(spark.createDataFrame([(t,) for t in texts], "t string"), f"{tmp_path}/some")
+    found = files.read_documents(spark, folders, "*.txt").collect()
+    assert sorted(r.text for r in found) == sorted((t or "") + "\n" for t in texts)
+    assert len({r.file for r in found}) == len(texts)
+    none = sinks.write_documents(spark.createDataFrame([], "t string"), f"{tmp_path}/none")
+    assert files.read_documents(spark, none, "*.txt").count() == 0
