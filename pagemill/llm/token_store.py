@@ -28,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, compress
 from typing import BinaryIO
 
 import numpy as np
@@ -38,17 +39,19 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from pagemill.llm.bpe import BLOCK_BYTES, GROUP_BYTES, PieceIds
-from pagemill.llm.common import give_back, shared_folder, slices, written
+from pagemill.llm.bpe import GROUP_BYTES, PieceIds
+from pagemill.llm.common import give_back, shared_folder, slices, string_bytes, written
 
 MAGIC = b"PMTOK2\0\0"
 #: Lanes of a block, and the ids of a lane; smaller blocks have fewer lanes.
 LANES, LANE = 2048, 1024
 BLOCK = LANES * LANE
 BLOCK_HEAD = struct.Struct("<IIIII")
-BATCH_PIECES = 10_000
+BATCH_PIECES = 4_000
+#: How many pieces a task remembers from one group of texts to the next.
+REMEMBERED = 1 << 18
 HALF = np.uint64(32)
 #: The sum of all shares of a step is 2 ** SHARE_BITS.
 SHARE_BITS = 30
@@ -73,6 +76,53 @@ BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}
 #: numbers that are no digits, and all after Latin.
 PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile(r"[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
+#: Classes of characters up to the end of Latin.
+LETTER, DIGIT, OTHER, BLANK, ODD = range(5)
+LATIN = 0x250
+
+
+def _kind(c: str) -> int:
+    if NOT_PLAIN.match(c):
+        return ODD
+    return LETTER if re.match(r"[^\W\d_]", c) else DIGIT if re.match(r"\d", c) else BLANK if re.match(r"\s", c) else OTHER
+
+
+KINDS_OF = np.array([_kind(chr(c)) for c in range(LATIN)] + [ODD] * (0x800 - LATIN), np.uint8)
+KIND_OF_BYTE = np.concatenate([KINDS_OF[:128], np.full(128, ODD, np.uint8)])
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The class of each byte's character."""
+    kind = KIND_OF_BYTE[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    if len(lead):
+        kind[lead] = kind[lead + 1] = KINDS_OF[(data[lead] & 31).astype(np.int64) << 6 | data[lead + 1] & 63]
+    return kind
+
+
+def piece_starts(data: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts without odd characters begin: the matches of BYTE_LEVEL_PIECES."""
+    edge = np.zeros(len(data) + 3, bool)
+    edge[starts] = True
+    edge[len(data) :] = True
+    begin = edge.copy()
+    begin[1 : len(data)] |= kind[1:] != kind[:-1]
+    turn = np.flatnonzero(begin[1 : len(data)] & (kind[:-1] == BLANK)) + 1
+    turn = turn[~edge[turn]]
+    before = data[turn - 1]
+    begin[turn - 1 - (before >= 128)] = True  # the last of several blanks stands alone
+    begin[turn[before == 32]] = False  # or goes with what follows, if it is a space
+    quote = np.flatnonzero(data == 39)
+    quote = quote[begin[quote] & ~edge[quote + 1]]
+    if len(quote):
+        one, two = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = (one == 114) & (two == 101) | (one == 118) & (two == 101) | (one == 108) & (two == 108)
+        long &= ~edge[quote + 2]
+        begin[quote[short | long] + 1] = False
+        begin[quote[short] + 2] = True
+        begin[quote[long] + 3] = True
+    return np.flatnonzero(begin[: len(data)])
 
 
 class Models:
@@ -350,16 +400,38 @@ class Library(PieceIds):
         before = parts.get("pre_tokenizer") or {}
         by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         by_piece = by_piece and parts.get("normalizer") is None and parts.get("truncation") is None
-        added = "|".join(regex.escape(t["content"]) for t in parts.get("added_tokens", []))
+        self.tokens = [t["content"] for t in parts.get("added_tokens", [])]
+        added = "|".join(map(regex.escape, self.tokens))
         self.by_piece = by_piece
         self.split = regex.compile(BYTE_LEVEL_PIECES) if by_piece else regex.compile(r"(?s).+")
         self.added = regex.compile(added) if added else None
+        self.by_line = Tokenizer.from_file(path)
+        self.by_line.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        feed = self.by_line.encode("\n", add_special_tokens=False).ids
+        self.line_feed = feed[0] if by_piece and len(feed) == 1 else -1
         super().__init__()
 
+    def _ids_alone(self, pieces: list[str]) -> list[bytes]:
+        return [array("i", x.ids).tobytes() for x in self.kind.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _ids_in_lines(self, pieces: list[str]) -> list[bytes]:
+        """Pieces as lines of one text, split at line feeds only."""
+        ids = np.array(self.by_line.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, np.int32)
+        ends = 4 * np.flatnonzero(ids == self.line_feed)
+        if len(ends) != len(pieces) - 1:
+            return self._ids_alone(pieces)
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(flat)], strict=True)]
+
     def ids_of(self, pieces: list[str]) -> list[bytes]:
-        parts = (pieces[k : k + BATCH_PIECES] for k in range(0, len(pieces), BATCH_PIECES))
-        encoded = (x for part in parts for x in self.kind.encode_batch_fast(part, add_special_tokens=False))
-        return [array("i", x.ids).tobytes() for x in encoded]
+        out = []
+        for k in range(0, len(pieces), BATCH_PIECES):
+            part = pieces[k : k + BATCH_PIECES]
+            # A text with an added token is no single piece.
+            alone = [self.line_feed < 0 or "\n" in x or any(token in x for token in self.tokens) for x in part]
+            others, lines = iter(self._ids_alone(list(compress(part, alone)))), iter(self._ids_in_lines([x for x, a in zip(part, alone, strict=True) if not a]))
+            out += [next(others if a else lines) for a in alone]
+        return out
 
     def findall(self, text: str) -> list[str]:
         """The pieces of a text."""
@@ -367,6 +439,40 @@ class Library(PieceIds):
             return [text]
         return (PLAIN_PIECES if self.by_piece and not NOT_PLAIN.search(text) else self.split).findall(text)
 
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pieces of texts without odd characters, and how many each text has."""
+        data, starts = string_bytes(column)
+        first = piece_starts(data, kinds(data), starts)
+        bounds = np.append(first, len(data))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        found = pieces.dictionary_encode()
+        known = np.fromiter(map(self.number.__getitem__, found.dictionary.to_pylist()), np.int32, len(found.dictionary))
+        return known[found.indices.to_numpy(zero_copy_only=False)], np.diff(np.searchsorted(first, starts))
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin (one more for the end)."""
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        data, starts = string_bytes(column)
+        plain = np.full(len(column), self.by_piece)
+        plain[np.searchsorted(starts, np.flatnonzero(kinds(data) == ODD), side="right") - 1] = False
+        for token in self.tokens:
+            plain &= ~pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        numbers, counts = self._plain(column.filter(pa.array(plain)))
+        if not plain.all():
+            odd = [self.findall(t) if t else [] for t in column.filter(pa.array(~plain)).to_pylist()]
+            sizes = np.zeros(len(column), np.int64)
+            sizes[plain], sizes[~plain] = counts, [len(x) for x in odd]
+            of_plain, counts, others = np.repeat(plain, sizes), sizes, numbers
+            numbers = np.zeros(len(of_plain), np.int32)
+            numbers[of_plain] = others
+            numbers[~of_plain] = np.fromiter(map(self.number.__getitem__, chain.from_iterable(odd)), np.int32, int((~of_plain).sum()))
+        self.meet()
+        sizes = (self.upto[1:] - self.upto[:-1])[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.flat[np.repeat(self.upto[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return flat, ends[np.concatenate([[0], np.cumsum(counts)])]
+
 
 @lru_cache(maxsize=2)
 def library(path: str) -> Library:
@@ -390,8 +496,7 @@ def write_ids(documents: DataFrame, tokens: str, end_id: int, folder: str) -> Da
                 names = batch["doc_id"].fill_null(NO_DOC).to_numpy(zero_copy_only=False)
                 sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
                 for first, last in slices(sizes, GROUP_BYTES):
-                    parts = slices(sizes[first:last], BLOCK_BYTES)
-                    found, bounds = kind.encode((batch["text"].slice(first + a, b - a).to_pylist() for a, b in parts), kind)
+                    found, bounds = kind.encode_column(batch["text"].slice(first, last - first))
                     ends = bounds[1:] + np.arange(last - first)  # each document's end id
                     flat = np.full(len(found) + last - first, end_id, np.uint32)
                     plain = np.ones(len(flat), bool)

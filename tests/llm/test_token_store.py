@@ -3,12 +3,14 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from pagemill.llm import token_store as S
+from pagemill.llm.common import string_bytes
 
 TOKENS = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -92,3 +94,29 @@ def test_quick_split_is_the_same():
     for a, b in itertools.product(plain, repeat=2):
         text = f"{a}{b} {a} {b}{a}  {b}"
         assert S.PLAIN_PIECES.findall(text) == split.findall(text), text
+
+
+def test_pieces_of_whole_columns():
+    kind = S.library(TOKENS)
+    plain = [chr(c) for c in range(S.LATIN) if not S.NOT_PLAIN.search(chr(c))]
+    odd = ["\x1f", "\u00b2", "\u0250", "\u2028", "\U0001f600", "<|endoftext|>"]
+    rng = np.random.default_rng(3)
+    few = ["'", "s", "l", "r", "e", "v", "m", "S", " ", "  ", "\n", "\t", "\u00a0", "\u00e9", "1", "_", "!", "\x00"]
+    texts = ["".join(rng.choice(few, n)) for n in rng.integers(0, 12, 20_000)]
+    texts += ["".join(rng.choice(plain, n)) for n in rng.integers(0, 40, 300)]
+    texts += ["".join(rng.choice([*few, *odd], n)) for n in rng.integers(0, 12, 3000)]
+    texts += ["", "'", "'l", "'ll", "a'", "x" * 5000, "\n" * 300, "it's'll 're\n've", *odd]
+    rng.shuffle(texts)
+    rows = [None, *texts, None, "\u00e9", ""]
+    found, bounds = kind.encode_column(pa.array(rows, pa.string()))
+    expected = [x.ids for x in kind.kind.encode_batch([t or "" for t in rows], add_special_tokens=False)]
+    assert [found[a:b].tolist() for a, b in itertools.pairwise(bounds.tolist())] == expected
+    data, starts = string_bytes(pa.array([t for t in texts if not S.NOT_PLAIN.search(t)]))
+    assert len(S.piece_starts(data, S.kinds(data), starts)) == sum(len(kind.split.findall(t)) for t in texts if not S.NOT_PLAIN.search(t))
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    kind, calls = S.Library(TOKENS), []
+    monkeypatch.setattr(kind, "_ids_alone", lambda pieces, f=kind._ids_alone: calls.append(len(pieces)) or f(pieces))
+    kind.encode_column(pa.array([" ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(600)) + "\n\n"]))
+    assert sum(calls) <= 1  # the line feeds
