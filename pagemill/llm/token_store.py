@@ -1,18 +1,20 @@
-"""Token ids in a compressed binary format: adaptive context mixing before a range coder, in checksummed blocks.
+"""Token ids in a compressed binary format: id predictions of orders 0 to 2 before a range coder, in checksummed blocks.
 
 A file holds the ids of some documents in ascending order of doc_id. They are cut into blocks of up to two million ids;
-each starts with fresh models, has a checksum, and can be read alone. An id is coded by its share of a mixture of three
-predictions: how often it occurred in the block (order 0), after the id before it (order 1), and after the two before it
-(order 2). The weights of the mixture are learned for each kind of context. Shares are whole numbers, and what is computed
-in floating point is computed number by number, so that every machine reads what another one wrote.
+each starts with fresh models, has a checksum, and can be read alone. An id is coded by its share after the two ids before
+it (order 2); if it is new there, by the share of all new ones and its own after the one before it (order 1), and if it is
+new there too, by its share of all ids (order 0). What share new ids have is learned for each kind of context. Shares are
+whole numbers, and what is computed in floating point is computed number by number, so that every machine reads what
+another one wrote.
 
-The ids of a block run in lanes, one after another in each, that are coded in step and share the models, so every model
-operation is a numpy operation over lanes, and all lanes learn from each other. A task holds one block, whatever the size
-of its file.
+The ids of a block run in lanes, one after another in each, that are coded in step and share the models, so every
+operation is a numpy operation over lanes. The models learn between runs of steps, from all lanes at once: a run's shares
+are looked up together when it is written, and from tables of slots when it is read. A task holds one block, whatever the
+size of its file.
 
     file    MAGIC, blocks, footer (zlib: ids, sizes of documents), footer size and checksum (u32, u32)
     block   numbers of ids and of different ids, sizes of head and words, checksum of both (five u32); head (zlib: gaps
-            between the different ids, words of each lane); the lanes' 32-bit words
+            between the different ids, words of each lane); the lanes' 16-bit words
 
 Null and empty texts have the end id alone. Rows that share an id stand one after another, ordered by text; null ids
 come first. Columns beyond the named ones are not looked at. Every attempt of a task writes a file of its own, and only
@@ -28,7 +30,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain
 from typing import BinaryIO
 
 import numpy as np
@@ -41,32 +43,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from pagemill.llm.bpe import GROUP_BYTES, PieceIds
+from pagemill.llm.bpe import GROUP_BYTES
 from pagemill.llm.common import give_back, shared_folder, slices, string_bytes, written
 
-MAGIC = b"PMTOK2\0\0"
+MAGIC = b"PMTOK3\0\0"
 #: Lanes of a block, and the ids of a lane; smaller blocks have fewer lanes.
 LANES, LANE = 2048, 1024
 BLOCK = LANES * LANE
 BLOCK_HEAD = struct.Struct("<IIIII")
 BATCH_PIECES = 4_000
-#: How many pieces a task remembers from one group of texts to the next.
-REMEMBERED = 1 << 18
-HALF = np.uint64(32)
-#: The sum of all shares of a step is 2 ** SHARE_BITS.
-SHARE_BITS = 30
-WHOLE = 1 << SHARE_BITS
-#: Ids remembered after one id and after two, with counts of so many bits.
-WAYS1, WAYS2 = 4, 2
-WAYS = WAYS1 + WAYS2
-COUNT_BITS = 8
-MOST = (1 << COUNT_BITS) - 1
-#: Rows of ids after two ids, at most.
-PAIR_ROWS = 1 << 20
-#: How much is known after some ids: the number of bits of the sum of counts.
-LEVELS = 10
-LEVEL = np.minimum(np.frexp(np.arange(WAYS1 * (MOST + 1), dtype=np.float64))[1], LEVELS - 1).astype(np.int64)
-KINDS = (2 * LEVELS) ** 2
+#: How many pieces a task remembers from one group of texts to the next; beyond, only those of the last group.
+REMEMBERED = 1 << 20
+#: A line feed, as byte-level vocabularies write it.
+LINE_FEED = "\u010a"
+#: Coders put out words of 16 bits while fewer than the lower 48 of an interval are in use.
+WORD, BELOW = np.uint64(16), np.uint64(48)
+LEAST = np.uint64(1 << 48)
+#: The shares of order 2 add up to 2 ** BITS2, those of order 1 to 2 ** BITS1, and all three orders have SHARE_BITS.
+BITS2, BITS1, SHARE_BITS = 12, 14, 46
+#: Kinds of contexts: 64 levels of how often one occurred, 16 of how many different ids came after it.
+KINDS = 64 * 16
+#: Slots of a row of shares, at least: so many for each id, and as many as the context occurred, up to SURE.
+SLOTS, SURE = 2, 256
 #: Ids below this are numbered by a table, others by sorting.
 TABLE_IDS = 1 << 22
 NO_DOC = -(1 << 63)
@@ -125,144 +123,278 @@ def piece_starts(data: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> np.n
     return np.flatnonzero(begin[: len(data)])
 
 
+def levels(x: np.ndarray) -> np.ndarray:
+    """Whole numbers up to 2 ** 31 by size: below 8 as they are, then two levels for each doubling."""
+    part, power = np.frexp(x.astype(np.float64))
+    return np.where(x < 8, x, 2 * power + (part >= 0.75)).astype(np.int64)
+
+
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and their lengths."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    return first, np.diff(np.append(first, len(ordered)))
+
+
+class Order:
+    """What has followed contexts: a row for each, of the ids after it, ascending, with their shares of `2 ** bits`.
+
+    A row's first share, `escape`, is that of all other ids: how often what followed such a context was new, by how often
+    it had occurred and how many different ids were after it, as told by leaving out each occurrence in turn. A row is cut
+    into slots, so many that each id has one, and `slots` tells the entry of each. Row 0 is that of unknown contexts,
+    entry 0 that of escapes.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, names: int, bits: int):
+        """`keys` (context * names + id) ascending."""
+        context = keys // names
+        first, sizes = runs(context)
+        self.context = np.append(-1, context[first])
+        self.bits, rows = bits, len(self.context)
+        row = np.repeat(np.arange(1, rows, dtype=np.int32), sizes)
+        sizes = np.append(0, sizes)
+
+        def of_rows(values: np.ndarray) -> np.ndarray:
+            return np.bincount(row, values, rows).astype(np.int64)
+
+        def kind(n: np.ndarray, different: np.ndarray) -> np.ndarray:
+            return levels(n) * 16 + 15 * different // np.maximum(n, 1)
+
+        self.n, once = of_rows(counts), of_rows(counts == 1)
+        again = self.n > 1
+        new = np.bincount(kind(self.n[again] - 1, sizes[again] - 1), once[again], KINDS)
+        old = np.bincount(kind(self.n[again] - 1, sizes[again]), (self.n - once)[again], KINDS)
+        odds = ((new + 0.5) / (new + old + 1))[kind(self.n, sizes)]
+        power = np.minimum(np.frexp(np.maximum(SLOTS * sizes, np.minimum(self.n, SURE)).astype(np.float64))[1], bits).astype(np.int64)
+        power[0] = 0
+        whole = 1 << power
+        # Ids of less than two slots of a row too long go with the others.
+        kept = counts * whole[row] >= 2 * self.n[row]
+        kept |= (SLOTS * sizes < whole)[row]
+        if not kept.all():
+            odds += (1 - odds) * (1 - of_rows(np.where(kept, counts, 0)) / np.maximum(self.n, 1))
+            counts, row = counts[kept], row[kept]
+            sizes = np.bincount(row, minlength=rows)
+        self.entry_of = np.where(kept, np.cumsum(kept), 0).astype(np.int32)  # by key
+        ids = (keys[kept] - self.context[row] * names).astype(np.int64)
+        weight = 2 * counts - 1
+        free = whole - sizes - np.clip((odds * whole).astype(np.int64), 1, whole - sizes)
+        share = 1 + (weight * (free / np.maximum(of_rows(weight), 1))[row]).astype(np.int64)
+        ends = np.append(0, np.cumsum(share))
+        begins = np.append(0, np.cumsum(sizes))
+        base = ends[begins]
+        escape = whole - np.diff(base)
+        scale = bits - power
+        begin = ends[:-1] - base[row] + escape[row]
+        # Entries: id, where the share begins, its size.
+        self.entries = np.append(0, ids << 32 | begin << scale[row] << 16 | share << scale[row])
+        self.escape = escape << scale
+        many, what = np.empty(rows + len(ids), np.int64), np.zeros(rows + len(ids), np.int32)
+        mine = np.arange(1, len(ids) + 1) + row
+        what[mine], many[mine] = np.arange(1, len(ids) + 1), share
+        many[begins[:-1] + np.arange(rows)] = escape
+        self.slots = np.repeat(what, many)
+        self.rows = (np.cumsum(whole) - whole) << 8 | scale  # a row's first slot, and how far places are shifted
+
+    def at(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The entries that hold these places of rows."""
+        of_row = self.rows.take(row)
+        return self.entries.take(self.slots.take((of_row >> 8) + (place >> (of_row & 255))))
+
+
 class Models:
-    """The adaptive state of a block, shared by its lanes. Ids are numbered by their place among the block's ids.
+    """The adaptive state of a block, shared by its lanes: all that was in the steps up to the last time they learned.
 
-    Order 0 counts all ids so far. The orders 1 and 2 hold the ids seen after the last id and after the last two, with
-    counts; a miss takes one from the least count, and at the end its place. The mass of an id is the sum of its shares of
-    the three, weighed by how well each has foretold ids after contexts of the same kind: how much they have seen after
-    such ids and whether it was always the same.
+    An id that followed the last two has its share of those (order 2). Others have a share of what escapes there, by the
+    numbers of different ids before the last one with which they followed it (order 1), and those that never did a share
+    of what escapes there too, by the numbers of different ids that they followed (order 0). Ids are numbered by their
+    place among the block's ids; a key is `(id before the last * names + last id) * names + id`.
     """
 
-    def __init__(self, lanes: int, names: int, count: int):
-        self.lane = np.arange(lanes)
+    def __init__(self, names: int):
         self.names = names
-        self.bits = max(20, names.bit_length() + 2)
-        self.seen = np.zeros(names, np.int64)
-        self.new: list[np.ndarray] = []
-        self.n_seen = self.n_new = 0
-        self.table1 = np.zeros((names + 1, WAYS1), np.int32)
-        rows = 1 << min(max(count.bit_length(), 4), PAIR_ROWS.bit_length() - 1)
-        self.table2 = np.zeros((rows, WAYS2), np.int32)
-        self.row1 = np.full(lanes, names)
-        self.row2 = np.zeros(lanes, np.int64)
-        self.last = np.full(lanes, names)
-        self.places = np.arange(WAYS, dtype=np.int32)[:, None]
-        # Expected hits of the orders by kind of context.
-        self.hits1, self.hits2, self.trials = np.full(KINDS, 0.4), np.full(KINDS, 0.4), np.ones(KINDS)
-        self.per = np.zeros(len(LEVEL))
-        self.per[1:] = 1 / np.arange(1, len(LEVEL))
-        self.most = WHOLE * (1 - 2.0 ** (self.bits + 1 - SHARE_BITS))
+        self.bits0 = max(20, names.bit_length() + 2)
+        self.bits1 = min(BITS1, SHARE_BITS - BITS2 - self.bits0)
+        self.tail = self.bits0 + self.bits1
+        self.bits = BITS2 + self.tail
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._count()
+
+    def learn(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Different keys, ascending, and how often they occurred since the last time."""
+        place = self.keys.searchsorted(keys)
+        known = np.append(self.keys, -1)[place] == keys
+        self.counts[place[known]] += counts[known]
+        place, keys, counts = place[~known], keys[~known], counts[~known]
+        at = place + np.arange(len(place))
+        old = np.ones(len(self.keys) + len(keys), bool)
+        old[at] = False
+        held = self.keys, self.counts
+        self.keys, self.counts = np.empty(len(old), np.int64), np.empty(len(old), np.int64)
+        self.keys[old], self.counts[old] = held
+        self.keys[at], self.counts[at] = keys, counts
         self._count()
 
     def _count(self) -> None:
-        """Masses of order 0, from all ids so far."""
-        if self.new:
-            self.seen += np.bincount(np.concatenate(self.new), minlength=self.names)
-        self.n_seen, self.n_new, self.new = self.n_seen + self.n_new, 0, []
-        self.mass = 1 + (2 * self.seen + 1) * ((1 << self.bits) - self.names) // (2 * self.n_seen + self.names)
-        self.first = np.cumsum(self.mass) - self.mass
-
-    def foresee(self) -> None:
-        self.rows = np.concatenate([self.table1.take(self.row1, axis=0), self.table2.take(self.row2, axis=0)], axis=1)
-        self.entries = np.ascontiguousarray(self.rows.T)
-        self.ids = (self.entries >> COUNT_BITS) - 1
-        counts = self.entries & MOST
-        self.counts = counts
-        n1, n2 = counts[:WAYS1].sum(axis=0, dtype=np.int32), counts[WAYS1:].sum(axis=0, dtype=np.int32)
-        kind = LEVEL.take(n1) * 2 + (counts[:WAYS1].max(axis=0) == n1)
-        self.kind = kind * (2 * LEVELS) + LEVEL.take(n2) * 2 + (counts[WAYS1:].max(axis=0) == n2)
-        weigh = self.most / self.trials
-        shares = np.empty(counts.shape)
-        np.multiply(counts[:WAYS1], (weigh * self.hits1).take(self.kind) * self.per.take(n1), out=shares[:WAYS1])
-        np.multiply(counts[WAYS1:], (weigh * self.hits2).take(self.kind) * self.per.take(n2), out=shares[WAYS1:])
-        self.shares = shares.astype(np.int64)
-        self.weight0 = (WHOLE - self.shares.sum(axis=0)) >> self.bits
-
-    def interval(self, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the mass of `now` begins, and its size; `learn` follows."""
-        self.same = self.ids == now
-        first = self.weight0 * self.first.take(now)
-        first += (self.shares * (self.ids < now)).sum(axis=0)
-        found = self.shares * self.same
-        self.found1, self.found2 = found[:WAYS1].sum(axis=0), found[WAYS1:].sum(axis=0)
-        self.size = self.weight0 * self.mass.take(now) + self.found1 + self.found2
-        return first, self.size
-
-    def at(self, place: np.ndarray) -> np.ndarray:
-        """The ids whose masses hold these places."""
-        # The foreseen ids in order, each with its place among them in the lowest bits.
-        order = np.sort((self.rows >> COUNT_BITS << 3) + self.places.T, axis=1).T
-        ids = (order >> 3) - 1
-        shares = self.shares.reshape(-1).take((order & 7) * np.int64(len(place)) + self.lane)
-        named = np.maximum(ids, 0)
-        before = np.cumsum(shares, axis=0)
-        last = self.weight0 * (self.first + self.mass).take(named) + before
-        first = self.weight0 * self.first.take(named) + before - shares
-        # One foreseen by both orders has two overlapping intervals; what it has is what either of them has.
-        passed = last <= place
-        rest = place - (shares * passed).sum(axis=0)
-        now = np.searchsorted(self.first, rest // self.weight0, side="right") - 1
-        held = (first <= place) & ~passed & (ids >= 0)
-        return np.where(held.any(axis=0), (ids * held).max(axis=0), now)
-
-    def _remember(self, table: np.ndarray, rows: np.ndarray, part: slice, now: np.ndarray) -> None:
-        same, entries = self.same[part], self.entries[part]
-        ways = len(same)
-        # The place of the id, else that of the least count.
-        order = (self.counts[part] << 3) + self.places[:ways]
-        np.copyto(order, self.places[:ways] - 8, where=same)
-        order = order.min(axis=0)
-        found, place = order < 0, order & 7
-        held = entries.reshape(-1).take(place * len(now) + self.lane)
-        count = held & MOST
-        fresh = np.where(count > 1, held - 1, ((now + 1) << COUNT_BITS) + 2)
-        table.reshape(-1)[rows * ways + place] = np.where(found, held + 2 * (count < MOST - 1), fresh)
-
-    def learn(self, now: np.ndarray) -> None:
-        self.hits1 += np.bincount(self.kind, self.found1 / self.size, KINDS)
-        self.hits2 += np.bincount(self.kind, self.found2 / self.size, KINDS)
-        self.trials += np.bincount(self.kind, minlength=KINDS)
-        self._remember(self.table1, self.row1, slice(0, WAYS1), now)
-        self._remember(self.table2, self.row2, slice(WAYS1, WAYS), now)
-        self.row2 = ((self.last * 0x9E3779B1 + now) * 0x85EBCA77 >> 16) & (len(self.table2) - 1)
-        self.last = self.row1 = now
-        self.new.append(now)
-        self.n_new += len(now)
-        if self.n_new * 16 >= self.n_seen:
-            self._count()
-
-
-class Coder:
-    """The intervals of `lanes` range coders: 64 bits, of which at least the lower 32 are in use; no carry."""
-
-    def __init__(self, lanes: int):
+        names = self.names
+        self.two = Order(self.keys, self.counts, names, BITS2)
+        after_one = self.keys % (names * names)
+        after_one.sort()
+        first, counts = runs(after_one)
+        self.after_one = after_one[first]
+        self.one = Order(self.after_one, counts, names, self.bits1)
+        seen = np.bincount(self.after_one % names, minlength=names)
+        self.share0 = 1 + (2 * seen + 1) * ((1 << self.bits0) - names) // (2 * len(first) + names)
+        self.first0 = np.cumsum(self.share0) - self.share0
+        self.rows1 = np.zeros(names, np.int32)
+        self.rows1[self.one.context[1:]] = np.arange(1, len(self.one.context))
+        # Rows of order 2 by a hash; of several in one place the last, or one that occurred again, stays.
+        context = self.two.context[1:]
+        self.mask = (1 << (2 * len(context)).bit_length()) - 1
+        self.rows2 = np.zeros(self.mask + 1, np.int32)
+        place, row = self._place(context), np.arange(1, len(context) + 1, dtype=np.int32)
+        for part in (self.two.n[1:] == 1, self.two.n[1:] > 1):
+            self.rows2[place[part]] = row[part]
+
+    def _place(self, context: np.ndarray) -> np.ndarray:
+        return ((context ^ context >> 15) * 0x9E3779B1 >> 16) & self.mask
+
+    def row_of(self, context: np.ndarray) -> np.ndarray:
+        row = self.rows2.take(self._place(context))
+        row *= self.two.context.take(row) == context
+        return row
+
+    def intervals(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of different keys' ids, ascending, begin, of `2 ** bits`, and their sizes."""
+        names, one, two = self.names, self.one, self.two
+        context = keys // names
+        new, sizes = runs(context)
+        row = np.repeat(self.row_of(context[new]), sizes)
+        place = self.keys.searchsorted(keys)
+        entry = np.append(two.entry_of, np.int32(0))[place]
+        entry *= (np.append(self.keys, -1)[place] == keys) & (row > 0)
+        held = two.entries[entry]
+        first, size = (held >> 16 & 0xFFFF) << self.tail, (held & 0xFFFF) << self.tail
+
+        others = np.flatnonzero(entry == 0)
+        scale, after_one = two.escape[row[others]], keys[others] % (names * names)
+        place = self.after_one.searchsorted(after_one)
+        entry = np.append(one.entry_of, np.int32(0))[place]
+        entry *= np.append(self.after_one, -1)[place] == after_one
+        held = one.entries[entry]
+        begin, part = (held >> 16 & 0xFFFF) << self.bits0, (held & 0xFFFF) << self.bits0
+        miss = np.flatnonzero(entry == 0)
+        last, now = np.divmod(after_one[miss], names)
+        escape = one.escape[self.rows1[last]]
+        begin[miss], part[miss] = self.first0[now] * escape, self.share0[now] * escape
+        first[others], size[others] = begin * scale, part * scale
+        return first, size
+
+    def at(self, before: np.ndarray, last: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose shares hold these places, where those begin and their sizes."""
+        row = self.row_of(before * self.names + last)
+        held = self.two.at(row, place >> self.tail)
+        now, first, size = held >> 32, (held >> 16 & 0xFFFF) << self.tail, (held & 0xFFFF) << self.tail
+        others = np.flatnonzero(held == 0)
+        if not len(others):
+            return now, first, size
+
+        scale = self.two.escape.take(row.take(others))
+        place = place.take(others) // scale
+        row = self.rows1.take(last.take(others))
+        held = self.one.at(row, place >> self.bits0)
+        found, begin, part = held >> 32, (held >> 16 & 0xFFFF) << self.bits0, (held & 0xFFFF) << self.bits0
+        miss = np.flatnonzero(held == 0)
+        if len(miss):
+            escape = self.one.escape.take(row.take(miss))
+            alone = self.first0.searchsorted(place.take(miss) // escape, side="right") - 1
+            found[miss], begin[miss], part[miss] = alone, self.first0.take(alone) * escape, self.share0.take(alone) * escape
+        now[others], first[others], size[others] = found, begin * scale, part * scale
+        return now, first, size
+
+
+class Encoder:
+    """Range coders of `lanes` lanes: intervals of 64 bits, of which at least the lower 48 are in use. A carry goes into
+    the words that are out."""
+
+    def __init__(self, lanes: int, bits: int, most: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.bits = np.uint64(bits)
+        self.words = np.zeros((lanes, most), np.uint16)
+        self.starts = np.arange(lanes) * most
+        self.place = self.starts.copy()
+
+    def _add(self, more: np.ndarray) -> None:
+        self.low += more
+        at = self.place[np.flatnonzero(self.low < more)]
+        flat = self.words.reshape(-1)
+        while len(at):
+            at = at - 1
+            flat[at] += np.uint16(1)
+            at = at[flat[at] == 0]
 
     def narrow(self, first: np.ndarray, size: np.ndarray) -> None:
-        part = self.range >> np.uint64(SHARE_BITS)
-        self.low += part * first.view(np.uint64)
+        part = self.range >> self.bits
+        self._add(part * first.view(np.uint64))
         self.range = part * size.view(np.uint64)
+        out, flat = np.flatnonzero(self.range < LEAST), self.words.reshape(-1)
+        while len(out):  # an unlikely id takes several rounds
+            low, place, width = self.low.take(out), self.place.take(out), self.range.take(out) << WORD
+            flat[place] = low >> BELOW
+            self.place[out], self.low[out], self.range[out] = place + 1, low << WORD, width
+            out = out[width < LEAST]
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all lanes end to end, and how many each has."""
+        # A number within the interval whose lower bits are zeros ends a lane.
+        self._add(np.full(len(self.low), LEAST - np.uint64(1)))
+        self.words.reshape(-1)[self.place] = self.low >> BELOW
+        used = self.place + 1 - self.starts
+        return self.words[np.arange(self.words.shape[1]) < used[:, None]], used
+
+
+class Decoder:
+    """Reads what an `Encoder` has written; `code` counts from the lower end of the interval."""
+
+    def __init__(self, words: np.ndarray, used: np.ndarray, bits: int):
+        # Zeros follow the words of a lane.
+        held = np.zeros((len(used), int(used.max(initial=0)) + 4), np.uint16)
+        held[np.arange(held.shape[1]) < used[:, None]] = words
+        self.code = np.zeros(len(used), np.uint64)
+        for k in range(4):
+            self.code = self.code << WORD | held[:, k]
+        self.words = held.reshape(-1)
+        self.next = np.arange(len(used)) * held.shape[1] + 4
+        self.range = np.full(len(used), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.bits, self.most = np.uint64(bits), np.uint64((1 << bits) - 1)
+
+    def place(self) -> np.ndarray:
+        self.part = self.range >> self.bits
+        return np.minimum(self.code // self.part, self.most).view(np.int64)
+
+    def narrow(self, first: np.ndarray, size: np.ndarray) -> None:
+        self.code -= self.part * first.view(np.uint64)
+        self.range = self.part * size.view(np.uint64)
+        out = np.flatnonzero(self.range < LEAST)
+        while len(out):
+            place, width = self.next.take(out), self.range.take(out) << WORD
+            self.code[out] = self.code.take(out) << WORD | self.words.take(place)
+            self.next[out], self.range[out] = place + 1, width
+            out = out[width < LEAST]
+
+
+def _cuts(steps: int) -> list[tuple[int, int]]:
+    """Runs of steps between which the models learn; what they know grows fourfold."""
+    ends = [0]
+    while steps > 0:
+        ends.insert(1, steps)
+        steps = steps // 2 if len(ends) == 2 else steps // 4
+    return list(zip(ends, ends[1:], strict=False))
 
-    def settled(self) -> np.ndarray:
-        """Lanes with so narrow an interval that their upper 32 bits go out; what lies beyond a change of those is cut
-        off first."""
-        lanes = np.flatnonzero(self.range >> HALF == 0)
-        if len(lanes):
-            low, width = self.low[lanes], self.range[lanes]
-            over = (low ^ (low + width - np.uint64(1))) >> HALF != 0
-            if over.any():
-                upto = np.uint64(1 << 32) - (low & np.uint64(0xFFFFFFFF))
-                # The larger part of the interval stays; the decoder does the same.
-                upper = over & (width - upto > upto)
-                self.low[lanes[upper]] += upto[upper]
-                self.range[lanes] = np.where(over, np.maximum(upto, width - upto), width)
-        return lanes
-
-    def shift(self, lanes: np.ndarray) -> None:
-        self.low[lanes] <<= HALF
-        self.range[lanes] <<= HALF
+
+def _keys(grid: np.ndarray, begin: int, end: int, names: int) -> np.ndarray:
+    """Keys of the steps of a grid that has two more before."""
+    return ((grid[begin:end].astype(np.int64) * names + grid[begin + 1 : end + 1]) * names + grid[begin + 2 : end + 2]).reshape(-1)
 
 
 def _lanes(count: int) -> tuple[int, int]:
@@ -286,27 +418,32 @@ def encode_block(ids: np.ndarray) -> bytes:
     """A block of one id or more."""
     lanes, steps = _lanes(len(ids))
     names, numbers = _numbered(ids)
+    grid = np.zeros((2 + steps, lanes), np.int32)  # step by step, after two of zeros
     padded = np.zeros(lanes * steps, np.int32)
     padded[: len(ids)] = numbers
-    grid = padded.reshape(lanes, steps).T.copy()  # step by step
-    models, coder = Models(lanes, len(names), len(ids)), Coder(lanes)
-    words = np.zeros((lanes, steps + 2), np.uint32)
-    used = np.zeros(lanes, np.int64)
-    for numbers in grid:
-        now = numbers.astype(np.int64)
-        models.foresee()
-        coder.narrow(*models.interval(now))
-        out = coder.settled()
-        if len(out):
-            words[out, used[out]] = (coder.low[out] >> HALF).astype(np.uint32)
-            used[out] += 1
-            coder.shift(out)
-        models.learn(now)
-    # A number within the interval whose lower bits are zeros ends a lane.
-    words[models.lane, used] = ((coder.low + np.uint64(0xFFFFFFFF)) >> HALF).astype(np.uint32)
-    used += 1
-    gaps = np.diff(names.astype(np.int64), prepend=0).astype("<u4")
-    held = words[np.arange(steps + 2) < used[:, None]].astype("<u4").tobytes()
+    grid[2:] = padded.reshape(lanes, steps).T
+    models = Models(len(names))
+    coder = Encoder(lanes, models.bits, steps * models.bits // 16 + 8)
+    for begin, end in _cuts(steps):
+        keys = _keys(grid, begin, end, len(names))
+        held = len(keys).bit_length()
+        if len(names) ** 3 << held < 1 << 63:  # a number holds a key and its place
+            keys = np.sort(keys << held | np.arange(len(keys)))
+            order, keys = keys & ((1 << held) - 1), keys >> held
+        else:
+            order = np.argsort(keys)
+            keys = keys[order]
+        new, counts = runs(keys)
+        keys = keys[new]
+        which = np.empty(len(order), np.int32)
+        which[order] = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
+        first, size = models.intervals(keys)
+        for one in which.reshape(-1, lanes):
+            coder.narrow(first.take(one), size.take(one))
+        if end < steps:
+            models.learn(keys, counts)
+    words, used = coder.finish()
+    held, gaps = words.astype("<u2").tobytes(), np.diff(names.astype(np.int64), prepend=0).astype("<u4")
     head = zlib.compress(gaps.tobytes() + used.astype("<u4").tobytes())
     return BLOCK_HEAD.pack(len(ids), len(names), len(head), len(held), zlib.crc32(held, zlib.crc32(head))) + head + held
 
@@ -317,28 +454,23 @@ def decode_block(stream: BinaryIO) -> np.ndarray:
     if zlib.crc32(held, zlib.crc32(head)) != crc:
         raise ValueError("a block fails its checksum")
     head = np.frombuffer(zlib.decompress(head), "<u4").astype(np.int64)
-    names, used = np.cumsum(head[:n_names]).astype(np.uint32), head[n_names:]
+    names = np.cumsum(head[:n_names]).astype(np.uint32)
     lanes, steps = _lanes(count)
-    # Zeros follow the words of a lane.
-    words = np.zeros((lanes, int(used.max(initial=0)) + 2), np.uint32)
-    words[np.arange(words.shape[1]) < used[:, None]] = np.frombuffer(held, "<u4")
-    models, coder = Models(lanes, n_names, count), Coder(lanes)
-    code = words[:, 0].astype(np.uint64) << HALF | words[:, 1].astype(np.uint64)
-    read = np.full(lanes, 2)
-    grid = np.zeros((steps, lanes), np.int32)
-    for step in range(steps):
-        models.foresee()
-        place = (code - coder.low) // (coder.range >> np.uint64(SHARE_BITS))
-        now = models.at(np.minimum(place, np.uint64(WHOLE - 1)).view(np.int64))
-        coder.narrow(*models.interval(now))
-        out = coder.settled()
-        if len(out):
-            code[out] = code[out] << HALF | words[out, read[out]].astype(np.uint64)
-            read[out] += 1
-            coder.shift(out)
-        grid[step] = now
-        models.learn(now)
-    return names[grid.T.reshape(-1)[:count]]
+    models = Models(n_names)
+    coder = Decoder(np.frombuffer(held, "<u2"), head[n_names:], models.bits)
+    grid = np.zeros((2 + steps, lanes), np.int32)
+    before = last = np.zeros(lanes, np.int64)
+    for begin, end in _cuts(steps):
+        for step in range(begin, end):
+            now, first, size = models.at(before, last, coder.place())
+            coder.narrow(first, size)
+            grid[step + 2] = now
+            before, last = last, now
+        if end < steps:
+            keys = np.sort(_keys(grid, begin, end, n_names))
+            new, counts = runs(keys)
+            models.learn(keys[new], counts)
+    return names[grid[2:].T.reshape(-1)[:count]]
 
 
 def write_file(out: BinaryIO, documents: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[int, int]:
@@ -390,7 +522,7 @@ def read_file(source: BinaryIO, size: int) -> Iterator[tuple[int, np.ndarray]]:
         held = held[n:]
 
 
-class Library(PieceIds):
+class Library:
     """Ids by the tokenizers library. A byte-level tokenizer takes the matches of its split pattern one by one, so each
     distinct match is encoded once; texts with an added token, and other tokenizers' texts, are encoded whole."""
 
@@ -406,32 +538,77 @@ class Library(PieceIds):
         self.split = regex.compile(BYTE_LEVEL_PIECES) if by_piece else regex.compile(r"(?s).+")
         self.added = regex.compile(added) if added else None
         self.by_line = Tokenizer.from_file(path)
-        self.by_line.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # A line feed may stand in one part with the piece before it if no token ends in another character and one.
+        joins = any(re.search(f"[^{LINE_FEED}]{LINE_FEED}", token) for token in self.kind.get_vocab())
+        parting = pre_tokenizers.Split("\n", "isolated" if joins else "merged_with_previous")
+        self.by_line.pre_tokenizer = pre_tokenizers.Sequence([parting, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         feed = self.by_line.encode("\n", add_special_tokens=False).ids
         self.line_feed = feed[0] if by_piece and len(feed) == 1 else -1
-        super().__init__()
+        #: Pieces by number, and their ids end to end.
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.upto = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _ids_alone(self, pieces: list[str]) -> list[bytes]:
         return [array("i", x.ids).tobytes() for x in self.kind.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _ids_in_lines(self, pieces: list[str]) -> list[bytes]:
-        """Pieces as lines of one text, split at line feeds only."""
-        ids = np.array(self.by_line.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, np.int32)
-        ends = 4 * np.flatnonzero(ids == self.line_feed)
-        if len(ends) != len(pieces) - 1:
-            return self._ids_alone(pieces)
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(flat)], strict=True)]
-
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(pieces), BATCH_PIECES):
-            part = pieces[k : k + BATCH_PIECES]
-            # A text with an added token is no single piece.
-            alone = [self.line_feed < 0 or "\n" in x or any(token in x for token in self.tokens) for x in part]
-            others, lines = iter(self._ids_alone(list(compress(part, alone)))), iter(self._ids_in_lines([x for x, a in zip(part, alone, strict=True) if not a]))
-            out += [next(others if a else lines) for a in alone]
-        return out
+    def _ids_in_lines(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces end to end, and how many each has; these are lines of texts that are split at line feeds only."""
+        flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(pieces), BATCH_PIECES):
+            part = pieces.slice(first, BATCH_PIECES).to_pylist()
+            ids = np.array(self.by_line.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            inside = ids != self.line_feed
+            ends = np.flatnonzero(~inside)
+            if len(ends) == len(part) - 1:
+                flat.append(ids[inside])
+                sizes.append(np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1)
+            else:
+                alone = self._ids_alone(part)
+                flat.append(np.frombuffer(b"".join(alone), np.int32))
+                sizes.append(np.array([len(x) // 4 for x in alone], np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _meet(self, pieces: pa.Array) -> None:
+        """Learns the ids of pieces that are not known yet."""
+        # A text with an added token is no single piece.
+        alone = np.full(len(pieces), self.line_feed < 0)
+        for token in ("\n", *self.tokens):
+            alone |= pc.match_substring(pieces, token).to_numpy(zero_copy_only=False)
+        ids = self._ids_alone(pieces.filter(pa.array(alone)).to_pylist())
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[alone] = [len(x) // 4 for x in ids]
+        in_lines, sizes[~alone] = self._ids_in_lines(pieces.filter(pa.array(~alone)))
+        owner = np.repeat(alone, sizes)
+        flat = np.empty(len(owner), np.int32)
+        flat[owner], flat[~owner] = np.frombuffer(b"".join(ids), np.int32), in_lines
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.flat = np.concatenate([self.flat, flat])
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(sizes)])
+
+    def _keep(self, numbers: np.ndarray) -> None:
+        """Forgets all pieces but these."""
+        self.known = self.known.take(pa.array(numbers))
+        sizes = (self.upto[1:] - self.upto[:-1])[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = self.flat[np.repeat(self.upto[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
+        self.upto = ends
+
+    def _ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces end to end, and how many each has."""
+        found = pieces.dictionary_encode()
+        known = np.full(len(found.dictionary), -1)
+        at = pc.index_in(self.known, value_set=found.dictionary)
+        known[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        new = known < 0
+        known[new] = len(self.known) + np.arange(int(new.sum()))
+        self._meet(found.dictionary.filter(pa.array(new)))
+        of_piece = known[found.indices.to_numpy()]
+        begins, sizes = self.upto[:-1][of_piece], (self.upto[1:] - self.upto[:-1])[of_piece]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        if len(self.known) > REMEMBERED:
+            self._keep(known)
+        return flat, sizes
 
     def findall(self, text: str) -> list[str]:
         """The pieces of a text."""
@@ -439,39 +616,40 @@ class Library(PieceIds):
             return [text]
         return (PLAIN_PIECES if self.by_piece and not NOT_PLAIN.search(text) else self.split).findall(text)
 
-    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the pieces of texts without odd characters, and how many each text has."""
-        data, starts = string_bytes(column)
-        first = piece_starts(data, kinds(data), starts)
+    def _plain(self, data: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of texts without odd characters, laid end to end, and how many each text has."""
+        first = piece_starts(data, kind, starts)
         bounds = np.append(first, len(data))
         pieces = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
-        found = pieces.dictionary_encode()
-        known = np.fromiter(map(self.number.__getitem__, found.dictionary.to_pylist()), np.int32, len(found.dictionary))
-        return known[found.indices.to_numpy(zero_copy_only=False)], np.diff(np.searchsorted(first, starts))
+        return pieces, np.diff(np.searchsorted(first, starts))
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's begin (one more for the end)."""
-        if len(self.number) > REMEMBERED:
-            self.forget()
         data, starts = string_bytes(column)
-        plain = np.full(len(column), self.by_piece)
-        plain[np.searchsorted(starts, np.flatnonzero(kinds(data) == ODD), side="right") - 1] = False
+        kind, plain = kinds(data), np.full(len(column), self.by_piece)
+        plain[np.searchsorted(starts, np.flatnonzero(kind == ODD), side="right") - 1] = False
         for token in self.tokens:
             plain &= ~pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
-        numbers, counts = self._plain(column.filter(pa.array(plain)))
         if not plain.all():
-            odd = [self.findall(t) if t else [] for t in column.filter(pa.array(~plain)).to_pylist()]
-            sizes = np.zeros(len(column), np.int64)
-            sizes[plain], sizes[~plain] = counts, [len(x) for x in odd]
-            of_plain, counts, others = np.repeat(plain, sizes), sizes, numbers
-            numbers = np.zeros(len(of_plain), np.int32)
-            numbers[of_plain] = others
-            numbers[~of_plain] = np.fromiter(map(self.number.__getitem__, chain.from_iterable(odd)), np.int32, int((~of_plain).sum()))
-        self.meet()
-        sizes = (self.upto[1:] - self.upto[:-1])[numbers]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.flat[np.repeat(self.upto[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return flat, ends[np.concatenate([[0], np.cumsum(counts)])]
+            data, starts = string_bytes(column.filter(pa.array(plain)))
+            kind = kinds(data)
+        pieces, counts = self._plain(data, kind, starts)
+        if plain.all():
+            flat, sizes = self._ids_of(pieces)
+            return flat, np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        # All pieces are looked up at once, those of odd texts last.
+        odd = [self.findall(t) if t else [] for t in column.filter(pa.array(~plain)).to_pylist()]
+        flat, sizes = self._ids_of(pa.concat_arrays([pieces, pa.array(chain.from_iterable(odd), pa.large_string())]))
+        counts = np.concatenate([counts, np.array([len(x) for x in odd], np.int64)])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        text = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        lengths = np.zeros(len(column), np.int64)
+        lengths[text] = np.diff(bounds)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        owner = np.repeat(plain, lengths)
+        out, upto = np.empty(len(flat), np.int32), int(lengths[plain].sum())
+        out[owner], out[~owner] = flat[:upto], flat[upto:]
+        return out, ends
 
 
 @lru_cache(maxsize=2)

@@ -120,3 +120,42 @@ def test_new_pieces_are_encoded_together(monkeypatch):
     monkeypatch.setattr(kind, "_ids_alone", lambda pieces, f=kind._ids_alone: calls.append(len(pieces)) or f(pieces))
     kind.encode_column(pa.array([" ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(600)) + "\n\n"]))
     assert sum(calls) <= 1  # the line feeds
+
+
+def test_pieces_of_the_last_group_are_kept(monkeypatch):
+    monkeypatch.setattr(S, "REMEMBERED", 50)
+    kind, met = S.Library(TOKENS), []
+    monkeypatch.setattr(kind, "_ids_in_lines", lambda pieces, f=kind._ids_in_lines: met.append(len(pieces)) or f(pieces))
+    words = [" " + "".join(x) for x in itertools.product("abcdefgh", repeat=3)]
+    groups = ["".join(words[:100]), "".join(words[50:150]), "".join(words[:60]), "", "a\n\nb"]
+    for text in groups:
+        found, bounds = kind.encode_column(pa.array([text, None]))
+        assert found.tolist() == kind.kind.encode(text, add_special_tokens=False).ids and bounds.tolist() == [0, len(found), len(found)]
+    assert met == [100, 50, 50, 0, 2]
+
+
+def test_fewer_than_seven_bits_an_id():
+    kind = S.library(TOKENS)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids = kind.encode_column(texts)[0].astype(np.uint32)
+    packed = S.encode_block(ids)
+    assert 8 * len(packed) < 7 * len(ids)
+    assert (S.decode_block(io.BytesIO(packed)) == ids).all()
+
+
+def test_carries_go_up_to_the_first_word():
+    """Ids whose shares lie at the upper end of the interval, then any others: words before them take carries."""
+    rng = np.random.default_rng(4)
+    for seed in range(6):
+        coder, bits = S.Encoder(50, 46, 400), 46
+        steps = []
+        for _ in range(100):
+            size = np.where(rng.random(50) < 0.7, (1 << bits) - rng.integers(1, 50, 50), rng.integers(1, 1 << rng.integers(1, bits), 50))
+            first = (1 << bits) - size - np.where(rng.random(50) < 0.9, 0, rng.integers(0, (1 << bits) - size + 1))
+            steps.append((first, size))
+            coder.narrow(first, size)
+        decoder = S.Decoder(*coder.finish(), bits)
+        for first, size in steps:
+            place = decoder.place()
+            assert ((place >= first) & (place < first + size)).all(), seed
+            decoder.narrow(first, size)
