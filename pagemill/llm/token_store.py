@@ -51,7 +51,7 @@ MAGIC = b"PMTOK3\0\0"
 LANES, LANE = 2048, 1024
 BLOCK = LANES * LANE
 BLOCK_HEAD = struct.Struct("<IIIII")
-BATCH_PIECES = 4_000
+BATCH_PIECES = 250
 #: How many pieces a task remembers from one group of texts to the next; beyond, only those of the last group.
 REMEMBERED = 1 << 20
 #: A line feed, as byte-level vocabularies write it.
@@ -64,7 +64,7 @@ BITS2, BITS1, SHARE_BITS = 12, 14, 46
 #: Kinds of contexts: 64 levels of how often one occurred, 16 of how many different ids came after it.
 KINDS = 64 * 16
 #: Slots of a row of shares, at least: so many for each id, and as many as the context occurred, up to SURE.
-SLOTS, SURE = 2, 256
+SLOTS, SURE = 2, 64
 #: Ids below this are numbered by a table, others by sorting.
 TABLE_IDS = 1 << 22
 NO_DOC = -(1 << 63)
@@ -140,7 +140,7 @@ class Order:
 
     A row's first share, `escape`, is that of all other ids: how often what followed such a context was new, by how often
     it had occurred and how many different ids were after it, as told by leaving out each occurrence in turn. A row is cut
-    into slots, so many that each id has one, and `slots` tells the entry of each. Row 0 is that of unknown contexts,
+    into slots, so many that each id has one, and `slots` holds the entry of each. Row 0 is that of unknown contexts,
     entry 0 that of escapes.
     """
 
@@ -180,25 +180,32 @@ class Order:
         free = whole - sizes - np.clip((odds * whole).astype(np.int64), 1, whole - sizes)
         share = 1 + (weight * (free / np.maximum(of_rows(weight), 1))[row]).astype(np.int64)
         ends = np.append(0, np.cumsum(share))
-        begins = np.append(0, np.cumsum(sizes))
-        base = ends[begins]
+        base = ends[np.append(0, np.cumsum(sizes))]
         escape = whole - np.diff(base)
         scale = bits - power
         begin = ends[:-1] - base[row] + escape[row]
         # Entries: id, where the share begins, its size.
         self.entries = np.append(0, ids << 32 | begin << scale[row] << 16 | share << scale[row])
         self.escape = escape << scale
-        many, what = np.empty(rows + len(ids), np.int64), np.zeros(rows + len(ids), np.int32)
-        mine = np.arange(1, len(ids) + 1) + row
-        what[mine], many[mine] = np.arange(1, len(ids) + 1), share
-        many[begins[:-1] + np.arange(rows)] = escape
-        self.slots = np.repeat(what, many)
+        self.laid = np.append(0, sizes), share, escape, whole, scale
+
+    def lay(self) -> None:
+        """Makes the slots, for reading."""
+        sizes, share, escape, whole, scale = self.laid
+        # What escapes comes first in each row.
+        begins = np.cumsum(sizes)[:-1] + np.arange(len(escape))
+        many, held = np.empty(len(escape) + len(share), np.int64), np.zeros(len(escape) + len(share), np.int64)
+        mine = np.ones(len(many), bool)
+        mine[begins] = False
+        held[mine], many[mine], many[begins] = self.entries[1:], share, escape
+        self.slots = np.repeat(held, many)
         self.rows = (np.cumsum(whole) - whole) << 8 | scale  # a row's first slot, and how far places are shifted
+        del self.laid
 
     def at(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The entries that hold these places of rows."""
         of_row = self.rows.take(row)
-        return self.entries.take(self.slots.take((of_row >> 8) + (place >> (of_row & 255))))
+        return self.slots.take((of_row >> 8) + (place >> (of_row & 255)))
 
 
 class Models:
@@ -210,8 +217,8 @@ class Models:
     place among the block's ids; a key is `(id before the last * names + last id) * names + id`.
     """
 
-    def __init__(self, names: int):
-        self.names = names
+    def __init__(self, names: int, reading: bool):
+        self.names, self.reading = names, reading
         self.bits0 = max(20, names.bit_length() + 2)
         self.bits1 = min(BITS1, SHARE_BITS - BITS2 - self.bits0)
         self.tail = self.bits0 + self.bits1
@@ -219,10 +226,13 @@ class Models:
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._count()
 
-    def learn(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Different keys, ascending, and how often they occurred since the last time."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where different keys, ascending, stand among the known ones, and whether they do."""
         place = self.keys.searchsorted(keys)
-        known = np.append(self.keys, -1)[place] == keys
+        return place, np.append(self.keys, -1)[place] == keys
+
+    def learn(self, keys: np.ndarray, counts: np.ndarray, place: np.ndarray, known: np.ndarray) -> None:
+        """How often different keys, which `find` has found, occurred since the last time."""
         self.counts[place[known]] += counts[known]
         place, keys, counts = place[~known], keys[~known], counts[~known]
         at = place + np.arange(len(place))
@@ -247,6 +257,9 @@ class Models:
         self.first0 = np.cumsum(self.share0) - self.share0
         self.rows1 = np.zeros(names, np.int32)
         self.rows1[self.one.context[1:]] = np.arange(1, len(self.one.context))
+        if self.reading:
+            self.one.lay()
+            self.two.lay()
         # Rows of order 2 by a hash; of several in one place the last, or one that occurred again, stays.
         context = self.two.context[1:]
         self.mask = (1 << (2 * len(context)).bit_length()) - 1
@@ -263,15 +276,14 @@ class Models:
         row *= self.two.context.take(row) == context
         return row
 
-    def intervals(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the shares of different keys' ids, ascending, begin, of `2 ** bits`, and their sizes."""
+    def intervals(self, keys: np.ndarray, place: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of different keys' ids, which `find` has found, begin, of `2 ** bits`, and their sizes."""
         names, one, two = self.names, self.one, self.two
         context = keys // names
         new, sizes = runs(context)
         row = np.repeat(self.row_of(context[new]), sizes)
-        place = self.keys.searchsorted(keys)
         entry = np.append(two.entry_of, np.int32(0))[place]
-        entry *= (np.append(self.keys, -1)[place] == keys) & (row > 0)
+        entry *= known & (row > 0)
         held = two.entries[entry]
         first, size = (held >> 16 & 0xFFFF) << self.tail, (held & 0xFFFF) << self.tail
 
@@ -294,7 +306,7 @@ class Models:
         row = self.row_of(before * self.names + last)
         held = self.two.at(row, place >> self.tail)
         now, first, size = held >> 32, (held >> 16 & 0xFFFF) << self.tail, (held & 0xFFFF) << self.tail
-        others = np.flatnonzero(held == 0)
+        others = (held == 0).nonzero()[0]
         if not len(others):
             return now, first, size
 
@@ -303,7 +315,7 @@ class Models:
         row = self.rows1.take(last.take(others))
         held = self.one.at(row, place >> self.bits0)
         found, begin, part = held >> 32, (held >> 16 & 0xFFFF) << self.bits0, (held & 0xFFFF) << self.bits0
-        miss = np.flatnonzero(held == 0)
+        miss = (held == 0).nonzero()[0]
         if len(miss):
             escape = self.one.escape.take(row.take(miss))
             alone = self.first0.searchsorted(place.take(miss) // escape, side="right") - 1
@@ -326,7 +338,7 @@ class Encoder:
 
     def _add(self, more: np.ndarray) -> None:
         self.low += more
-        at = self.place[np.flatnonzero(self.low < more)]
+        at = self.place[(self.low < more).nonzero()[0]]
         flat = self.words.reshape(-1)
         while len(at):
             at = at - 1
@@ -337,7 +349,7 @@ class Encoder:
         part = self.range >> self.bits
         self._add(part * first.view(np.uint64))
         self.range = part * size.view(np.uint64)
-        out, flat = np.flatnonzero(self.range < LEAST), self.words.reshape(-1)
+        out, flat = (self.range < LEAST).nonzero()[0], self.words.reshape(-1)
         while len(out):  # an unlikely id takes several rounds
             low, place, width = self.low.take(out), self.place.take(out), self.range.take(out) << WORD
             flat[place] = low >> BELOW
@@ -375,7 +387,7 @@ class Decoder:
     def narrow(self, first: np.ndarray, size: np.ndarray) -> None:
         self.code -= self.part * first.view(np.uint64)
         self.range = self.part * size.view(np.uint64)
-        out = np.flatnonzero(self.range < LEAST)
+        out = (self.range < LEAST).nonzero()[0]
         while len(out):
             place, width = self.next.take(out), self.range.take(out) << WORD
             self.code[out] = self.code.take(out) << WORD | self.words.take(place)
@@ -384,12 +396,12 @@ class Decoder:
 
 
 def _cuts(steps: int) -> list[tuple[int, int]]:
-    """Runs of steps between which the models learn; what they know grows fourfold."""
-    ends = [0]
-    while steps > 0:
-        ends.insert(1, steps)
-        steps = steps // 2 if len(ends) == 2 else steps // 4
-    return list(zip(ends, ends[1:], strict=False))
+    """Runs of steps between which the models learn, last after 5 of 16 steps; what they know grows sixfold."""
+    ends, last = [steps], steps * 5 // 16
+    while last > 0:
+        ends.insert(0, last)
+        last //= 6
+    return list(zip([0, *ends], ends, strict=False))
 
 
 def _keys(grid: np.ndarray, begin: int, end: int, names: int) -> np.ndarray:
@@ -422,7 +434,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     padded = np.zeros(lanes * steps, np.int32)
     padded[: len(ids)] = numbers
     grid[2:] = padded.reshape(lanes, steps).T
-    models = Models(len(names))
+    models = Models(len(names), reading=False)
     coder = Encoder(lanes, models.bits, steps * models.bits // 16 + 8)
     for begin, end in _cuts(steps):
         keys = _keys(grid, begin, end, len(names))
@@ -437,11 +449,12 @@ def encode_block(ids: np.ndarray) -> bytes:
         keys = keys[new]
         which = np.empty(len(order), np.int32)
         which[order] = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
-        first, size = models.intervals(keys)
+        found = models.find(keys)
+        first, size = models.intervals(keys, *found)
         for one in which.reshape(-1, lanes):
             coder.narrow(first.take(one), size.take(one))
         if end < steps:
-            models.learn(keys, counts)
+            models.learn(keys, counts, *found)
     words, used = coder.finish()
     held, gaps = words.astype("<u2").tobytes(), np.diff(names.astype(np.int64), prepend=0).astype("<u4")
     head = zlib.compress(gaps.tobytes() + used.astype("<u4").tobytes())
@@ -456,7 +469,7 @@ def decode_block(stream: BinaryIO) -> np.ndarray:
     head = np.frombuffer(zlib.decompress(head), "<u4").astype(np.int64)
     names = np.cumsum(head[:n_names]).astype(np.uint32)
     lanes, steps = _lanes(count)
-    models = Models(n_names)
+    models = Models(n_names, reading=True)
     coder = Decoder(np.frombuffer(held, "<u2"), head[n_names:], models.bits)
     grid = np.zeros((2 + steps, lanes), np.int32)
     before = last = np.zeros(lanes, np.int64)
@@ -469,7 +482,7 @@ def decode_block(stream: BinaryIO) -> np.ndarray:
         if end < steps:
             keys = np.sort(_keys(grid, begin, end, n_names))
             new, counts = runs(keys)
-            models.learn(keys[new], counts)
+            models.learn(keys[new], counts, *models.find(keys[new]))
     return names[grid[2:].T.reshape(-1)[:count]]
 
 
@@ -603,7 +616,8 @@ class Library:
         known[new] = len(self.known) + np.arange(int(new.sum()))
         self._meet(found.dictionary.filter(pa.array(new)))
         of_piece = known[found.indices.to_numpy()]
-        begins, sizes = self.upto[:-1][of_piece], (self.upto[1:] - self.upto[:-1])[of_piece]
+        begins = self.upto.take(of_piece)
+        sizes = self.upto.take(of_piece + 1) - begins
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         if len(self.known) > REMEMBERED:
@@ -707,7 +721,7 @@ def read_ids(files: DataFrame, batch_rows: int = 256) -> DataFrame:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             names, starts, ids = ([r[k] for r in rows] for k in range(3))
             sizes = np.array([len(x) for x in ids], np.int64)
-            flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
+            flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
             columns = [pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes), lists]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
@@ -741,7 +755,7 @@ def ids_crc32(documents: DataFrame) -> DataFrame:
     @F.arrow_udf("bigint")
     def crc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            flat, bounds = batch.values.to_numpy().astype("<u4"), batch.offsets.to_numpy()
+            flat, bounds = batch.values.to_numpy().view(np.uint32).astype("<u4", copy=False), batch.offsets.to_numpy()
             yield pa.array([zlib.crc32(flat[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.int64())
 
     return documents.select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
