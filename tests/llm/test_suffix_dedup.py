@@ -149,3 +149,21 @@ def test_strings_that_fool_sums_modulo_powers_of_two(spark, length):
     halves = sums.of(np.array([0, length]), np.array([length, 2 * length]))
     plain = sums.plain
     assert halves[0] != halves[1] and plain[length : length + 1] * powers(2 * length + 1)[0][length] == plain[2 * length :] - plain[length]
+
+
+def test_planted_passages(spark):
+    """Passages of over 50 words in two documents each: those of 400 bytes go, shorter ones stay, and so do other documents."""
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, most)))
+    prose = lambda n, most: " ".join(word(most) for _ in range(n))
+    long, short = [prose(60, 14) for _ in range(12)], [prose(51, 8) for _ in range(12)]
+    assert min(map(len, long)) >= 400 > max(map(len, short)) + 2
+    rows = [(k, f"{prose(80, 9)} {p} {prose(80, 9)}") for k, p in enumerate([*long, *long, *short, *short])]
+    rows += [(100 + k, prose(200, 9)) for k in range(24)]
+    found = {r.doc_id: r.spans for r in S.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), 400).collect()}
+    for k, text in rows:
+        if k >= 24:
+            assert found[k] == []
+        else:
+            first = text.index(long[k % 12])
+            assert found[k][0] <= first and found[k][-1] >= first + len(long[k % 12]) and len(found[k]) == 2
