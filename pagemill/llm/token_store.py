@@ -53,7 +53,7 @@ BLOCK = LANES * LANE
 BLOCK_HEAD = struct.Struct("<IIIII")
 BATCH_PIECES = 250
 #: How many pieces a task remembers from one group of texts to the next; beyond, only those of the last group.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: A line feed, as byte-level vocabularies write it.
 LINE_FEED = "\u010a"
 #: Coders put out words of 16 bits while fewer than the lower 48 of an interval are in use.
